@@ -1,0 +1,175 @@
+"""Secret scans with DataFrame functions only.
+
+Three base rules (assign, access, hex) are joined by an entropy rule: candidate strings, one pattern for each
+character class, are walked by a window of `window` characters.  The window keeps a count for each symbol of
+the class and the sum of c * log2(c); a step changes two counts, so the Shannon entropy
+log2(window) - sum / window is known without recounting.  Neighbouring windows at or above the class's
+threshold make a span, unless the candidate matches the allow list.
+
+Spans are half-open, in code points of the text, and cover the whole match of a rule.  A null text is empty and
+has no spans; repeated rows give repeated results; other columns of the input are not read.
+"""
+
+from __future__ import annotations
+
+import math
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
+KINDS = ("assign", "access", "hex")
+
+
+@dataclass(frozen=True)
+class CharClass:
+    """A class of characters: candidates are runs that match `pattern` and `must`."""
+
+    kind: str
+    pattern: str
+    symbols: str
+    must: str
+    threshold: float
+    window: int = 20
+
+
+CLASSES = (
+    CharClass("entropy_hex", r"(?<![0-9A-Za-z])[0-9a-fA-F]{20,}(?![0-9A-Za-z])", "0123456789abcdefABCDEF", r"[0-9]", 3.0),
+    CharClass(
+        "entropy_base64",
+        r"[A-Za-z0-9+/_=-]{20,}",
+        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-",
+        r"(?=.*[0-9])(?=.*[A-Za-z])",
+        3.6,
+    ),
+)
+#: Candidates that look random but are known to be harmless: UUIDs, documentation samples, one repeated unit, dates and plain counters.
+ALLOW = (
+    r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
+    r"(?i)example|sample|placeholder|dummy",
+    r"(.{1,4})\1{4,}",
+    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}",
+    r"^0*123456789",
+)
+
+
+def running_total(values: Column, block: int = 256) -> Column:
+    """array<int> of sums before each element (and the whole sum last), block by block so that long arrays stay cheap."""
+
+    def totals(a: Column) -> Column:
+        return F.aggregate(a, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+
+    n = F.size(values)
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr("0") + F.floor((n - 1) / block).cast("int")))
+    inside = F.transform(starts, lambda b: totals(F.slice(values, b * block + 1, F.lit(block))))
+    bases = totals(F.transform(inside, lambda a: F.element_at(a, -1)))
+    moved = F.transform(inside, lambda a, i: F.transform(F.slice(a, 1, F.size(a) - 1), lambda x: x + F.get(bases, i)))
+    return F.concat(F.flatten(moved), F.array(F.element_at(bases, -1)))
+
+
+def matches(text: Column, pattern: str, group: int = 0) -> Column:
+    """array<struct<start,end,part>>: the leftmost non-overlapping matches in order; part is the given group."""
+    none = F.array().cast("array<struct<start:int,end:int,part:string>>")
+    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(hits)), lambda g: F.length(g))
+    sizes = F.transform(hits, lambda h: F.length(h))
+    ends = running_total(F.zip_with(gaps, sizes, lambda g, h: g + h))
+    found = F.transform(
+        parts,
+        lambda p, i: F.struct(
+            (F.get(ends, i + 1) - F.get(sizes, i)).alias("start"), F.get(ends, i + 1).alias("end"), p.alias("part")
+        ),
+    )
+    return F.when(text.rlike(pattern), found).otherwise(none)
+
+
+def hot_spans(word: Column, c: CharClass) -> Column:
+    """array<struct<a,b>>: where the windows of `word` reach the class's threshold, merged."""
+    w = c.window
+    terms = F.array(*[F.lit(x * math.log2(x) if x else 0.0) for x in range(w + 2)])
+    codes = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.instr(F.lit(c.symbols), word.substr(i, F.lit(1))) - 1)
+    start = F.struct(
+        F.array_repeat(F.lit(0), len(c.symbols)).alias("counts"),
+        F.lit(0.0).alias("total"),
+        F.array().cast("array<struct<a:int,b:int>>").alias("spans"),
+        F.lit(0).alias("at"),
+    )
+
+    def step(acc: Column, code: Column) -> Column:
+        at, counts = acc["at"], acc["counts"]
+        gone = F.when(at >= w, F.get(codes, at - w)).otherwise(-1)
+        came = F.get(counts, code)
+        left = F.get(counts, gone)
+        change = F.get(terms, came + 1) - F.get(terms, came) + F.when(gone >= 0, F.get(terms, left - 1) - F.get(terms, left)).otherwise(0.0)
+        total = F.when(gone == code, acc["total"]).otherwise(acc["total"] + change)
+        counted = F.transform(counts, lambda x, i: x + (i == code).cast("int") - (i == gone).cast("int"))
+        hot = (at >= w - 1) & (F.lit(math.log2(w)) - total / w >= c.threshold - 1e-9)
+        a, spans = at - (w - 1), acc["spans"]
+        joins = (F.size(spans) > 0) & (F.element_at(spans, F.greatest(F.size(spans), F.lit(1)))["b"] >= a)
+        longer = F.transform(spans, lambda s, i: F.when(i == F.size(spans) - 1, F.struct(s["a"].alias("a"), (at + 1).alias("b"))).otherwise(s))
+        more = F.concat(spans, F.array(F.struct(a.alias("a"), (at + 1).alias("b"))))
+        return F.struct(
+            counted.alias("counts"),
+            total.alias("total"),
+            F.when(hot & (F.size(spans) == 0), more).when(hot & joins, longer).when(hot, more).otherwise(spans).alias("spans"),
+            (at + 1).alias("at"),
+        )
+
+    return F.aggregate(codes, start, step, lambda acc: acc["spans"])
+
+
+def entropy_spans(text: Column, c: CharClass, allow: tuple[str, ...] = ALLOW) -> Column:
+    found = F.filter(matches(text, c.pattern), lambda m: m["part"].rlike(c.must))
+    if allow:
+        found = F.filter(found, lambda m: ~reduce(or_, [m["part"].rlike(a) for a in allow]))
+    return F.flatten(
+        F.transform(
+            found,
+            lambda m: F.transform(
+                hot_spans(m["part"], c), lambda s: F.struct((m["start"] + s["a"]).alias("start"), (m["start"] + s["b"]).alias("end"))
+            ),
+        )
+    )
+
+
+def scan_secrets(docs: DataFrame, classes: tuple[CharClass, ...] = CLASSES, allow: tuple[str, ...] = ALLOW) -> DataFrame:
+    """doc_id and `found`: array<struct<start,rank,end,kind>> in the order of start, then kind as listed."""
+    text = F.col("text")
+
+    def tagged(spans: Column, kind: str, rank: int) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(rank).alias("rank"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+    docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    base = (
+        F.filter(matches(text, ASSIGN, 2), lambda m: F.length(m["part"]) >= 6),
+        matches(text, ACCESS),
+        matches(text, HEX),
+    )
+    sets = [tagged(s, k, i) for i, (s, k) in enumerate(zip(base, KINDS, strict=True))]
+    sets += [tagged(entropy_spans(text, c, allow), c.kind, len(KINDS) + i) for i, c in enumerate(classes)]
+    return docs.select("doc_id", *[s.alias(f"s{i}") for i, s in enumerate(sets)]).select(
+        "doc_id", F.array_sort(F.concat(*[F.col(f"s{i}") for i in range(len(sets))])).alias("found")
+    )
+
+
+def spelled(spans: Column) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def op1_secret_scan(docs: DataFrame) -> DataFrame:
+    found = F.col("found")
+    count = lambda i, k: F.size(F.filter(found, lambda s: s["rank"] == i)).cast("long").alias(f"n_{k}")
+    base = F.filter(found, lambda s: s["rank"] < len(KINDS))
+    return scan_secrets(docs).select(
+        "doc_id",
+        *[count(i, k) for i, k in enumerate(KINDS)],
+        F.sha2(spelled(base), 256).alias("base_sha256"),
+        spelled(found).alias("spans"),
+        F.size(F.filter(found, lambda s: s["rank"] >= len(KINDS))).cast("long").alias("n_entropy"),
+    )
