@@ -39,6 +39,8 @@ from .common import components, pieces, stash
 SLOT_BITS = 20
 #: Counters travel in this many parts.
 PARTS = 64
+#: Ids of documents (8 bytes each) that are broadcast at most.
+MOST_SENT = 1_000_000
 LOW58 = np.uint64((1 << 58) - 1)
 
 
@@ -250,7 +252,9 @@ def _near(pairs: DataFrame, info: DataFrame, rule: Rule) -> DataFrame:
 def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, rule: Rule, rank_sent) -> DataFrame:
     """The pairs that link, by their whole sets."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    ids = info.join(wanted, "sid", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+    ids = stash(info.join(wanted, "sid", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
+    if ids.count() <= MOST_SENT:  # else the texts meet the ids in a shuffled join
+        ids = F.broadcast(ids)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
