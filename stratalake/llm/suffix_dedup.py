@@ -31,15 +31,18 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
 from .common import pieces, row_hash
 
-LENGTH, GRAM = 50, 20
+LENGTH, GRAM = 50, 16
 LAST = np.int64((1 << 63) - 1)  # the place of a null doc_id
 SHALLOW = 16
+#: A value for each byte, by rule.
+_BYTE_VALUE = (K.mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
 
 # ---- deep-shallow suffix sorting -------------------------------------------------------------------------------------
@@ -158,15 +161,18 @@ def first_documents(gram: np.ndarray, before: np.ndarray, n_before: np.ndarray,
     left, left_lcp = deep_shallow(before, n_before, group)
     out = np.full((n, reach + 1), LAST, dtype=np.int64)
     right_run, left_run = np.empty(n, np.int64), np.empty(n, np.int64)
+    early = np.argsort(doc, kind="stable")
     for i in range(reach + 1):
         right_run[right] = np.cumsum(right_lcp < length - i)
         left_run[left] = np.cumsum(left_lcp < i)
-        at = np.flatnonzero((n_before >= i) & (n_after >= length - i))
+        at = early[((n_before >= i) & (n_after >= length - i))[early]]
         if not len(at):
             continue
-        order = at[np.lexsort((doc[at], left_run[at], right_run[at]))]
+        pair = right_run[at] * (n + 1) + left_run[at]
+        by = np.argsort(pair, kind="stable")
+        order, pair = at[by], pair[by]
         head = np.ones(len(order), dtype=bool)
-        head[1:] = (right_run[order[1:]] != right_run[order[:-1]]) | (left_run[order[1:]] != left_run[order[:-1]])
+        head[1:] = pair[1:] != pair[:-1]
         out[order, i] = doc[order[np.flatnonzero(head)]][np.cumsum(head) - 1]
     return out
 
@@ -183,21 +189,31 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[:n], out[width - step : width - step + n]) if step < width else out
 
 
+def _order(data: np.ndarray, gram: int) -> np.ndarray:
+    """A 32-bit value over zero for each gram, which says what gram of a window is least: sum of a byte's value << its place, by doubling."""
+    h, width = _BYTE_VALUE[data], 1
+    while width * 2 <= gram:
+        h = h[:-width] + (h[width:] << np.uint32(width))
+        width *= 2
+    if width < gram:
+        h = h[: len(data) - gram + 1] * np.uint32(0x9E3779B1) + h[gram - width :]
+    return (h * np.uint32(0x85EBCA6B)) | np.uint32(1)
+
+
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Place, row and hash of every gram that is the least (or ties with it) of a window of its row."""
     if len(data) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    start = np.arange(len(data) - gram + 1)
-    h = K.window_hash(K.prefix(data), start, start + gram)
+    h = _order(data, gram)
     width = length - gram + 1
     least = _sliding(h, width, np.minimum)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
     inside = np.arange(len(least)) + length <= offsets[row[: len(least)] + 1]
     # the greatest of the windows' least grams over all windows that hold a place is its own gram at anchors only
-    padded = np.zeros(len(h) + width - 1, np.uint64)
-    padded[width - 1 : width - 1 + len(least)] = np.where(inside, least, np.uint64(0))
+    padded = np.zeros(len(h) + width - 1, np.uint32)
+    padded[width - 1 : width - 1 + len(least)] = np.where(inside, least, np.uint32(0))
     place = np.flatnonzero(_sliding(padded, width, np.maximum) == h)
-    return place, row[place], h[place]
+    return place, row[place], _context_key(data[place[:, None] + np.arange(gram)])
 
 
 def _blocked(docs: DataFrame, blocks: int) -> DataFrame:
@@ -213,7 +229,7 @@ def _each(table: pa.Table, length: int, gram: int) -> Iterator[tuple[int, int, n
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+    return ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32)
 
 
 def _split(where: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
@@ -223,7 +239,10 @@ def _split(where: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
 
 
 def gram_marks(block: int, table: pa.Table, length: int, gram: int, buckets: int) -> pa.Table:
-    """A block's gram hashes by bucket; the lowest bit tells whether two documents of the block have the gram."""
+    """A block's gram hashes by bucket; the lowest bit tells whether two documents of the block have the gram.
+
+    Inside a bucket 31 bits are kept: two grams that agree in them merely stay together as if shared.
+    """
     hs, ds = [], []
     doc = table.column("doc").to_numpy()
     for a, _, _, _, _, row, h in _each(table, length, gram):
@@ -237,25 +256,38 @@ def gram_marks(block: int, table: pa.Table, length: int, gram: int, buckets: int
     many = np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head) if len(h) else np.zeros(0, bool)
     h = np.where(many, h[head], h[head] ^ np.uint64(1)) if len(h) else h
     parts = _split(_bucket(h, buckets), buckets)
-    return pa.table({"bucket": pa.array([i for i, _ in parts], pa.int32()), "block": pa.array([block] * len(parts), pa.int32()), "grams": pa.array([h[i].tobytes() for _, i in parts], pa.binary())})
+    return pa.table({"bucket": pa.array([i for i, _ in parts], pa.int32()), "block": pa.array([block] * len(parts), pa.int32()), "grams": pa.array([h[i].astype(np.uint32).tobytes() for _, i in parts], pa.binary())})
 
 
 def shared_grams(table: pa.Table) -> pa.Table:
     """Per block, the grams of one bucket that two documents have."""
-    blocks = table.column("block").to_pylist()
-    lists = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
+    blocks, bucket = table.column("block").to_pylist(), table.column("bucket")[0].as_py()
+    lists = [np.frombuffer(x, np.uint32) for x in table.column("grams").to_pylist()]
     every = np.concatenate(lists)
-    bare = np.sort(every | np.uint64(1))
-    twice = np.unique(np.concatenate((bare[1:][bare[1:] == bare[:-1]], every[(every & np.uint64(1)) == 1])))
-    kept = [g[np.isin(g | np.uint64(1), twice)] | np.uint64(1) for g in lists]
+    bare = np.sort(every | np.uint32(1))
+    twice = np.unique(np.concatenate((bare[1:][bare[1:] == bare[:-1]], every[(every & np.uint32(1)) == 1])))
+    kept = [k[np.isin(k, twice)] for k in (np.unique(g | np.uint32(1)) for g in lists)]
     some = [i for i, k in enumerate(kept) if len(k)]
-    return pa.table({"block": pa.array([blocks[i] for i in some], pa.int32()), "grams": pa.array([kept[i].tobytes() for i in some], pa.binary())})
+    return pa.table({"block": pa.array([blocks[i] for i in some], pa.int32()), "bucket": pa.array([bucket] * len(some), pa.int32()), "grams": pa.array([kept[i].tobytes() for i in some], pa.binary())})
 
 
-def _shared_anchors(table: pa.Table, length: int, gram: int, grams: np.ndarray) -> Iterator[tuple]:
+def _marked(table: pa.Table) -> np.ndarray:
+    """All shared grams sent to a block: bucket and 31 bits in one sorted number each."""
+    rows = [(b, g) for b, g in zip(table.column("bucket").to_pylist(), table.column("grams").to_pylist(), strict=True) if g is not None]
+    return np.sort(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(g, np.uint32).astype(np.uint64) | np.uint64(b << 32) for b, g in rows]]))
+
+
+def _among(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
+    if not len(sorted_values):
+        return np.zeros(len(values), bool)
+    return sorted_values[np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)] == values
+
+
+def _shared_anchors(table: pa.Table, length: int, gram: int, grams: np.ndarray, buckets: int) -> Iterator[tuple]:
     """Per slice: the first row, bytes, offsets and the place, row, gram and extents of anchors whose gram is shared."""
     for a, b, part, off, place, row, h in _each(table, length, gram):
-        at = np.isin(h | np.uint64(1), grams)
+        low = (h | np.uint64(1)) & np.uint64(0xFFFFFFFF)
+        at = _among(grams, low | (_bucket(h | np.uint64(1), buckets).astype(np.uint64) << np.uint64(32)))
         place, row, h = place[at], row[at], h[at] | np.uint64(1)
         reach = length - gram
         n_before = np.minimum(place - off[row], reach)
@@ -304,7 +336,7 @@ def block_contexts(block: int, table: pa.Table, grams: np.ndarray, length: int,
     """The block's distinct contexts by bucket, each with its least document."""
     doc = table.column("doc").to_numpy()
     keys, rows, docs, hashes, many = [np.zeros(0, np.uint64)], [np.zeros((0, 2 + 2 * length - gram), np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
-    for a, _, part, _, place, row, h, nb, na in _shared_anchors(table, length, gram, grams):
+    for a, _, part, _, place, row, h, nb, na in _shared_anchors(table, length, gram, grams, buckets):
         before, after = _contexts(part, place, nb, na, length, gram)
         full = np.concatenate((nb.astype(np.uint8)[:, None], na.astype(np.uint8)[:, None], after, before), axis=1)
         key, d = _context_key(full), doc[a + row]
@@ -316,7 +348,8 @@ def block_contexts(block: int, table: pa.Table, grams: np.ndarray, length: int,
     full, d, h = full[head], d[head], h[head]
     full[several, 0] |= MANY
     parts = _split(_bucket(h, buckets), buckets)
-    cols = {c: pa.array([x[i].tobytes() for _, i in parts], pa.binary()) for c, x in (("grams", h), ("rows", full), ("docs", d))}
+    pack = zstandard.ZstdCompressor(level=1)
+    cols = {c: pa.array([pack.compress(x[i].tobytes()) if c == "rows" else x[i].tobytes() for _, i in parts], pa.binary()) for c, x in (("grams", h), ("rows", full), ("docs", d))}
     return pa.table({"bucket": pa.array([i for i, _ in parts], pa.int32()), "block": pa.array([block] * len(parts), pa.int32()), **cols})
 
 
@@ -327,12 +360,16 @@ def sorted_answers(table: pa.Table, length: int, gram: int) -> pa.Table:
     lists = [np.frombuffer(x, np.uint64) for x in table.column("grams").to_pylist()]
     owner = np.repeat(np.arange(len(blocks)), [len(x) for x in lists])
     h = np.concatenate(lists)
-    full = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, width) for x in table.column("rows").to_pylist()])
+    unpack = zstandard.ZstdDecompressor()
+    full = np.concatenate([np.frombuffer(unpack.decompress(x), np.uint8).reshape(-1, width) for x in table.column("rows").to_pylist()])
     doc = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("docs").to_pylist()])
     shared_in = full[:, 0] & MANY
     full[:, 0] &= ~MANY
     # equal contexts collapse: compare the bytes themselves
-    same = _as_ranks(full)
+    key = _context_key(full)
+    _, sample, same = np.unique(key, return_index=True, return_inverse=True)
+    if (full != full[sample[same]]).any():
+        same = _as_ranks(full)  # two contexts share a key: tell them apart by their bytes
     n = int(same.max()) + 1 if len(same) else 0
     least = np.full(n, LAST, np.int64)
     np.minimum.at(least, same, doc)
@@ -348,7 +385,6 @@ def sorted_answers(table: pa.Table, length: int, gram: int) -> pa.Table:
         firsts = first_documents(cgram[some], part[:, 2 + length :], part[:, 0].astype(np.int64), part[:, 2 : 2 + length], part[:, 1].astype(np.int64), least[some], length)
         earlier = firsts < least[some][:, None]
         bits[some] = (earlier.astype(np.int64) << np.arange(reach + 1)).sum(axis=1)
-    key = _context_key(full)
     out_first, out_bits = least[same], bits[same]
     cut = np.searchsorted(owner, np.arange(len(blocks) + 1))
     take = [slice(cut[i], cut[i + 1]) for i in range(len(blocks))]
@@ -377,14 +413,14 @@ def _as_ranks(full: np.ndarray) -> np.ndarray:
     return out
 
 
-def cut_block(table: pa.Table, keys: np.ndarray, firsts: np.ndarray, bits: np.ndarray, grams: np.ndarray, length: int, gram: int, with_text: bool) -> pa.Table:
+def cut_block(table: pa.Table, keys: np.ndarray, firsts: np.ndarray, bits: np.ndarray, grams: np.ndarray, length: int, gram: int, buckets: int, with_text: bool) -> pa.Table:
     """Removal counts of the block's documents, and their kept bytes."""
     order = np.argsort(keys, kind="stable")
     keys, firsts, bits = keys[order], firsts[order], bits[order]
     doc, ids = table.column("doc").to_numpy(), table.column("doc_id").combine_chunks()
     sizes, removed, spans, digests, texts = [], [], [], [], []
     shift = np.arange(length - gram + 1)
-    for a, b, part, off, place, row, h, nb, na in _shared_anchors(table, length, gram, grams):
+    for a, b, part, off, place, row, h, nb, na in _shared_anchors(table, length, gram, grams, buckets):
         edge = np.zeros(len(part) + 1, np.int64)
         if len(place) and len(keys):
             before, after = _contexts(part, place, nb, na, length, gram)
@@ -427,22 +463,21 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bl
         return gram_marks(key[0].as_py(), table, length, gram, blocks)
 
     def contexts(key: tuple, table: pa.Table, shared: pa.Table) -> pa.Table:
-        return block_contexts(key[0].as_py(), table, np.unique(_numbers(shared, "grams", np.uint64)), length, gram, blocks)
+        return block_contexts(key[0].as_py(), table, _marked(shared), length, gram, blocks)
 
     def answer(table: pa.Table) -> pa.Table:
         return sorted_answers(table, length, gram)
 
     def cut(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
-        columns = [_numbers(answers, c, k) for c, k in (("keys", np.uint64), ("firsts", np.int64), ("bits", np.int64), ("grams", np.uint64))]
-        columns[3] = np.unique(columns[3])
-        return cut_block(table, *columns, length, gram, with_text)
+        columns = [_numbers(answers, c, k) for c, k in (("keys", np.uint64), ("firsts", np.int64), ("bits", np.int64))]
+        return cut_block(table, *columns, _marked(answers), length, gram, blocks, with_text)
 
     by = lambda df: df.groupBy("block")
-    shared = by(own).applyInArrow(marks, "bucket int, block int, grams binary").groupBy("bucket").applyInArrow(shared_grams, "block int, grams binary")
+    shared = by(own).applyInArrow(marks, "bucket int, block int, grams binary").groupBy("bucket").applyInArrow(shared_grams, "block int, bucket int, grams binary")
     found = by(own).cogroup(by(shared)).applyInArrow(contexts, "bucket int, block int, grams binary, rows binary, docs binary")
     answers = found.groupBy("bucket").applyInArrow(answer, "block int, keys binary, firsts binary, bits binary")
     none = F.lit(None).cast("binary")
-    back = answers.withColumn("grams", none).unionByName(shared.select("block", none.alias("keys"), none.alias("firsts"), none.alias("bits"), "grams"))
+    back = answers.withColumns({"grams": none, "bucket": F.lit(0)}).unionByName(shared.withColumns({"keys": none, "firsts": none, "bits": none}))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     return by(own).cogroup(by(back)).applyInArrow(cut, schema)
 
