@@ -1,9 +1,461 @@
-"""The catalogue of queries."""
+"""The catalogue: each operator as a query over the given tables, and the SQL that gives the same rows."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from ..functions import columns as C
+from ..functions import fixed
+from ..functions import text as X
+from ..operators import charts, clean, compare, documents, olap, profile, retrieval
+from ..sources import readers
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(name: str, sql: str | None = None, on: str | None = None):
+    """Register a query; with `on` it gets that table, else the session and the folder."""
+
+    def put(f):
+        _queries[name] = (lambda spark, sf_dir: f(table(spark, sf_dir, on))) if on else f
+        if sql:
+            _sql[name] = sql
+        return f
+
+    return put
+
+
+def queries() -> dict[str, Query]:
+    return dict(_queries)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_sql)
+
+
+# ---- periods ---------------------------------------------------------------------------------------------------------
+
+_PERIODS = {
+    "year": "strftime(o_orderdate, '%Y')",
+    "quarter": "strftime(o_orderdate, '%Y') || '-Q' || quarter(o_orderdate)",
+    "month": "strftime(o_orderdate, '%Y-%m')",
+    "week": "strftime(o_orderdate, '%Y') || '-W' || lpad(weekofyear(o_orderdate)::VARCHAR, 2, '0')",
+    "iso_week": "isoyear(o_orderdate)::VARCHAR || '-W' || lpad(weekofyear(o_orderdate)::VARCHAR, 2, '0')",
+}
+_LAGGED = """
+SELECT period, round(value, 4) AS value, round(lag(value) OVER w, 4) AS previous, round(value - lag(value) OVER w, 4) AS delta,
+  round((value - lag(value) OVER w) / nullif(abs(lag(value) OVER w), 0) * 100, 2) AS growth_pct
+FROM p WINDOW w AS (ORDER BY period)"""
+
+
+def _period_sql(key: str, value: str = "sum(o_totalprice::DECIMAL(28,6))::DOUBLE") -> str:
+    return f"WITH p AS (SELECT {key} AS period, {value} AS value FROM orders GROUP BY 1) {_LAGGED}"
+
+
+for _g, _key in _PERIODS.items():
+    query(f"period_over_period_{_g}", _period_sql(_key), "orders")(lambda df, g=_g: olap.period_over_period(df, "o_totalprice", "o_orderdate", g))
+query("period_over_period_count", _period_sql(_PERIODS["month"], "count(o_totalprice)::DOUBLE"), "orders")(lambda df: olap.period_over_period(df, "o_totalprice", "o_orderdate", "month", "count"))
+
+
+@query(
+    "period_over_period_gaps",
+    f"""WITH f AS (SELECT * FROM orders WHERE month(o_orderdate) % 2 = 0),
+    e AS (SELECT unnest(generate_series((SELECT date_trunc('month', min(o_orderdate)) FROM f)::TIMESTAMP, (SELECT date_trunc('month', max(o_orderdate)) FROM f)::TIMESTAMP, INTERVAL 1 MONTH)) AS t),
+    s AS (SELECT strftime(o_orderdate, '%Y-%m') AS period, sum(o_totalprice::DECIMAL(28,6))::DOUBLE AS value FROM f GROUP BY 1),
+    p AS (SELECT strftime(t, '%Y-%m') AS period, coalesce(value, 0.0) AS value FROM e LEFT JOIN s ON s.period = strftime(t, '%Y-%m')) {_LAGGED}""",
+    "orders",
+)
+def _gaps(df):
+    return olap.period_over_period(df.where(F.month("o_orderdate") % 2 == 0), "o_totalprice", "o_orderdate", fill_gaps=True)
+
+
+@query(
+    "series_summary",
+    f"""WITH p AS (SELECT {_PERIODS["month"]} AS period, sum(o_totalprice::DECIMAL(28,6))::DOUBLE AS value FROM orders GROUP BY 1), g AS ({_LAGGED}),
+    s AS (SELECT count(*) AS n, min(period) AS first_period, max(period) AS last_period, arg_min(value, period) AS first_value, arg_max(value, period) AS last_value,
+      max(value) AS peak_value, min(value) AS trough_value, avg(growth_pct) AS mg FROM g)
+    SELECT n, first_period, last_period, first_value, last_value, peak_value, trough_value,
+      (SELECT min(period) FROM g WHERE value = peak_value) AS peak_period, (SELECT min(period) FROM g WHERE value = trough_value) AS trough_period,
+      round(mg, 4) AS mean_growth, round((last_value - first_value) / nullif(abs(first_value), 0) * 100, 2) AS total_growth_pct,
+      CASE WHEN n >= 3 THEN round(last_value * (1 + mg / 100), 4) END AS projected FROM s""",
+    "orders",
+)
+def _series(df):
+    return olap.series_summary(olap.period_over_period(df, "o_totalprice", "o_orderdate"))
+
+
+# ---- groups ----------------------------------------------------------------------------------------------------------
+
+
+def _group_sql(tab: str, measure: str, dimension: str, agg: str = "sum", order: str = "DESC", top: int | None = 10, columns: str = "*") -> str:
+    value = {"sum": "sum", "mean": "m", "count": "count::DOUBLE", "min": "mn", "max": "mx"}[agg]
+    return f"""WITH g AS (SELECT {dimension}::VARCHAR AS value, sum({measure}::DECIMAL(28,6))::DOUBLE AS sum, count({measure}) AS count, min({measure}) AS mn, max({measure}) AS mx FROM {tab} GROUP BY 1),
+    h AS (SELECT *, sum / count AS m FROM g), t AS (SELECT sum(sum::DECIMAL(28,6))::DOUBLE AS total FROM g),
+    r AS (SELECT value, sum, count, round(m, 4) AS mean, {value} AS agg_value, round(coalesce({value} / nullif(total, 0), 0) * 100, 2) AS share FROM h, t ORDER BY agg_value {order}, value {f"LIMIT {top}" if top else ""})
+    SELECT {columns} FROM r"""
+
+
+for _a in ("sum", "mean", "count", "min", "max"):
+    query(f"aggregate_by_dimension_{_a}", _group_sql("lineitem", "l_extendedprice", "l_returnflag", _a), "lineitem")(lambda df, a=_a: olap.aggregate_by(df, "l_extendedprice", "l_returnflag", a))
+query("top_n", _group_sql("lineitem", "l_extendedprice", "l_suppkey", top=5), "lineitem")(lambda df: olap.top_n(df, "l_extendedprice", "l_suppkey"))
+query("bottom_n", _group_sql("lineitem", "l_extendedprice", "l_suppkey", order="ASC", top=5), "lineitem")(lambda df: olap.bottom_n(df, "l_extendedprice", "l_suppkey"))
+query("share_of_total", _group_sql("orders", "o_totalprice", "o_orderpriority", top=50, columns="value, sum, share"), "orders")(lambda df: olap.share_of_total(df, "o_totalprice", "o_orderpriority"))
+
+_PARETO = """WITH g AS (SELECT l_suppkey::VARCHAR AS value, sum(l_extendedprice::DECIMAL(28,6))::DOUBLE AS sum FROM lineitem GROUP BY 1 ORDER BY sum DESC, value LIMIT 1000),
+p AS (SELECT value, sum, row_number() OVER (ORDER BY sum DESC, value) AS rank,
+  (sum(sum::DECIMAL(28,6)) OVER (ORDER BY sum DESC, value ROWS UNBOUNDED PRECEDING))::DOUBLE AS cumulative, (sum(sum::DECIMAL(28,6)) OVER ())::DOUBLE AS total FROM g),
+c AS (SELECT value, sum, rank, cumulative, round(cumulative / total * 100, 2) AS cumulative_share FROM p)"""
+query("pareto", f"{_PARETO} SELECT * FROM c", "lineitem")(lambda df: olap.pareto(df, "l_extendedprice", "l_suppkey"))
+
+
+@query(
+    "pareto_summary",
+    f"""{_PARETO} SELECT count(*) AS total_contributors, count(*) FILTER (WHERE cumulative_share <= 80) AS pareto_count, min(rank) FILTER (WHERE cumulative_share >= 80) AS groups_to_threshold,
+    min(cumulative_share) FILTER (WHERE cumulative_share >= 80) AS cumulative_at, round(count(*) FILTER (WHERE cumulative_share <= 80) / count(*) * 100, 1) AS concentration_index FROM c""",
+    "lineitem",
+)
+def _pareto_summary(df):
+    return olap.pareto_summary(olap.pareto(df, "l_extendedprice", "l_suppkey"))
+
+
+@query(
+    "decomposition",
+    """WITH g AS (SELECT o_orderpriority AS value, sum(o_totalprice::DECIMAL(28,6))::DOUBLE AS sum FROM orders GROUP BY 1 ORDER BY sum DESC, value LIMIT 50),
+    r AS (SELECT value, sum, round(sum / (sum(sum::DECIMAL(28,6)) OVER ())::DOUBLE * 100, 2) AS share, row_number() OVER (ORDER BY sum DESC, value) AS rank, count(*) OVER () AS n FROM g)
+    SELECT value, sum, share, rank, max(share) OVER () AS top_share, round(sum(share) FILTER (WHERE rank <= ceil(n * 0.2)) OVER (), 1) AS concentration_index FROM r""",
+    "orders",
+)
+def _decomposition(df):
+    return olap.decompose(df, "o_totalprice", "o_orderpriority")
+
+
+_MEASURES, _DIMENSIONS = ["l_quantity", "l_extendedprice", "l_discount"], ["l_returnflag", "l_linestatus", "l_linenumber"]
+_SWEEP = " UNION ALL ".join(
+    f"SELECT '{m}' AS measure, '{d}' AS dimension, {d}::VARCHAR AS value, sum({m}::DECIMAL(28,6))::DOUBLE AS sum, count({m}) AS count FROM lineitem GROUP BY {d}" for m in _MEASURES for d in _DIMENSIONS
+)
+query(
+    "olap_sweep",
+    f"""WITH c AS ({_SWEEP}) SELECT measure, dimension, value, sum, count, round(sum / count, 4) AS mean, round(sum / (sum(sum::DECIMAL(28,6)) OVER w)::DOUBLE * 100, 2) AS share,
+    row_number() OVER (PARTITION BY measure, dimension ORDER BY sum DESC, value) AS rank FROM c WINDOW w AS (PARTITION BY measure, dimension)""",
+    "lineitem",
+)(lambda df: olap.sweep(df, _MEASURES, _DIMENSIONS))
+
+query("category_distribution", "SELECT c_mktsegment AS label, count(*) AS value FROM customer GROUP BY 1 ORDER BY value DESC, label LIMIT 10", "customer")(lambda df: olap.frequencies(df, "c_mktsegment"))
+query("category_by_number", "SELECT c_mktsegment AS label, round(sum(c_acctbal::DECIMAL(28,6))::DOUBLE, 4) AS value FROM customer GROUP BY 1 ORDER BY value DESC, label LIMIT 10", "customer")(lambda df: olap.top_by(df, "c_mktsegment", "c_acctbal"))
+
+
+@query("column_roles")
+def _roles(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem")
+    roles = olap.classify(df, profile.infer_types(df))
+    return spark.createDataFrame([(r.column, r.role, r.subtype, r.non_null, r.unique, float(r.unique_ratio)) for r in roles], "column string, role string, subtype string, non_null long, unique_count long, unique_ratio double")
+
+
+# ---- profiles --------------------------------------------------------------------------------------------------------
+
+_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _describe_sql(tab: str, c: str) -> str:
+    r = lambda x: f"round(coalesce({x}, 0), 4)"
+    return f"""SELECT '{c}' AS "column", count({c}) AS count, {r(f"avg({c})")} AS mean, {r(f"median({c})")} AS median, {r(f"stddev_samp({c})")} AS stddev, {r(f"min({c})")} AS min, {r(f"max({c})")} AS max,
+    {r(f"quantile_cont({c}, 0.25)")} AS q1, {r(f"quantile_cont({c}, 0.75)")} AS q3, {r(f"sum({c}::DECIMAL(28,6))::DOUBLE")} AS sum, {r(f"max({c}) - min({c})")} AS range FROM {tab}"""
+
+
+query("describe_numeric", " UNION ALL ".join(_describe_sql("lineitem", c) for c in _NUMBERS), "lineitem")(lambda df: profile.describe_numeric(df, _NUMBERS))
+query(
+    "describe_dates",
+    "SELECT 'o_orderdate' AS \"column\", count(o_orderdate) AS count, min(o_orderdate)::DATE AS min, max(o_orderdate)::DATE AS max, date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE)::INTEGER AS span_days FROM orders",
+    "orders",
+)(lambda df: profile.describe_dates(df, ["o_orderdate"]))
+_CATEGORIES = ["o_orderstatus", "o_orderpriority"]
+query(
+    "describe_categories",
+    "WITH c AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {c} AS value, count(*) AS n FROM orders GROUP BY 2" for c in _CATEGORIES)
+    + '), r AS (SELECT "column", count(*) OVER (PARTITION BY "column") AS cardinality, value, n, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value)::INTEGER AS rank FROM c) SELECT * FROM r WHERE rank <= 10',
+    "orders",
+)(lambda df: profile.describe_categories(df, _CATEGORIES))
+
+
+def _corr_sql(tab: str, names: list[str]) -> str:
+    pair = lambda a, b: f"SELECT '{a}' AS a, '{b}' AS b, {'1.0::DOUBLE' if a == b else f'round(coalesce(CASE WHEN isnan(corr({a}, {b})) THEN 0 ELSE corr({a}, {b}) END, 0), 3)'} AS r FROM {tab}{' LIMIT 1' if a == b else ''}"
+    return " UNION ALL ".join(f"({pair(*sorted((a, b), key=names.index))})" if a == b else f"SELECT '{a}' AS a, '{b}' AS b, r FROM ({pair(*sorted((a, b), key=names.index))})" for a in names for b in names)
+
+
+query("correlation_matrix", _corr_sql("lineitem", _NUMBERS), "lineitem")(lambda df: profile.correlations(df, _NUMBERS))
+query(
+    "strong_pairs",
+    f"SELECT a, b, r, CASE WHEN abs(r) >= 0.7 THEN 'strong' ELSE 'moderate' END AS strength FROM ({_corr_sql('lineitem', _NUMBERS)}) WHERE a < b AND abs(r) >= 0.4 ORDER BY abs(r) DESC, a, b LIMIT 8",
+    "lineitem",
+)(lambda df: profile.strong_pairs(profile.correlations(df, _NUMBERS)))
+query(
+    "outliers_iqr",
+    """WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events), f AS (SELECT q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM q)
+    SELECT 'value' AS "column", round(low, 6) AS low, round(high, 6) AS high, count(*) AS n, round(min(value), 6) AS least, round(max(value), 6) AS most FROM events, f WHERE value < low OR value > high GROUP BY low, high""",
+)(
+    lambda spark, sf_dir: profile.outliers(table(spark, sf_dir, "events"), ["value"], "event_id", samples=10)
+    .select("column", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n")
+    .join(
+        table(spark, sf_dir, "events").join(F.broadcast(profile.iqr_fences(table(spark, sf_dir, "events"), ["value"]).drop("column"))).where("value < low or value > high").agg(F.round(F.min("value"), 6).alias("least"), F.round(F.max("value"), 6).alias("most"))
+    )
+)
+
+#: Events with gaps: every seventh value, and the type of every fifth.
+_HOLES = "SELECT event_id, ts, user_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE event_type END AS event_type, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS value FROM events"
+
+
+def _holes(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", "ts", "user_id", F.when(F.col("event_id") % 5 != 0, F.col("event_type")).alias("event_type"), F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("value"))
+
+
+query(
+    "null_accounting",
+    f"WITH h AS ({_HOLES}) "
+    + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) - count({c}) AS nulls, count(*) AS rows, round((count(*) - count({c})) / count(*) * 100, 2) AS null_pct FROM h" for c in ("event_id", "ts", "user_id", "event_type", "value")),
+)(lambda spark, sf_dir: profile.null_counts(_holes(spark, sf_dir)))
+query(
+    "quality_score",
+    f"""WITH h AS ({_HOLES}), s AS (SELECT count(*) AS n, count(*) * 5 AS cells, 5 * count(*) - count(event_id) - count(ts) - count(user_id) - count(event_type) - count(value) AS gaps FROM h),
+    d AS (SELECT 'Completeness' AS dimension, 0.35::DOUBLE AS weight, 100 - gaps / cells * 100 AS raw FROM s UNION ALL SELECT 'Uniqueness', 0.25, 100.0 FROM s UNION ALL SELECT 'Consistency', 0.20, 100.0 FROM s
+      UNION ALL SELECT 'Type Richness', 0.10, 100.0 FROM s UNION ALL SELECT 'Volume', 0.10, least(100, log10(n + 1) / 5 * 100) FROM s)
+    SELECT dimension, weight, round(raw, 1) AS value, round(weight * raw, 1) AS contribution, (SELECT round(sum(weight * raw))::BIGINT FROM d) AS score FROM d""",
+)(lambda spark, sf_dir: profile.quality(_holes(spark, sf_dir), [profile.ColumnType(c, t, 1.0) for c, t in (("event_id", "integer"), ("ts", "date"), ("user_id", "integer"), ("event_type", "category"), ("value", "number"))]))
+
+# ---- charts ----------------------------------------------------------------------------------------------------------
+
+query(
+    "histogram",
+    """WITH s AS (SELECT count(o_totalprice) AS n, min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders), b AS (SELECT *, least(15, greatest(5, ceil(sqrt(n))))::INTEGER AS bins FROM s), w AS (SELECT *, CASE WHEN hi > lo THEN (hi - lo) / bins ELSE 1 END AS width FROM b),
+    c AS (SELECT least(bins - 1, floor((o_totalprice - lo) / width))::INTEGER AS bin, count(*) AS value FROM orders, w GROUP BY 1), e AS (SELECT unnest(range(0, bins))::INTEGER AS bin, lo, width FROM w)
+    SELECT e.bin, round(lo + e.bin * width, 4) AS low, round(lo + e.bin * width + width, 4) AS high, coalesce(value, 0) AS value FROM e LEFT JOIN c ON c.bin = e.bin""",
+    "orders",
+)(lambda df: charts.histogram(df, "o_totalprice"))
+query(
+    "median_split",
+    """WITH r AS (SELECT o_totalprice AS v, row_number() OVER (ORDER BY o_totalprice) - 1 AS i, count(*) OVER () AS n FROM orders), m AS (SELECT v AS split FROM r WHERE i = n // 2)
+    SELECT CASE WHEN o_totalprice < split THEN 'Below median' ELSE 'Above median' END AS label, count(*) AS value FROM orders, m GROUP BY 1""",
+    "orders",
+)(lambda df: charts.median_split(df, "o_totalprice"))
+query("line_by_day", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS label, round(avg(o_totalprice), 4) AS value FROM orders GROUP BY 1", "orders")(lambda df: charts.line(df, "o_orderdate", "o_totalprice", "o_orderkey"))
+query("scatter", "SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice LIMIT 400", "lineitem")(
+    lambda df: charts.scatter(df.withColumn("at", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")), "l_quantity", "l_extendedprice", "at")
+)
+query("area", "SELECT o_orderkey AS label, o_totalprice FROM orders ORDER BY o_orderkey, o_totalprice LIMIT 30", "orders")(lambda df: charts.area(df, ["o_totalprice"], "o_orderkey"))
+
+# ---- cleaning --------------------------------------------------------------------------------------------------------
+
+_DIRTY_NUMBER = """CASE o_orderkey % 9 WHEN 0 THEN '$' || k || ',250.50' WHEN 1 THEN '(' || k || ')' WHEN 2 THEN k || '%' WHEN 3 THEN k || ',50' WHEN 4 THEN '1.' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') || ',25' WHEN 5 THEN ' n/a ' WHEN 6 THEN '€' || k WHEN 7 THEN k || ' apples' ELSE '-' || k || '.5' END"""
+
+
+def _dirty_numbers(df):
+    k, n = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 9
+    forms = [F.concat(F.lit("$"), k, F.lit(",250.50")), F.concat(F.lit("("), k, F.lit(")")), F.concat(k, F.lit("%")), F.concat(k, F.lit(",50")), F.concat(F.lit("1."), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0"), F.lit(",25")), F.lit(" n/a "), F.concat(F.lit("€"), k), F.concat(k, F.lit(" apples"))]
+    raw = F.concat(F.lit("-"), k, F.lit(".5"))
+    for i, f in reversed(list(enumerate(forms))):
+        raw = F.when(n == i, f).otherwise(raw)
+    return df.select("o_orderkey", raw.alias("raw"))
+
+
+query(
+    "coerce_number",
+    f"""WITH d AS (SELECT o_orderkey, o_orderkey % 9 AS f, o_orderkey::VARCHAR AS k FROM orders)
+    SELECT o_orderkey, {_DIRTY_NUMBER} AS raw, CASE f WHEN 0 THEN (k || '250.50')::DOUBLE WHEN 1 THEN -k::DOUBLE WHEN 2 THEN k::DOUBLE / 100 WHEN 3 THEN (k || '.50')::DOUBLE WHEN 4 THEN ('1' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') || '.25')::DOUBLE WHEN 6 THEN k::DOUBLE WHEN 8 THEN ('-' || k || '.5')::DOUBLE END AS number FROM d""",
+    "orders",
+)(lambda df: _dirty_numbers(df).select("o_orderkey", "raw", C.to_number(F.col("raw")).alias("number")))
+_FORMATS = ["%Y-%m-%d", "%d/%m/%Y", "%b %d, %Y", "%d %b %Y", "%m/%d/%y"]
+
+
+def _dirty_dates(df):
+    d, n = F.col("o_orderdate"), F.col("o_orderkey") % 6
+    raw = F.lit("not a day")
+    for i, f in reversed(list(enumerate(("yyyy-MM-dd", "dd/MM/yyyy", "MMM dd, yyyy", "dd MMM yyyy", "MM/dd/yy")))):
+        raw = F.when(n == i, F.date_format(d, f)).otherwise(raw)
+    return df.select("o_orderkey", raw.alias("raw"))
+
+
+query(
+    "coerce_date",
+    "SELECT o_orderkey, CASE o_orderkey % 6 "
+    + " ".join(f"WHEN {i} THEN strftime(o_orderdate, '{f}')" for i, f in enumerate(_FORMATS))
+    + " ELSE 'not a day' END AS raw, CASE WHEN o_orderkey % 6 = 4 THEN make_date(2000 + year(o_orderdate) % 100, month(o_orderdate), day(o_orderdate)) WHEN o_orderkey % 6 < 5 THEN o_orderdate::DATE END AS day FROM orders",
+    "orders",
+)(lambda df: _dirty_dates(df).select("o_orderkey", "raw", C.to_day(F.col("raw")).alias("day")))
+query(
+    "coerce_boolean",
+    "SELECT o_orderkey, raw, CASE WHEN lower(raw) IN ('yes', 'y', '1') THEN true WHEN lower(raw) IN ('no', 'f') THEN false END AS flag FROM (SELECT o_orderkey, CASE o_orderkey % 6 WHEN 0 THEN 'Yes' WHEN 1 THEN 'NO' WHEN 2 THEN 'y' WHEN 3 THEN 'f' WHEN 4 THEN '1' ELSE 'maybe' END AS raw FROM orders)",
+    "orders",
+)(lambda df: df.select("o_orderkey", F.get(F.array(*[F.lit(x) for x in ("Yes", "NO", "y", "f", "1", "maybe")]), (F.col("o_orderkey") % 6).cast("int")).alias("raw")).select("o_orderkey", "raw", C.to_boolean(F.col("raw")).alias("flag")))
+
+
+@query("infer_types")
+def _infer(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    mixed = _dirty_numbers(o).select("o_orderkey", F.col("raw").alias("amount")).join(_dirty_dates(o).select("o_orderkey", F.col("raw").alias("day")), "o_orderkey")
+    mixed = mixed.join(o.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("label")), "o_orderkey").drop("o_orderkey")
+    return spark.createDataFrame([(t.column, t.type, float(t.confidence)) for t in profile.infer_types(mixed)], "column string, type string, confidence double")
+
+
+_sql["infer_types"] = """SELECT 'amount' AS "column", CASE WHEN r >= 0.85 THEN 'number' ELSE 'text' END AS type, CASE WHEN r >= 0.85 THEN r ELSE 0.5 END AS confidence
+ FROM (SELECT count(*) FILTER (WHERE o_orderkey % 9 NOT IN (5, 7)) / count(*) FILTER (WHERE o_orderkey % 9 <> 5) AS r FROM orders)
+ UNION ALL SELECT 'day', 'date', count(*) FILTER (WHERE o_orderkey % 6 < 5) / count(*) FROM orders UNION ALL SELECT 'status', 'category', 0.75 UNION ALL SELECT 'label', 'identifier', 0.7"""
+
+query(
+    "impute",
+    f"""WITH h AS ({_HOLES}), m AS (SELECT round(avg(value), 4) AS mean FROM h), o AS (SELECT event_type AS mode FROM h WHERE event_type IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, min(event_id) LIMIT 1)
+    SELECT event_id, coalesce(event_type, mode) AS event_type, round(coalesce(value, mean), 3) AS value FROM h, m, o""",
+)(lambda spark, sf_dir: _imputed(_holes(spark, sf_dir)))
+
+
+def _imputed(df):
+    rows = df.withColumn(clean.ROW_ID, F.col("event_id"))
+    fills = clean.impute_values(rows, [profile.ColumnType("event_type", "category", 1.0), profile.ColumnType("value", "number", 1.0)])
+    return rows.select("event_id", F.coalesce("event_type", F.lit(fills["event_type"])).alias("event_type"), F.round(F.coalesce("value", F.lit(fills["value"])), 3).alias("value"))
+
+
+query(
+    "deduplicate",
+    "SELECT min(event_id) AS event_id, arg_min(user_id, event_id) AS user_id, arg_min(event_type, event_id) AS event_type FROM events GROUP BY user_id, lower(trim(event_type))",
+    "events",
+)(lambda df: clean.deduplicate(df.select("event_id", "user_id", "event_type"), ["user_id", "event_type"], "event_id"))
+query(
+    "time_hierarchy",
+    "SELECT event_id, year(ts)::INTEGER AS ts_year, 'Q' || quarter(ts) || ' ' || year(ts) AS ts_quarter, strftime(ts, '%Y-%m') AS ts_month, strftime(ts, '%B %Y') AS ts_month_name, weekofyear(ts)::INTEGER AS ts_week, strftime(ts, '%A') AS ts_day_of_week FROM events",
+    "events",
+)(lambda df: clean.time_parts(df.select("event_id", "ts"), "ts").drop("ts"))
+query("text_search", "SELECT * FROM customer WHERE lower(concat_ws(chr(1), c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment)) LIKE '%auto%'", "customer")(lambda df: clean.search(df, "Auto"))
+query("page", "SELECT * FROM customer ORDER BY c_custkey LIMIT 50 OFFSET 100", "customer")(lambda df: clean.page(df, ["c_custkey"], 2))
+query("json_flatten", "SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS \"props.k\" FROM events", "events")(lambda df: readers.flatten_json_text(df.select("event_id", "props"), "props", "k long").drop("props"))
+
+# ---- texts -----------------------------------------------------------------------------------------------------------
+
+_STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(fixed.STOP_WORDS))
+query(
+    "keywords_tfidf",
+    f"""WITH t AS (SELECT doc_id, unnest(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+')) AS term FROM documents), k AS (SELECT * FROM t WHERE length(term) > 1 AND term NOT IN ({_STOP})),
+    c AS (SELECT term, count(*) AS tf, count(DISTINCT doc_id) AS df FROM k GROUP BY 1), n AS (SELECT count(*) AS n FROM documents)
+    SELECT term, tf, df, round(tf * (ln((n + 1) / (df + 1)) + 1), 4) AS score FROM c, n ORDER BY score DESC, term LIMIT 15""",
+    "documents",
+)(lambda df: documents.keywords(df))
+_WORDS = "len(regexp_extract_all(text, '[A-Za-z0-9_]+'))"
+query(
+    "word_stats",
+    f"SELECT doc_id, length(text) AS chars, {_WORDS} AS words, len(regexp_extract_all(text, '[.!?]\\s+[A-Z0-9]')) + 1 AS sentences FROM documents",
+    "documents",
+)(lambda df: documents.overview(df).select("doc_id", "chars", "words", "sentences"))
+
+
+def _count_sql(words: tuple[str, ...]) -> str:
+    kept = [w for w in words if w not in fixed.STOP_WORDS]
+    return "len(list_filter(k, lambda x: x IN (" + ", ".join(f"'{w}'" for w in kept) + ")))"
+
+
+query(
+    "sentiment",
+    f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) > 1 AND x NOT IN ({_STOP})) AS k FROM documents)
+    SELECT doc_id, round(coalesce(({_count_sql(fixed.POSITIVE_WORDS)} - {_count_sql(fixed.NEGATIVE_WORDS)}) / nullif(len(k), 0), 0), 3) AS sentiment FROM t""",
+    "documents",
+)(lambda df: df.select("doc_id", X.sentiment(F.col("text")).alias("sentiment")))
+query(
+    "readability",
+    f"""WITH w AS (SELECT doc_id, {_WORDS} AS n, len(regexp_extract_all(text, '[.!?]\\s+[A-Z0-9]')) + 1 AS s, list_transform(regexp_extract_all(text, '[A-Za-z0-9_]+'), lambda x: regexp_replace(lower(x), '[^a-z]', '', 'g')) AS ws FROM documents),
+    y AS (SELECT *, list_sum(list_transform(ws, lambda x: CASE WHEN length(x) = 0 THEN 0 WHEN length(x) <= 3 THEN 1 ELSE greatest(1, len(regexp_extract_all(regexp_replace(regexp_replace(x, '(?:[^laeiouy]es|ed|[^laeiouy]e)$', ''), '^y', ''), '[aeiouy]{{1,2}}'))) END)) AS sy FROM w)
+    SELECT doc_id, round(CASE WHEN n > 0 THEN greatest(0.0, least(100.0, 206.835 - 1.015 * (n / s) - 84.6 * (sy / n))) ELSE 0.0 END, 1) AS reading_ease FROM y""",
+    "documents",
+)(lambda df: df.select("doc_id", F.round(X.reading_ease(F.col("text")), 1).alias("reading_ease")))
+_RE2 = {
+    "email": r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b",
+    "url": r"(?i)\bhttps?://[^\s<]+",
+    "phone": fixed.ENTITY_PATTERNS["phone"],
+    "percentage": r"\b\d+(?:\.\d+)?\s?%",
+    "id": r"\b[A-Z]{2,}-\d{3,}\b|\b\d{6,}\b",
+}
+query(
+    "entities",
+    " UNION ALL ".join(f"SELECT '{k}' AS kind, sum(n)::BIGINT AS n, count(*) AS docs FROM (SELECT len(regexp_extract_all(text, '{p}')) AS n FROM documents) WHERE n > 0 HAVING count(*) > 0" for k, p in _RE2.items()),
+    "documents",
+)(lambda df: documents.entity_counts(df).where(F.col("kind").isin(*_RE2)).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("docs")))
+query("key_passages")(lambda spark, sf_dir: documents.key_passages(documents.passages(table(spark, sf_dir, "documents")).withColumn("place", F.struct("doc_id", "par")), order="place").drop("place"))
+query("topics")(lambda spark, sf_dir: documents.topic_summary(documents.topics(documents.passages(table(spark, sf_dir, "documents"))), ["doc_id", "par"]))
+
+# ---- retrieval -------------------------------------------------------------------------------------------------------
+
+query(
+    "vector_top_k",
+    "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 5",
+    "embeddings",
+)(lambda df: retrieval.nearest(df, df.where("vec_id = 0")))
+
+
+@query("retrieve")
+def _retrieve(spark, sf_dir):
+    chunks = retrieval.document_chunks(table(spark, sf_dir, "documents"))
+    index = retrieval.fit_index(chunks)
+    question = "how many of the best documents tell of it"
+    found = retrieval.retrieve(chunks, retrieval.embed(chunks, index), index, question)
+    return retrieval.rerank(found, question).select("id", F.round("score", 6).alias("score"), C.snippet(F.col("text"), 220).alias("snippet"))
+
+
+# ---- comparison ------------------------------------------------------------------------------------------------------
+
+_SPLIT = "1995-01-01"
+
+
+def _halves(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.where(F.col("o_orderdate") < F.lit(_SPLIT).cast("timestamp")), o.where(F.col("o_orderdate") >= F.lit(_SPLIT).cast("timestamp"))
+
+
+_A, _B = f"(SELECT * FROM orders WHERE o_orderdate < TIMESTAMP '{_SPLIT}')", f"(SELECT * FROM orders WHERE o_orderdate >= TIMESTAMP '{_SPLIT}')"
+query(
+    "compare_numbers",
+    f"""WITH a AS ({_describe_sql(_A, "o_totalprice")}), b AS ({_describe_sql(_B, "o_totalprice")})
+    SELECT a."column", a.mean AS mean_a, b.mean AS mean_b, round(b.mean - a.mean, 4) AS mean_delta, round(b.median - a.median, 4) AS median_delta, round(b.stddev - a.stddev, 4) AS stddev_delta, round((b.mean - a.mean) / nullif(abs(a.mean), 0) * 100, 2) AS mean_pct FROM a, b""",
+)(lambda spark, sf_dir: compare.numeric_drift(*_halves(spark, sf_dir), ["o_totalprice"]))
+query(
+    "category_overlap",
+    f"""WITH a AS (SELECT o_orderpriority AS v, count(*) AS n FROM {_A} GROUP BY 1), b AS (SELECT o_orderpriority AS v, count(*) AS n FROM {_B} GROUP BY 1), x AS (SELECT v FROM a ORDER BY n DESC, v LIMIT 10), y AS (SELECT v FROM b ORDER BY n DESC, v LIMIT 10),
+    s AS (SELECT count(*) AS k FROM (SELECT v FROM x INTERSECT SELECT v FROM y)), u AS (SELECT count(*) AS k FROM (SELECT v FROM x UNION SELECT v FROM y))
+    SELECT 'o_orderpriority' AS "column", (SELECT count(*) FROM a) AS cardinality_a, (SELECT count(*) FROM b) AS cardinality_b, s.k AS shared, round(s.k / u.k, 2) AS jaccard FROM s, u""",
+)(lambda spark, sf_dir: compare.category_overlap(*_halves(spark, sf_dir), ["o_orderpriority"]))
+query(
+    "compare_volume",
+    f"SELECT a.n AS rows_a, b.n AS rows_b, b.n - a.n AS row_delta, round((b.n - a.n) / nullif(abs(a.n), 0) * 100, 2) AS row_pct, 0 AS column_delta FROM (SELECT count(*) AS n FROM {_A}) a, (SELECT count(*) AS n FROM {_B}) b",
+)(lambda spark, sf_dir: compare.volume(*_halves(spark, sf_dir)))
+
+
+@query("schema_drift")
+def _schema_drift(spark, sf_dir):
+    a = table(spark, sf_dir, "orders")
+    b = a.drop("o_orderstatus").withColumn("o_year", F.year("o_orderdate"))
+    d = compare.schema_drift(a, b)
+    n = b.agg(F.count("*").alias("rows_b"))
+    return n.select("rows_b", *[F.lit(",".join(d[k])).alias(k) for k in ("added", "removed", "common")])
+
+
+_sql["schema_drift"] = "SELECT count(*) AS rows_b, 'o_year' AS added, 'o_orderstatus' AS removed, 'o_orderkey,o_custkey,o_totalprice,o_orderdate,o_orderpriority' AS common FROM orders"
+
+# ---- display ---------------------------------------------------------------------------------------------------------
+
+query(
+    "business_kpis",
+    """SELECT l_returnflag, count(*) AS records, sum(l_extendedprice::DECIMAL(28,6))::DOUBLE AS total, round(avg(l_extendedprice), 4) AS mean, min(l_extendedprice) AS least, max(l_extendedprice) AS most FROM lineitem GROUP BY 1""",
+    "lineitem",
+)(lambda df: df.groupBy("l_returnflag").agg(F.count("*").alias("records"), olap.exact_sum(F.col("l_extendedprice")).alias("total"), F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.min("l_extendedprice").alias("least"), F.max("l_extendedprice").alias("most")))
+query(
+    "display_numbers",
+    """SELECT o_orderkey, CASE WHEN abs(v) >= 1e9 THEN printf('%.2fB', v / 1e9) WHEN abs(v) >= 1e6 THEN printf('%.2fM', v / 1e6) WHEN abs(v) >= 1e3 THEN printf('%.2fk', v / 1e3) WHEN v = floor(v) THEN printf('%.0f', v) ELSE printf('%.2f', v) END AS shown
+    FROM (SELECT o_orderkey, (o_orderkey * o_orderkey)::DOUBLE AS v FROM orders)""",
+    "orders",
+)(lambda df: df.select("o_orderkey", C.compact((F.col("o_orderkey") * F.col("o_orderkey")).cast("double")).alias("shown")))
