@@ -58,18 +58,29 @@ ALLOW = (
 )
 
 
+def let(value: Column, then) -> Column:
+    """`then` of a value that is evaluated once; inside a lambda an expression would be evaluated for every element."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def running_total(values: Column, block: int = 256) -> Column:
     """array<int> of sums before each element (and the whole sum last), block by block so that long arrays stay cheap."""
 
     def totals(a: Column) -> Column:
         return F.aggregate(a, F.array(F.lit(0)), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
 
-    n = F.size(values)
-    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.expr("0") + F.floor((n - 1) / block).cast("int")))
-    inside = F.transform(starts, lambda b: totals(F.slice(values, b * block + 1, F.lit(block))))
-    bases = totals(F.transform(inside, lambda a: F.element_at(a, -1)))
-    moved = F.transform(inside, lambda a, i: F.transform(F.slice(a, 1, F.size(a) - 1), lambda x: x + F.get(bases, i)))
-    return F.concat(F.flatten(moved), F.array(F.element_at(bases, -1)))
+    def moved(inside: Column) -> Column:
+        def with_bases(bases: Column) -> Column:
+            parts = F.transform(inside, lambda a, i: F.transform(F.slice(a, 1, F.size(a) - 1), lambda x: x + F.get(bases, i)))
+            return F.concat(F.flatten(parts), F.array(F.element_at(bases, -1)))
+
+        return let(totals(F.transform(inside, lambda a: F.element_at(a, -1))), with_bases)
+
+    def blocks(a: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(a) - 1) / block).cast("int")))
+        return F.transform(starts, lambda b: totals(F.slice(a, b * block + 1, F.lit(block))))
+
+    return let(values, lambda a: let(blocks(a), moved))
 
 
 def matches(text: Column, pattern: str, group: int = 0) -> Column:
@@ -77,15 +88,15 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     none = F.array().cast("array<struct<start:int,end:int,part:string>>")
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     parts = hits if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(hits)), lambda g: F.length(g))
-    sizes = F.transform(hits, lambda h: F.length(h))
-    ends = running_total(F.zip_with(gaps, sizes, lambda g, h: g + h))
-    found = F.transform(
-        parts,
-        lambda p, i: F.struct(
-            (F.get(ends, i + 1) - F.get(sizes, i)).alias("start"), F.get(ends, i + 1).alias("end"), p.alias("part")
-        ),
-    )
+
+    def placed(sizes: Column) -> Column:
+        gaps = F.transform(F.slice(F.split(text, pattern, -1), 1, F.size(sizes)), lambda g: F.length(g))
+        ends = running_total(F.zip_with(gaps, sizes, lambda g, h: g + h))
+        span = lambda e: F.transform(sizes, lambda n, i: F.struct((F.get(e, i + 1) - n).alias("start"), F.get(e, i + 1).alias("end")))
+        return let(ends, span)
+
+    spans = let(F.transform(hits, lambda h: F.length(h)), placed)
+    found = F.zip_with(spans, parts, lambda s, p: F.struct(s["start"].alias("start"), s["end"].alias("end"), p.alias("part")))
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
@@ -99,11 +110,12 @@ def hot_spans(word: Column, c: CharClass) -> Column:
         F.lit(0.0).alias("total"),
         F.array().cast("array<struct<a:int,b:int>>").alias("spans"),
         F.lit(0).alias("at"),
+        codes.alias("codes"),
     )
 
     def step(acc: Column, code: Column) -> Column:
         at, counts = acc["at"], acc["counts"]
-        gone = F.when(at >= w, F.get(codes, at - w)).otherwise(-1)
+        gone = F.when(at >= w, F.get(acc["codes"], at - w)).otherwise(-1)
         came = F.get(counts, code)
         left = F.get(counts, gone)
         change = F.get(terms, came + 1) - F.get(terms, came) + F.when(gone >= 0, F.get(terms, left - 1) - F.get(terms, left)).otherwise(0.0)
@@ -119,6 +131,7 @@ def hot_spans(word: Column, c: CharClass) -> Column:
             total.alias("total"),
             F.when(hot & (F.size(spans) == 0), more).when(hot & joins, longer).when(hot, more).otherwise(spans).alias("spans"),
             (at + 1).alias("at"),
+            acc["codes"].alias("codes"),
         )
 
     return F.aggregate(codes, start, step, lambda acc: acc["spans"])
