@@ -27,35 +27,42 @@ def without_nullish(c: Column) -> Column:
     return F.when(~is_nullish(c), trimmed(c))
 
 
+def let(value: Column, then) -> Column:
+    """`then` of a value that is evaluated once: its expression would otherwise be copied wherever it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def to_number(raw: Column, decimal_comma: bool = False) -> Column:
     """Double, or null: accounting brackets, currency signs, per cent, and commas as thousands or decimals.
 
     With both separators the last one is the decimal; a lone comma is decimal before exactly two last digits (always,
     with `decimal_comma`), a lone point always unless `decimal_comma`.
     """
-    s = trimmed(raw)
-    negative = s.rlike(r"^\(.*\)$")
-    s = F.when(negative, F.regexp_replace(s, r"^\(|\)$", "")).otherwise(s)
-    s = F.regexp_replace(s, f"[{fixed.CURRENCY_SIGNS}]", "")
-    share = s.contains("%")
-    s = trimmed(F.regexp_replace(s, "%", ""))
-    point, comma = F.length(s) - F.instr(F.reverse(s), "."), F.length(s) - F.instr(F.reverse(s), ",")
-    has_point, has_comma = s.contains("."), s.contains(",")
-    european = F.regexp_replace(F.regexp_replace(s, r"\.", ""), ",", ".")
-    plain = F.regexp_replace(s, ",", "")
-    decimal = F.regexp_replace(F.concat(F.substring_index(s, ",", 1), F.lit("."), F.expr("''"), F.substring(s, F.instr(s, ",") + 1, F.length(s))), "^$", "")
-    lone = F.lit(True) if decimal_comma else s.rlike(r",\d{2}$")
-    points = F.regexp_replace(s, r"\.", "") if decimal_comma else s
-    s = F.when(has_point & has_comma, F.when(comma > point, european).otherwise(plain)).when(has_comma, F.when(lone, decimal).otherwise(plain)).otherwise(points)
-    value = F.when(s.rlike(_NUMBER), s.try_cast("double"))
-    value = F.when(negative, -value).otherwise(value)
-    return F.when(share, value / 100).otherwise(value)
+
+    def plain(s: Column) -> Column:
+        point, comma = F.length(s) - F.instr(F.reverse(s), "."), F.length(s) - F.instr(F.reverse(s), ",")
+        european = F.replace(F.regexp_replace(s, r"\.", ""), F.lit(","), F.lit("."))
+        decimal = F.regexp_replace(s, "^([^,]*),", "$1.")
+        lone = F.lit(True) if decimal_comma else s.rlike(r",\d{2}$")
+        points = F.regexp_replace(s, r"\.", "") if decimal_comma else s
+        without = F.regexp_replace(s, ",", "")
+        both = s.contains(".") & s.contains(",")
+        return F.when(both, F.when(comma > point, european).otherwise(without)).when(s.contains(","), F.when(lone, decimal).otherwise(without)).otherwise(points)
+
+    def signed(s: Column) -> Column:
+        bare = F.regexp_replace(s, f"^\\(|\\)$|[{fixed.CURRENCY_SIGNS}%]", "")
+        scale = F.when(s.rlike(r"^\(.*\)$"), -1.0).otherwise(1.0) * F.when(s.contains("%"), 0.01).otherwise(1.0)
+        return let(plain(trimmed(bare)), lambda n: F.when(n.rlike(_NUMBER), n.try_cast("double"))) * scale
+
+    return let(trimmed(raw), signed)
 
 
 def to_day(raw: Column) -> Column:
     """Date, or null: the first of the patterns in order that gives a day of the calendar."""
-    s = trimmed(raw)
+    return let(trimmed(raw), _day_of)
+
 
+def _day_of(s: Column) -> Column:
     def part(pattern: str, i: int) -> Column:
         return F.regexp_extract(s, pattern, i)
 
@@ -81,8 +88,7 @@ def to_day(raw: Column) -> Column:
 
 
 def to_boolean(raw: Column) -> Column:
-    s = F.lower(trimmed(raw))
-    return F.when(s.isin(*fixed.TRUE_WORDS), True).when(s.isin(*fixed.FALSE_WORDS), False)
+    return let(F.lower(trimmed(raw)), lambda s: F.when(s.isin(*fixed.TRUE_WORDS), True).when(s.isin(*fixed.FALSE_WORDS), False))
 
 
 def finite(c: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed
+from .columns import let
 
 
 def _kept(tokens: Column, stop: tuple[str, ...]) -> Column:
@@ -25,9 +26,9 @@ def question_tokens(text: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    s = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]", "")
     none = F.array().cast("array<string>")
-    return F.when(F.length(s) >= 3, F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: s.substr(i, F.lit(3)))).otherwise(none)
+    cut = lambda s: F.when(F.length(s) >= 3, F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: s.substr(i, F.lit(3)))).otherwise(none)
+    return let(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]", ""), cut)
 
 
 def words(text: Column) -> Column:
@@ -74,9 +75,9 @@ def entity_samples(text: Column, kind: str, most: int = 8) -> Column:
 
 
 def sentiment(text: Column) -> Column:
-    t = tokens(text)
-    hits = lambda listed: F.size(F.filter(t, lambda x: x.isin(*listed)))
-    return F.round(F.coalesce(F.try_divide(hits(fixed.POSITIVE_WORDS) - hits(fixed.NEGATIVE_WORDS), F.size(t)), F.lit(0.0)), 3)
+    hits = lambda t, listed: F.size(F.filter(t, lambda x: x.isin(*listed)))
+    share = lambda t: F.try_divide(hits(t, fixed.POSITIVE_WORDS) - hits(t, fixed.NEGATIVE_WORDS), F.size(t))
+    return F.round(F.coalesce(let(tokens(text), share), F.lit(0.0)), 3) + 0.0
 
 
 def sentiment_label(score: Column) -> Column:

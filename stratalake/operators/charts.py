@@ -42,7 +42,7 @@ def median_split(df: DataFrame, column: str) -> DataFrame:
 def line(df: DataFrame, date: str | None, number: str, order: str, first: int = 50) -> DataFrame:
     """Mean per day, or without a date the first records."""
     if date:
-        return df.where(q(date).isNotNull()).groupBy(F.date_format(q(date), "yyyy-MM-dd").alias("label")).agg(F.round(F.avg(C.finite(q(number))), 4).alias("value")).orderBy("label")
+        return df.where(q(date).isNotNull()).groupBy(F.date_format(q(date), "yyyy-MM-dd").alias("label")).agg(F.round(olap.exact_sum(q(number)) / F.count(C.finite(q(number))), 4).alias("value")).orderBy("label")
     return df.orderBy(order).limit(first).select(q(order).cast("string").alias("label"), C.finite(q(number)).alias("value"))
 
 

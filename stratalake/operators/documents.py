@@ -31,7 +31,8 @@ def keywords(units: DataFrame, top: int = 15, by: list[str] | None = None, text:
     Term counts are pre-aggregated; the frames joined hold a row for each term or group.
     """
     by = by or []
-    terms = units.select(*by, F.monotonically_increasing_id().alias("__u"), F.explode(X.tokens(F.col(text), unicode)).alias("term"))
+    numbered = units.select(*by, text, F.monotonically_increasing_id().alias("__u"))
+    terms = numbered.select(*by, "__u", F.explode(X.tokens(F.col(text), unicode)).alias("term"))
     counts = terms.groupBy(*by, "term", "__u").agg(F.count("*").alias("n")).groupBy(*by, "term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
     if by:
         sized = counts.join(units.groupBy(*by).agg(F.count("*").alias("__n")), by)

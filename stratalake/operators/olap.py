@@ -188,18 +188,22 @@ def classify(df: DataFrame, types: list[ColumnType], match: str = "substring") -
     aggs = []
     for i, t in enumerate(types):
         c = q(t.column)
-        v = C.finite(C.to_number(c)) if t.type in ("integer", "number") else F.lit(None).cast("double")
+        v = C.finite(c) if t.type in ("integer", "number") else F.lit(None).cast("double")
         text = F.when(c.cast("string") != "", F.lower(c.cast("string")))
         aggs.append(
             F.struct(
-                F.count(text).alias("n"), F.count_distinct(text).alias("unique"), F.coalesce(F.sum(v), F.lit(0.0)).alias("sum"), F.coalesce(F.avg(v), F.lit(0.0)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
+                F.count(text).alias("n"), F.coalesce(F.sum(v), F.lit(0.0)).alias("sum"), F.coalesce(F.avg(v), F.lit(0.0)).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"),
                 F.count(F.when(v.between(1900, 2099) & (v == F.floor(v)), 1)).alias("years"), F.count(F.when(v != F.floor(v), 1)).alias("broken"),
             ).alias(f"c{i}")
         )
     row = df.agg(F.count("*").alias("rows"), *aggs).first()
+    values = [F.struct(F.lit(i).alias("i"), F.xxhash64(F.lower(q(t.column).cast("string"))).alias("h")) for i, t in enumerate(types) if row[f"c{i}"]["n"]]
+    blank = F.lit("").cast("string")
+    kept = df.select(F.explode(F.array(*[F.when(F.coalesce(q(types[j].column).cast("string"), blank) != "", v) for j, v in zip([i for i in range(len(types)) if row[f"c{i}"]["n"]], values, strict=True)])).alias("x")) if values else None
+    unique = {r["i"]: r["u"] for r in kept.where("x is not null").select("x.*").distinct().groupBy("i").agg(F.count("*").alias("u")).collect()} if values else {}
     out = []
     for i, t in enumerate(types):
-        s = row[f"c{i}"]
+        s = row[f"c{i}"].asDict() | {"unique": unique.get(i, 0)}
         if not s["n"]:
             continue
         ratio = s["unique"] / s["n"]

@@ -29,20 +29,27 @@ def infer_types(df: DataFrame, exact_distinct: bool = True) -> list[ColumnType]:
     """Semantic type of each column, from one job over all rows.  Typed columns need no text rules."""
     aggs, distinct = [], F.count_distinct if exact_distinct else F.approx_count_distinct
     for i, f in enumerate(df.schema.fields):
-        c = C.without_nullish(q(f.name))
-        number = C.to_number(q(f.name))
+        if not isinstance(f.dataType, T.StringType):
+            none = F.lit(0).cast("long")
+            aggs.append(F.struct(F.count(q(f.name)).alias("n"), *[none.alias(x) for x in ("booleans", "dates", "numbers", "integers", "unique")]).alias(f"c{i}"))
+            continue
+        c = F.col(f"__s{i}")
+        number = F.col(f"__n{i}")
         count = lambda cond, c=c: F.count(F.when(c.isNotNull() & cond, 1))
         aggs.append(
             F.struct(
                 F.count(c).alias("n"),
-                count(C.to_boolean(q(f.name)).isNotNull()).alias("booleans"),
-                count(C.to_day(q(f.name)).isNotNull()).alias("dates"),
+                count(C.to_boolean(c).isNotNull()).alias("booleans"),
+                count(C.to_day(c).isNotNull()).alias("dates"),
                 count(number.isNotNull()).alias("numbers"),
                 count(number == F.floor(number)).alias("integers"),
                 distinct(F.lower(c)).alias("unique"),
             ).alias(f"c{i}")
         )
-    row = df.agg(*aggs).first()
+    texts = [(i, f.name) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.StringType)]
+    read = df.withColumns({f"__s{i}": C.without_nullish(q(n)) for i, n in texts}) if texts else df
+    read = read.withColumns({f"__n{i}": C.to_number(F.col(f"__s{i}")) for i, _ in texts}) if texts else read
+    row = read.agg(*aggs).first()
     return [decide_type(f, **row[f"c{i}"].asDict()) for i, f in enumerate(df.schema.fields)]
 
 
@@ -107,9 +114,8 @@ def describe_categories(df: DataFrame, names: list[str], top: int = 10) -> DataF
     pairs = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), q(n).cast("string").alias("value")) for n in names])).alias("x")).select("x.*")
     counts = pairs.where("value is not null and value <> ''").groupBy("column", "value").agg(F.count("*").alias("n"))
     by = Window.partitionBy("column")
-    ranked = counts.withColumn("rank", F.row_number().over(by.orderBy(F.desc("n"), "value")))
-    sizes = counts.groupBy("column").agg(F.count("*").alias("cardinality"))
-    return ranked.where(F.col("rank") <= top).join(F.broadcast(sizes), "column").select("column", "cardinality", "value", "n", "rank")
+    ranked = counts.withColumns({"rank": F.row_number().over(by.orderBy(F.desc("n"), "value")), "cardinality": F.count("*").over(by)})
+    return ranked.where(F.col("rank") <= top).select("column", "cardinality", "value", "n", "rank")
 
 
 def null_counts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -132,7 +138,7 @@ def correlations(df: DataFrame, names: list[str], places: int = 3) -> DataFrame:
             both = v[a].isNotNull() & v[b].isNotNull()
             x, y = F.when(both, v[a]), F.when(both, v[b])
             r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-            aggs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.round(F.coalesce(r, F.lit(0.0)), places).alias("r")))
+            aggs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), (F.round(F.coalesce(r, F.lit(0.0)), places) + 0.0).alias("r")))
     own = [F.struct(F.lit(n).alias("a"), F.lit(n).alias("b"), F.lit(1.0).alias("r")) for n in names]
     wide = df.agg(F.array(*aggs, *own).alias("pairs")) if aggs else df.agg(F.count("*")).select(F.array(*own).alias("pairs"))
     pairs = wide.select(F.explode("pairs").alias("p")).select("p.*")

@@ -189,7 +189,7 @@ query(
 
 
 def _corr_sql(tab: str, names: list[str]) -> str:
-    pair = lambda a, b: f"SELECT '{a}' AS a, '{b}' AS b, {'1.0::DOUBLE' if a == b else f'round(coalesce(CASE WHEN isnan(corr({a}, {b})) THEN 0 ELSE corr({a}, {b}) END, 0), 3)'} AS r FROM {tab}{' LIMIT 1' if a == b else ''}"
+    pair = lambda a, b: f"SELECT '{a}' AS a, '{b}' AS b, {'1.0::DOUBLE' if a == b else f'round(coalesce(CASE WHEN isnan(corr({a}, {b})) THEN 0 ELSE corr({a}, {b}) END, 0), 3) + 0.0'} AS r FROM {tab}{' LIMIT 1' if a == b else ''}"
     return " UNION ALL ".join(f"({pair(*sorted((a, b), key=names.index))})" if a == b else f"SELECT '{a}' AS a, '{b}' AS b, r FROM ({pair(*sorted((a, b), key=names.index))})" for a in names for b in names)
 
 
@@ -248,7 +248,9 @@ query(
     SELECT CASE WHEN o_totalprice < split THEN 'Below median' ELSE 'Above median' END AS label, count(*) AS value FROM orders, m GROUP BY 1""",
     "orders",
 )(lambda df: charts.median_split(df, "o_totalprice"))
-query("line_by_day", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS label, round(avg(o_totalprice), 4) AS value FROM orders GROUP BY 1", "orders")(lambda df: charts.line(df, "o_orderdate", "o_totalprice", "o_orderkey"))
+query("line_by_day", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS label, round(sum(o_totalprice::DECIMAL(28,6))::DOUBLE / count(*), 4) AS value FROM orders GROUP BY 1", "orders")(
+    lambda df: charts.line(df, "o_orderdate", "o_totalprice", "o_orderkey")
+)
 query("scatter", "SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice LIMIT 400", "lineitem")(
     lambda df: charts.scatter(df.withColumn("at", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")), "l_quantity", "l_extendedprice", "at")
 )
@@ -364,7 +366,7 @@ def _count_sql(words: tuple[str, ...]) -> str:
 query(
     "sentiment",
     f"""WITH t AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) > 1 AND x NOT IN ({_STOP})) AS k FROM documents)
-    SELECT doc_id, round(coalesce(({_count_sql(fixed.POSITIVE_WORDS)} - {_count_sql(fixed.NEGATIVE_WORDS)}) / nullif(len(k), 0), 0), 3) AS sentiment FROM t""",
+    SELECT doc_id, round(coalesce(({_count_sql(fixed.POSITIVE_WORDS)} - {_count_sql(fixed.NEGATIVE_WORDS)}) / nullif(len(k), 0), 0), 3) + 0.0 AS sentiment FROM t""",
     "documents",
 )(lambda df: df.select("doc_id", X.sentiment(F.col("text")).alias("sentiment")))
 query(
@@ -409,7 +411,7 @@ def _retrieve(spark, sf_dir):
 
 # ---- comparison ------------------------------------------------------------------------------------------------------
 
-_SPLIT = "1995-01-01"
+_SPLIT = "1998-01-01"
 
 
 def _halves(spark, sf_dir):
@@ -456,6 +458,6 @@ query(
 query(
     "display_numbers",
     """SELECT o_orderkey, CASE WHEN abs(v) >= 1e9 THEN printf('%.2fB', v / 1e9) WHEN abs(v) >= 1e6 THEN printf('%.2fM', v / 1e6) WHEN abs(v) >= 1e3 THEN printf('%.2fk', v / 1e3) WHEN v = floor(v) THEN printf('%.0f', v) ELSE printf('%.2f', v) END AS shown
-    FROM (SELECT o_orderkey, (o_orderkey * o_orderkey)::DOUBLE AS v FROM orders)""",
+    FROM (SELECT o_orderkey, (o_orderkey * o_orderkey)::DOUBLE * 1.00013::DOUBLE AS v FROM orders)""",
     "orders",
-)(lambda df: df.select("o_orderkey", C.compact((F.col("o_orderkey") * F.col("o_orderkey")).cast("double")).alias("shown")))
+)(lambda df: df.select("o_orderkey", C.compact((F.col("o_orderkey") * F.col("o_orderkey")).cast("double") * 1.00013).alias("shown")))
