@@ -126,6 +126,8 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     largest = counts.agg(F.max("n")).first()[0] or 1
     level, wide = 0, pieces(largest, block_rows)
     rows = rows.join(blocks, ["rank", "class"]).withColumn("block", F.pmod("tie", F.col("blocks"))).drop("blocks")
+    # the join deals rows by source and class only: deal them anew, by block
+    rows = rows.repartition("rank", "class", "block")
     schema = "rank int, class int, doc_id long, tie long, size long, source_size long, target double, whole int, p double, block long, done boolean"
     order = [c.split()[0] for c in schema.split(", ")][:-1]
     done = []
