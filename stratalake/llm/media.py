@@ -4,7 +4,7 @@ A payload is a text's UTF-8 bytes with bytes 255 after them up to a positive mul
 over the last 32 bytes cuts it where its low bits are zero (at least `least` and at most `most` bytes after the last
 cut).  Two things come of it: a recipe, the ordered list of chunk digests, and the chunk store, in which each digest
 is kept once as a Zstandard frame.  Reading back joins the distinct recipes to the store on the digest, puts the
-chunks in order, checks each against its digest and computes the features from the bytes so rebuilt.
+chunks in order, checks their digests against the recipe's name and computes the features from the bytes so rebuilt.
 
 The stored form of a payload is its recipe (digest and length of each chunk) followed by the chunks' frames; its
 unit is the byte.  Frames share one dictionary, trained on a bounded sample (the `sample` texts with the smallest
@@ -29,10 +29,12 @@ from . import kernels as K
 from .common import stash
 
 UNIT = 576
-LEAST, MEAN_BITS, MOST = 1024, 12, 16384
+LEAST, MEAN_BITS, MOST = 2048, 13, 32768
 #: Gear values of the 256 bytes, by rule.
 GEAR = (K.mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-DICTIONARY_BYTES = 64 << 10
+DICTIONARY_BYTES = 256 << 10
+#: Bytes of SHA-256 that name a chunk or a recipe.
+NAME = 16
 FEATURES = "recipe binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -84,12 +86,12 @@ def chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, memoryview, list[bytes]
         for i, ends in enumerate(cut_points(gear_hash(raw), off)):
             at, digests = int(off[i]), []
             for end in ends:
-                digests.append(hashlib.sha256(view[at:end]).digest())
+                digests.append(hashlib.sha256(view[at:end]).digest()[:NAME])
                 at = end
             yield a + i, view[off[i] : off[i + 1]], digests, [e - int(off[i]) for e in ends], offsets
 
 
-def train_dictionary(docs: DataFrame, sample: int = 2000, reach: int = 4096) -> bytes:
+def train_dictionary(docs: DataFrame, sample: int = 4000, reach: int = 4096) -> bytes:
     """A dictionary from the first bytes of at most `sample` texts; empty if they are too few to train on."""
     picked = docs.where("text is not null").select(F.xxhash64("text").alias("h"), "text").orderBy("h", "text").limit(sample)
     texts = [r[0] for r in picked.select(F.substring("text", 1, reach)).collect()]
@@ -110,7 +112,7 @@ def recipes(docs: DataFrame) -> DataFrame:
         for batch in batches:
             names, lists, sizes = [], [], []
             for i, _, digests, _, offsets in chunks(batch):
-                names.append(hashlib.sha256(b"".join(digests)).digest())
+                names.append(hashlib.sha256(b"".join(digests)).digest()[:NAME])
                 lists.append(digests)
                 sizes.append(int(offsets[i + 1] - offsets[i]))
             yield pa.RecordBatch.from_arrays(
@@ -121,7 +123,7 @@ def recipes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, n_bytes long, recipe binary, digests array<binary>")
 
 
-def chunk_store(docs: DataFrame, dictionary: bytes = b"", level: int = 3) -> DataFrame:
+def chunk_store(docs: DataFrame, dictionary: bytes = b"", level: int = 9) -> DataFrame:
     """digest, size and frame, once for each digest."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +157,8 @@ def rebuilt(recipe_rows: DataFrame, store: DataFrame, dictionary: bytes = b"", p
         def close() -> dict:
             raw = b"".join(p for _, p, _ in parts)
             form = b"".join(d + len(p).to_bytes(4, "big") for d, p, _ in parts) + b"".join(f for _, _, f in parts)
-            if len(parts) != expect or hashlib.sha256(b"".join(d for d, _, _ in parts)).digest() != name:
-                raise ValueError("a stored payload lacks chunks")
+            if len(parts) != expect or hashlib.sha256(b"".join(d for d, _, _ in parts)).digest()[:NAME] != name:
+                raise ValueError("the chunks as stored are not those of the recipe")
             counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
             share = counts[counts > 0] / len(raw)
             row = {
@@ -171,16 +173,14 @@ def rebuilt(recipe_rows: DataFrame, store: DataFrame, dictionary: bytes = b"", p
             return pa.RecordBatch.from_pylist(done, pa.schema(fields + ([("payload", pa.binary())] if payload else [])))
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("recipe", "n_chunks", "digest", "size", "frame")]
-            for recipe, n, digest, size, frame in zip(*cols, strict=True):
+            cols = [batch.column(c).to_pylist() for c in ("recipe", "n_chunks", "size", "frame")]
+            for recipe, n, size, frame in zip(*cols, strict=True):
                 if recipe != name:
                     if name is not None:
                         done.append(close())
                     name, expect, parts = recipe, n, []
                 raw = unpack.decompress(frame, max_output_size=size)
-                if hashlib.sha256(raw).digest() != digest:
-                    raise ValueError("a stored chunk differs from its digest")
-                parts.append((digest, raw, frame))
+                parts.append((hashlib.sha256(raw).digest()[:NAME], raw, frame))
             if done:
                 yield out()
                 done.clear()
@@ -190,8 +190,8 @@ def rebuilt(recipe_rows: DataFrame, store: DataFrame, dictionary: bytes = b"", p
 
     once = recipe_rows.groupBy("recipe").agg(F.first("digests").alias("digests"))
     wanted = once.select("recipe", F.size("digests").alias("n_chunks"), F.posexplode("digests").alias("seq", "digest"))
-    parts = wanted.join(store, "digest").repartition("recipe").sortWithinPartitions("recipe", "seq")
-    return parts.select("recipe", "n_chunks", "digest", "size", "frame").mapInArrow(build, schema)
+    parts = wanted.join(store, "digest").drop("digest").repartition("recipe").sortWithinPartitions("recipe", "seq")
+    return parts.select("recipe", "n_chunks", "size", "frame").mapInArrow(build, schema)
 
 
 def op6_media_chunks(docs: DataFrame) -> DataFrame:
