@@ -93,8 +93,11 @@ def chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, memoryview, list[bytes]
 
 def train_dictionary(docs: DataFrame, sample: int = 4000, reach: int = 4096) -> bytes:
     """A dictionary from the first bytes of at most `sample` texts; empty if they are too few to train on."""
-    picked = docs.where("text is not null").select(F.xxhash64("text").alias("h"), "text").orderBy("h", "text").limit(sample)
-    texts = [r[0] for r in picked.select(F.substring("text", 1, reach)).collect()]
+    hashed = docs.where("text is not null").select(F.xxhash64("text").alias("h"), F.substring("text", 1, reach).alias("t"))
+    top = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # hashes alone are ordered
+    if top is None:
+        return b""
+    texts = [r["t"] for r in hashed.where(F.col("h") <= top).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()]
     blobs = [t.encode()[:reach] for t in texts]
     if len(blobs) < 64 or sum(map(len, blobs)) < 8 * DICTIONARY_BYTES:
         return b""
