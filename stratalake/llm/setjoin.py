@@ -101,7 +101,7 @@ def run_counts(docs: DataFrame, rule: Rule) -> np.ndarray:
     schema = "part int, node int, counts binary"
     rows = docs.select("text").mapInArrow(count, schema).groupBy("part", "node").applyInArrow(add, schema)
     out = np.zeros(1 << SLOT_BITS, dtype=np.int64)
-    for r in rows.withColumn("node", F.lit(0)).groupBy("part", "node").applyInArrow(add, schema).toLocalIterator():
+    for r in rows.withColumn("node", F.lit(0)).groupBy("part", "node").applyInArrow(add, schema).collect():  # 8 * 2**SLOT_BITS bytes
         out[r["part"] * width : (r["part"] + 1) * width] = np.frombuffer(r["counts"], np.int64)
     return out
 
