@@ -64,16 +64,17 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # large star: every neighbour above a node goes to the node's smallest neighbour
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         # small star: neighbours below a node, and the node, go to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        new = stash(small)
-        changed = new.join(pairs, ["a", "b"], "left_anti").limit(1).count() or pairs.join(new, ["a", "b"], "left_anti").limit(1).count()
-        pairs = new
-        if not changed:
+        pairs = stash(small)
+        # settled once all are stars: a node hangs on one node, and nothing hangs on it
+        ends = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
+        ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+        if ends.where("up > 1 or (up = 1 and down = 1)").limit(1).count() == 0:
             break
     else:
         raise RuntimeError("components did not settle")
-    roots = pairs.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
+    roots = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
