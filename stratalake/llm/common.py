@@ -54,12 +54,14 @@ def pieces(total: int, each: int) -> int:
 
 
 def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of `edges` (a, b): root is the smallest node that links reach.
+    """(node, root) for every node of `edges` (a, b) but the roots: root is the smallest node that links reach.
+
+    `edges` is read several times: a written table.
 
     Alternating star contraction: every round is a few joins and groupings on node ids, so a star of
     any size is one pre-aggregated group; rounds grow with the logarithm of the graph.
     """
-    pairs = stash(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -76,5 +78,4 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
             break
     else:
         raise RuntimeError("components did not settle")
-    roots = pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -329,7 +329,7 @@ def _across(lists: DataFrame, info: DataFrame, roots: DataFrame, rule: Rule, mos
 
 
 def links(docs: DataFrame, rule: Rule = Rule(), short: int = 12, block: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """(rows, linked): doc_id, sid and n of each row; and root of each sid that has a link."""
+    """(rows, linked): doc_id, sid and n of each row; and root of each sid that has a link and is not its own root."""
     spark = docs.sparkSession
     counts = run_counts(docs, rule)
     rank = np.ceil(np.log2(counts + 1)).astype(np.uint64)
@@ -341,17 +341,18 @@ def links(docs: DataFrame, rule: Rule = Rule(), short: int = 12, block: int = 40
     info = stash(named.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     lists = stash(_lists(both.where("bucket is not null").select("bucket", "tokens", "owners", "lengths")))
 
-    tried = stash(_near(_first_pairs(lists, rule, short), info, rule))
-    held = stash(_verified(tried.select("a", "b"), docs, info, rule, rank_sent))
+    tried = stash(_near(_first_pairs(lists, rule, short), info, rule)).select("a", "b")
+    held = stash(_verified(tried, docs, info, rule, rank_sent))
     roots = _roots(spark, held)
     long_lists = lists.where(F.col("width") > short)
     most = 8
     while long_lists.limit(1).count():
-        found = stash(_across(long_lists, info, roots, rule, most, block))
-        new = stash(found.join(tried.select("a", "b"), ["a", "b"], "left_anti").select("a", "b"))
+        found = stash(_across(long_lists, info, roots, rule, most, block).join(tried.withColumn("old", F.lit(True)), ["a", "b"], "left"))
+        new = found.where("old is null").select("a", "b")
         if new.limit(1).count():
-            held = stash(held.unionByName(_verified(new, docs, info, rule, rank_sent)))
-            tried = tried.select("a", "b").unionByName(new)
+            # the stars so far stand for all links before
+            held = roots.select(F.col("sid").alias("a"), F.col("root").alias("b")).unionByName(stash(_verified(new, docs, info, rule, rank_sent)))
+            tried = tried.unionByName(new)
             roots = _roots(spark, held)
         elif not found.where("more").limit(1).count():
             break
@@ -360,7 +361,7 @@ def links(docs: DataFrame, rule: Rule = Rule(), short: int = 12, block: int = 40
 
 
 def _roots(spark, held: DataFrame) -> DataFrame:
-    return stash(components(spark, held).select(F.col("node").alias("sid"), "root"))
+    return components(spark, held).select(F.col("node").alias("sid"), "root")
 
 
 def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
