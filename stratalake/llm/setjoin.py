@@ -251,10 +251,10 @@ def _near(pairs: DataFrame, info: DataFrame, rule: Rule) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, rule: Rule, rank_sent) -> DataFrame:
     """The pairs that link, by their whole sets."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    ids = stash(info.join(wanted, "sid", "left_semi").select(F.col("rep").alias("doc_id")).distinct())
-    if ids.count() <= MOST_SENT:  # else the texts meet the ids in a shuffled join
-        ids = F.broadcast(ids)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
+    wanted = stash(info.join(ends, "sid", "left_semi").select("sid", "rep"))
+    sent = F.broadcast if wanted.count() <= MOST_SENT else lambda df: df  # else the texts meet the ids in a shuffled join
+    ids = sent(wanted.select(F.col("rep").alias("doc_id")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,7 +272,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, rule: Rule, ra
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     held = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(sets, "sid long, tokens binary")
-    held = stash(held.join(wanted, "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens")))
+    held = stash(held.join(sent(wanted.select("sid")), "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens")))
     side = lambda s: held.select(F.col("sid").alias(s), F.col("tokens").alias(f"x{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").mapInArrow(link, "a long, b long")
 
@@ -350,13 +350,14 @@ def links(docs: DataFrame, rule: Rule = Rule(), short: int = 12, block: int = 40
         found = stash(_across(long_lists, info, roots, rule, most, block).join(tried.withColumn("old", F.lit(True)), ["a", "b"], "left"))
         new = found.where("old is null").select("a", "b")
         if new.limit(1).count():
-            # the stars so far stand for all links before
-            held = roots.select(F.col("sid").alias("a"), F.col("root").alias("b")).unionByName(stash(_verified(new, docs, info, rule, rank_sent)))
+            linked = stash(_verified(new, docs, info, rule, rank_sent))
             tried = tried.unionByName(new)
-            roots = _roots(spark, held)
+            if linked.limit(1).count():
+                # the stars so far stand for all links before
+                roots = _roots(spark, roots.select(F.col("sid").alias("a"), F.col("root").alias("b")).unionByName(linked))
         elif not found.where("more").limit(1).count():
             break
-        most *= 4
+        most *= 16
     return rows.select("doc_id", "sid", "n"), roots
 
 
