@@ -12,7 +12,8 @@ when den * |x & y| >= num * |x | y|.  The join is exact and works on distinct se
    parity bitmaps of its sets differ in more bits than the sets may differ in runs (which loses no link), and the
    rest is verified on whole sets.
 5. Sets that link to one pivot have the pivot's answers: they are in one component, and pairs within it are
-   skipped.  Long lists go on only with pairs across components, the nearest first, until none is left untried.
+   skipped.  Long lists go on only with pairs across components, the nearest first, until none is left untried;
+   a list that has given all of them is done.
 
 So a group of thousands of near copies costs pairs in proportion to its size, no link between components is lost,
 and no list is cut.  A list of over `block` members is dealt to tasks as pairs of blocks.
@@ -278,7 +279,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, rule: Rule, ra
 
 
 def _across(lists: DataFrame, info: DataFrame, roots: DataFrame, rule: Rule, most: int, block: int) -> DataFrame:
-    """Near pairs of long lists whose sets are in different components: at most `most` for two components, the nearest first."""
+    """Near pairs of long lists whose sets are in different components: at most `most` for two components, the nearest first; more: there are others."""
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, members in enumerate(batch.column("members").to_pylist()):
@@ -322,10 +323,9 @@ def _across(lists: DataFrame, info: DataFrame, roots: DataFrame, rule: Rule, mos
                             key = (min(c["root"][i], c["root"][j]), max(c["root"][i], c["root"][j]))
                             best.setdefault(key, []).append((d, min(c["sid"][i], c["sid"][j]), max(c["sid"][i], c["sid"][j])))
         out = [(a, b, len(v) > most) for v in best.values() for _, a, b in sorted(set(v))[:most]]
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "more": pa.array([x[2] for x in out], pa.bool_())})
+        return pa.table({"name": pa.array([table.column("name")[0].as_py()] * len(out), pa.binary()), "a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "more": pa.array([x[2] for x in out], pa.bool_())})
 
-    found = dealt.groupBy("name", "lo", "hi").applyInArrow(build, "a long, b long, more boolean")
-    return found.groupBy("a", "b").agg(F.max("more").alias("more"))
+    return dealt.groupBy("name", "lo", "hi").applyInArrow(build, "name binary, a long, b long, more boolean")
 
 
 def links(docs: DataFrame, rule: Rule = Rule(), short: int = 12, block: int = 4096) -> tuple[DataFrame, DataFrame]:
@@ -347,16 +347,16 @@ def links(docs: DataFrame, rule: Rule = Rule(), short: int = 12, block: int = 40
     long_lists = lists.where(F.col("width") > short)
     most = 8
     while long_lists.limit(1).count():
-        found = stash(_across(long_lists, info, roots, rule, most, block).join(tried.withColumn("old", F.lit(True)), ["a", "b"], "left"))
-        new = found.where("old is null").select("a", "b")
+        found = stash(_across(long_lists, info, roots, rule, most, block))
+        new = stash(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
         if new.limit(1).count():
             linked = stash(_verified(new, docs, info, rule, rank_sent))
             tried = tried.unionByName(new)
             if linked.limit(1).count():
                 # the stars so far stand for all links before
                 roots = _roots(spark, roots.select(F.col("sid").alias("a"), F.col("root").alias("b")).unionByName(linked))
-        elif not found.where("more").limit(1).count():
-            break
+        # a list that gave all its pairs across components is done: components only grow
+        long_lists = lists.join(found.where("more").select("name").distinct(), "name", "left_semi")
         most *= 16
     return rows.select("doc_id", "sid", "n"), roots
 
