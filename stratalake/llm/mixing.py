@@ -154,15 +154,15 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it."""
-    docs = without(docs, "__tie", "__nth", "__copies", "__id")
+    docs = without(docs, "__tie", "__nth", "__copies", "__rows")
     names = docs.columns
-    plan = mix_plan(docs, **how).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("copies").alias("__copies"))
-    # rows that agree in id, text and source are alike: the n-th of them takes the n-th decision
-    twins = Window.partitionBy("__tie").orderBy("__copies")
-    plan = plan.withColumn("__nth", F.row_number().over(twins)).drop("__id")
-    own = docs.withColumn("__tie", row_hash(how.get("seed", SEED), F.col("doc_id"), F.col("text"), F.col("source")))
+    # rows that agree in id, text and source are alike, and their copies differ by one at most: the first of them take it.
+    # The texts are dealt once, by __tie, for the join and the window.
+    plan = mix_plan(docs, **how).groupBy(F.col("tie").alias("__tie")).agg(F.count("*").alias("__rows"), F.sum("copies").alias("__copies")).where("__copies > 0")
+    own = docs.withColumn("__tie", row_hash(how.get("seed", SEED), F.col("doc_id"), F.col("text"), F.col("source"))).join(plan, "__tie")
     own = own.withColumn("__nth", F.row_number().over(Window.partitionBy("__tie").orderBy("doc_id")))
-    return own.join(plan, ["__tie", "__nth"]).withColumn("__copies", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[f"`{c}`" for c in names])
+    own = own.withColumn("__copies", F.expr("__copies div __rows + if(__nth <= __copies % __rows, 1, 0)")).where("__copies > 0")
+    return own.withColumn("__copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[f"`{c}`" for c in names])
 
 
 def op3_source_mixing(docs: DataFrame) -> DataFrame:
