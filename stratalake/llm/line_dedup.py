@@ -7,6 +7,10 @@ that long (the order inside an interval is never needed, so names stand for rank
 position, by doc_id and then place, stays; at all others the `min_lines` lines are deleted.  Overlapping deletions
 join into maximal repeated runs.
 
+With `min_words`, one line is a run too if it has that many words, or if it is a whole document and has a word: then
+the bound on a run is its lines or its words.  Longer runs need no further doubling: each of their windows of
+`min_lines` lines has an earlier place as well, so the deletions of windows join into the maximal runs.
+
 Names are 64-bit hashes; positions whose line occurs once in the corpus leave before any doubling.  The least
 position of a name is pre-aggregated before it is shuffled, and names of one hot line are joined, not gathered.
 
@@ -19,23 +23,39 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import WORD, stash
 
 MIN_LINES = 2
+#: Words from which one line that repeats is a passage.
+MIN_WORDS = 50
+
 
+def split_lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
-def line_names(text: Column) -> Column:
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n", -1), lambda x: F.xxhash64(x))
 
+def line_names(text: Column, min_words: int | None = None) -> Column:
+    """name of each line, and whether it is a run by itself (kind 1 by its words, 2 as a whole document, else 0)."""
+    lines = split_lines(text)
+    if min_words is None:
+        return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("name"), F.lit(0).alias("kind")))
+    words = lambda x: F.regexp_count(x, F.lit(WORD))
+    kind = lambda x: F.when(words(x) >= min_words, 1).when((F.size(lines) == 1) & (words(x) > 0), 2).otherwise(0)
+    return F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("name"), kind(x).alias("kind")))
 
-def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+
+def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """id, own (hash of the text) and cut: the sorted places of the deleted lines of each document that has any."""
-    seqs = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("own"), line_names(F.col("text")).alias("names"))
+    seqs = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("own"), line_names(F.col("text"), min_words).alias("names"))
     seqs = seqs.groupBy("id", "own").agg(F.first("names").alias("names"))
-    lines = stash(seqs.select("id", "own", F.posexplode("names").alias("pos", "name")))
+    lines = stash(seqs.select("id", "own", F.posexplode("names").alias("pos", "line")).select("id", "own", "pos", "line.name", "line.kind"))
     # a run can repeat only where each of its lines does
     often = lines.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
-    names = lines.join(often, "name", "left_semi").select("id", "own", "pos", "name")
+    names = lines.join(often, "name", "left_semi").select("id", "own", "pos", "name", "kind")
+    if min_words is not None:
+        names = stash(names)
+    single = names.where("kind > 0").select("id", "own", "pos", "name", "kind", F.lit(1).alias("span"))
+    names = names.select("id", "own", "pos", "name")
     by = Window.partitionBy("id", "own").orderBy("pos")
     length = 1
     while length < min_lines:
@@ -45,21 +65,22 @@ def repeated_runs(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
         names = names.withColumn("later", F.max("name").over(at)).where("later is not null")
         names = names.select("id", "own", "pos", F.xxhash64("name", "later").alias("name"))
         length += step
-    names = stash(names)
+    names = names.withColumn("kind", F.lit(0)).withColumn("span", F.lit(min_lines))
+    names = stash(names if min_words is None else names.unionByName(single))
     place = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("own"), F.col("pos"))
-    firsts = names.groupBy("name").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
-    later = names.join(firsts, "name").where(place > F.col("first"))
-    cut = later.select("id", "own", F.explode(F.sequence(F.col("pos"), F.col("pos") + min_lines - 1)).alias("pos"))
+    firsts = names.groupBy("kind", "name").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    later = names.join(firsts, ["kind", "name"]).where(place > F.col("first"))
+    cut = later.select("id", "own", F.explode(F.sequence(F.col("pos"), F.col("pos") + F.col("span") - 1)).alias("pos"))
     return cut.groupBy("id", "own").agg(F.array_sort(F.collect_set("pos")).alias("cut"))
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int | None = None) -> DataFrame:
     """doc_id, n_lines, n_removed, n_runs and kept (the text that is left; null if all lines are deleted)."""
-    cut = repeated_runs(docs, min_lines).select(F.col("id").alias("__id"), F.col("own").alias("__own"), "cut")
+    cut = repeated_runs(docs, min_lines, min_words).select(F.col("id").alias("__id"), F.col("own").alias("__own"), "cut")
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("own"))
     rows = own.join(cut, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("own") == F.col("__own")), "left")
     cuts = F.coalesce("cut", F.array().cast("array<int>"))
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    lines = split_lines(F.col("text"))
     # cuts are sorted: walk the kept stretches between them
     edges = F.concat(F.array(F.lit(-1)), F.col("cuts"), F.array(F.size("lines")))
     stretches = F.zip_with(F.slice(edges, 1, F.size(edges) - 1), F.slice(edges, 2, F.size(edges) - 1), lambda a, b: F.slice("lines", a + 2, b - a - 1))
@@ -74,8 +95,17 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES) -> DataFrame:
     )
 
 
+def hashed(rows: DataFrame) -> DataFrame:
+    return rows.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_line_dedup(docs: DataFrame) -> DataFrame:
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.coalesce("kept", F.lit("")), 256).alias("kept_sha256"))
+    return hashed(dedup_lines(docs))
+
+
+def op9_passage_dedup(docs: DataFrame) -> DataFrame:
+    """As op9_line_dedup, and passages and documents that sit on one line are deleted as well."""
+    return hashed(dedup_lines(docs, min_words=MIN_WORDS))
 
 
 def op9_sql(min_lines: int = MIN_LINES) -> str:
@@ -90,3 +120,20 @@ def op9_sql(min_lines: int = MIN_LINES) -> str:
     SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE cut) AS n_removed, count(*) FILTER (WHERE head) AS n_runs,
            sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT cut), '')) AS kept_sha256
     FROM k GROUP BY doc_id"""
+
+
+def op9_passage_sql(min_lines: int = MIN_LINES, min_words: int = MIN_WORDS) -> str:
+    runs = " || chr(10) || ".join(["line", *[f"lead(line, {i}) OVER w" for i in range(1, min_lines)]])
+    return f"""
+    WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos, len(string_split(coalesce(text, ''), chr(10))) AS n FROM documents),
+    w AS (SELECT *, len(regexp_extract_all(line, '{WORD}')) AS words FROM l),
+    r AS (SELECT doc_id, pos, 0 AS kind, {min_lines} AS span, {runs} AS run FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)
+      UNION ALL SELECT doc_id, pos, 1, 1, line FROM w WHERE words >= {min_words}
+      UNION ALL SELECT doc_id, pos, 2, 1, line FROM w WHERE words > 0 AND words < {min_words} AND n = 1),
+    f AS (SELECT doc_id, pos, span, row_number() OVER (PARTITION BY kind, run ORDER BY doc_id, pos) AS nth FROM r WHERE run IS NOT NULL),
+    c AS (SELECT DISTINCT doc_id, pos + d AS pos FROM f, range({min_lines}) t(d) WHERE nth > 1 AND d < span),
+    m AS (SELECT l.doc_id, l.pos, l.line, c.pos IS NOT NULL AS cut FROM l LEFT JOIN c ON c.doc_id = l.doc_id AND c.pos = l.pos),
+    k AS (SELECT *, cut AND NOT coalesce(lag(cut) OVER (PARTITION BY doc_id ORDER BY pos), false) AS head FROM m)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE cut) AS n_removed, count(*) FILTER (WHERE head) AS n_runs,
+           sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT cut), '')) AS kept_sha256
+    FROM k GROUP BY doc_id"""

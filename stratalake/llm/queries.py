@@ -23,9 +23,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_suffix_dedup": on_docs(suffix_dedup.op7_suffix_dedup),
         "op8_preference_formatting": lambda spark, sf_dir: preference.op8_preference_formatting(table(spark, sf_dir, "conversations")),
         "op9_line_dedup": on_docs(line_dedup.op9_line_dedup),
+        "op9_passage_dedup": on_docs(line_dedup.op9_passage_dedup),
         "op10_jaccard_join": on_docs(setjoin.op10_jaccard_join),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_preference_formatting": preference.op8_sql(), "op9_line_dedup": line_dedup.op9_sql()}
+    return {"op8_preference_formatting": preference.op8_sql(), "op9_line_dedup": line_dedup.op9_sql(), "op9_passage_dedup": line_dedup.op9_passage_sql()}

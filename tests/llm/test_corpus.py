@@ -243,6 +243,22 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.op9_line_dedup(docs).count() == 16 and line_dedup.op9_line_dedup(empty).count() == 0
 
 
+def test_passages_on_one_line(spark, docs, empty):
+    rnd = random.Random(9)
+    passage, other = (" ".join(rnd.choice(WORDS) for _ in range(n)) for n in (60, 49))
+    texts = [f"a1\n{passage}\nb1", f"a2\n{passage}\nb2", passage, f"{passage}\n{passage}", other, f"c\n{other}\nd", other, "short one", "short one", "e\nshort one\nf", "", "", " ", " ", "p\nq\nr", "p\nq\nr", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(df, min_words=50).collect()}
+    assert {d: r["kept"] for d, r in got.items() if r["n_removed"]} == {1: "a2\nb2", 2: None, 3: None, 6: None, 8: None, 15: None}
+    con = duckdb.connect()
+    con.register("documents", df.toPandas())
+    for words in (1, 2, 50):
+        want = {r[0]: r[1:] for r in con.execute(line_dedup.op9_passage_sql(min_words=words)).fetchall()}
+        for r in line_dedup.dedup_lines(df, min_words=words).collect():
+            assert (r["n_lines"], r["n_removed"], r["n_runs"], hashlib.sha256((r["kept"] or "").encode()).hexdigest()) == want[r["doc_id"]]
+    assert line_dedup.op9_passage_dedup(docs).count() == 16 and line_dedup.op9_passage_dedup(empty).count() == 0
+
+
 def shingle_sets(rows, k):
     out = {}
     for d, t in rows:
