@@ -175,6 +175,22 @@ def test_media(docs, empty):
     assert media.gear_hash(data)[::97].tolist() == slow
 
 
+def test_media_chunks_are_shared_and_stored(spark, monkeypatch):
+    rnd = random.Random(10)
+    say = lambda n: " ".join(rnd.choice(WORDS) + str(rnd.randrange(1000)) for _ in range(n))
+    passage = say(80)
+    texts = [say(40) + "\n" + passage + "\n" + say(30), say(25) + "\n" + passage + "\n" + say(50)]
+    assert max(map(len, texts)) < 2048
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    a, b = (set(map(bytes, r["digests"])) for r in media.recipes(df).collect())
+    assert a & b
+    written = []
+    monkeypatch.setattr(media, "stash", lambda x, whole=media.stash: written.append(whole(x)) or written[-1])
+    assert media.op6_media_chunks(df).count() == 2
+    store = next(t for t in written if "frame" in t.columns)
+    assert {bytes(r["digest"]) for r in store.collect()} == a | b and store.count() == len(a | b)
+
+
 def removed(rows, length):
     first = {}
     for d, t in sorted(rows, key=lambda r: r[0]):
