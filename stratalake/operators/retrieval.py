@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -103,8 +106,73 @@ def ask(chunks: DataFrame, question: str, k: int = 6) -> dict:
     }
 
 
-def nearest(vectors: DataFrame, query: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The k rows with the greatest cosine to the single query row (one broadcast row)."""
-    one = F.broadcast(query.select(F.col(vector).alias("__q")).limit(1))
-    score = C.dot(F.col(vector), F.col("__q")) / F.sqrt(C.dot(F.col(vector), F.col(vector)) * C.dot(F.col("__q"), F.col("__q")))
-    return vectors.join(one).select(key, F.round(score, 6).alias("score")).orderBy(F.desc("score"), key).limit(k)
+def _packs(df: DataFrame, key: str, vector: str, rows: int, ids: str, data: str) -> DataFrame:
+    """Blocks of `rows` rows: their keys and their vectors as one matrix of doubles (a null vector is NaN)."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                lists = part.column(1).to_pylist()
+                m = np.zeros((len(lists), max([len(x) for x in lists if x is not None], default=0)))
+                for i, x in enumerate(lists):
+                    if x is None:
+                        m[i] = np.nan
+                    else:
+                        m[i, : len(x)] = [0.0 if v is None else v for v in x]
+                yield pa.RecordBatch.from_pydict({ids: [part.column(0).to_pylist()], data: [m.tobytes()]}, pa.schema([(ids, pa.list_(part.column(0).type)), (data, pa.binary())]))
+
+    return df.select(F.col(key), F.col(vector)).mapInArrow(pack, f"{ids} array<{kind}>, {data} binary")
+
+
+def _matrix(data: bytes, rows: int, width: int) -> np.ndarray:
+    m = np.frombuffer(data).reshape(rows, -1)
+    return np.pad(m, ((0, 0), (0, width - m.shape[1])))
+
+
+def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of each row: by score, NaN last, and then by id."""
+    by_id = np.argsort(ids, axis=1, kind="stable")
+    scores, ids = np.take_along_axis(scores, by_id, 1), np.take_along_axis(ids, by_id, 1)
+    top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(scores, top, 1), np.take_along_axis(ids, top, 1)
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", rows: int = 256) -> DataFrame:
+    """query_id, key and score: for each query row the k rows with the greatest cosine (ties: by key).
+
+    Keys are not null, and those of queries are distinct.  Blocks of rows meet the broadcast blocks of queries, and a
+    partition passes on only the k best of its rows for each query.  The cosine with a null or zero vector is null and
+    comes last.
+    """
+    kind = vectors.schema[key].dataType.simpleString()
+    asked = queries.schema[key].dataType.simpleString()
+    q = _packs(queries.select(key, vector).coalesce(1), key, vector, rows, "qids", "qdata")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
+        types = None
+        for batch in batches:
+            types = batch.column("qids").type.value_type, batch.column("ids").type.value_type
+            for ids, data, qids, qdata in zip(*[batch.column(c) for c in ("ids", "data", "qids", "qdata")], strict=True):
+                ids, qids, data, qdata = ids.as_py(), tuple(qids.as_py()), data.as_py(), qdata.as_py()
+                width = max(len(data) // 8 // len(ids), len(qdata) // 8 // len(qids))
+                a, b = _matrix(qdata, len(qids), width), _matrix(data, len(ids), width)
+                with np.errstate(all="ignore"):
+                    scores = np.round(a @ b.T / np.sqrt((a * a).sum(1)[:, None] * (b * b).sum(1)), 6)
+                names = np.array(ids)
+                order = np.argsort(names, kind="stable")
+                top = np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]
+                new = np.take_along_axis(scores[:, order], top, 1), names[order][top]
+                if qids in held:
+                    new = _best(*[np.concatenate(x, 1) for x in zip(held[qids], new, strict=True)], k)
+                held[qids] = new
+        for qids, (scores, names) in held.items():
+            each = [pa.array(np.repeat(np.array(qids), scores.shape[1]), types[0]), pa.array(names.ravel(), types[1]), pa.array(scores.ravel(), from_pandas=True)]
+            yield pa.RecordBatch.from_arrays(each, names=["query_id", key, "score"])
+
+    pairs = _packs(vectors, key, vector, rows, "ids", "data").crossJoin(F.broadcast(q))
+    found = pairs.mapInArrow(search, f"query_id {asked}, `{key}` {kind}, score double")
+    best = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), key)
+    return found.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= k).select("query_id", key, F.round("score", 6).alias("score"))

@@ -397,7 +397,14 @@ query(
     "vector_top_k",
     "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 5",
     "embeddings",
-)(lambda df: retrieval.nearest(df, df.where("vec_id = 0")))
+)(lambda df: retrieval.nearest(df, df.where("vec_id = 0")).drop("query_id").orderBy(F.desc("score"), "vec_id"))
+query(
+    "vector_top_k_many",
+    """WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id % 100 = 0),
+    s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], e), 6) AS score FROM embeddings, q)
+    SELECT query_id, vec_id, score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC NULLS LAST, vec_id) <= 5""",
+    "embeddings",
+)(lambda df: retrieval.nearest(df, df.where("vec_id % 100 = 0")))
 
 
 @query("retrieve")

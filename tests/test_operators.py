@@ -1,3 +1,5 @@
+import math
+import random
 import zipfile
 
 from pyspark.sql import functions as F
@@ -95,3 +97,22 @@ def test_retrieval(spark):
     got = retrieval.ask(chunks, "how did revenue grow")
     assert got["sources"][0]["id"] == "1" and got["answer"].startswith("north")
     assert retrieval.expand("top average") == ["top average", "maximum average", "top mean"]
+
+
+def test_nearest_takes_many_queries(spark):
+    rnd = random.Random(11)
+    rows = [(i, [rnd.choice([-1.0, 0.5, 2.0]) for _ in range(3)]) for i in range(60)] + [(60, None), (61, [0.0, 0.0, 0.0]), (62, [1.0, None, 1.0]), (63, [1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    flat = {i: [x or 0.0 for x in (v or [])] for i, v in rows}
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=False))
+    def cosine(a, b):
+        size = math.sqrt(dot(a, a) * dot(b, b))
+        return round(dot(a, b) / size, 6) if size else None
+    asked = [0, 7, 20, 60, 62, 63]
+    got = retrieval.nearest(df, df.where(F.col("vec_id").isin(asked)), k=4, rows=5).collect()
+    want = []
+    for q in asked:
+        scored = [(cosine(flat[q], v), i) for i, v in flat.items()]
+        want += [(q, i, s) for s, i in sorted(scored, key=lambda x: (x[0] is None, -(x[0] or 0.0), x[1]))[:4]]
+    assert sorted((r["query_id"], r["vec_id"], r["score"]) for r in got) == sorted(want, key=lambda r: r[:2])
+    assert retrieval.nearest(df, df.limit(0)).count() == 0 and retrieval.nearest(df.limit(0), df).count() == 0
