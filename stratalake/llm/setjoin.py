@@ -377,10 +377,16 @@ def jaccard_components(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, rule: Rule = Rule(k=5, num=8, den=10)) -> DataFrame:
-    """The rows of `docs` that stand for their component (smallest doc_id); rows without a doc_id stay."""
-    lead = jaccard_components(docs, rule).where("doc_id = component_id").select("doc_id").distinct()
+    """One row of `docs` for each component, with its smallest doc_id; rows without a doc_id stay.
+
+    A row is known by doc_id and text: rows that share a doc_id alone each belong to the component of their text.
+    """
+    keyed = docs.where("doc_id is not null").withColumn("__row", F.xxhash64("doc_id", "text"))
+    of = jaccard_components(keyed.select(F.col("__row").alias("doc_id"), "text"), rule).select(F.col("doc_id").alias("__row"), "component_id").distinct()
+    ids = keyed.select("__row", "doc_id").distinct()
+    lead = of.join(ids, "__row").groupBy("component_id").agg(F.min(F.struct("doc_id", "__row"))["__row"].alias("__row")).select("__row")
     names = [f"`{c}`" for c in docs.columns]
-    kept = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(lead, "doc_id", "left_semi").select(*names)
+    kept = keyed.dropDuplicates(["__row"]).join(lead, "__row", "left_semi").select(*names)
     return kept.unionByName(docs.where("doc_id is null"))
 
 

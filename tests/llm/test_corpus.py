@@ -327,3 +327,25 @@ def test_set_join(spark, docs, empty, short):
 
 def test_pipeline_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "mixing", "sharding"]
+
+
+def test_pipeline_keeps_clean_documents(spark, tmp_path):
+    rnd = random.Random(12)
+    say = lambda n: " ".join(rnd.choice(WORDS) + str(rnd.randrange(1000)) for _ in range(n))
+    clean = [say(60) for _ in range(8)]
+    near = clean[0] + " more"
+    # ids 1 and 2 are shared by different texts; row 5 is a copy, row 6 a near copy, row 9 holds a test item
+    rows = [(1, clean[0]), (1, clean[1]), (2, clean[2]), (2, clean[3]), (3, clean[4]), (5, clean[1]), (6, near), (7, clean[5]), (7, clean[5]), (8, clean[6]), (9, clean[7]), (None, "no id")]
+    df = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, clean[7])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    key = lambda rs: sorted(((r["doc_id"], r["text"]) for r in rs), key=str)
+    once = [(1, clean[0]), (1, clean[1]), (2, clean[2]), (2, clean[3]), (3, clean[4]), (7, clean[5]), (8, clean[6]), (9, clean[7]), (None, "no id")]
+    judged = corpus_pipeline.judge(spark, df, str(tmp_path))
+    assert key(judged.collect()) == sorted(rows, key=str)
+    single = corpus_pipeline.deduplicate(spark, df, str(tmp_path))
+    assert key(single.collect()) == sorted(once, key=str)
+    left = [r for r in once if r[0] != 9]
+    assert key(corpus_pipeline.decontaminate(spark, spark.createDataFrame(single.collect(), df.schema), str(tmp_path)).collect()) == sorted(left, key=str)
+    assert key(corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(left, key=str)
