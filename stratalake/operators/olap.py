@@ -91,6 +91,7 @@ def period_key(c: Column, granularity: str) -> Column:
         "year": year,
         "quarter": F.concat(year, F.lit("-Q"), F.quarter(d).cast("string")),
         "month": F.date_format(d, "yyyy-MM"),
+        "day": F.date_format(d, "yyyy-MM-dd"),
         "week": F.concat(year, week),
         "iso_week": F.concat(F.extract(F.lit("YEAROFWEEK"), d).cast("string"), week),
     }[granularity]
@@ -102,7 +103,7 @@ def period_over_period(df: DataFrame, measure: str, date: str, granularity: str
     value = {"mean": F.avg(C.finite(q(measure))), "count": F.count(C.finite(q(measure))).cast("double")}.get(agg, exact_sum(q(measure)))
     out = df.where(key.isNotNull() & C.finite(q(measure)).isNotNull()).groupBy(key.alias("period")).agg(value.alias("value"))
     if fill_gaps:
-        steps = {"year": "1 year", "quarter": "3 months", "month": "1 month", "week": "7 days", "iso_week": "7 days"}
+        steps = {"year": "1 year", "quarter": "3 months", "month": "1 month", "day": "1 day", "week": "7 days", "iso_week": "7 days"}
         unit = "week" if "week" in granularity else granularity
         ends = df.agg(F.date_trunc(unit, F.min(q(date))).alias("a"), F.date_trunc(unit, F.max(q(date))).alias("b"))
         every = ends.select(F.explode(F.sequence("a", "b", F.expr(f"interval {steps[granularity]}"))).alias("t")).select(period_key(F.col("t"), granularity).alias("period")).distinct()

@@ -79,6 +79,15 @@ def _gaps(df):
     return olap.period_over_period(df.where(F.month("o_orderdate") % 2 == 0), "o_totalprice", "o_orderdate", fill_gaps=True)
 
 
+query(
+    "period_over_period_gaps_day",
+    f"""WITH e AS (SELECT unnest(generate_series((SELECT date_trunc('day', min(o_orderdate)) FROM orders)::TIMESTAMP, (SELECT date_trunc('day', max(o_orderdate)) FROM orders)::TIMESTAMP, INTERVAL 1 DAY)) AS t),
+    s AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS period, sum(o_totalprice::DECIMAL(28,6))::DOUBLE AS value FROM orders GROUP BY 1),
+    p AS (SELECT strftime(t, '%Y-%m-%d') AS period, coalesce(value, 0.0) AS value FROM e LEFT JOIN s ON s.period = strftime(t, '%Y-%m-%d')) {_LAGGED}""",
+    "orders",
+)(lambda df: olap.period_over_period(df, "o_totalprice", "o_orderdate", "day", fill_gaps=True))
+
+
 @query(
     "series_summary",
     f"""WITH p AS (SELECT {_PERIODS["month"]} AS period, sum(o_totalprice::DECIMAL(28,6))::DOUBLE AS value FROM orders GROUP BY 1), g AS ({_LAGGED}),

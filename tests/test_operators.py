@@ -116,3 +116,9 @@ def test_nearest_takes_many_queries(spark):
         want += [(q, i, s) for s, i in sorted(scored, key=lambda x: (x[0] is None, -(x[0] or 0.0), x[1]))[:4]]
     assert sorted((r["query_id"], r["vec_id"], r["score"]) for r in got) == sorted(want, key=lambda r: r[:2])
     assert retrieval.nearest(df, df.limit(0)).count() == 0 and retrieval.nearest(df.limit(0), df).count() == 0
+
+
+def test_gaps_of_days(spark):
+    df = spark.createDataFrame([("2024-02-28", 4.0), ("2024-03-02", 1.0), ("2024-03-02", 5.0)], "day string, v double").withColumn("day", F.col("day").cast("timestamp"))
+    got = olap.period_over_period(df, "v", "day", "day", fill_gaps=True).orderBy("period").collect()
+    assert [(r["period"], r["value"], r["previous"]) for r in got] == [("2024-02-28", 4.0, None), ("2024-02-29", 0.0, 4.0), ("2024-03-01", 0.0, 0.0), ("2024-03-02", 6.0, 0.0)]
