@@ -1,23 +1,28 @@
-"""N-gram Jaccard join by set relations: exact links between texts that share num/den of their word runs.
+"""N-gram Jaccard join by set relations: links between texts that share num/den of their word runs.
 
 A document's set holds its distinct runs of k words (ASCII lower case; a shorter text is one run).  Two sets link
-when den * |x & y| >= num * |x | y|.  The join is exact and works on distinct sets:
+when den * |x & y| >= num * |x | y|.  The join loses no link and works on distinct sets:
 
 1. A table of 2**20 counters, filled from all documents, orders runs from rare to frequent.
 2. Equal sets collapse into one (the strongest set relation: one set's answers are the other's).
-3. Each set puts its prefix, the first |x| - ceil(t |x|) + 1 runs, into inverted lists.  Sets that link share one
-   of them.  Lists with the same members collapse; members stand in order of size, so a probe skips the whole
-   block of positions whose sizes are out of reach.
-4. Short lists give their pairs, long ones the pairs of each member with one pivot.  A pair is dropped if the
-   parity bitmaps of its sets differ in more bits than the sets may differ in runs (which loses no link), and the
-   rest is verified on whole sets.
-5. Sets that link to one pivot have the pivot's answers: they are in one component, and pairs within it are
-   skipped.  Long lists go on only with pairs across components, the nearest first, until none is left untried;
-   a list that has given all of them is done.
-
-So a group of thousands of near copies costs pairs in proportion to its size, no link between components is lost,
-and no list is cut.  A list of over `block` members is dealt to tasks as pairs of blocks.
-
+3. Each set puts its prefix, the first |x| - ceil(t |x|) + 1 runs, into inverted lists, with its size and the run's
+   position in the set.  Sets that link have a first common run, and it stands in both prefixes; as nothing before
+   it is shared, sets with positions i and j differ in i + j + | |x| - i - |y| + j | runs at least.  A probe skips the
+   whole block of a list whose sizes are out of reach, and inside it what stands at positions out of reach.  Lists
+   with the same members collapse into the one of the least run.
+4. Short lists give their pairs, long ones the pairs of each member with one pivot, the set with the least position
+   (it has the fewest runs of its own).  A pair is dropped if the parity bitmaps of its sets differ in more bits than
+   the sets may differ in runs, and the rest is verified on whole sets.
+5. A set that links to a pivot takes over the pivot's answers: it is in the pivot's component, and no pair within a
+   component is looked at again.  What remains of a long list are sets of different components whose positions are
+   within reach.  These meet in a task with their whole sets, are verified there, and only links that join two
+   components come out: fewer than there are sets.
+
+So no row is made for a pair within a group of copies, no link between components is lost, and no list is cut.  A
+list of over `block` sets is dealt to tasks as pairs of blocks, and a run with over `hot` occurrences is dealt to
+lists by its sets' names before any list is built.
+
+Runs are compared by 58-bit hashes and sets are named by 64-bit hashes of these: exact but for collisions.
 A null or empty text has an empty set and links with nothing.  Rows with a null doc_id take no part in links and
 have no component.  Repeated rows have equal sets.  Other columns are not read.
 """
@@ -66,6 +71,10 @@ class Rule:
     def linked(self, both: int, n: int) -> bool:
         return self.den * both >= self.num * (n - both)
 
+    def in_reach(self, n: np.ndarray | int, i: np.ndarray | int, m: np.ndarray | int, j: np.ndarray | int) -> np.ndarray:
+        """Whether sets of n and m runs may link if their first common run stands at the places i and j."""
+        return (i + j + abs((n - i) - (m - j))) * (self.den + self.num) <= (self.den - self.num) * (n + m)
+
 
 def _runs(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """a, b and the (hash, row) pairs, row by row, of ranges of rows; hashes may repeat."""
@@ -110,7 +119,7 @@ def run_counts(docs: DataFrame, rule: Rule) -> np.ndarray:
 def ordered_sets(batch: pa.RecordBatch, k: int, rank: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Row and set of each row that has words: distinct runs, rare ones first, as 64-bit values."""
     for a, b, h, row in _runs(batch, k):
-        token = (rank[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] << np.uint64(58)) | (h & LOW58)
+        token = (rank[(h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(58)) | (h & LOW58)
         order = np.lexsort((token, row))
         token, row = token[order], row[order]
         keep = np.ones(len(token), dtype=bool)
@@ -127,8 +136,8 @@ def set_id(tokens: np.ndarray) -> int:
 
 
 def parity(tokens: np.ndarray) -> bytes:
-    """Bit i is the parity of the runs that fall on it; about a bit for each run."""
-    bits = 1 << min(16, max(6, int(len(tokens) - 1).bit_length()))
+    """Bit i is the parity of the runs that fall on it; some two bits for each run."""
+    bits = 1 << min(16, max(7, int(2 * len(tokens) - 1).bit_length()))
     return np.packbits((np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -143,16 +152,16 @@ def least_difference(x: bytes, y: bytes) -> int:
     return (a ^ b).bit_count()
 
 
-def _rows_and_prefixes(docs: DataFrame, rule: Rule, rank_sent, buckets: int) -> DataFrame:
+def _rows_and_prefixes(docs: DataFrame, rule: Rule, rank_sent, buckets: int, hot: int) -> DataFrame:
     """Rows of two kinds: doc_id, sid, n and bits of each document; and prefix entries by bucket, packed."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank = rank_sent.value
+        seen: set[int] = set()
         for batch in batches:
             n_rows = batch.num_rows
             ids, sizes, bits = np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64), [b""] * n_rows
-            seen: set[int] = set()
-            tokens, owners, lengths = [], [], []
+            tokens, owners, lengths, places = [], [], [], []
             for i, own in ordered_sets(batch, rule.k, rank):
                 ids[i], sizes[i], bits[i] = set_id(own), len(own), parity(own)
                 if int(ids[i]) not in seen:
@@ -160,101 +169,113 @@ def _rows_and_prefixes(docs: DataFrame, rule: Rule, rank_sent, buckets: int) ->
                     p = rule.prefix(len(own))
                     tokens.append(own[:p])
                     owners.append(np.full(p, ids[i]))
-                    lengths.append(np.full(p, len(own)))
+                    lengths.append(np.full(p, len(own), np.int32))
+                    places.append(np.arange(p, dtype=np.int32))
             none = pa.nulls(n_rows, pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(ids), pa.array(sizes), pa.array(bits, pa.binary()), pa.nulls(n_rows, pa.int32()), none, none, none],
-                names=["doc_id", "sid", "n", "bits", "bucket", "tokens", "owners", "lengths"],
+                [batch.column("doc_id"), pa.array(ids), pa.array(sizes), pa.array(bits, pa.binary()), pa.nulls(n_rows, pa.int32()), none, none, none, none],
+                names=["doc_id", "sid", "n", "bits", "bucket", "tokens", "owners", "lengths", "places"],
             )
             if not tokens:
                 continue
-            t, o, m = np.concatenate(tokens), np.concatenate(owners), np.concatenate(lengths)
-            where = (t % np.uint64(buckets)).astype(np.int32)
+            t, o, m, j = (np.concatenate(x) for x in (tokens, owners, lengths, places))
+            where = ((t + _part(t, o, hot) * K.U64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(where, kind="stable")
             cut = np.searchsorted(where[order], np.arange(buckets + 1))
             some = [i for i in range(buckets) if cut[i] < cut[i + 1]]
             at = [order[cut[i] : cut[i + 1]] for i in some]
             none = pa.nulls(len(some), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [
-                    none, none, none, pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()),
-                    *[pa.array([x[i].tobytes() for i in at], pa.binary()) for x in (t, o, m.astype(np.int32))],
-                ],
-                names=["doc_id", "sid", "n", "bits", "bucket", "tokens", "owners", "lengths"],
-            )
-
-    schema = "doc_id long, sid long, n long, bits binary, bucket int, tokens binary, owners binary, lengths binary"
+                [none, none, none, pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), *[pa.array([x[i].tobytes() for i in at], pa.binary()) for x in (t, o, m, j)]],
+                names=["doc_id", "sid", "n", "bits", "bucket", "tokens", "owners", "lengths", "places"],
+            )
+
+    schema = "doc_id long, sid long, n long, bits binary, bucket int, tokens binary, owners binary, lengths binary, places binary"
     return docs.select("doc_id", "text").mapInArrow(build, schema)
 
 
-def _lists(entries: DataFrame) -> DataFrame:
-    """name, members and sizes (packed, in order of size) of each inverted list of two or more sets, once for each choice of members."""
+def _part(tokens: np.ndarray, owners: np.ndarray, hot: int) -> np.ndarray:
+    """The part of its run's list that an entry belongs to: 1 for all, but for runs that may occur over `hot` times."""
+    parts = K.U64(1) << np.maximum((tokens >> np.uint64(58)).astype(np.int64) - max(0, hot.bit_length() - 1), 0).astype(np.uint64)
+    return np.where(parts > 1, K.U64(2) + K.mix(owners.view(np.uint64)) % parts, K.U64(1))
+
+
+def _lists(entries: DataFrame, hot: int) -> DataFrame:
+    """run, split and the members, sizes and places (packed, in order of size and place) of each inverted list of two or more sets.
+
+    Lists with the same members are the same list, whose run is the least of theirs.  A hot run has several lists; they
+    are all kept, as are those of one set, as pairs across them are still to be found.
+    """
 
     def build(table: pa.Table) -> pa.Table:
         get = lambda c, t: np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()])
-        t, o, n = get("tokens", np.uint64), get("owners", np.int64), get("lengths", np.int32)
-        order = np.lexsort((o, n, t))
-        t, o, n = t[order], o[order], n[order]
-        keep = np.ones(len(t), dtype=bool)
-        keep[1:] = (t[1:] != t[:-1]) | (o[1:] != o[:-1])
-        t, o, n = t[keep], o[keep], n[keep]
-        heads = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+        t, o, n, j = get("tokens", np.uint64), get("owners", np.int64), get("lengths", np.int32), get("places", np.int32)
+        part = _part(t, o, hot)
+        order = np.lexsort((o, j, n, part, t))
+        t, o, n, j, part = t[order], o[order], n[order], j[order], part[order]
+        same = (t[1:] == t[:-1]) & (part[1:] == part[:-1])
+        keep = np.concatenate(([True], ~same | (o[1:] != o[:-1])))
+        t, o, n, j, part = t[keep], o[keep], n[keep], j[keep], part[keep]
+        heads = np.flatnonzero(np.concatenate(([True], (t[1:] != t[:-1]) | (part[1:] != part[:-1]))))
         ends = np.append(heads[1:], len(t))
-        found = {}
-        for a, b in zip(heads[ends - heads > 1].tolist(), ends[ends - heads > 1].tolist(), strict=True):
-            members = o[a:b].tobytes()
-            found.setdefault(blake2b(members, digest_size=16).digest(), (members, n[a:b].tobytes(), b - a))
-        return pa.table(
-            {"name": pa.array(list(found), pa.binary()), **{c: pa.array([v[i] for v in found.values()], k) for i, (c, k) in enumerate((("members", pa.binary()), ("sizes", pa.binary()), ("width", pa.int64())))}}
-        )
+        wanted = (ends - heads > 1) | (part[heads] > 1)
+        found: dict[bytes, tuple] = {}
+        for a, b in zip(heads[wanted].tolist(), ends[wanted].tolist(), strict=True):
+            members, split = o[a:b].tobytes(), bool(part[a] > 1)
+            name = blake2b(members + (t[a].tobytes() + part[a].tobytes() if split else b""), digest_size=16).digest()
+            if name not in found:  # runs stand in order: the least comes first
+                found[name] = (int(t[a]), split, members, n[a:b].tobytes(), j[a:b].tobytes())
+        kinds = (("run", pa.int64()), ("split", pa.bool_()), ("members", pa.binary()), ("sizes", pa.binary()), ("places", pa.binary()))
+        return pa.table({"name": pa.array(list(found), pa.binary()), **{c: pa.array([v[i] for v in found.values()], k) for i, (c, k) in enumerate(kinds)}})
 
-    lists = entries.groupBy("bucket").applyInArrow(build, "name binary, members binary, sizes binary, width long")
-    return lists.groupBy("name").agg(*[F.first(c).alias(c) for c in ("members", "sizes", "width")])
+    lists = entries.groupBy("bucket").applyInArrow(build, "name binary, run long, split boolean, members binary, sizes binary, places binary")
+    least = lists.groupBy("name").agg(F.min_by(F.struct("run", "split", "members", "sizes", "places"), "run").alias("x"))
+    return least.select("x.*", (F.octet_length("x.members") / 8).cast("long").alias("width"))
 
 
 def _first_pairs(lists: DataFrame, rule: Rule, short: int) -> DataFrame:
-    """a < b: all fitting pairs of short lists; of long lists, each member with the middle one."""
+    """a < b: all pairs in reach of short lists; of long lists, each member with the pivot."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: set[tuple[int, int]] = set()
-            for members, sizes in zip(batch.column("members").to_pylist(), batch.column("sizes").to_pylist(), strict=True):
-                o, n = np.frombuffer(members, np.int64).tolist(), np.frombuffer(sizes, np.int32).tolist()
-                if len(o) <= short:
+            for members, sizes, places in zip(*[batch.column(c).to_pylist() for c in ("members", "sizes", "places")], strict=True):
+                if len(members) <= short * 8:
+                    o, n, at = np.frombuffer(members, np.int64).tolist(), np.frombuffer(sizes, np.int32).tolist(), np.frombuffer(places, np.int32).tolist()
                     for j in range(1, len(o)):
                         for i in range(j - 1, -1, -1):
                             if not rule.sizes_fit(n[i], n[j]):
                                 break  # members before are smaller still: skip the block
-                            out.add((min(o[i], o[j]), max(o[i], o[j])))
+                            if rule.in_reach(n[i], at[i], n[j], at[j]):
+                                out.add((min(o[i], o[j]), max(o[i], o[j])))
                 else:
-                    mid = len(o) // 2
-                    for i in range(len(o)):
-                        if i != mid and rule.sizes_fit(min(n[i], n[mid]), max(n[i], n[mid])):
-                            out.add((min(o[i], o[mid]), max(o[i], o[mid])))
+                    o, n, at = np.frombuffer(members, np.int64), np.frombuffer(sizes, np.int32).astype(np.int64), np.frombuffer(places, np.int32).astype(np.int64)
+                    mid = int(np.lexsort((abs(np.arange(len(o)) - len(o) // 2), at))[0])
+                    for x in o[rule.in_reach(n, at, n[mid], at[mid]) & (o != o[mid])].tolist():
+                        out.add((min(x, int(o[mid])), max(x, int(o[mid]))))
             a, b = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return lists.select("members", "sizes").mapInArrow(build, "a long, b long").distinct()
+    return lists.select("members", "sizes", "places").mapInArrow(build, "a long, b long").distinct()
 
 
 def _near(pairs: DataFrame, info: DataFrame, rule: Rule) -> DataFrame:
-    """The pairs whose bitmaps allow a link, with their bitmap distance."""
+    """The pairs whose bitmaps allow a link."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             c = [batch.column(x).to_pylist() for x in ("a", "b", "na", "nb", "xa", "xb")]
-            out = [(a, b, d) for a, b, n, m, x, y in zip(*c, strict=True) if (d := least_difference(x, y)) <= rule.may_differ(n + m)]
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "d": pa.array([x[2] for x in out], pa.int32())})
+            out = [(a, b) for a, b, n, m, x, y in zip(*c, strict=True) if least_difference(x, y) <= rule.may_differ(n + m)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
     side = lambda s: info.select(F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("bits").alias(f"x{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(build, "a long, b long, d int")
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "xa", "xb").mapInArrow(build, "a long, b long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, rule: Rule, rank_sent) -> DataFrame:
-    """The pairs that link, by their whole sets."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted = stash(info.join(ends, "sid", "left_semi").select("sid", "rep"))
-    sent = F.broadcast if wanted.count() <= MOST_SENT else lambda df: df  # else the texts meet the ids in a shuffled join
+def _whole_sets(sids: DataFrame, docs: DataFrame, info: DataFrame, rule: Rule, rank_sent, most_sent: int) -> DataFrame:
+    """sid and tokens of the given sets, from the texts of their documents."""
+    wanted = stash(info.join(sids.distinct(), "sid", "left_semi").select("sid", "rep"))
+    sent = F.broadcast if wanted.count() <= most_sent else lambda df: df  # else the texts meet the ids in a shuffled join
     ids = sent(wanted.select(F.col("rep").alias("doc_id")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,103 +283,137 @@ def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, rule: Rule, ra
             got = {set_id(own): own.tobytes() for _, own in ordered_sets(batch, rule.k, rank_sent.value)}
             yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.binary())], names=["sid", "tokens"])
 
+    held = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(sets, "sid long, tokens binary")
+    return stash(held.join(sent(wanted.select("sid")), "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens")))
+
+
+def _in_common(x: np.ndarray, y: np.ndarray) -> int:
+    """Runs that two sorted sets share."""
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    return int((y[at] == x).sum())
+
+
+def _verified(pairs: DataFrame, held: DataFrame, rule: Rule) -> DataFrame:
+    """The pairs that link, by their whole sets."""
+
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for a, b, x, y in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "xa", "xb")], strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-                if rule.linked(both, len(x) + len(y)):
+                if rule.linked(_in_common(x, y), len(x) + len(y)):
                     out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in out], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    held = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(sets, "sid long, tokens binary")
-    held = stash(held.join(sent(wanted.select("sid")), "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens")))
     side = lambda s: held.select(F.col("sid").alias(s), F.col("tokens").alias(f"x{s}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "xa", "xb").mapInArrow(link, "a long, b long")
 
 
-def _across(lists: DataFrame, info: DataFrame, roots: DataFrame, rule: Rule, most: int, block: int) -> DataFrame:
-    """Near pairs of long lists whose sets are in different components: at most `most` for two components, the nearest first; more: there are others."""
+def _open_members(lists: DataFrame, roots: DataFrame, rule: Rule, short: int) -> DataFrame:
+    """run, sid, root, place and n of the members of long and split lists that a set of another component may be in reach of."""
+
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, members in enumerate(batch.column("members").to_pylist()):
+            for i, (members, sizes, places) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("members", "sizes", "places")], strict=True)):
                 sid = np.frombuffer(members, np.int64)
-                at = pa.array(np.full(len(sid), i))
-                yield pa.RecordBatch.from_arrays([batch.column("name").take(at), batch.column("width").take(at), pa.array(sid)], names=["name", "width", "sid"])
+                arrays = [batch.column("run").take(pa.array(np.full(len(sid), i))), pa.array(sid), pa.array(np.frombuffer(sizes, np.int32)), pa.array(np.frombuffer(places, np.int32))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["run", "sid", "n", "place"])
+
+    longer = lists.where((F.col("width") > short) | F.col("split")).select("run", "members", "sizes", "places")
+    members = longer.mapInArrow(unpack, "run long, sid long, n int, place int")
+    members = stash(members.join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid")))
+    # the least place of a run's list, and the least one among the other components
+    first = members.groupBy("run").agg(F.min(F.struct("place", "root")).alias("f"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    first = stash(first.where("lo <> hi").select("run", F.col("f.place").alias("place1"), F.col("f.root").alias("root1")))
+    mixed = members.join(first, "run")
+    second = mixed.where("root <> root1").groupBy("run").agg(F.min("place").alias("place2"))
+    mixed = mixed.join(second, "run").withColumn("other", F.when(F.col("root") == F.col("root1"), F.col("place2")).otherwise(F.col("place1")))
+    # y of a link has at most n * den / num runs, so x and y differ in at most n * (den - num) / num
+    return stash(mixed.where((F.col("place") + F.col("other")) * rule.num <= F.col("n").cast("long") * (rule.den - rule.num)).select("run", "sid", "root", "place", "n"))
+
+
+def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity bitmaps of one width: some four bits for each run of the largest set."""
+    width = 1 << min(14, max(8, int(4 * max(map(len, sets)) - 1).bit_length()))
+    out = np.zeros((len(sets), width // 8), np.uint8)
+    for i, own in enumerate(sets):
+        out[i] = np.packbits((np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8))
+    return out.view(np.uint64)
+
+
+def _joining_links(n: np.ndarray, place: np.ndarray, root: np.ndarray, own: np.ndarray | None, sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
+    """A forest of verified links between components.  With `own`, only pairs of different blocks are looked at."""
+    order = np.lexsort((place, n))
+    n, place, sets = n[order], place[order], [sets[i] for i in order]
+    names, root = np.unique(root[order], return_inverse=True)
+    own = None if own is None else own[order]
+    up = np.arange(len(names))
+
+    def top(i: int) -> int:
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = int(up[i])
+        return i
+
+    bits, out = _bitmaps(sets), []
+    main = int(np.bincount(root).argmax())
+    for x in np.flatnonzero(root != main).tolist():
+        lo = int(np.searchsorted(n, -(-rule.num * n[x] // rule.den)))
+        hi = int(np.searchsorted(n, rule.den * n[x] // rule.num, side="right"))
+        # pairs of two sets outside the main component come up twice: once is enough
+        seen = (root[lo:hi] != root[x]) & ((root[lo:hi] == main) | (np.arange(lo, hi) < x)) & rule.in_reach(n[lo:hi], place[lo:hi], n[x], place[x])
+        if own is not None:
+            seen &= own[lo:hi] != own[x]
+        at = np.flatnonzero(seen) + lo
+        if not len(at):
+            continue
+        differ = np.bitwise_count(bits[at] ^ bits[x]).sum(axis=1)
+        near = differ * (rule.den + rule.num) <= (rule.den - rule.num) * (n[at] + n[x])
+        for y in at[near][np.argsort(differ[near], kind="stable")].tolist():
+            a, b = top(root[x]), top(root[y])
+            if a != b and rule.linked(_in_common(sets[x], sets[y]), int(n[x] + n[y])):
+                up[max(a, b)] = min(a, b)
+                out.append((int(names[root[x]]), int(names[root[y]])))
+    return out
+
 
-    members = lists.select("name", "width", "members").mapInArrow(unpack, "name binary, width long, sid long")
-    parts = F.ceil(F.col("width") / block).cast("int")
-    own = F.pmod(F.xxhash64("sid"), parts).cast("int")
-    members = members.select("name", "sid", parts.alias("parts"), own.alias("own"))
-    dealt = members.select("name", "sid", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    dealt = dealt.select("name", "sid", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
-    dealt = dealt.join(info.select("sid", "n", "bits"), "sid").join(roots, "sid", "left").withColumn("root", F.coalesce("root", "sid"))
+def _across(left: DataFrame, held: DataFrame, rule: Rule, block: int) -> DataFrame:
+    """a and b: links between components, found and verified in tasks that each hold two blocks of a list."""
+    blocks = left.groupBy("run").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = left.join(blocks, "run").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("run", "sid", "root", "place", "n", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).join(held, "sid")
 
     def build(table: pa.Table) -> pa.Table:
-        c = {x: table.column(x).to_pylist() for x in ("sid", "n", "bits", "root", "own", "lo", "hi")}
-        whole = c["lo"][0] == c["hi"][0]
-        order = sorted(range(len(c["sid"])), key=lambda i: (c["n"][i], c["sid"][i]))
-        weight: dict[int, int] = {}
-        for r in c["root"]:
-            weight[r] = weight.get(r, 0) + 1
-        best: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        if len(weight) > 1:
-            main = max(weight, key=weight.__getitem__)
-            at = {i: p for p, i in enumerate(order)}
-            for i in order:
-                if c["root"][i] == main:
-                    continue
-                for step in (-1, 1):
-                    p = at[i] + step
-                    while 0 <= p < len(order):
-                        j = order[p]
-                        if not rule.sizes_fit(min(c["n"][i], c["n"][j]), max(c["n"][i], c["n"][j])):
-                            break
-                        p += step
-                        if c["root"][j] == c["root"][i] or (c["root"][j] != main and c["sid"][j] < c["sid"][i]) or (not whole and c["own"][i] == c["own"][j]):
-                            continue
-                        d = least_difference(c["bits"][i], c["bits"][j])
-                        if d <= rule.may_differ(c["n"][i] + c["n"][j]):
-                            key = (min(c["root"][i], c["root"][j]), max(c["root"][i], c["root"][j]))
-                            best.setdefault(key, []).append((d, min(c["sid"][i], c["sid"][j]), max(c["sid"][i], c["sid"][j])))
-        out = [(a, b, len(v) > most) for v in best.values() for _, a, b in sorted(set(v))[:most]]
-        return pa.table({"name": pa.array([table.column("name")[0].as_py()] * len(out), pa.binary()), "a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "more": pa.array([x[2] for x in out], pa.bool_())})
-
-    return dealt.groupBy("name", "lo", "hi").applyInArrow(build, "name binary, a long, b long, more boolean")
-
-
-def links(docs: DataFrame, rule: Rule = Rule(), short: int = 12, block: int = 4096) -> tuple[DataFrame, DataFrame]:
-    """(rows, linked): doc_id, sid and n of each row; and root of each sid that has a link and is not its own root."""
+        n, place, root, own = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "place", "root", "own"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
+        whole = table.column("lo")[0] == table.column("hi")[0]
+        out = _joining_links(n, place, root, None if whole else own, sets, rule)
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return dealt.select("run", "lo", "hi", "place", "root", "own", "n", "tokens").groupBy("run", "lo", "hi").applyInArrow(build, "a long, b long")
+
+
+def links(docs: DataFrame, rule: Rule = Rule(), short: int = 12, block: int = 4096, hot: int = 1 << 18, most_sent: int = MOST_SENT) -> tuple[DataFrame, DataFrame]:
+    """(rows, roots): doc_id, sid and n of each row; and root of each sid that has a link and is not its own root."""
     spark = docs.sparkSession
     counts = run_counts(docs, rule)
-    rank = np.ceil(np.log2(counts + 1)).astype(np.uint64)
-    rank_sent = spark.sparkContext.broadcast(rank)  # 2**SLOT_BITS numbers
+    rank = np.minimum(np.ceil(np.log2(counts + 1)), 31).astype(np.uint8)
+    rank_sent = spark.sparkContext.broadcast(rank)  # 2**SLOT_BITS bytes
     buckets = pieces(int(counts.sum()) * (rule.den - rule.num) // rule.den, 400_000)
-    both = stash(_rows_and_prefixes(docs, rule, rank_sent, buckets))
+    both = stash(_rows_and_prefixes(docs, rule, rank_sent, buckets, hot))
     rows = both.where("bucket is null").select("doc_id", "sid", "n", "bits")
     named = rows.where("doc_id is not null and n > 0")
     info = stash(named.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
-    lists = stash(_lists(both.where("bucket is not null").select("bucket", "tokens", "owners", "lengths")))
-
-    tried = stash(_near(_first_pairs(lists, rule, short), info, rule)).select("a", "b")
-    held = stash(_verified(tried, docs, info, rule, rank_sent))
-    roots = _roots(spark, held)
-    long_lists = lists.where(F.col("width") > short)
-    most = 8
-    while long_lists.limit(1).count():
-        found = stash(_across(long_lists, info, roots, rule, most, block))
-        new = stash(found.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"))
-        if new.limit(1).count():
-            linked = stash(_verified(new, docs, info, rule, rank_sent))
-            tried = tried.unionByName(new)
-            if linked.limit(1).count():
-                # the stars so far stand for all links before
-                roots = _roots(spark, roots.select(F.col("sid").alias("a"), F.col("root").alias("b")).unionByName(linked))
-        # a list that gave all its pairs across components is done: components only grow
-        long_lists = lists.join(found.where("more").select("name").distinct(), "name", "left_semi")
-        most *= 16
-    return rows.select("doc_id", "sid", "n"), roots
+    lists = stash(_lists(both.where("bucket is not null").select("bucket", "tokens", "owners", "lengths", "places"), hot))
+    sets = lambda sids: _whole_sets(sids, docs, info, rule, rank_sent, most_sent)
+
+    near = stash(_near(_first_pairs(lists, rule, short), info, rule))
+    roots = _roots(spark, stash(_verified(near, sets(near.select(F.explode(F.array("a", "b")).alias("sid"))), rule)))
+    left = _open_members(lists, roots, rule, short)
+    joining = stash(_across(left, sets(left.select("sid")), rule, block))
+    # the stars so far stand for all links before
+    return rows.select("doc_id", "sid", "n"), _roots(spark, stash(roots.select(F.col("sid").alias("a"), F.col("root").alias("b")).unionByName(joining)))
 
 
 def _roots(spark, held: DataFrame) -> DataFrame:

@@ -292,8 +292,8 @@ def shingle_sets(rows, k):
     return out
 
 
-@pytest.mark.parametrize("short", [12, 1])
-def test_set_join(spark, docs, empty, short):
+@pytest.mark.parametrize(("short", "hot", "sent"), [(12, 1 << 18, 1_000_000), (1, 1 << 18, 1_000_000), (1, 4, 0)])
+def test_set_join(spark, docs, empty, short, hot, sent):
     rnd = random.Random(8)
     rows = [(d, t) for d, t, *_ in corpus()[:14]]
     base = [rnd.choice(WORDS) + str(rnd.randrange(50)) for _ in range(150)]
@@ -314,7 +314,7 @@ def test_set_join(spark, docs, empty, short):
                     root[a] = root[b] = min(root[a], root[b])
                     changed = True
     whole = setjoin.links
-    setjoin.links = lambda d, rule: whole(d, rule, short=short, block=16)
+    setjoin.links = lambda d, rule: whole(d, rule, short=short, block=16, hot=hot, most_sent=sent)
     try:
         got = {r["doc_id"]: r for r in setjoin.op10_jaccard_join(df).collect()}
     finally:
@@ -325,6 +325,43 @@ def test_set_join(spark, docs, empty, short):
         assert setjoin.op10_jaccard_join(docs).count() == 16 and setjoin.op10_jaccard_join(empty).count() == 0
 
 
+@pytest.mark.parametrize("base_too", [True, False])
+def test_set_join_of_many_near_copies(spark, base_too):
+    """Copies with one or two edits each, of which most link to the base or to nothing but some link through a shared edit."""
+    rnd = random.Random(21)
+    base = [rnd.choice(WORDS) + str(i) for i in range(60)]
+    rows = [(0, " ".join(base))] if base_too else []
+    for i in range(1, 160):
+        new = list(base)
+        for _ in range(rnd.randint(1, 3)):
+            at = rnd.randrange(60)
+            new[at] = f"edit{at % 7}" if rnd.random() < 0.5 else f"own{i}"
+        rows.append((i, " ".join(new)))
+    rule = setjoin.Rule(k=5, num=8, den=10)
+    sets = shingle_sets(rows, 5)
+    root = {d: d for d in sets}
+
+    def top(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for a in sets:
+        for b in sets:
+            if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b]):
+                x, y = top(a), top(b)
+                root[max(x, y)] = min(x, y)
+    want = {d: top(d) for d in sets}
+    assert 1 < len(set(want.values())) < len(rows)
+    whole = setjoin.links
+    setjoin.links = lambda d, rule: whole(d, rule, short=3, block=32, hot=16)
+    try:
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert {r["doc_id"]: r["component_id"] for r in setjoin.jaccard_components(df, rule).collect()} == want
+    finally:
+        setjoin.links = whole
+
+
 def test_pipeline_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "mixing", "sharding"]
 
