@@ -15,8 +15,8 @@ when den * |x & y| >= num * |x | y|.  The join loses no link and works on distin
    the sets may differ in runs, and the rest is verified on whole sets.
 5. A set that links to a pivot takes over the pivot's answers: it is in the pivot's component, and no pair within a
    component is looked at again.  What remains of a long list are sets of different components whose positions are
-   within reach.  These meet in a task with their whole sets, are verified there, and only links that join two
-   components come out: fewer than there are sets.
+   within reach.  A task that compares their bitmaps gives the sets that may link; these meet in a task with their
+   whole sets, are verified there, and only links that join two components come out: fewer than there are sets.
 
 So no row is made for a pair within a group of copies, no link between components is lost, and no list is cut.  A
 list of over `block` sets is dealt to tasks as pairs of blocks, and a run with over `hot` occurrences is dealt to
@@ -135,9 +135,9 @@ def set_id(tokens: np.ndarray) -> int:
     return int.from_bytes(blake2b(tokens.tobytes(), digest_size=8).digest(), "big", signed=True)
 
 
-def parity(tokens: np.ndarray) -> bytes:
-    """Bit i is the parity of the runs that fall on it; some two bits for each run."""
-    bits = 1 << min(16, max(7, int(2 * len(tokens) - 1).bit_length()))
+def parity(tokens: np.ndarray, each: int = 2) -> bytes:
+    """Bit i is the parity of the runs that fall on it; some `each` bits for each run."""
+    bits = 1 << min(16, max(7, int(each * len(tokens) - 1).bit_length()))
     return np.packbits((np.bincount((tokens & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -332,22 +332,75 @@ def _open_members(lists: DataFrame, roots: DataFrame, rule: Rule, short: int) ->
     return stash(mixed.where((F.col("place") + F.col("other")) * rule.num <= F.col("n").cast("long") * (rule.den - rule.num)).select("run", "sid", "root", "place", "n"))
 
 
-def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Parity bitmaps of one width: some four bits for each run of the largest set."""
-    width = 1 << min(14, max(8, int(4 * max(map(len, sets)) - 1).bit_length()))
-    out = np.zeros((len(sets), width // 8), np.uint8)
-    for i, own in enumerate(sets):
-        out[i] = np.packbits((np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1).astype(np.uint8))
-    return out.view(np.uint64)
+class _List:
+    """Members of a list in order of size, and what each one may have to be compared with."""
+
+    def __init__(self, n: np.ndarray, place: np.ndarray, root: np.ndarray, own: np.ndarray | None, rule: Rule):
+        self.order = np.lexsort((place, n))
+        self.n, self.place, self.rule = n[self.order], place[self.order], rule
+        self.names, self.root = np.unique(root[self.order], return_inverse=True)
+        self.own = None if own is None else own[self.order]
+
+    def probes(self) -> Iterator[tuple[int, np.ndarray]]:
+        """Each member outside the largest component, and the members of other components whose size and place are in reach."""
+        n, place, root, rule = self.n, self.place, self.root, self.rule
+        main = int(np.bincount(root).argmax())
+        for x in np.flatnonzero(root != main).tolist():
+            lo = int(np.searchsorted(n, -(-rule.num * n[x] // rule.den)))
+            hi = int(np.searchsorted(n, rule.den * n[x] // rule.num, side="right"))
+            # pairs of two sets outside the main component come up twice: once is enough
+            seen = (root[lo:hi] != root[x]) & ((root[lo:hi] == main) | (np.arange(lo, hi) < x)) & rule.in_reach(n[lo:hi], place[lo:hi], n[x], place[x])
+            if self.own is not None:
+                seen &= self.own[lo:hi] != self.own[x]
+            if seen.any():
+                yield x, np.flatnonzero(seen) + lo
+
+    def near(self, x: int, at: np.ndarray, differ: np.ndarray) -> np.ndarray:
+        return differ * (self.rule.den + self.rule.num) <= (self.rule.den - self.rule.num) * (self.n[at] + self.n[x])
+
+
+class _Bitmaps:
+    """Parity bitmaps of the members' own widths, and folded to half of them, as matrices."""
+
+    def __init__(self, bits: list[bytes]):
+        self.width = np.array([len(b) for b in bits])
+        self.rows: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in sorted({int(x) for own in set(self.width.tolist()) for x in (own, own // 2)}):
+            at = np.flatnonzero((self.width == w) | (self.width == 2 * w))
+            full = [np.frombuffer(bits[i], np.uint8) for i in at.tolist()]
+            matrix = np.stack([f if len(f) == w else f[:w] ^ f[w:] for f in full])
+            row = np.full(len(bits), -1)
+            row[at] = np.arange(len(at))
+            self.rows[w] = (row, matrix.view(np.uint64) if w % 8 == 0 else matrix)
+
+    def differ(self, x: int, at: np.ndarray) -> np.ndarray:
+        """Bits in which x differs from each of `at`, at the smaller width; 0 where widths are further apart than sizes in reach make them."""
+        out = np.zeros(len(at), np.int64)
+        for w in (int(self.width[x]), int(self.width[x]) // 2):
+            row, matrix = self.rows[w]
+            pick = np.flatnonzero(np.minimum(self.width[at], self.width[x]) == w)
+            pick = pick[row[at[pick]] >= 0]
+            if len(pick) and row[x] >= 0:
+                out[pick] = np.bitwise_count(matrix[row[at[pick]]] ^ matrix[row[x]]).sum(axis=1)
+        return out
+
+
+def _in_touch(members: _List, bits: list[bytes]) -> np.ndarray:
+    """Which members have another one of a different component that may link to them."""
+    maps, out = _Bitmaps([bits[i] for i in members.order]), np.zeros(len(bits), bool)
+    for x, at in members.probes():
+        near = at[members.near(x, at, maps.differ(x, at))]
+        if len(near):
+            out[members.order[x]] = True
+            out[members.order[near]] = True
+    return out
 
 
-def _joining_links(n: np.ndarray, place: np.ndarray, root: np.ndarray, own: np.ndarray | None, sets: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
-    """A forest of verified links between components.  With `own`, only pairs of different blocks are looked at."""
-    order = np.lexsort((place, n))
-    n, place, sets = n[order], place[order], [sets[i] for i in order]
-    names, root = np.unique(root[order], return_inverse=True)
-    own = None if own is None else own[order]
-    up = np.arange(len(names))
+def _joining_links(members: _List, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """A forest of verified links between components."""
+    sets = [sets[i] for i in members.order]
+    maps = _Bitmaps([parity(x, 4) for x in sets])
+    up, out = np.arange(len(members.names)), []
 
     def top(i: int) -> int:
         while up[i] != i:
@@ -355,43 +408,50 @@ def _joining_links(n: np.ndarray, place: np.ndarray, root: np.ndarray, own: np.n
             i = int(up[i])
         return i
 
-    bits, out = _bitmaps(sets), []
-    main = int(np.bincount(root).argmax())
-    for x in np.flatnonzero(root != main).tolist():
-        lo = int(np.searchsorted(n, -(-rule.num * n[x] // rule.den)))
-        hi = int(np.searchsorted(n, rule.den * n[x] // rule.num, side="right"))
-        # pairs of two sets outside the main component come up twice: once is enough
-        seen = (root[lo:hi] != root[x]) & ((root[lo:hi] == main) | (np.arange(lo, hi) < x)) & rule.in_reach(n[lo:hi], place[lo:hi], n[x], place[x])
-        if own is not None:
-            seen &= own[lo:hi] != own[x]
-        at = np.flatnonzero(seen) + lo
-        if not len(at):
-            continue
-        differ = np.bitwise_count(bits[at] ^ bits[x]).sum(axis=1)
-        near = differ * (rule.den + rule.num) <= (rule.den - rule.num) * (n[at] + n[x])
+    for x, at in members.probes():
+        differ = maps.differ(x, at)
+        near = members.near(x, at, differ)
         for y in at[near][np.argsort(differ[near], kind="stable")].tolist():
-            a, b = top(root[x]), top(root[y])
-            if a != b and rule.linked(_in_common(sets[x], sets[y]), int(n[x] + n[y])):
+            a, b = top(members.root[x]), top(members.root[y])
+            if a != b and members.rule.linked(_in_common(sets[x], sets[y]), int(members.n[x] + members.n[y])):
                 up[max(a, b)] = min(a, b)
-                out.append((int(names[root[x]]), int(names[root[y]])))
+                out.append((int(members.names[members.root[x]]), int(members.names[members.root[y]])))
     return out
 
 
-def _across(left: DataFrame, held: DataFrame, rule: Rule, block: int) -> DataFrame:
-    """a and b: links between components, found and verified in tasks that each hold two blocks of a list."""
+def _dealt(left: DataFrame, block: int) -> DataFrame:
+    """Members of lists with own, lo and hi: every pair of blocks of a list is a task's."""
     blocks = left.groupBy("run").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     dealt = left.join(blocks, "run").withColumn("own", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("run", "sid", "root", "place", "n", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).join(held, "sid")
+    return dealt.select(*left.columns, "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+
+def _list_of(table: pa.Table, rule: Rule) -> _List:
+    n, place, root, own = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "place", "root", "own"))
+    return _List(n, place, root, None if table.column("lo")[0] == table.column("hi")[0] else own, rule)
+
+
+def _members_in_touch(left: DataFrame, info: DataFrame, rule: Rule, block: int) -> DataFrame:
+    """The members of `left` that may link to another component, by their bitmaps: a row for a member, not for a pair."""
+
+    def build(table: pa.Table) -> pa.Table:
+        hit = _in_touch(_list_of(table, rule), table.column("bits").to_pylist())
+        return table.select(["run", "sid", "root", "place", "n"]).filter(pa.array(hit))
+
+    dealt = _dealt(left, block).join(info.select("sid", "bits"), "sid")
+    found = dealt.groupBy("run", "lo", "hi").applyInArrow(build, "run long, sid long, root long, place int, n int")
+    return stash(found.distinct())
+
+
+def _across(left: DataFrame, held: DataFrame, rule: Rule, block: int) -> DataFrame:
+    """a and b: links between components, found and verified in tasks that each hold two blocks of a list."""
 
     def build(table: pa.Table) -> pa.Table:
-        n, place, root, own = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "place", "root", "own"))
-        sets = [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()]
-        whole = table.column("lo")[0] == table.column("hi")[0]
-        out = _joining_links(n, place, root, None if whole else own, sets, rule)
+        out = _joining_links(_list_of(table, rule), [np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()])
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    return dealt.select("run", "lo", "hi", "place", "root", "own", "n", "tokens").groupBy("run", "lo", "hi").applyInArrow(build, "a long, b long")
+    return _dealt(left, block).join(held, "sid").drop("sid").groupBy("run", "lo", "hi").applyInArrow(build, "a long, b long")
 
 
 def links(docs: DataFrame, rule: Rule = Rule(), short: int = 12, block: int = 4096, hot: int = 1 << 18, most_sent: int = MOST_SENT) -> tuple[DataFrame, DataFrame]:
@@ -410,7 +470,7 @@ def links(docs: DataFrame, rule: Rule = Rule(), short: int = 12, block: int = 40
 
     near = stash(_near(_first_pairs(lists, rule, short), info, rule))
     roots = _roots(spark, stash(_verified(near, sets(near.select(F.explode(F.array("a", "b")).alias("sid"))), rule)))
-    left = _open_members(lists, roots, rule, short)
+    left = _members_in_touch(_open_members(lists, roots, rule, short), info, rule, block)
     joining = stash(_across(left, sets(left.select("sid")), rule, block))
     # the stars so far stand for all links before
     return rows.select("doc_id", "sid", "n"), _roots(spark, stash(roots.select(F.col("sid").alias("a"), F.col("root").alias("b")).unionByName(joining)))
