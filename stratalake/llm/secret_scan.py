@@ -3,8 +3,9 @@
 Three base rules (assign, access, hex) are joined by an entropy rule: candidate strings, one pattern for each
 character class, are walked by a window of `window` characters.  The window keeps a count for each symbol of
 the class and the sum of c * log2(c); a step changes two counts, so the Shannon entropy
-log2(window) - sum / window is known without recounting.  Neighbouring windows at or above the class's
-threshold make a span, unless the candidate matches the allow list.
+log2(window) - sum / window is known without recounting.  Counts are packed into a few longs, and a stretch of 60
+windows gives the bits of those at or above the class's threshold, so the work is linear in the candidate's length.
+Neighbouring such windows make a span, unless the candidate as a whole matches the allow list.
 
 Spans are half-open, in code points of the text, and cover the whole match of a rule.  A null text is empty and
 has no spans; repeated rows give repeated results; other columns of the input are not read.
@@ -103,41 +104,60 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
+#: Counters in a long, bits of a counter, and windows whose bits fill a long.
+PACKED, BITS, STRETCH = 12, 5, 60
+
+
 def hot_spans(word: Column, c: CharClass) -> Column:
     """array<struct<a,b>>: where the windows of `word` reach the class's threshold, merged."""
     w = c.window
+    if w >= 1 << BITS:
+        raise ValueError("a window's counts must fit their bits")
     terms = F.array(*[F.lit(x * math.log2(x) if x else 0.0) for x in range(w + 2)])
-    codes = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.instr(F.lit(c.symbols), word.substr(i, F.lit(1))) - 1)
+    units = F.array(*[F.lit(1 << i).cast("long") for i in range(STRETCH + 1)])
+    shifted = lambda x, by: F.call_function("shiftright", x, by)
     start = F.struct(
-        F.array_repeat(F.lit(0), len(c.symbols)).alias("counts"),
-        F.lit(0.0).alias("total"),
-        F.array().cast("array<struct<a:int,b:int>>").alias("spans"),
-        F.lit(0).alias("at"),
-        codes.alias("codes"),
+        F.array_repeat(F.lit(0).cast("long"), -(-len(c.symbols) // PACKED)).alias("counts"), F.lit(0.0).alias("total"), F.lit(0).cast("long").alias("hot"), F.lit(0).alias("at")
     )
 
-    def step(acc: Column, code: Column) -> Column:
-        at, counts = acc["at"], acc["counts"]
-        gone = F.when(at >= w, F.get(acc["codes"], at - w)).otherwise(-1)
-        came = F.get(counts, code)
-        left = F.get(counts, gone)
-        change = F.get(terms, came + 1) - F.get(terms, came) + F.when(gone >= 0, F.get(terms, left - 1) - F.get(terms, left)).otherwise(0.0)
-        total = F.when(gone == code, acc["total"]).otherwise(acc["total"] + change)
-        counted = F.transform(counts, lambda x, i: x + (i == code).cast("int") - (i == gone).cast("int"))
-        hot = (at >= w - 1) & (F.lit(math.log2(w)) - total / w >= c.threshold - 1e-9)
-        a, spans = at - (w - 1), acc["spans"]
-        joins = (F.size(spans) > 0) & (F.element_at(spans, F.greatest(F.size(spans), F.lit(1)))["b"] >= a)
-        longer = F.transform(spans, lambda s, i: F.when(i == F.size(spans) - 1, F.struct(s["a"].alias("a"), (at + 1).alias("b"))).otherwise(s))
-        more = F.concat(spans, F.array(F.struct(a.alias("a"), (at + 1).alias("b"))))
-        return F.struct(
-            counted.alias("counts"),
-            total.alias("total"),
-            F.when(hot & (F.size(spans) == 0), more).when(hot & joins, longer).when(hot, more).otherwise(spans).alias("spans"),
-            (at + 1).alias("at"),
-            acc["codes"].alias("codes"),
-        )
-
-    return F.aggregate(codes, start, step, lambda acc: acc["spans"])
+    def placed(code: Column) -> Column:
+        """Where a symbol's counter is."""
+        by = (code % PACKED) * BITS
+        return F.struct(F.floor(code / PACKED).cast("int").alias("long"), by.alias("by"), F.get(units, by).alias("unit"))
+
+    def bits(stretch: Column) -> Column:
+        def step(acc: Column, came: Column) -> Column:
+            at, counts = acc["at"], acc["counts"]
+            gone = F.get(stretch, at - w)  # null until the window is full
+            of = lambda x: shifted(F.get(counts, x["long"]), x["by"]).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
+            change = F.get(terms, of(came) + 1) - F.get(terms, of(came)) + F.coalesce(F.get(terms, of(gone) - 1) - F.get(terms, of(gone)), F.lit(0.0))
+            same = F.coalesce((gone["long"] == came["long"]) & (gone["by"] == came["by"]), F.lit(False))
+            total = F.when(same, acc["total"]).otherwise(acc["total"] + change)
+            own = lambda x, i: F.when(x["long"] == i, x["unit"]).otherwise(F.lit(0).cast("long"))
+            hot = (at >= w - 1) & (F.lit(math.log2(w)) - total / w >= c.threshold - 1e-9)
+            return F.struct(
+                F.transform(counts, lambda x, i: x + own(came, i) - own(gone, i)).alias("counts"),
+                total.alias("total"),
+                F.when(hot, acc["hot"].bitwiseOR(F.get(units, at - (w - 1)))).otherwise(acc["hot"]).alias("hot"),
+                (at + 1).alias("at"),
+            )
+
+        return F.aggregate(stretch, start, step, lambda acc: acc["hot"])
+
+    def merged(at: Column) -> Column:
+        """Windows that overlap or touch are one span."""
+        starts = F.filter(at, lambda x, i: F.coalesce(x > F.get(at, i - 1) + w, F.lit(True)))
+        last = F.filter(at, lambda x, i: F.coalesce(F.get(at, i + 1) > x + w, F.lit(True)))
+        return F.zip_with(starts, last, lambda a, b: F.struct(a.alias("a"), (b + w).alias("b")))
+
+    def found(codes: Column) -> Column:
+        stretches = F.sequence(F.lit(0), F.floor((F.size(codes) - w) / STRETCH).cast("int"))
+        hot = F.transform(stretches, lambda s: let(F.slice(codes, s * STRETCH + 1, F.lit(STRETCH + w - 1)), bits))
+        is_hot = lambda h, i: shifted(F.get(h, F.floor(i / STRETCH).cast("int")), i % STRETCH).bitwiseAND(F.lit(1).cast("long")) == 1
+        return let(hot, lambda h: let(F.filter(F.sequence(F.lit(0), F.size(codes) - w), lambda i: is_hot(h, i)), merged))
+
+    letters = F.slice(F.split(word, ""), 1, F.length(word))
+    return let(F.transform(letters, lambda x: let(F.instr(F.lit(c.symbols), x) - 1, placed)), found)
 
 
 def entropy_spans(text: Column, c: CharClass, allow: tuple[str, ...] = ALLOW) -> Column:
