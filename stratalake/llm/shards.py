@@ -2,8 +2,13 @@
 
 Pass 1 scatters the records uniformly into memory-sized buckets by a seeded hash and counts each bucket.
 Pass 2 brings each bucket together and deals its records by a Fisher-Yates permutation drawn from the same
-seed.  A bucket's first global place is the sum of the counts before it, so places are gapless; place p goes
-to shard p % shards as slot p // shards, hence shard sizes are at most one apart (the law `rows`).
+seed; `write_shards` writes them.  A bucket's first global place is the sum of the counts before it, so places are
+gapless; place p goes to shard p % shards as slot p // shards, hence shard sizes are at most one apart (the law
+`rows`).
+
+A bucket is full at `bucket_bytes` or `bucket_rows`, whatever comes first.  The deck of a permutation is kept as
+about sqrt(n) blocks of sqrt(n) places, so a swap rewrites two blocks and not the deck.  Rows that agree in doc_id
+and text and are over `hot_rows` many are scattered row by row, else their common hash would put them into one bucket.
 
 Nulls: a null text has no bytes, a null doc_id hashes as any value.  Repeated rows stay as many rows.  An
 empty table gives an empty result.  Columns of the input called like a result column are replaced.
@@ -14,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import pieces, row_hash, without
+from .common import pieces, row_hash, stash, without
 
 #: Buckets whose counts are summed at a time when places are found.
 SPAN = 1024
@@ -26,26 +31,41 @@ def text_bytes(text: Column) -> Column:
 
 def fisher_yates(n: Column, bucket: Column, seed: int) -> Column:
     """array<int>: a permutation of 0..n-1; step k (n-1 down to 1) swaps k with a seeded draw from 0..k."""
+    wide = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
     steps = F.when(n > 1, F.sequence(n - 1, F.lit(1), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    draws = F.transform(steps, lambda k: F.struct(k.alias("k"), F.pmod(row_hash(seed, bucket, k), k + 1).cast("int").alias("j")))
 
-    def swap(deck: Column, draw: Column) -> Column:
-        return F.transform(
-            deck,
-            lambda x, i: F.when(i == draw["k"], F.get(deck, draw["j"])).when(i == draw["j"], F.get(deck, draw["k"])).otherwise(x),
-        )
+    def swapped(w: Column) -> Column:
+        draws = F.transform(steps, lambda k: F.struct(k.alias("k"), F.pmod(row_hash(seed, bucket, k), k + 1).cast("int").alias("j")))
+        starts = F.sequence(F.lit(0), n - 1, w)
+        deck = F.transform(starts, lambda at: F.sequence(at, F.least(at + w, n) - 1))
+
+        def swap(blocks: Column, d: Column) -> Column:
+            block = lambda x: F.floor(x / w).cast("int")
+            value = lambda x: F.get(F.get(blocks, block(x)), x % w)
+            changed = lambda own, i: F.transform(own, lambda x, at: F.when(i * w + at == d["k"], value(d["j"])).when(i * w + at == d["j"], value(d["k"])).otherwise(x))
+            return F.transform(blocks, lambda own, i: F.when((i == block(d["k"])) | (i == block(d["j"])), changed(own, i)).otherwise(own))
+
+        return F.flatten(F.aggregate(draws, deck, swap))
 
-    return F.aggregate(draws, F.sequence(F.lit(0), n - 1), swap)
+    return F.get(F.transform(F.array(wide), swapped), F.lit(0))
 
 
-def shuffle_shards(df: DataFrame, shards: int = 40, seed: int = 20240229, bucket_bytes: int = 4 << 20, bucket_rows: int = 384) -> DataFrame:
+def shuffle_shards(df: DataFrame, shards: int = 40, seed: int = 20240229, bucket_bytes: int = 8 << 20, bucket_rows: int = 8192, hot_rows: int = 2048) -> DataFrame:
     """Every row of `df` with `size` (bytes of text + 16), `shard` and `slot`."""
-    df = without(df, "size", "shard", "slot", "__bucket", "__nth", "__place", "__n", "__deck", "__first")
+    df = without(df, "size", "shard", "slot", "__own", "__bucket", "__nth", "__place", "__n", "__deck", "__first")
     df = df.withColumn("size", text_bytes(F.col("text")) + 16)
     total = df.agg(F.count("*").alias("n"), F.coalesce(F.sum("size"), F.lit(0)).alias("b")).first()
     buckets = max(pieces(total["b"], bucket_bytes), pieces(total["n"], bucket_rows))
-    own = row_hash(seed, F.col("doc_id"), F.col("text"))
-    scattered = df.withColumn("__bucket", F.pmod(own, F.lit(buckets)))
+    keyed = df.withColumn("__own", row_hash(seed, F.col("doc_id"), F.col("text")))
+    hot = keyed.groupBy("__own").agg(F.count("*").alias("__n")).where(F.col("__n") > hot_rows).select("__own", F.lit(1).alias("__n"))
+    n_hot = hot.count()
+    if n_hot:
+        keyed = keyed.join(F.broadcast(hot) if n_hot <= 1_000_000 else hot, "__own", "left")
+        own = F.when(F.col("__n").isNull(), F.col("__own")).otherwise(row_hash(seed + 2, F.monotonically_increasing_id()))
+        # written, as the number of a row must not change between the two passes
+        scattered = stash(keyed.withColumn("__bucket", F.pmod(own, F.lit(buckets))).drop("__own", "__n"))
+    else:
+        scattered = keyed.withColumn("__bucket", F.pmod("__own", F.lit(buckets))).drop("__own")
 
     counts = scattered.groupBy("__bucket").agg(F.count("*").cast("int").alias("__n"))
     spans = counts.groupBy(F.expr(f"__bucket div {SPAN}").alias("span")).agg(F.sum("__n").alias("n"))
