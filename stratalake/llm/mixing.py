@@ -2,44 +2,58 @@
 
 Sources share all words by weight (1, 2, 3 and again, in code point order, null last); a source's target stops
 at `most` times its words and the excess goes to the others by weight.  A document of a source then has the
-expected copies target / words: a whole part and a fraction.  The fractions are rounded by the pivotal method:
-two neighbours by size meet, mass moves at random from one to the other until one is 0 or 1, and the one left
-fractional goes on.  Blocks of a source (of one size class, once a source is larger than a block) are rounded in
-parallel; what is left of each goes up a tree of a fixed fan-in, so no task sees more than a block or a node's
-children.
-
-Draws come from a hash of the row and a seed, and blocks from counts and hashes, so reruns agree.  A null text
-has no words and is never taken; a null source is a source; repeated rows are rows of their own.  Other columns
-pass through `mix` unchanged.
+expected copies target / words: a whole part and a fraction.  The fractions are rounded by the pivotal method on
+words: where two meet, words move at random from one to the other, so that the words taken together stay and each
+one's expected copies stay, until one is at 0 or 1; the one left fractional goes on.
+
+Large documents go first: each of the `HEAD` largest of a source meets all smaller ones at once, which give or take
+its words evenly; one that they cannot make up for goes to the side nearer to the target.  The rest is rounded in parallel in blocks of like sizes (a class for each power of two), in order
+of size; what is left of each block goes up a tree of a fixed fan-in, so no task sees more than a block or a node's
+children.  At last one document of a source is left, which goes to the nearer side: a source misses its target by at
+most half of that document, and that is one of the smaller ones unless a single document outweighs all smaller ones.
+
+Draws come from a hash of the row and a seed, and blocks from counts and hashes, so reruns agree.  Equal rows are
+counted, then numbered, and so fall into different blocks.  A null text has no words and adds none; a null source is
+a source; repeated rows are rows of their own.  Other columns pass through `mix` unchanged.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, pieces, row_hash, stash, without
+from .common import WORD, pieces, row_hash, stash
 
 FAN_IN = 64
-#: Draws of a group; the one whose words come nearest to the expected words counts (a rejective design).
-TRIES = 8
+#: Documents of a source that are rounded against all smaller ones.
+HEAD = 64
+#: Equal rows that are numbered in one place.
+CHUNK = 1024
 SEED = 7919
 
 
+def row_tie(seed: int) -> Column:
+    return row_hash(seed, F.col("doc_id"), F.col("text"), F.col("source"))
+
+
 def sized_rows(docs: DataFrame, seed: int = SEED) -> DataFrame:
-    return docs.select(
-        "doc_id",
-        "source",
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        row_hash(seed, F.col("doc_id"), F.col("text"), F.col("source")).alias("tie"),
-    )
+    """doc_id, source, size, tie (of the row) and n, the number of rows equal in these."""
+    rows = docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), row_tie(seed).alias("tie"))
+    return rows.groupBy("doc_id", "source", "size", "tie").agg(F.count("*").alias("n"))
+
+
+def numbered(rows: DataFrame, seed: int) -> DataFrame:
+    """A row for each of the n equal rows, with a draw of its own; many equal rows are dealt to tasks in chunks."""
+    chunks = rows.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {CHUNK}")))).repartition("tie", "chunk")
+    nth = F.explode(F.sequence(F.col("chunk") * CHUNK, F.least(F.col("n"), (F.col("chunk") + 1) * CHUNK) - 1))
+    return chunks.withColumn("nth", nth).withColumn("draw", row_hash(seed, F.col("tie"), F.col("nth"))).drop("chunk", "nth", "n")
 
 
 def source_targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3) -> DataFrame:
     """source, source_size, rank and target of each source; only sums reach the driver."""
-    by = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    by = rows.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"))
     by = by.withColumn("rank", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1)
     by = stash(by.withColumn("w", F.get(F.array(*[F.lit(w) for w in weights]), F.col("rank") % len(weights)).cast("double")))
     total = by.agg(F.sum("source_size")).first()[0] or 0
@@ -55,12 +69,12 @@ def source_targets(rows: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
             break
         full, level = got["n"], (total - (got["held"] or 0)) / got["open"]
     return by.select(
-        "source", "source_size", "rows", "rank", F.least(F.col("source_size") * F.lit(float(most)), F.lit(float(level)) * F.col("w")).alias("target")
+        "source", "source_size", "rank", F.least(F.col("source_size") * F.lit(float(most)), F.lit(float(level)) * F.col("w")).alias("target")
     )
 
 
-def pivotal(p: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, int]:
-    """Round the fractions of `p` in order; -1 or the place of the only one that stays fractional."""
+def pivotal(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, int]:
+    """Round the fractions of `p` in order, keeping the sum of p * size; -1 or the place of the only one that stays fractional."""
     p, held = p.copy(), -1
     for i in range(len(p)):
         if not 1e-9 < p[i] < 1 - 1e-9:
@@ -69,23 +83,37 @@ def pivotal(p: np.ndarray, draw: np.ndarray) -> tuple[np.ndarray, int]:
         if held < 0:
             held = i
             continue
-        a, b = p[held], p[i]
-        if a + b < 1:
-            if draw[i] < b / (a + b):
-                p[held], p[i] = 0.0, a + b
-                held = i
-            else:
-                p[held], p[i] = a + b, 0.0
-        elif draw[i] < (1 - b) / (2 - a - b):
-            p[held], p[i] = 1.0, a + b - 1
-            held = i
-        else:
-            p[held], p[i] = a + b - 1, 1.0
-        if held >= 0 and not 1e-9 < p[held] < 1 - 1e-9:
-            p[held], held = round(p[held]), -1
+        a, b, x, y = p[held], p[i], size[held], size[i]
+        up, down = min((1 - a) * x, b * y), min(a * x, (1 - b) * y)  # words that may move to and from the held one
+        moved = up if draw[i] * (up + down) < down else -down
+        p[held], p[i] = a + moved / x, b - moved / y
+        for j in (held, i):
+            if not 1e-9 < p[j] < 1 - 1e-9:
+                p[j] = round(p[j])
+        held = held if 0 < p[held] < 1 else i if 0 < p[i] < 1 else -1
     return p, held
 
 
+def pivotal_head(f: float, size: np.ndarray, rest: float, draw: np.ndarray) -> tuple[np.ndarray, float]:
+    """Round documents with the same fraction f, the largest first, each against all smaller ones and the `rest` words after them.
+
+    A document goes to 1 or to 0 at random where the smaller ones can give and take its words, else to the side for
+    which they can (or nearly can).  Gives the rounded fractions and the fraction of what is after them.
+    """
+    p = np.zeros(len(size))
+    smaller = np.append(np.cumsum(size[::-1])[::-1][1:], 0.0) + rest
+    for i in range(len(size)):
+        up, down = (1 - f) * size[i], f * size[i]  # words that go to the document or leave it
+        short_up, short_down = up - f * smaller[i], down - (1 - f) * smaller[i]  # what the smaller ones lack for that
+        if short_up <= 0 and short_down <= 0:
+            p[i] = draw[i] * (up + down) < down
+        else:
+            p[i] = short_up < short_down
+        if smaller[i]:
+            f = min(1.0, max(0.0, f + (f - p[i]) * size[i] / smaller[i]))
+    return p, f
+
+
 def _uniform(tie: np.ndarray, level: int) -> np.ndarray:
     h = tie.astype(np.int64).view(np.uint64) + np.uint64((level * 0x9E3779B97F4A7C15 + SEED) & ((1 << 64) - 1))
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -95,10 +123,8 @@ def _uniform(tie: np.ndarray, level: int) -> np.ndarray:
 
 def round_group(level: int):
     def apply(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "tie"], kind="stable")
-        given, size, tie = pdf["p"].to_numpy(float), pdf["size"].to_numpy(float), pdf["tie"].to_numpy()
-        drawn = [pivotal(given, _uniform(tie, level * TRIES + i)) for i in range(TRIES)]
-        p, held = min(drawn, key=lambda x: abs(float(((x[0] - given) * size).sum())))
+        pdf = pdf.sort_values(["size", "draw"], ascending=[False, True], kind="stable")
+        p, held = pivotal(pdf["p"].to_numpy(float), np.maximum(pdf["size"].to_numpy(float), 1), _uniform(pdf["draw"].to_numpy(), level))
         done = np.ones(len(p), dtype=bool)
         if held >= 0:
             done[held] = False
@@ -107,34 +133,45 @@ def round_group(level: int):
     return apply
 
 
+def round_head(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The head of one source; its `after` is the fraction of the documents after it."""
+    pdf = pdf.sort_values(["size", "draw"], ascending=[False, True], kind="stable")
+    size = pdf["size"].to_numpy(float)
+    p, after = pivotal_head(float(pdf["p"].iloc[0]), np.maximum(size, 1), float(pdf["source_size"].iloc[0]) - size.sum(), _uniform(pdf["draw"].to_numpy(), 99))
+    return pdf.assign(p=p, after=after)
+
+
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_rows: int = 4096, seed: int = SEED) -> DataFrame:
     """doc_id, tie, size, source_size, target and copies of every row."""
     rows = stash(sized_rows(docs, seed))
     sources = source_targets(rows, weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(F.col("ratio") + 1e-9).cast("int")
-    rows = (
-        rows.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
-        .withColumn("ratio", ratio)
-        .select(
-            "doc_id", "tie", "size", "source_size", "target", "rank", whole.alias("whole"),
-            F.greatest(F.lit(0.0), F.col("ratio") - whole).alias("p"), F.when(F.col("rows") > block_rows, F.floor(F.log2(F.col("size") + 1))).otherwise(0).cast("int").alias("class"),
-        )
-    )
-    counts = rows.groupBy("rank", "class").agg(F.count("*").alias("n"))
+    base = ["rank", "doc_id", "tie", "draw", "size", "source_size", "target", "whole", "p"]
+    rows = numbered(rows, seed + 2).join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    rows = stash(rows.withColumn("ratio", ratio).withColumn("whole", whole).withColumn("p", F.greatest(F.lit(0.0), F.col("ratio") - F.col("whole"))).select(*base))
+
+    # the bound of each source's head; Spark keeps the first HEAD rows of a source in each partition before they are dealt
+    largest = Window.partitionBy("rank").orderBy(F.desc("size"), "draw")
+    first = rows.select("rank", "size", "draw").withColumn("nth", F.row_number().over(largest)).where(f"nth <= {HEAD}")
+    bound = first.groupBy("rank").agg(F.max_by(F.struct("size", "draw"), "nth").alias("last"))
+    in_head = (F.col("size") > F.col("last.size")) | ((F.col("size") == F.col("last.size")) & (F.col("draw") <= F.col("last.draw")))
+    rows = stash(rows.join(F.broadcast(bound), "rank").withColumn("head", in_head).drop("last"))  # two numbers a source
+    kinds = "rank int, doc_id long, tie long, draw long, size long, source_size long, target double, whole int, p double"
+    head = stash(rows.where("head").select(*base).groupBy("rank").applyInPandas(round_head, kinds + ", after double"))
+    after = head.groupBy("rank").agg(F.min("after").alias("after"))
+    rows = rows.where("not head").drop("p", "head").join(F.broadcast(after), "rank").withColumnRenamed("after", "p").withColumn("class", F.floor(F.log2(F.col("size") + 1)).cast("int"))
+
+    counts = stash(rows.groupBy("rank", "class").agg(F.count("*").alias("n")))
     blocks = counts.select("rank", "class", F.ceil(F.col("n") / block_rows).cast("long").alias("blocks"))
-    largest = counts.agg(F.max("n")).first()[0] or 1
-    level, wide = 0, pieces(largest, block_rows)
-    rows = rows.join(blocks, ["rank", "class"]).withColumn("block", F.pmod("tie", F.col("blocks"))).drop("blocks")
-    # the join deals rows by source and class only: deal them anew, by block
-    rows = rows.repartition("rank", "class", "block")
-    schema = "rank int, class int, doc_id long, tie long, size long, source_size long, target double, whole int, p double, block long, done boolean"
-    order = [c.split()[0] for c in schema.split(", ")][:-1]
-    done = []
-    left = rows.select(*order)
-    keys = ["rank", "class", "block"]
+    wide = pieces(counts.agg(F.max("n")).first()[0] or 1, block_rows)
+    rows = rows.join(F.broadcast(blocks), ["rank", "class"]).withColumn("block", F.pmod("draw", F.col("blocks")))
+    order = [*base, "class", "block"]
+    # by block, as a source or a class may hold most of the rows
+    left = rows.select(*order).repartition("rank", "class", "block")
+    done, level, keys = [], 0, ["rank", "class", "block"]
     while True:
-        turn = stash(left.select(*order).groupBy(*keys).applyInPandas(round_group(level), schema))
+        turn = stash(left.select(*order).groupBy(*keys).applyInPandas(round_group(level), kinds + ", class int, block long, done boolean"))
         done.append(turn.where("done"))
         left = turn.where("not done").drop("done")
         level += 1
@@ -145,24 +182,33 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
             left = left.withColumn("block", F.expr(f"block div {FAN_IN}"))
         else:
             keys = ["rank"]
-    last = left.withColumn("p", (F.pmod(row_hash(seed + 1, F.col("tie")), F.lit(1 << 30)) / float(1 << 30) < F.col("p")).cast("double"))
-    out = last.select(*order)
+    out = left.select(*base).unionByName(head.select(*base))
     for d in done:
-        out = out.unionByName(d.select(*order))
+        out = out.unionByName(d.select(*base))
     return out.select("doc_id", "tie", "size", "source_size", "target", (F.col("whole") + F.round("p").cast("int")).alias("copies"))
 
 
-def mix(docs: DataFrame, **how) -> DataFrame:
+def mix(docs: DataFrame, hot_rows: int = 1 << 16, **how) -> DataFrame:
     """The rows of `docs`, each as often as the mix takes it."""
-    docs = without(docs, "__tie", "__nth", "__copies", "__rows")
     names = docs.columns
+    seed = how.get("seed", SEED)
+    plain = docs.toDF(*[c if c in ("doc_id", "text", "source") and c not in names[:i] else f"__{i}" for i, c in enumerate(names)])
+    own = plain.withColumn("__tie", row_tie(seed)).withColumn("__part", F.spark_partition_id())
     # rows that agree in id, text and source are alike, and their copies differ by one at most: the first of them take it.
-    # The texts are dealt once, by __tie, for the join and the window.
-    plan = mix_plan(docs, **how).groupBy(F.col("tie").alias("__tie")).agg(F.count("*").alias("__rows"), F.sum("copies").alias("__copies")).where("__copies > 0")
-    own = docs.withColumn("__tie", row_hash(how.get("seed", SEED), F.col("doc_id"), F.col("text"), F.col("source"))).join(plan, "__tie")
-    own = own.withColumn("__nth", F.row_number().over(Window.partitionBy("__tie").orderBy("doc_id")))
-    own = own.withColumn("__copies", F.expr("__copies div __rows + if(__nth <= __copies % __rows, 1, 0)")).where("__copies > 0")
-    return own.withColumn("__copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*[f"`{c}`" for c in names])
+    plan = stash(mix_plan(docs, **how).groupBy(F.col("tie").alias("__tie")).agg(F.count("*").alias("__rows"), F.sum("copies").alias("__copies")).where("__copies > 0"))
+    own = own.join(plan, "__tie").withColumn("__part", F.when(F.col("__rows") > hot_rows, F.col("__part")).otherwise(-1))
+    # the texts are dealt once, by __tie, for the join and the window; many equal rows are numbered part by part
+    by = Window.partitionBy("__tie").orderBy("doc_id")
+    common = own.where(f"__rows <= {hot_rows}").withColumn("__nth", F.row_number().over(by))
+    if plan.where(F.col("__rows") > hot_rows).limit(1).count():
+        hot = own.where(f"__rows > {hot_rows}")
+        parts = hot.groupBy("__tie", "__part").agg(F.count("*").alias("__n"))
+        before = parts.select("__tie", "__part", (F.sum("__n").over(Window.partitionBy("__tie").orderBy("__part")) - F.col("__n")).alias("__before"))
+        inside = Window.partitionBy("__tie", "__part").orderBy("doc_id")
+        hot = hot.withColumn("__nth", F.row_number().over(inside)).join(before, ["__tie", "__part"]).withColumn("__nth", F.col("__nth") + F.col("__before")).drop("__before")
+        common = common.unionByName(hot)
+    own = common.withColumn("__copies", F.expr("__copies div __rows + if(__nth <= __copies % __rows, 1, 0)")).where("__copies > 0")
+    return own.withColumn("__copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*plain.columns).toDF(*names)
 
 
 def op3_source_mixing(docs: DataFrame) -> DataFrame:
