@@ -1,38 +1,47 @@
 """Quality classifier by co-training.
 
-Two views describe a document: its words (presence of hashed words, punctuation taken off) and its page metadata
-(source, language, length and layout: lines, repeated lines, cases, digits, symbols).  A logistic model of each view
-starts from the labelled documents; over some rounds each gives its most confident pseudo-labels on an unlabelled
-pool to the other view.  A held-out fold calibrates the two views' logits and their combination.  This is done for
-two questions, whether a document is of quality and whether it is clean of toxic words; `score` is the product of
-their probabilities, and `keep` holds where both are 0.6 or more.
-
-Fitting uses at most `most_labelled` labelled and `most_pool` unlabelled documents, those with the smallest hashes of
-doc_id; scoring covers all documents, whole.  Labels that disagree on a doc_id count as bad; a null toxic is 0.  A
-question without labels of both kinds cannot be learnt: its probabilities are 1, so it rejects nothing.  A null text is empty; null source and
-language are values of their own; a null n_chars counts as the length of the text.  Repeated rows get equal scores.
+Two views describe a document and share nothing: its text (presence of hashed words, punctuation taken off, and what
+is counted from the text: lines, repeated lines, cases, digits, symbols) and its page metadata (source, language and
+stated length).  A logistic model of each view starts from labelled documents.  In each round both views score all
+unlabelled documents, and each gives the `exchange` documents it is surest of, of either kind, to the other view's
+training set.  Three folds of the labelled documents are held out: one calibrates the two views' logits, one fits
+their combination, one is scored for the report.  This is done for two questions, whether a document is of quality
+and whether it is clean of toxic words; `score` is the product of their probabilities, and `keep` holds where both
+are 0.6 or more.
+
+Training takes at most `most_labelled` labelled documents, those with the smallest hashes of doc_id, as far as their
+word slots fill `most_bytes` together, and the documents exchanged (8 * exchange a round).  Scoring and the choice of
+pseudo-labels cover all documents, whole.  The sample never comes to the driver: a task for each question and view
+fits a model, and only weights and the held-out logits are collected.
+
+Labels that disagree on a doc_id count as bad; a null toxic is 0.  A question without labels of both kinds cannot be
+learnt: its probabilities are 1, so it rejects nothing.  A null text is empty; null source and language are values of
+their own; a null n_chars counts as the length of the text.  Repeated rows get equal scores.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructType
 
 from . import kernels as K
-from .common import row_hash, without
+from .common import row_hash, stash, without
 
 WORD_BITS = 16
 SOURCE_SLOTS, LANG_SLOTS = 64, 16
 SYMBOLS = b"|#$%&*!<>{}[]@_=~^\\"
-N_LAYOUT = 12 + len(SYMBOLS)
-N_META = N_LAYOUT + SOURCE_SLOTS + LANG_SLOTS
+N_LAYOUT = 11 + len(SYMBOLS)
+N_META = 1 + SOURCE_SLOTS + LANG_SLOTS
 #: ASCII punctuation parts words, letters are lowered.
 _PLAIN = K.LOWER.copy()
 for _c in range(128):
@@ -48,8 +57,8 @@ def _slot(values: list, slots: int) -> np.ndarray:
     return np.array([slots - 1 if v is None else zlib.crc32(str(v).encode()) % (slots - 1) for v in values], dtype=np.int64)
 
 
-def views(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For ranges [a, b) of rows: a, b, (row, word slot) pairs without repeats as two arrays, and the metadata matrix."""
+def views(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For ranges [a, b) of rows: a, b, (row, word slot) pairs without repeats as two arrays, the layout and the metadata matrix."""
     data, offsets = K.utf8(batch.column("text"))
     sources, langs = _slot(batch.column("source").to_pylist(), SOURCE_SLOTS), _slot(batch.column("lang").to_pylist(), LANG_SLOTS)
     stated = batch.column("n_chars").to_pylist()
@@ -82,56 +91,48 @@ def views(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         n_words = np.bincount(row, minlength=n)
         vocabulary = np.bincount(rows, minlength=n)
         chars = np.array([s - c if v is None else v for v, s, c in zip(stated[a:b], sizes, per(part & 0xC0 == 0x80) if len(part) else np.zeros(n), strict=True)], float)
-        meta = np.zeros((n, N_META))
-        meta[:, :12] = np.column_stack([
-            np.log1p(np.maximum(chars, 0)), np.log1p(lines), np.log1p(size / lines), distinct / lines, kinds[:, 1] / letters, kinds[:, 3] / size, kinds[:, 4] / size,
+        layout = np.column_stack([
+            np.log1p(lines), np.log1p(size / lines), distinct / lines, kinds[:, 1] / letters, kinds[:, 3] / size, kinds[:, 4] / size,
             kinds[:, 5] / size, kinds[:, 6] / size, np.log1p(n_words), vocabulary / np.maximum(1, n_words), size / np.maximum(1, n_words) / 10,
+            *[np.sqrt(per(part == c) / size) for c in SYMBOLS],
         ])
-        for i, c in enumerate(SYMBOLS):
-            meta[:, 12 + i] = np.sqrt(per(part == c) / size)
-        meta[np.arange(n), N_LAYOUT + sources[a:b]] = 1
-        meta[np.arange(n), N_LAYOUT + SOURCE_SLOTS + langs[a:b]] = 1
-        yield a, b, rows, slots, meta
+        meta = np.zeros((n, N_META))
+        meta[:, 0] = np.log1p(np.maximum(chars, 0))
+        meta[np.arange(n), 1 + sources[a:b]] = 1
+        meta[np.arange(n), 1 + SOURCE_SLOTS + langs[a:b]] = 1
+        yield a, b, rows, slots, layout, meta
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -35, 35)))
 
 
-class Words:
-    """Documents as sets of word slots, in rows one after another."""
+class View:
+    """Documents of one view: sets of word slots (none for metadata) and a dense matrix."""
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.n = len(sets)
+    def __init__(self, sets: list[np.ndarray], dense: np.ndarray):
+        self.n, self.dense = len(dense), dense
+        self.size = (1 << WORD_BITS if sets else 0) + dense.shape[1]
         self.slot = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-        self.row = np.repeat(np.arange(self.n), [len(s) for s in sets])
-
-    def dot(self, w: np.ndarray) -> np.ndarray:
-        return np.bincount(self.row, weights=w[self.slot], minlength=self.n)
-
-    def back(self, g: np.ndarray, size: int) -> np.ndarray:
-        return np.bincount(self.slot, weights=g[self.row], minlength=size)
-
-
-class Dense:
-    def __init__(self, x: np.ndarray):
-        self.n, self.x = len(x), x
+        self.row = np.repeat(np.arange(len(sets)), [len(x) for x in sets]) if sets else np.zeros(0, np.int64)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
-        return self.x @ w
+        wide = self.dense.shape[1]
+        return self.dense @ w[:wide] + np.bincount(self.row, weights=w[wide:][self.slot], minlength=self.n)
 
-    def back(self, g: np.ndarray, size: int) -> np.ndarray:
-        return self.x.T @ g
+    def back(self, g: np.ndarray) -> np.ndarray:
+        words = np.bincount(self.slot, weights=g[self.row], minlength=self.size - self.dense.shape[1])
+        return np.concatenate((self.dense.T @ g, words))
 
 
-def fit_logistic(x, size: int, y: np.ndarray, weight: np.ndarray, decay: float, steps: int = 120, rate: float = 0.1) -> tuple[np.ndarray, float]:
+def fit_logistic(x: View, y: np.ndarray, weight: np.ndarray, decay: float, steps: int = 150, rate: float = 0.1) -> tuple[np.ndarray, float]:
     """Weighted logistic regression with L2, by Adam over the whole sample."""
-    w, b = np.zeros(size), 0.0
-    m, v, mb, vb = np.zeros(size), np.zeros(size), 0.0, 0.0
+    w, b = np.zeros(x.size), 0.0
+    m, v, mb, vb = np.zeros(x.size), np.zeros(x.size), 0.0, 0.0
     total = weight.sum()
     for t in range(1, steps + 1):
         g = weight * (_sigmoid(x.dot(w) + b) - y) / total
-        gw, gb = x.back(g, size) + decay * w, g.sum()
+        gw, gb = x.back(g) + decay * w, g.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         step = rate / (1 + t / 40)
@@ -141,116 +142,188 @@ def fit_logistic(x, size: int, y: np.ndarray, weight: np.ndarray, decay: float,
 
 
 @dataclass(frozen=True)
-class Model:
-    """Both views and their calibrated combination."""
+class Linear:
+    """A view's model: weights of the dense columns (standardised) and then of the words."""
 
-    words: np.ndarray
-    words_bias: float
-    meta: np.ndarray
-    meta_bias: float
+    weights: np.ndarray
+    bias: float
     mean: np.ndarray
     scale: np.ndarray
-    calibration: tuple[tuple[float, float], tuple[float, float]]
-    combination: tuple[float, float, float]
 
-    def logits(self, rows: np.ndarray, slots: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        text = np.bincount(rows, weights=self.words[slots], minlength=len(meta)) + self.words_bias
-        return text, ((meta - self.mean) / self.scale) @ self.meta + self.meta_bias
+    def logits(self, dense: np.ndarray, rows: np.ndarray | None = None, slots: np.ndarray | None = None) -> np.ndarray:
+        wide = dense.shape[1]
+        z = ((dense - self.mean) / self.scale) @ self.weights[:wide] + self.bias
+        return z if rows is None else z + np.bincount(rows, weights=self.weights[wide:][slots], minlength=len(dense))
+
+
+@dataclass(frozen=True)
+class Model:
+    """Both views, their calibrated combination, and the accuracy on the fold that took part in neither."""
+
+    text: Linear
+    meta: Linear
+    calibration: tuple[tuple[float, float], tuple[float, float]] = ((1.0, 0.0), (1.0, 0.0))
+    combination: tuple[float, float, float] = (1.0, 1.0, 0.0)
+    report: tuple[int, float] | None = None
 
-    def score(self, rows: np.ndarray, slots: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        both = self.logits(rows, slots, meta)
-        t, m = (np.clip(a * z + c, -30, 30) for z, (a, c) in zip(both, self.calibration, strict=True))
+    def logits(self, rows: np.ndarray, slots: np.ndarray, layout: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.text.logits(layout, rows, slots), self.meta.logits(meta)
+
+    def combined(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        t, m = (np.clip(a * z + c, -30, 30) for z, (a, c) in zip((text, meta), self.calibration, strict=True))
         wt, wm, b = self.combination
         return _sigmoid(t), _sigmoid(m), _sigmoid(wt * t + wm * m + b)
 
 
-def cotrain(sets: list[np.ndarray], meta: np.ndarray, y: np.ndarray, fold: np.ndarray, rounds: int = 2, share: float = 0.05, sure: float = 0.97) -> Model:
-    """y: 1 good, 0 bad, -1 unlabelled; fold: True for labelled documents held out for calibration."""
-    size = 1 << WORD_BITS
-    mean, scale = meta.mean(axis=0), meta.std(axis=0) + 1e-3
-    z = (meta - mean) / scale
-    known = {v: np.where((y >= 0) & ~fold, y, -1) for v in ("words", "meta")}
-    models: dict[str, tuple[np.ndarray, float]] = {}
-    for turn in range(rounds + 1):
-        p = {}
-        for v in known:
-            i = np.flatnonzero(known[v] >= 0)
-            bad = known[v][i] == 0
-            weight = np.where(bad, 0.5 / max(1, bad.sum()), 0.5 / max(1, (~bad).sum()))
-            x = Words([sets[j] for j in i]) if v == "words" else Dense(z[i])
-            models[v] = fit_logistic(x, size if v == "words" else meta.shape[1], known[v][i].astype(float), weight, 2e-3 if v == "words" else 1e-3, steps=150)
-            w, b = models[v]
-            p[v] = _sigmoid((Words(sets) if v == "words" else Dense(z)).dot(w) + b)
-        if turn == rounds:
-            break
-        for giver, taker in (("words", "meta"), ("meta", "words")):
-            free = np.flatnonzero((y < 0) & (known[taker] < 0))
-            most = max(1, int(share * len(free)))
-            order = free[np.argsort(p[giver][free], kind="stable")]
-            known[taker][[j for j in order[:most] if p[giver][j] < 1 - sure]] = 0
-            known[taker][[j for j in order[::-1][:most] if p[giver][j] > sure]] = 1
-    held = np.flatnonzero(fold)
-    logit = np.column_stack([Words([sets[j] for j in held]).dot(models["words"][0]) + models["words"][1], z[held] @ models["meta"][0] + models["meta"][1]])
-    own = y[held].astype(float)
-    even = np.ones(len(held))
-    calibration = []
-    for k in range(2):
-        spread = max(1e-6, float(logit[:, k].std()))
-        w, b = fit_logistic(Dense(logit[:, k : k + 1] / spread), 1, own, even, 1e-4, steps=300)
-        calibration.append((max(float(w[0]), 0.0) / spread, b))
-    t = np.clip(np.column_stack([logit[:, k] * calibration[k][0] + calibration[k][1] for k in range(2)]), -30, 30)
-    w, b = fit_logistic(Dense(t), 2, own, even, 1e-4, steps=300)
-    return Model(models["words"][0].astype(np.float32), models["words"][1], models["meta"][0], models["meta"][1], mean, scale, tuple(calibration), (float(w[0]), float(w[1]), b))
+QUESTIONS, VIEWS = ("quality", "clean"), ("text", "meta")
+#: Folds of the labelled documents.
+TRAIN, CALIBRATE, COMBINE, REPORT = range(4)
 
 
-QUESTIONS = ("quality", "clean")
+def row_key(seed: int) -> Column:
+    """The same for rows with the same features; extra columns do not count."""
+    return row_hash(seed, F.col("doc_id"), F.col("text"), F.col("lang"), F.col("source"), F.col("n_chars"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 12_000, most_pool: int = 6_000, held_out: float = 0.25, seed: int = 11) -> dict[str, Model]:
-    """The models of the questions that can be learnt, from bounded samples."""
-    labels = (
-        labels.where("doc_id is not null and quality is not null")
-        .groupBy("doc_id")
-        .agg(F.min("quality").alias("quality"), (1 - F.max(F.coalesce("toxic", F.lit(0)))).alias("clean"))
-    )
-    order = row_hash(seed, F.col("doc_id"))
-    ids = docs.where("doc_id is not null").select("doc_id").distinct()
-    some = labels.join(ids, "doc_id", "left_semi").orderBy(order, "doc_id").limit(most_labelled)
-    unknown = F.lit(-1)
-    pool = ids.join(labels, "doc_id", "left_anti").select("doc_id", unknown.alias("quality"), unknown.alias("clean")).orderBy(order, "doc_id").limit(most_pool)
-    wanted = F.broadcast(some.unionByName(pool))  # most_labelled + most_pool rows at most
-    rows = docs.select("doc_id", "text", "lang", "source", "n_chars").join(wanted, "doc_id")
+def features(docs: DataFrame, seed: int) -> DataFrame:
+    """key, doc_id and both views of every row."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, row, slot, meta in views(batch):
+            for a, b, row, slot, layout, meta in views(batch):
                 cut = np.searchsorted(row, np.arange(b - a + 1))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *[batch.column(c).slice(a, b - a).cast(t) for c, t in (("doc_id", pa.int64()), ("quality", pa.int32()), ("clean", pa.int32()))],
+                        batch.column("key").slice(a, b - a), batch.column("doc_id").slice(a, b - a).cast(pa.int64()),
                         pa.array([slot[cut[i] : cut[i + 1]].astype(np.uint16).tobytes() for i in range(b - a)], pa.binary()),
-                        pa.array([m.astype(np.float32).tobytes() for m in meta], pa.binary()),
+                        *[pa.array([x.astype(np.float32).tobytes() for x in m], pa.binary()) for m in (layout, meta)],
                     ],
-                    names=["doc_id", "quality", "clean", "slots", "meta"],
-                )
-
-    sample = rows.mapInArrow(build, "doc_id long, quality int, clean int, slots binary, meta binary").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    sets = [np.frombuffer(s, np.uint16).astype(np.int64) for s in sample["slots"]]
-    meta = np.array([np.frombuffer(m, np.float32) for m in sample["meta"]], dtype=float).reshape(len(sample), N_META)
-    draw = (K.mix(sample["doc_id"].to_numpy().astype(np.uint64) + np.uint64(seed)) >> np.uint64(11)).astype(float) / 2.0**53
-    found = {}
-    for question in QUESTIONS:
-        y = sample[question].to_numpy()
-        fold = (y >= 0) & (draw < held_out)
-        for kind in (0, 1):  # both kinds stand on both sides of the fold
-            own = np.flatnonzero(y == kind)
-            if len(own) > 1 and not fold[own].any():
-                fold[own[0]] = True
-            if len(own) and fold[own].all():
-                fold[own[-1]] = False
-        if all((side & (y == k)).any() for k in (0, 1) for side in (fold, ~fold)):
-            found[question] = cotrain(sets, meta, y, fold)
-    return found
+                    names=["key", "doc_id", "slots", "layout", "meta"],
+                )
+
+    rows = docs.select(row_key(seed).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
+    return rows.mapInArrow(build, "key long, doc_id long, slots binary, layout binary, meta binary")
+
+
+def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """rows, slots, layout and meta of stored features."""
+    sets = [np.frombuffer(x, np.uint16) for x in batch.column("slots").to_pylist()]
+    slots = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
+    dense = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float32).astype(float).reshape(len(sets), n) for c, n in (("layout", N_LAYOUT), ("meta", N_META))]
+    return np.repeat(np.arange(len(sets)), [len(x) for x in sets]), slots, *dense
+
+
+def _trained(rows: DataFrame) -> dict[str, Model]:
+    """Models of both views of each question, each fitted by a task of its own; only weights are collected."""
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        question, view = pdf["question"].iloc[0], pdf["view"].iloc[0]
+        pdf = pdf.sort_values(["key", "given"])
+        y = pdf["y"].to_numpy(float)
+        wide = N_LAYOUT if view == "text" else N_META
+        dense = np.array([np.frombuffer(x, np.float32) for x in pdf["dense"]], dtype=float).reshape(len(pdf), wide)
+        mean, scale = dense.mean(axis=0), dense.std(axis=0) + 1e-3
+        sets = [np.frombuffer(x, np.uint16).astype(np.int64) for x in pdf["slots"]] if view == "text" else []
+        weight = np.where(y == 0, 0.5 / max(1, (y == 0).sum()), 0.5 / max(1, (y == 1).sum()))
+        w, b = fit_logistic(View(sets, (dense - mean) / scale), y, weight, 2e-3 if view == "text" else 1e-3)
+        return pd.DataFrame({"question": [question], "view": [view], "weights": [w.astype(np.float32).tobytes()], "bias": [b], "mean": [mean.tobytes()], "scale": [scale.tobytes()]})
+
+    fitted = rows.groupBy("question", "view").applyInPandas(train, "question string, view string, weights binary, bias double, mean binary, scale binary")
+    own = {(r["question"], r["view"]): Linear(np.frombuffer(r["weights"], np.float32), r["bias"], np.frombuffer(r["mean"]), np.frombuffer(r["scale"])) for r in fitted.collect()}
+    return {q: Model(own[q, "text"], own[q, "meta"]) for q in {q for q, _ in own}}
+
+
+def _training_rows(rows: DataFrame, question: str, view: str, y: Column, given: int) -> DataFrame:
+    slots = F.col("slots") if view == "text" else F.lit(None).cast("binary")
+    dense = F.col("layout" if view == "text" else "meta")
+    return rows.select(F.lit(question).alias("question"), F.lit(view).alias("view"), "key", F.lit(given).alias("given"), y.alias("y"), slots.alias("slots"), dense.alias("dense"))
+
+
+def _logits(rows: DataFrame, models: dict[str, Model], kept: list[str]) -> DataFrame:
+    """`kept` columns and the logit of each question and view (text_quality and so on)."""
+    sent = rows.sparkSession.sparkContext.broadcast(models)  # 2**WORD_BITS and a few numbers each
+    names = [f"{v}_{q}" for q in models for v in VIEWS]
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = _unpacked(batch)
+            got = [z for m in sent.value.values() for z in m.logits(*own)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *map(pa.array, got)], names=[*kept, *names])
+
+    schema = StructType([rows.schema[c] for c in kept])
+    for n in names:
+        schema = schema.add(n, DoubleType())
+    return rows.mapInArrow(build, schema)
+
+
+def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 12_000, rounds: int = 2, exchange: int = 250, sure: float = 0.97, most_bytes: int = 256 << 20, seed: int = 11) -> dict[str, Model]:
+    """The models of the questions that can be learnt."""
+    labels = (
+        labels.where("doc_id is not null and quality is not null")
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        .agg(F.min("quality").cast("int").alias("quality"), (1 - F.max(F.coalesce("toxic", F.lit(0)))).cast("int").alias("clean"))
+    )
+    seen = stash(features(docs, seed))
+    order = row_hash(seed, F.col("doc_id"))
+    known = seen.join(labels, "doc_id").withColumn("order", order).dropDuplicates(["key"]).orderBy("order", "doc_id", "key").limit(most_labelled)
+    # most_labelled rows at most: their running total fits a task
+    known = known.withColumn("filled", F.sum(F.octet_length("slots")).over(Window.orderBy("order", "doc_id", "key").rowsBetween(Window.unboundedPreceding, 0)))
+    draw = F.pmod(row_hash(seed + 1, F.col("doc_id")), F.lit(10))
+    fold = F.when(draw == 0, CALIBRATE).when(draw == 1, COMBINE).when(draw == 2, REPORT).otherwise(TRAIN)
+    known = stash(known.where(F.col("filled") <= most_bytes).select("key", "slots", "layout", "meta", "quality", "clean", fold.alias("fold")))
+    tally = {(r["fold"], q, k): r[f"{q}{k}"] for r in known.groupBy("fold").agg(*[F.count(F.when(F.col(q) == k, 1)).alias(f"{q}{k}") for q in QUESTIONS for k in (0, 1)]).collect() for q in QUESTIONS for k in (0, 1)}
+    questions = [q for q in QUESTIONS if tally.get((TRAIN, q, 0)) and tally.get((TRAIN, q, 1))]
+    if not questions:
+        return {}
+    free = seen.join(labels.select("doc_id"), "doc_id", "left_anti")
+    base = [_training_rows(known.where(F.col("fold") == TRAIN), q, v, F.col(q), 0) for q in questions for v in VIEWS]
+    rows = reduce(DataFrame.unionByName, base)
+    models = _trained(rows)
+    edge = math.log(sure / (1 - sure))
+    for turn in range(1, rounds + 1):
+        logits = stash(_logits(free, models, ["key"]).distinct())
+        picks = []
+        for q in questions:
+            for giver, taker in (("text", "meta"), ("meta", "text")):
+                z = F.col(f"{giver}_{q}")
+                for kind, best in ((1, z.desc()), (0, z.asc())):
+                    surest = logits.where(z >= edge if kind else z <= -edge).orderBy(best, "key").limit(exchange)
+                    picks.append(surest.select("key", F.lit(q).alias("q"), F.lit(taker).alias("v"), F.lit(kind).alias("y")))
+        picked = stash(reduce(DataFrame.unionByName, picks))  # 8 * exchange rows at most
+        if turn > 1:  # a document that was given before does not count twice
+            picked = picked.join(F.broadcast(before), ["key", "q", "v"], "left_anti")
+        before = picked.select("key", "q", "v") if turn == 1 else before.unionByName(picked.select("key", "q", "v"))
+        given = seen.join(F.broadcast(picked), "key").dropDuplicates(["key", "q", "v"])
+        given = stash(given.select("key", "slots", "layout", "meta", "q", "v", "y"))
+        more = [_training_rows(given.where((F.col("q") == q) & (F.col("v") == v)), q, v, F.col("y"), turn) for q in questions for v in VIEWS]
+        rows = reduce(DataFrame.unionByName, [rows, *more])
+        models = _trained(rows)
+    held = _logits(known.where(F.col("fold") != TRAIN), models, ["key", "fold", *QUESTIONS]).toPandas().sort_values("key")  # some numbers for each of most_labelled rows
+    return {q: _calibrated(models[q], held, q) for q in questions}
+
+
+def _calibrated(model: Model, held: pd.DataFrame, question: str) -> Model:
+    """Calibration on one fold, combination on another, accuracy on the third; a fold without both kinds is replaced by all of them."""
+
+    def fold(k: int) -> tuple[np.ndarray, np.ndarray]:
+        own = held[held["fold"] == k]
+        own = held if own[question].nunique() < 2 else own
+        return own[[f"{v}_{question}" for v in VIEWS]].to_numpy(float), own[question].to_numpy(float)
+
+    if held[question].nunique() < 2:
+        return model
+    logit, y = fold(CALIBRATE)
+    calibration = []
+    for k in range(2):
+        spread = max(1e-6, float(logit[:, k].std()))
+        w, b = fit_logistic(View([], logit[:, k : k + 1] / spread), y, np.ones(len(y)), 1e-4, steps=300)
+        calibration.append((max(float(w[0]), 0.0) / spread, b))
+    logit, y = fold(COMBINE)
+    t = np.clip(np.column_stack([logit[:, k] * calibration[k][0] + calibration[k][1] for k in range(2)]), -30, 30)
+    w, b = fit_logistic(View([], t), y, np.ones(len(y)), 1e-4, steps=300)
+    model = replace(model, calibration=tuple(calibration), combination=(float(w[0]), float(w[1]), b))
+    logit, y = fold(REPORT)
+    return replace(model, report=(len(y), float(((model.combined(logit[:, 0], logit[:, 1])[2] >= 0.5) == (y == 1)).mean())))
 
 
 OUT = ("p_text_quality", "p_meta_quality", "p_quality", "p_text_clean", "p_meta_clean", "p_clean")
@@ -259,16 +332,16 @@ OUT = ("p_text_quality", "p_meta_quality", "p_quality", "p_text_clean", "p_meta_
 def score(docs: DataFrame, models: dict[str, Model], threshold: float = 0.6) -> DataFrame:
     """All columns of `docs` with each view's and the combined probability of each question, score and keep."""
     docs = without(docs, *OUT, "score", "keep")
-    sent = docs.sparkSession.sparkContext.broadcast({k: vars(m) for k, m in models.items()})  # 2**WORD_BITS and N_META numbers each
+    sent = docs.sparkSession.sparkContext.broadcast(models)  # 2**WORD_BITS and a few numbers each
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = {k: Model(**v) for k, v in sent.value.items()}
+        own = sent.value
         for batch in batches:
             got = np.ones((6, batch.num_rows))
-            for a, b, row, slot, meta in views(batch):
+            for a, b, *seen in views(batch):
                 for i, question in enumerate(QUESTIONS):
                     if question in own:
-                        got[3 * i : 3 * i + 3, a:b] = own[question].score(row, slot, meta)
+                        got[3 * i : 3 * i + 3, a:b] = own[question].combined(*own[question].logits(*seen))
             keep = (got[2] >= threshold) & (got[5] >= threshold)
             arrays = [*batch.columns, *[pa.array(g) for g in got], pa.array(got[2] * got[5]), pa.array(keep)]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, *OUT, "score", "keep"])
@@ -279,5 +352,13 @@ def score(docs: DataFrame, models: dict[str, Model], threshold: float = 0.6) ->
     return docs.mapInArrow(build, schema.add("keep", BooleanType()))
 
 
+def kept(docs: DataFrame, models: dict[str, Model], threshold: float = 0.6) -> DataFrame:
+    """The rows of `docs` that pass, with all of its columns, whatever their names."""
+    read, names = {"doc_id", "text", "lang", "source", "n_chars"}, []
+    for i, c in enumerate(docs.columns):
+        names.append(c if c in read and c not in names else f"__{i}")
+    return score(docs.toDF(*names), models, threshold).where("keep").select(*names).toDF(*docs.columns)
+
+
 def op5_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs.select("doc_id", "text", "lang", "source", "n_chars"), fit(docs, labels)).select("doc_id", *OUT, "score", "keep")
