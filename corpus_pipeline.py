@@ -10,7 +10,7 @@ from stratalake.llm.common import stash, table
 
 def judge(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps."""
-    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).where("keep").select(*docs.columns)
+    return quality.kept(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
