@@ -160,3 +160,9 @@ def plural(word: str) -> str:
 
 def safe_name(name: str) -> str:
     return re.sub(r"[^\w-]+", "_", re.sub(r"\.[^.]+$", "", name), flags=re.ASCII)
+
+
+def spoken(c: Column) -> Column:
+    """A number in a chunk of text: whole numbers plain, others with two places, a null as the word."""
+    v = c.cast("double")
+    return F.when(v.isNull(), "null").when(v == F.floor(v), F.format_string("%.0f", v)).otherwise(F.format_string("%.2f", v))

@@ -45,18 +45,23 @@ def paragraphs(text: Column, over: int = 30) -> Column:
 
 
 def syllables(word: Column) -> Column:
-    w = F.regexp_replace(F.lower(word), "[^a-z]", "")
-    stem = F.regexp_replace(F.regexp_replace(w, "(?:[^laeiouy]es|ed|[^laeiouy]e)$", ""), "^y", "")
-    found = F.regexp_count(stem, F.lit("[aeiouy]{1,2}"))
-    return F.when(F.length(w) == 0, 0).when(F.length(w) <= 3, 1).when(found == 0, 1).otherwise(found)
+    """Of a word of ASCII letters, digits and underscores."""
+
+    def counted(w: Column) -> Column:
+        stem = F.regexp_replace(F.regexp_replace(w, "(?:[^laeiouy]es|ed|[^laeiouy]e)$", ""), "^y", "")
+        return F.when(F.length(w) == 0, 0).when(F.length(w) <= 3, 1).otherwise(F.greatest(F.lit(1), F.regexp_count(stem, F.lit("[aeiouy]{1,2}"))))
+
+    return let(F.translate(F.lower(word), "0123456789_", ""), counted)
 
 
 def reading_ease(text: Column) -> Column:
-    w = words(text)
-    n_words, n_sentences = F.size(w), F.size(sentences(text))
-    total = F.aggregate(F.transform(w, syllables), F.lit(0), lambda a, x: a + x)
-    score = 206.835 - 1.015 * (n_words / n_sentences) - 84.6 * (total / n_words)
-    return F.when((n_words > 0) & (n_sentences > 0), F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))).otherwise(0.0)
+    def scored(n: Column) -> Column:
+        score = 206.835 - 1.015 * (n["words"] / n["sentences"]) - 84.6 * (n["syllables"] / n["words"])
+        return F.when((n["words"] > 0) & (n["sentences"] > 0), F.greatest(F.lit(0.0), F.least(F.lit(100.0), score))).otherwise(0.0)
+
+    total = lambda w: F.aggregate(w, F.lit(0), lambda a, x: a + syllables(x))
+    counts = lambda w: F.struct(F.size(w).alias("words"), F.size(sentences(text)).alias("sentences"), total(w).alias("syllables"))
+    return let(words(text), lambda w: let(counts(w), scored))
 
 
 def reading_label(score: Column) -> Column:
@@ -70,8 +75,10 @@ def entities(text: Column, kind: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(fixed.ENTITY_PATTERNS[kind]), F.lit(0))
 
 
-def entity_samples(text: Column, kind: str, most: int = 8) -> Column:
-    return F.slice(F.array_distinct(F.transform(entities(text, kind), F.trim)), 1, most)
+def entity_summary(text: Column, kind: str, most: int = 8) -> Column:
+    """struct<n, samples>: how often, and the first distinct ones; the text is searched once."""
+    samples = lambda found: F.slice(F.array_distinct(F.transform(found, F.trim)), 1, most)
+    return let(entities(text, kind), lambda found: F.struct(F.size(found).cast("long").alias("n"), samples(found).alias("samples")))
 
 
 def sentiment(text: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from . import olap
 from .profile import ColumnType, correlations, q
+from .quantiles import exact_quantiles, middle
 
 
 def histogram(df: DataFrame, column: str) -> DataFrame:
@@ -24,12 +25,9 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
 
 
 def upper_median(df: DataFrame, column: str) -> DataFrame:
-    """One row: the element in place n // 2 (from 0) of the sorted values, by exact discrete percentile."""
-    v = C.finite(q(column))
-    n = df.agg(F.count(v)).first()[0]
-    # the smallest value with at least n // 2 + 1 values at or below it
-    share = (n // 2 + 0.5) / n if n else 0.5
-    return df.agg(F.expr(f"percentile_disc({share!r}) within group (order by cast(`{column}` as double))").alias("split"))
+    """One row: the element in place n // 2 (from 0) of the sorted values."""
+    split = exact_quantiles(df, {column: C.finite(q(column))}, (0.5,), middle)[column][0]
+    return df.sparkSession.createDataFrame([(split,)], "split double")
 
 
 def median_split(df: DataFrame, column: str) -> DataFrame:
@@ -61,6 +59,12 @@ def radar(completeness: Column, uniqueness: Column, consistency: Column, richnes
     return F.array(*[F.struct(F.lit(n).alias("label"), F.round(v, 1).alias("value")) for n, v in axes])
 
 
+def quality_radar(scores: DataFrame, density: float) -> DataFrame:
+    """label and value of the six axes, from `profile.quality` and the share of filled cells in percent."""
+    five = scores.agg(*[F.max(F.when(F.col("dimension") == n, F.col("value"))).alias(f"v{i}") for i, n in enumerate(("Completeness", "Uniqueness", "Consistency", "Type Richness", "Volume"))])
+    return five.select(F.explode(radar(*[F.col(f"v{i}") for i in range(5)], F.lit(density))).alias("x")).select("x.*")
+
+
 def bundle(df: DataFrame, types: list[ColumnType], order: str) -> dict[str, DataFrame]:
     """All charts that the columns allow."""
     of = lambda *kinds: [t.column for t in types if t.type in kinds]

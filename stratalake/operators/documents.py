@@ -25,6 +25,11 @@ def passages(docs: DataFrame, doc: str = "doc_id", text: str = "text", over: int
     return docs.select(doc, F.posexplode(X.paragraphs(F.col(text), over)).alias("par", "text"))
 
 
+def leading_paragraphs(docs: DataFrame, doc: str = "doc_id", text: str = "text", first: int = 3) -> DataFrame:
+    """doc and its first paragraphs, as a sample to show."""
+    return docs.select(doc, F.slice(X.paragraphs(F.col(text)), 1, first).alias("sample"))
+
+
 def keywords(units: DataFrame, top: int = 15, by: list[str] | None = None, text: str = "text", unicode: bool = False) -> DataFrame:
     """term, tf, df and score = tf * (ln((N + 1) / (df + 1)) + 1) of the top terms, of all units or within each `by`.
 
@@ -44,10 +49,10 @@ def keywords(units: DataFrame, top: int = 15, by: list[str] | None = None, text:
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "term"))).where(F.col("rank") <= top)
 
 
-def entity_counts(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
+def entity_counts(docs: DataFrame, doc: str = "doc_id", text: str = "text", kinds: tuple[str, ...] | None = None) -> DataFrame:
     """A row for each document and kind that occurs: n and the first distinct samples."""
-    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.size(X.entities(F.col(text), k)).cast("long").alias("n"), X.entity_samples(F.col(text), k).alias("samples")) for k in fixed.ENTITY_PATTERNS])
-    return docs.select(doc, F.explode(kinds).alias("x")).select(doc, "x.*").where("n > 0")
+    found = [F.struct(F.lit(k).alias("kind"), X.entity_summary(F.col(text), k).alias("x")) for k in kinds or fixed.ENTITY_PATTERNS]
+    return docs.select(doc, F.explode(F.array(*found)).alias("k")).select(doc, "k.kind", "k.x.n", "k.x.samples").where("n > 0")
 
 
 def topics(units: DataFrame, k: int = 4, seed: int = 7, dimensions: int = 64, rounds: int = 12) -> DataFrame:

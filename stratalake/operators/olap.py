@@ -137,10 +137,11 @@ def decompose(df: DataFrame, measure: str, dimension: str, top: int = 50) -> Dat
     return ranked.select("value", "sum", "share", "rank", F.max("share").over(every).alias("top_share"), F.round(F.sum(F.when(fifth, F.col("share"))).over(every), 1).alias("concentration_index"))
 
 
-def sweep(df: DataFrame, measures: list[str], dimensions: list[str]) -> DataFrame:
+def sweep(df: DataFrame, measures: list[str], dimensions: list[str], top: int | None = None) -> DataFrame:
     """Every measure by every dimension from one grouping-sets job: measure, dimension, value, sum, count, mean, share, rank.
 
     Groups of a null or blank value are left out of their set; ranks and shares are within (measure, dimension).
+    With `top`, each task keeps its first groups of a pair before they are ranked together.
     """
     named = df.select(*[q(d).cast("string").alias(f"d{i}") for i, d in enumerate(dimensions)], *[C.finite(q(m)).alias(f"m{i}") for i, m in enumerate(measures)])
     dims = [f"d{i}" for i in range(len(dimensions))]
@@ -150,9 +151,12 @@ def sweep(df: DataFrame, measures: list[str], dimensions: list[str]) -> DataFram
     which = [F.when(F.col("g") == (1 << n) - 1 - (1 << (n - 1 - i)), F.struct(F.lit(name).alias("dimension"), F.col(f"d{i}").alias("value"))) for i, name in enumerate(dimensions)]
     tall = cube.select(F.coalesce(*which).alias("d"), F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(f"a{i}").alias("a")) for i, m in enumerate(measures)])).alias("m"))
     tall = tall.select("m.measure", "d.dimension", "d.value", "m.a.sum", "m.a.count").where("value is not null and value <> '' and count > 0")
-    by = Window.partitionBy("measure", "dimension")
-    whole = F.sum(F.col("sum").cast(EXACT)).over(by).cast("double")
-    return tall.select("measure", "dimension", "value", "sum", "count", F.round(F.col("sum") / F.col("count"), 4).alias("mean"), C.share_of(F.col("sum"), whole).alias("share"), F.row_number().over(by.orderBy(F.desc("sum"), "value")).alias("rank"))
+    pair = ["measure", "dimension"]
+    whole = tall.groupBy(*pair).agg(F.sum(F.col("sum").cast(EXACT)).cast("double").alias("__whole"))  # a row for each pair
+    tall = tall.join(F.broadcast(whole), pair).withColumn("rank", F.row_number().over(Window.partitionBy(*pair).orderBy(F.desc("sum"), "value")))
+    if top is not None:
+        tall = tall.where(F.col("rank") <= top)
+    return tall.select("measure", "dimension", "value", "sum", "count", F.round(F.col("sum") / F.col("count"), 4).alias("mean"), C.share_of(F.col("sum"), F.col("__whole")).alias("share"), "rank")
 
 
 # ---- roles of columns ------------------------------------------------------------------------------------------------

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions import fixed
+from .quantiles import exact_quantiles
 
 
 @dataclass(frozen=True)
@@ -27,7 +28,7 @@ def q(name: str) -> Column:
 
 def infer_types(df: DataFrame, exact_distinct: bool = True) -> list[ColumnType]:
     """Semantic type of each column, from one job over all rows.  Typed columns need no text rules."""
-    aggs, distinct = [], F.count_distinct if exact_distinct else F.approx_count_distinct
+    aggs = []
     for i, f in enumerate(df.schema.fields):
         if not isinstance(f.dataType, T.StringType):
             none = F.lit(0).cast("long")
@@ -43,14 +44,22 @@ def infer_types(df: DataFrame, exact_distinct: bool = True) -> list[ColumnType]:
                 count(C.to_day(c).isNotNull()).alias("dates"),
                 count(number.isNotNull()).alias("numbers"),
                 count(number == F.floor(number)).alias("integers"),
-                distinct(F.lower(c)).alias("unique"),
+                (F.lit(0).cast("long") if exact_distinct else F.approx_count_distinct(F.lower(c))).alias("unique"),
             ).alias(f"c{i}")
         )
     texts = [(i, f.name) for i, f in enumerate(df.schema.fields) if isinstance(f.dataType, T.StringType)]
     read = df.withColumns({f"__s{i}": C.without_nullish(q(n)) for i, n in texts}) if texts else df
     read = read.withColumns({f"__n{i}": C.to_number(F.col(f"__s{i}")) for i, _ in texts}) if texts else read
     row = read.agg(*aggs).first()
-    return [decide_type(f, **row[f"c{i}"].asDict()) for i, f in enumerate(df.schema.fields)]
+    unique = distinct_counts(read, {i: F.col(f"__s{i}") for i, _ in texts}) if exact_distinct and texts else {}
+    return [decide_type(f, **row[f"c{i}"].asDict() | ({"unique": unique[i]} if i in unique else {})) for i, f in enumerate(df.schema.fields)]
+
+
+def distinct_counts(df: DataFrame, columns: dict[int, Column]) -> dict[int, int]:
+    """Distinct non-null values of each text column, case aside: one row for a (column, hash) pair, not one for a column and row."""
+    pairs = F.filter(F.array(*[F.when(c.isNotNull(), F.struct(F.lit(i).alias("i"), F.xxhash64(F.lower(c)).alias("h"))) for i, c in columns.items()]), lambda x: x.isNotNull())
+    counts = df.select(F.explode(pairs).alias("x")).select("x.*").distinct().groupBy("i").agg(F.count("*").alias("n"))
+    return dict.fromkeys(columns, 0) | {r["i"]: r["n"] for r in counts.collect()}
 
 
 def decide_type(field: T.StructField, n: int, booleans: int, dates: int, numbers: int, integers: int, unique: int) -> ColumnType:
@@ -79,20 +88,23 @@ def decide_type(field: T.StructField, n: int, booleans: int, dates: int, numbers
 
 
 def _each(df: DataFrame, names: list[str], values) -> DataFrame:
-    """A row for each column from one aggregation: `values(column)` gives named aggregates."""
+    """A row for each column from one aggregation: `values(column, name)` gives named aggregates."""
     if not names:
         raise ValueError("no columns to describe")
-    wide = df.agg(*[F.struct(F.lit(n).alias("column"), *values(q(n))).alias(f"c{i}") for i, n in enumerate(names)])
+    wide = df.agg(*[F.struct(F.lit(n).alias("column"), *values(q(n), n)).alias(f"c{i}") for i, n in enumerate(names)])
     return wide.select(F.explode(F.array(*[f"c{i}" for i in range(len(names))])).alias("x")).select("x.*")
 
 
 def describe_numeric(df: DataFrame, names: list[str], places: int = 4, accuracy: int | None = None) -> DataFrame:
     """count, mean, median, stddev, min, max, q1, q3, sum, range; exact quantiles unless an accuracy is given."""
 
-    def values(c: Column) -> list[Column]:
+    at_ = (0.25, 0.5, 0.75)
+    exact = exact_quantiles(df, {n: C.finite(q(n)) for n in names}, at_) if accuracy is None else None
+
+    def values(c: Column, name: str) -> list[Column]:
         v = C.finite(c)
         r = lambda x, name: F.round(F.coalesce(x, F.lit(0.0)), places).alias(name)
-        at = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if accuracy is None else F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy)
+        at = [F.lit(x).cast("double") for x in exact[name]] if exact else F.percentile_approx(v, list(at_), accuracy)
         return [
             F.count(v).alias("count"), r(F.avg(v), "mean"), r(at[1], "median"), r(F.stddev_samp(v), "stddev"), r(F.min(v), "min"), r(F.max(v), "max"),
             r(at[0], "q1"), r(at[2], "q3"), r(F.sum(v.cast("decimal(28,6)")).cast("double"), "sum"), r(F.max(v) - F.min(v), "range"),
@@ -102,7 +114,7 @@ def describe_numeric(df: DataFrame, names: list[str], places: int = 4, accuracy:
 
 
 def describe_dates(df: DataFrame, names: list[str]) -> DataFrame:
-    def values(c: Column) -> list[Column]:
+    def values(c: Column, _: str) -> list[Column]:
         d = c.cast("date")
         return [F.count(d).alias("count"), F.min(d).alias("min"), F.max(d).alias("max"), F.datediff(F.max(d), F.min(d)).alias("span_days")]
 
@@ -113,15 +125,16 @@ def describe_categories(df: DataFrame, names: list[str], top: int = 10) -> DataF
     """column, cardinality, value, n and rank of the most frequent values (ties: by value)."""
     pairs = df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("column"), q(n).cast("string").alias("value")) for n in names])).alias("x")).select("x.*")
     counts = pairs.where("value is not null and value <> ''").groupBy("column", "value").agg(F.count("*").alias("n"))
-    by = Window.partitionBy("column")
-    ranked = counts.withColumns({"rank": F.row_number().over(by.orderBy(F.desc("n"), "value")), "cardinality": F.count("*").over(by)})
-    return ranked.where(F.col("rank") <= top).select("column", "cardinality", "value", "n", "rank")
+    # the rank alone is a window, so that each task keeps its first `top` values before they are dealt by column
+    ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))).where(F.col("rank") <= top)
+    size = counts.groupBy("column").agg(F.count("*").alias("cardinality"))  # a row for each column
+    return ranked.join(F.broadcast(size), "column").select("column", "cardinality", "value", "n", "rank")
 
 
 def null_counts(df: DataFrame, names: list[str] | None = None) -> DataFrame:
     """column, nulls, rows and null_pct."""
     names = names or df.columns
-    values = lambda c: [F.count(F.when(is_blank(c), 1)).alias("nulls"), F.count("*").alias("rows"), F.round(F.coalesce(F.try_divide(F.count(F.when(is_blank(c), 1)), F.count("*")), F.lit(0.0)) * 100, 2).alias("null_pct")]
+    values = lambda c, _: [F.count(F.when(is_blank(c), 1)).alias("nulls"), F.count("*").alias("rows"), F.round(F.coalesce(F.try_divide(F.count(F.when(is_blank(c), 1)), F.count("*")), F.lit(0.0)) * 100, 2).alias("null_pct")]
     return _each(df, names, values)
 
 
@@ -153,11 +166,23 @@ def strong_pairs(matrix: DataFrame, least: float = 0.4, top: int = 8) -> DataFra
 def iqr_fences(df: DataFrame, names: list[str]) -> DataFrame:
     """column, low, high: beyond them a value is an outlier; null with fewer than four values."""
 
-    def values(c: Column) -> list[Column]:
-        v = C.finite(c)
-        at = F.percentile(v, F.array(F.lit(0.25), F.lit(0.75)))
-        some = F.count(v) >= 4
-        return [F.when(some, at[0] - 1.5 * (at[1] - at[0])).alias("low"), F.when(some, at[1] + 1.5 * (at[1] - at[0])).alias("high")]
+    at = exact_quantiles(df, {n: C.finite(q(n)) for n in names}, (0.25, 0.75))
+
+    def values(c: Column, name: str) -> list[Column]:
+        low, high = (F.lit(x).cast("double") for x in at[name])
+        some = F.count(C.finite(c)) >= 4
+        return [F.when(some, low - 1.5 * (high - low)).alias("low"), F.when(some, high + 1.5 * (high - low)).alias("high")]
+
+    return _each(df, names, values)
+
+
+def outlier_counts(df: DataFrame, names: list[str]) -> DataFrame:
+    """column and n, the values beyond its fences (0 without fences)."""
+    fences = {r["column"]: r for r in iqr_fences(df, names).collect()}
+
+    def values(c: Column, name: str) -> list[Column]:
+        low, high = (F.lit(fences[name][k]).cast("double") for k in ("low", "high"))
+        return [F.count(F.when((C.finite(c) < low) | (C.finite(c) > high), 1)).alias("n")]
 
     return _each(df, names, values)
 
@@ -208,3 +233,15 @@ def quality(df: DataFrame, types: list[ColumnType] | None = None, legacy_uniquen
 
 def quality_band(score: Column) -> Column:
     return F.when(score >= 80, "Excellent").when(score >= 60, "Good").otherwise("Needs Work")
+
+
+def share_band(share: Column) -> Column:
+    return F.when(share > 30, "high").when(share > 10, "mid").otherwise("low")
+
+
+def null_tone(null_pct: Column) -> Column:
+    return F.when(null_pct < 5, "good").when(null_pct < 20, "warn").otherwise("bad")
+
+
+def duplicate_tone(duplicates: Column) -> Column:
+    return F.when(duplicates == 0, "good").otherwise("warn")

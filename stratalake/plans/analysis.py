@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import compact_text as fmt
-from ..functions.columns import plural
-from ..operators import charts, olap, profile
+from ..functions.columns import plural, spoken, to_number
+from ..operators import charts, olap, profile, retrieval
 from ..operators.clean import ROW_ID, Cleaned, clean
 
 
@@ -64,67 +65,81 @@ def analyse(df: DataFrame, name: str = "data", plan: dict | None = None) -> Anal
     a.frames |= {f"chart_{k}": v for k, v in charts.bundle(cleaned.df, cleaned.types, ROW_ID).items()}
     small = ("quality", "nulls", "top", "pareto", "series", "outliers")
     a.facts = {k: [r.asDict(recursive=True) for r in a.frames[k].collect()] for k in small if k in a.frames}
+    cells = sum(n["rows"] for n in a.facts["nulls"])
+    a.frames["chart_radar"] = charts.quality_radar(a.frames["quality"], 100 - 100 * sum(n["nulls"] for n in a.facts["nulls"]) / cells if cells else 0.0)
     if "periods" in a.frames:
         a.facts["last_periods"] = [r.asDict() for r in a.frames["periods"].orderBy(F.desc("period")).limit(5).collect()][::-1]
     return a
 
 
 def pct(v: float | None) -> str:
-    return "—" if v is None else f"{v:.1f}%"
+    return "?" if v is None else f"{v:.1f} %"
+
+
+def _fact(a: Analysis, name: str) -> dict:
+    """The only row of a fact, or nothing."""
+    return (a.facts.get(name) or [{}])[0]
 
 
 def kpis(a: Analysis) -> list[dict]:
-    """Up to eight figures with a trend and a note."""
-    out = [{"label": "Total records", "value": f"{a.rows:,}", "trend": "neutral", "sub": f"{len(a.of('dimension', 'geo'))} dimensions · {len(a.of('measure'))} measures"}]
-    add = lambda label, value, trend, sub: out.append({"label": label, "value": value, "trend": trend, "sub": sub})
-    if m := a.measure:
-        add(f"Total {m.column}", fmt(m.sum), "up" if m.sum >= 0 else "down", f"avg {fmt(m.mean)}")
-        add(f"Avg {m.column}", fmt(m.mean), "up" if m.min is not None and m.mean >= (m.min + m.max) / 2 else "down", f"range {fmt(m.min)} – {fmt(m.max)}")
-    last = a.facts.get("last_periods", [])
-    if m and len(last) >= 2 and last[-1]["growth_pct"] is not None:
-        g = last[-1]["growth_pct"]
-        add(f"{m.column} MoM growth", f"{g:+g}%", "up" if g > 0 else "down" if g < 0 else "neutral", f"{fmt(last[-2]['value'])} → {fmt(last[-1]['value'])}")
-    if m and a.facts.get("series"):
-        add(f"{m.column} (period total)", fmt(m.sum), "up", f"{a.facts['series'][0]['n']} periods")
-    if m and a.facts.get("top"):
-        t = a.facts["top"][0]
-        add(f"Top {a.dimension.column}", str(t["value"])[:14], "up", f"{fmt(t['sum'])} ({pct(t['share'])} share)")
-    if a.facts.get("pareto") and a.facts["pareto"][0]["pareto_count"]:
-        p = a.facts["pareto"][0]
-        add("Pareto concentration", f"{p['pareto_count']} / {p['total_contributors']}", "up" if p["concentration_index"] < 30 else "neutral", f"top {p['pareto_count']} = {pct(p['cumulative_at'])} of total")
-    if n := sum(o["n"] for o in a.facts.get("outliers", [])):
-        add("Anomalies", str(n), "down", "statistical outliers")
+    """Up to eight figures: label, value, trend (up, down, neutral) and a note."""
+    out: list[dict] = []
+
+    def put(label: str, value: str, note: str, rises: bool | None = None) -> None:
+        out.append({"label": label, "value": value, "trend": "neutral" if rises is None else "up" if rises else "down", "sub": note})
+
+    m, top, p, series, last = a.measure, _fact(a, "top"), _fact(a, "pareto"), _fact(a, "series"), a.facts.get("last_periods", [])
+    put("Rows", f"{a.rows:,}", f"{len(a.cleaned.types)} columns, of which {len(a.of('measure'))} measure something")
+    if m:
+        put(f"{m.column}, all rows", fmt(m.sum), f"{m.non_null:,} rows have one", m.sum >= 0)
+        put(f"{m.column}, mean row", fmt(m.mean), f"least {fmt(m.min)}, most {fmt(m.max)}", m.min is not None and m.mean >= (m.min + m.max) / 2)
+        if len(last) > 1 and last[-1]["growth_pct"] is not None:
+            step = last[-1]["growth_pct"]
+            put(f"{m.column}, last step", f"{step:+g} %", f"{last[-2]['period']}: {fmt(last[-2]['value'])}, then {fmt(last[-1]['value'])}", None if step == 0 else step > 0)
+        if series:
+            put(f"{m.column}, dated", fmt(m.sum), f"over {series['n']} periods", True)
+        if top:
+            put(f"Largest {a.dimension.column}", str(top["value"])[:14], f"{fmt(top['sum'])}, {pct(top['share'])} of {m.column}", True)
+    if p.get("pareto_count"):
+        put("Groups within four fifths", f"{p['pareto_count']} of {p['total_contributors']}", f"the threshold is met at {pct(p['cumulative_at'])}", True if p["concentration_index"] < 30 else None)
+    if odd := sum(o["n"] for o in a.facts.get("outliers", [])):
+        put("Outlying values", f"{odd}", "beyond the quartile fences", False)
     return out[:8]
 
 
-def insights(a: Analysis) -> list[str]:
-    out = []
-    m, d = a.measure, a.dimension
-    if m and d and a.facts.get("top"):
-        top = a.facts["top"]
-        out.append(f'"{top[0]["value"]}" is the top {d.column} by {m.column}, contributing {fmt(top[0]["sum"])} ({pct(top[0]["share"])} of total).')
-        if len(top) >= 3:
-            three = sum(t["share"] for t in top[:3])
-            out.append(f"The top 3 {plural(d.column)} account for {pct(three)} of all {m.column}, indicating {'high' if three > 60 else 'moderate'} concentration.")
-    if m and d and a.facts.get("pareto") and a.facts["pareto"][0]["pareto_count"]:
-        p = a.facts["pareto"][0]
-        out.append(f"Pareto analysis: the top {p['pareto_count']} {plural(d.column)} ({pct(p['concentration_index'])} of all) drive {pct(p['cumulative_at'])} of total {m.column}.")
-    if m and a.facts.get("series") and a.facts["series"][0]["n"] >= 2:
-        s, last = a.facts["series"][0], a.facts["last_periods"]
-        if s["total_growth_pct"] is not None:
-            g = s["total_growth_pct"]
-            out.append(f"{m.column} {'grew' if g >= 0 else 'declined'} {abs(g):g}% from {s['first_period']} to {s['last_period']} ({fmt(s['first_value'])} → {fmt(s['last_value'])}).")
+#: Kinds of statements, in the order in which they are told.
+TOPICS = ("leader", "three", "pareto", "growth", "last", "extremes", "level", "shape", "place")
+
+
+def statements(a: Analysis) -> dict[str, str]:
+    """What the facts say, by kind."""
+    m, d, said = a.measure, a.dimension, {}
+    top, p, series, last = a.facts.get("top", []), _fact(a, "pareto"), _fact(a, "series"), a.facts.get("last_periods", [])
+    if m and d and top:
+        said["leader"] = f"By {m.column}, {d.column} {top[0]['value']!r} comes first: {fmt(top[0]['sum'])}, a share of {pct(top[0]['share'])}."
+        if len(top) > 2:
+            share = sum(t["share"] for t in top[:3])
+            said["three"] = f"Its three largest {plural(d.column)} hold {pct(share)} together, so {m.column} is {'strongly' if share > 60 else 'somewhat'} concentrated."
+    if m and d and p.get("pareto_count"):
+        said["pareto"] = f"{p['pareto_count']} of {p['total_contributors']} {plural(d.column)} stay within four fifths of {m.column} ({pct(p['concentration_index'])} of the groups; {pct(p['cumulative_at'])} with the next one)."
+    if m and series.get("n", 0) > 1:
+        if (g := series["total_growth_pct"]) is not None:
+            said["growth"] = f"From {series['first_period']} to {series['last_period']}, {m.column} went from {fmt(series['first_value'])} to {fmt(series['last_value'])}, {g:+g} %."
         if last[-1]["growth_pct"] is not None:
-            out.append(f"Most recent period ({last[-1]['period']}) showed {last[-1]['growth_pct']:+g}% change vs {last[-2]['period']}.")
-        out.append(f"Peak {m.column} period: {s['peak_period']} ({fmt(s['peak_value'])}); lowest: {s['trough_period']} ({fmt(s['trough_value'])}).")
+            said["last"] = f"The step from {last[-2]['period']} to {last[-1]['period']} was {last[-1]['growth_pct']:+g} %."
+        said["extremes"] = f"Best was {series['peak_period']} with {fmt(series['peak_value'])}, weakest {series['trough_period']} with {fmt(series['trough_value'])}."
     if m:
-        out.append(f"Average {m.column} per record is {fmt(m.mean)}, ranging from {fmt(m.min)} to {fmt(m.max)}.")
-    count = lambda n, word: f"{n} {word if n == 1 else word + 's'}"
-    timed = f", including a time dimension ({a.time.column})" if a.time else ""
-    out.append(f"Dataset contains {a.rows:,} records with {count(len(a.of('dimension', 'geo')), 'dimension')} and {count(len(a.of('measure')), 'measure')}{timed}.")
+        said["level"] = f"A row has {fmt(m.mean)} of {m.column} in the mean; values lie between {fmt(m.min)} and {fmt(m.max)}."
+    dated = f" and dates in {a.time.column}" if a.time else ""
+    said["shape"] = f"The {a.rows:,} rows have {len(a.of('measure'))} measures, {len(a.of('dimension', 'geo'))} dimensions{dated}."
     if geo := a.of("geo"):
-        out.append(f'Geographic dimension "{geo[0].column}" has {geo[0].unique} distinct values across the dataset.')
-    return out
+        said["place"] = f"Places are named in {geo[0].column}, {geo[0].unique} different ones."
+    return said
+
+
+def insights(a: Analysis) -> list[str]:
+    said = statements(a)
+    return [said[k] for k in TOPICS if k in said]
 
 
 def severity(n: int) -> str:
@@ -132,61 +147,75 @@ def severity(n: int) -> str:
 
 
 def anomalies(a: Analysis) -> list[str]:
-    return [
-        f'{o["n"]} outlier{"" if o["n"] == 1 else "s"} in "{o["column"]}" ({severity(o["n"])} severity) — values {fmt(min(o["samples"]))} to {fmt(max(o["samples"]))} vs typical range {fmt(o["low"])} to {fmt(o["high"])}.'
-        for o in a.facts.get("outliers", [])
-    ]
+    def tell(o: dict) -> str:
+        seen = f"{fmt(min(o['samples']))}" if len(o["samples"]) == 1 else f"{fmt(min(o['samples']))} up to {fmt(max(o['samples']))}"
+        return f"{o['column']}: {o['n']} beyond the fences {fmt(o['low'])} and {fmt(o['high'])} (such as {seen}); severity {severity(o['n'])}."
+
+    return [tell(o) for o in a.facts.get("outliers", [])]
 
 
 def outlook(a: Analysis) -> list[str]:
     """A projection at mean growth, a word on concentration, and one on volatility (stddev over mean)."""
-    out, m = [], a.measure
-    s = (a.facts.get("series") or [None])[0]
-    if m and s and s["projected"] is not None:
-        out.append(f"At the recent average growth rate of {s['mean_growth']:.1f}%, the next period is projected to reach {fmt(s['projected'])} {m.column} (directional only, not a forecast).")
-    p = (a.facts.get("pareto") or [None])[0]
-    if m and p and p["pareto_count"]:
-        out.append(f"Since the top {p['pareto_count']} {plural(a.dimension.column)} drive {pct(p['cumulative_at'])} of {m.column}, focusing on them is likely to yield disproportionate returns.")
-    if m and "numeric" in a.frames and (r := a.frames["numeric"].where(F.col("column") == m.column).first()) and r["mean"]:
-        cv = r["stddev"] / abs(r["mean"])
-        if cv > 0.2:
-            out.append(f"{m.column} shows {'high' if cv > 0.5 else 'moderate'} volatility (coefficient of variation {pct(cv * 100)}).")
-    return out
+    m, said = a.measure, []
+    if not m:
+        return said
+    series, p = _fact(a, "series"), _fact(a, "pareto")
+    if series.get("projected") is not None:
+        said.append(f"If {m.column} goes on by {series['mean_growth']:.1f} % a period, the next one comes to {fmt(series['projected'])}; this is a direction, no forecast.")
+    if p.get("pareto_count"):
+        said.append(f"With so much of {m.column} in {p['pareto_count']} {plural(a.dimension.column)}, work on these few moves the total most.")
+    r = a.frames["numeric"].where(F.col("column") == m.column).first() if "numeric" in a.frames else None
+    if r and r["mean"] and (spread := r["stddev"] / abs(r["mean"])) > 0.2:
+        said.append(f"{m.column} swings {'widely' if spread > 0.5 else 'noticeably'}: its standard deviation is {pct(spread * 100)} of its mean.")
+    return said
 
 
 def health_note(a: Analysis) -> str:
     nulls = a.facts["nulls"]
-    cells, missing = sum(n["rows"] for n in nulls), sum(n["nulls"] for n in nulls)
-    issues = []
+    cells, missing, doubled = sum(n["rows"] for n in nulls), sum(n["nulls"] for n in nulls), a.cleaned.duplicate_rows
+    sparse = [n["column"] for n in nulls if n["null_pct"] > 50]
+    found = []
     if missing:
-        issues.append(f"{round(100 * missing / cells, 2):g}% missing values across {missing} cells")
-    if n := a.cleaned.duplicate_rows:
-        issues.append(f"{n} duplicate {'row' if n == 1 else 'rows'} removed during cleaning")
-    if weak := sum(n["null_pct"] > 50 for n in nulls):
-        issues.append(f"{weak} {'column has' if weak == 1 else 'columns have'} >50% missing data")
-    return f"Data health: {'; '.join(issues)}." if issues else "Data health: no significant issues detected."
+        found.append(f"{missing} of {cells} cells are empty ({round(100 * missing / cells, 2):g} %)")
+    if doubled:
+        found.append(f"{doubled} repeated rows were taken out")
+    if sparse:
+        found.append(f"more than half of {', '.join(sparse)} is empty")
+    return "State of the data: " + (", ".join(found) if found else "nothing to mend") + "."
 
 
 def summary(a: Analysis, domain: str | None = None) -> str:
-    """The executive summary: shape, composition and the headline insights."""
-    parts = [f"Domain: {domain}."] if domain and domain != "Generic dataset" else []
-    parts.append(f'"{a.name}" holds {a.rows:,} records in {len(a.cleaned.types)} columns: {len(a.of("measure"))} measures, {len(a.of("dimension", "geo"))} dimensions, {len(a.of("time"))} time and {len(a.of("identifier"))} identifier columns.')
-    parts += insights(a)[:1]
-    parts += [x for x in insights(a) if x.startswith(("Pareto", f"{a.measure.column if a.measure else ''} grew", f"{a.measure.column if a.measure else ''} declined"))]
-    return " ".join(parts)
+    """Shape, composition and the headline statements."""
+    said = statements(a)
+    about = f" ({domain})" if domain and domain != "Generic dataset" else ""
+    kinds = ", ".join(f"{len(a.of(*r))} {w}" for r, w in ((("measure",), "measures"), (("dimension", "geo"), "dimensions"), (("time",), "time columns"), (("identifier",), "identifiers")))
+    head = f"{a.name}{about}: {a.rows:,} rows, {len(a.cleaned.types)} columns ({kinds})."
+    return " ".join([head, *[said[k] for k in ("leader", "pareto", "growth") if k in said]])
 
 
 def suggestions(a: Analysis, most: int = 6) -> list[str]:
-    m, d = a.measure, a.dimension
+    """Questions that the analysis can answer."""
+    m, d = a.measure and a.measure.column, a.dimension and a.dimension.column
     out = []
     if m and d:
-        out += [f"What are the top 5 {plural(d.column)} by {m.column}?", f"Which {plural(d.column)} have the lowest {m.column}?", f"How concentrated is {m.column} across {plural(d.column)}?"]
+        out += [f"Top 5 {plural(d)} by {m}?", f"Where is {m} lowest among {plural(d)}?", f"How evenly is {m} spread over {plural(d)}?"]
     if m and a.time:
-        out.append(f"How has {m.column} changed over time?")
+        out.append(f"What course does {m} take over time?")
     if m:
-        out.append(f"What is the average {m.column}?")
-    out += ["Are there any anomalies or outliers?", "How good is the data quality?"]
-    return list(dict.fromkeys(x.strip() for x in out))[:most]
+        out.append(f"Average {m} of a row?")
+    return [*dict.fromkeys([*out, "Which values are outliers?", "What does the quality score rest on?"])][:most]
+
+
+def document_suggestions(keywords: list[str], most: int = 6) -> list[str]:
+    """Questions to ask of documents, from their leading terms."""
+    out = [f"What is said about {k}?" for k in keywords[: max(0, most - 2)]]
+    return [*dict.fromkeys([*out, "What are the key passages?", "Which topics are there?"])][:most]
+
+
+def quick_types(df: DataFrame, first: int = 20) -> dict[str, str]:
+    """numeric or text for each column, from the first rows alone: numeric if over four fifths of their values are numbers."""
+    row = df.limit(first).agg(*[F.struct(F.count(profile.q(c)).alias("n"), F.count(to_number(profile.q(c).cast("string"))).alias("k")).alias(f"c{i}") for i, c in enumerate(df.columns)]).first()
+    return {c: "numeric" if row[f"c{i}"]["n"] and row[f"c{i}"]["k"] / row[f"c{i}"]["n"] > 0.8 else "text" for i, c in enumerate(df.columns)}
 
 
 def default_plan(df: DataFrame, first: int = 50) -> dict:
@@ -201,7 +230,87 @@ def default_plan(df: DataFrame, first: int = 50) -> dict:
 
 def narrative(a: Analysis) -> str:
     """What an outside writer would be asked for, from the facts alone."""
-    return "\n\n".join([summary(a), " ".join(insights(a)), " ".join(anomalies(a)) or "No anomalies stand out.", health_note(a)])
+    return "\n\n".join([summary(a), " ".join(insights(a)), " ".join(anomalies(a)) or "No value is beyond its fences.", health_note(a)])
+
+
+def deep_dive(a: Analysis, column: str) -> str:
+    """One column in words: its type and role, its gaps, and its numbers or values."""
+    kind = next((t.type for t in a.cleaned.types if t.column == column), None)
+    if kind is None:
+        raise ValueError(f"no column {column}")
+    role = next((r.role for r in a.roles if r.column == column), "none")
+    gaps = next(n for n in a.facts["nulls"] if n["column"] == column)
+    said = [f"{column} is of type {kind}, role {role}; {gaps['nulls']} of {gaps['rows']} values are missing."]
+    if "numeric" in a.frames and (r := a.frames["numeric"].where(F.col("column") == column).first()):
+        said.append(f"Mean {fmt(r['mean'])}, median {fmt(r['median'])}, standard deviation {fmt(r['stddev'])}, from {fmt(r['min'])} to {fmt(r['max'])}.")
+    if "categories" in a.frames and (rows := a.frames["categories"].where(F.col("column") == column).orderBy("rank").limit(3).collect()):
+        said.append(f"{rows[0]['cardinality']} values; most often " + ", ".join(f"{r['value']} ({r['n']})" for r in rows) + ".")
+    return " ".join([*said, *[x for x in anomalies(a) if x.startswith(f"{column}:")]])
+
+
+def chunks(a: Analysis, rows: bool = True) -> DataFrame:
+    """The analysis as chunks (id, family, text) for retrieval: a frame for each family, joined by unionByName."""
+    spark = a.cleaned.df.sparkSession
+    data = a.cleaned.df
+    told = [("summary", "summary", summary(a)), *[(f"cleaning_{i}", "cleaning", f"{x['step']} {x['column'] or 'rows'}: {x['detail']} {x['count'] if x['count'] is not None else ''}".strip()) for i, x in enumerate(a.cleaned.log)]]
+    told += [(f"insight_{i}", "insights", x) for i, x in enumerate(insights(a))] + [(f"anomaly_{i}", "anomalies", x) for i, x in enumerate(anomalies(a))] + [(f"outlook_{i}", "predictions", x) for i, x in enumerate(outlook(a))]
+    told += [(f"kpi_{i}", "kpis", f"{k['label']}: {k['value']} ({k['sub']})") for i, k in enumerate(kpis(a))]
+    told.append(("olap", "olap_summary", f"Measures: {', '.join(r.column for r in a.of('measure')) or 'none'}; dimensions: {', '.join(r.column for r in a.of('dimension', 'geo')) or 'none'}."))
+    out = [spark.createDataFrame(told, "id string, family string, text string")]
+
+    def frame(name: str, family: str, id_: Column, *parts: Column, of: DataFrame | None = None) -> None:
+        if of is not None or name in a.frames:
+            df = a.frames[name] if of is None else of
+            out.append(df.select(F.concat(F.lit(f"{family}_"), id_.cast("string")).alias("id"), F.lit(family).alias("family"), F.concat_ws(" ", *parts).alias("text")))
+
+    v, c = lambda n: spoken(F.col(n)), lambda x: F.lit(x)
+    frame("numeric", "column_stats", F.col("column"), F.col("column"), c("mean"), v("mean"), c("median"), v("median"), c("standard deviation"), v("stddev"), c("minimum"), v("min"), c("maximum"), v("max"), c("sum"), v("sum"))
+    if "categories" in a.frames:
+        values = a.frames["categories"].groupBy("column", "cardinality").agg(F.array_sort(F.collect_list(F.struct("rank", "value", "n"))).alias("top"))  # the top values of a column
+        frame("", "category_stats", F.col("column"), F.col("column"), c("has"), F.col("cardinality").cast("string"), c("values:"), F.array_join(F.transform("top", lambda t: F.concat(t["value"], F.lit(" "), t["n"].cast("string"))), ", "), of=values)
+    if "correlations" in a.frames:
+        frame("", "correlations", F.concat_ws("_", "a", "b"), c("correlation of"), F.col("a"), c("and"), F.col("b"), c("is"), v("r"), F.col("strength"), of=profile.strong_pairs(a.frames["correlations"]))
+    if "top" in a.frames:
+        frame("", "top_n", F.col("value"), c(f"{a.dimension.column}"), F.col("value"), c(f"has {a.measure.column}"), v("sum"), c("share"), v("share"), of=a.frames["top"].limit(5))
+        frame("pareto", "pareto", c("0"), F.col("pareto_count").cast("string"), c("of"), F.col("total_contributors").cast("string"), c(f"{plural(a.dimension.column)} within four fifths of {a.measure.column}"))
+    if "periods" in a.frames:
+        frame("", "periods", F.col("period"), F.col("period"), c(f"{a.measure.column}"), v("value"), c("change"), v("growth_pct"), of=a.frames["periods"].orderBy(F.desc("period")).limit(5))
+    if rows:
+        first = data.withColumn("__row", F.row_number().over(Window.orderBy(ROW_ID))).where("__row <= 200")  # a report's rows: each task keeps its first
+        numbered = first.withColumn("__row", F.col("__row") - 1)
+        out.append(retrieval.row_groups(numbered, [t.column for t in a.cleaned.types], "__row"))
+    return reduce(DataFrame.unionByName, out)
+
+
+def overview(a: Analysis) -> dict[str, DataFrame]:
+    """The frames of an overview: eight leaders, ten Pareto rows, and seven groups of the second dimension."""
+    out, data = {}, a.cleaned.df
+    if a.measure and a.dimension:
+        out["leaders"] = a.frames["top"].limit(8)
+        out["pareto"] = olap.pareto(data, a.measure.column, a.dimension.column).orderBy("rank").limit(10)
+        if second := next((r for r in a.of("dimension", "geo") if r.column != a.dimension.column), None):
+            out["decomposition"] = olap.decompose(data, a.measure.column, second.column).orderBy("rank").limit(7)
+    if "periods" in a.frames:
+        out["periods"] = a.frames["periods"]
+    return out
+
+
+def workbook(a: Analysis, most_rows: int = 100_000) -> dict[str, DataFrame]:
+    """The sheets of a report; the data itself up to a workbook's size (more goes to Parquet)."""
+    spark = a.cleaned.df.sparkSession
+    listed = lambda lines: spark.createDataFrame([(x,) for x in lines] or [("none",)], "text string")
+    sheets = {"Clean Data": a.cleaned.df.orderBy(ROW_ID).limit(most_rows).drop(ROW_ID)}
+    if "numeric" in a.frames:
+        sheets["Statistics"] = a.frames["numeric"]
+    sheets |= {"Quality": a.frames["quality"], "Insights": listed(insights(a))}
+    if "correlations" in a.frames:
+        sheets["Correlations"] = a.frames["correlations"]
+    return sheets | {"KPIs": spark.createDataFrame([(k["label"], k["value"], k["trend"], k["sub"]) for k in kpis(a)], "label string, value string, trend string, note string")}
+
+
+def bundle(a: Analysis) -> dict:
+    """Meta, profiles, log and statements for `writers.json_bundle`; rows go to Parquet."""
+    return {"meta": {"name": a.name, "rows": a.rows, "columns": [t.column for t in a.cleaned.types]}, "profiles": [vars(r) for r in a.roles], "types": [vars(t) for t in a.cleaned.types], "log": a.cleaned.log, "insights": insights(a), "kpis": kpis(a)}
 
 
 def history_entry(a: Analysis) -> DataFrame:

@@ -270,13 +270,17 @@ query("area", "SELECT o_orderkey AS label, o_totalprice FROM orders ORDER BY o_o
 _DIRTY_NUMBER = """CASE o_orderkey % 9 WHEN 0 THEN '$' || k || ',250.50' WHEN 1 THEN '(' || k || ')' WHEN 2 THEN k || '%' WHEN 3 THEN k || ',50' WHEN 4 THEN '1.' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') || ',25' WHEN 5 THEN ' n/a ' WHEN 6 THEN '€' || k WHEN 7 THEN k || ' apples' ELSE '-' || k || '.5' END"""
 
 
-def _dirty_numbers(df):
+def _dirty_number():
     k, n = F.col("o_orderkey").cast("string"), F.col("o_orderkey") % 9
     forms = [F.concat(F.lit("$"), k, F.lit(",250.50")), F.concat(F.lit("("), k, F.lit(")")), F.concat(k, F.lit("%")), F.concat(k, F.lit(",50")), F.concat(F.lit("1."), F.lpad((F.col("o_orderkey") % 1000).cast("string"), 3, "0"), F.lit(",25")), F.lit(" n/a "), F.concat(F.lit("€"), k), F.concat(k, F.lit(" apples"))]
     raw = F.concat(F.lit("-"), k, F.lit(".5"))
     for i, f in reversed(list(enumerate(forms))):
         raw = F.when(n == i, f).otherwise(raw)
-    return df.select("o_orderkey", raw.alias("raw"))
+    return raw
+
+
+def _dirty_numbers(df):
+    return df.select("o_orderkey", _dirty_number().alias("raw"))
 
 
 query(
@@ -288,12 +292,16 @@ query(
 _FORMATS = ["%Y-%m-%d", "%d/%m/%Y", "%b %d, %Y", "%d %b %Y", "%m/%d/%y"]
 
 
-def _dirty_dates(df):
+def _dirty_date():
     d, n = F.col("o_orderdate"), F.col("o_orderkey") % 6
     raw = F.lit("not a day")
     for i, f in reversed(list(enumerate(("yyyy-MM-dd", "dd/MM/yyyy", "MMM dd, yyyy", "dd MMM yyyy", "MM/dd/yy")))):
         raw = F.when(n == i, F.date_format(d, f)).otherwise(raw)
-    return df.select("o_orderkey", raw.alias("raw"))
+    return raw
+
+
+def _dirty_dates(df):
+    return df.select("o_orderkey", _dirty_date().alias("raw"))
 
 
 query(
@@ -313,8 +321,7 @@ query(
 @query("infer_types")
 def _infer(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    mixed = _dirty_numbers(o).select("o_orderkey", F.col("raw").alias("amount")).join(_dirty_dates(o).select("o_orderkey", F.col("raw").alias("day")), "o_orderkey")
-    mixed = mixed.join(o.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("label")), "o_orderkey").drop("o_orderkey")
+    mixed = o.select(_dirty_number().alias("amount"), _dirty_date().alias("day"), F.col("o_orderstatus").alias("status"), F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("label"))
     return spark.createDataFrame([(t.column, t.type, float(t.confidence)) for t in profile.infer_types(mixed)], "column string, type string, confidence double")
 
 
@@ -396,7 +403,7 @@ query(
     "entities",
     " UNION ALL ".join(f"SELECT '{k}' AS kind, sum(n)::BIGINT AS n, count(*) AS docs FROM (SELECT len(regexp_extract_all(text, '{p}')) AS n FROM documents) WHERE n > 0 HAVING count(*) > 0" for k, p in _RE2.items()),
     "documents",
-)(lambda df: documents.entity_counts(df).where(F.col("kind").isin(*_RE2)).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("docs")))
+)(lambda df: documents.entity_counts(df, kinds=tuple(_RE2)).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("docs")))
 query("key_passages")(lambda spark, sf_dir: documents.key_passages(documents.passages(table(spark, sf_dir, "documents")).withColumn("place", F.struct("doc_id", "par")), order="place").drop("place"))
 query("topics")(lambda spark, sf_dir: documents.topic_summary(documents.topics(documents.passages(table(spark, sf_dir, "documents"))), ["doc_id", "par"]))
 
@@ -477,3 +484,164 @@ query(
     FROM (SELECT o_orderkey, (o_orderkey * o_orderkey)::DOUBLE * 1.00013::DOUBLE AS v FROM orders)""",
     "orders",
 )(lambda df: df.select("o_orderkey", C.compact((F.col("o_orderkey") * F.col("o_orderkey")).cast("double") * 1.00013).alias("shown")))
+
+# ---- more of the profiles --------------------------------------------------------------------------------------------
+
+_NET = "SELECT l_quantity, l_extendedprice, l_tax, l_extendedprice * (1 - l_discount) AS net FROM lineitem"
+_NET_NAMES = ["l_quantity", "l_extendedprice", "l_tax", "net"]
+query(
+    "strong_pairs_net",
+    f"WITH t AS ({_NET}) SELECT a, b, r, CASE WHEN abs(r) >= 0.7 THEN 'strong' ELSE 'moderate' END AS strength FROM ({_corr_sql('t', _NET_NAMES)}) WHERE a < b AND abs(r) >= 0.4 ORDER BY abs(r) DESC, a, b LIMIT 8",
+    "lineitem",
+)(lambda df: profile.strong_pairs(profile.correlations(df.select("l_quantity", "l_extendedprice", "l_tax", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("net")), _NET_NAMES)))
+query(
+    "outlier_samples",
+    """WITH q AS (SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM events), f AS (SELECT q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM q)
+    SELECT (row_number() OVER (ORDER BY event_id, value))::INTEGER AS nth, round(value, 6) AS value FROM events, f WHERE value < low OR value > high ORDER BY nth LIMIT 10""",
+    "events",
+)(lambda df: profile.outliers(df, ["value"], "event_id").select(F.posexplode("samples").alias("nth", "value")).select((F.col("nth") + 1).alias("nth"), F.round("value", 6).alias("value")))
+
+#: Every row of events, most of the values blank, and the type and user of many rows repeated.
+_WEAK = "SELECT user_id, event_type, CASE WHEN event_id % 5 < 3 THEN NULL ELSE floor(value) END AS value FROM events"
+query(
+    "quality_of_weak_data",
+    f"""WITH h AS ({_WEAK}), s AS (SELECT count(*) AS n, 3 * count(*) - count(user_id) - count(event_type) - count(value) AS gaps, (CASE WHEN count(value) / count(*) < 0.5 THEN 1 ELSE 0 END) AS weak FROM h),
+    u AS (SELECT count(*) AS groups FROM (SELECT DISTINCT coalesce(user_id::VARCHAR, ''), lower(trim(coalesce(event_type, ''))), coalesce(value::VARCHAR, '') FROM h)),
+    d AS (SELECT 'Completeness' AS dimension, 0.35::DOUBLE AS weight, 100 - gaps / (3 * n) * 100 AS raw FROM s UNION ALL SELECT 'Uniqueness', 0.25, 100 - (n - groups) / n * 100 FROM s, u
+      UNION ALL SELECT 'Consistency', 0.20, 100 - weak / 3 * 100 FROM s UNION ALL SELECT 'Type Richness', 0.10, 2 / 3 * 100 FROM s UNION ALL SELECT 'Volume', 0.10, least(100, log10(n + 1) / 5 * 100) FROM s)
+    SELECT dimension, weight, round(raw, 1) AS value, round(weight * raw, 1) AS contribution, (SELECT round(sum(weight * raw))::BIGINT FROM d) AS score FROM d""",
+    "events",
+)(
+    lambda df: profile.quality(
+        df.select("user_id", "event_type", F.when(F.col("event_id") % 5 >= 3, F.floor("value").cast("double")).alias("value")),
+        [profile.ColumnType(c, t, 1.0) for c, t in (("user_id", "text"), ("event_type", "category"), ("value", "number"))],
+    )
+)
+query(
+    "share_bands",
+    """SELECT c_mktsegment AS value, share, CASE WHEN share > 30 THEN 'high' WHEN share > 10 THEN 'mid' ELSE 'low' END AS band FROM
+    (SELECT c_mktsegment, round(sum(c_acctbal::DECIMAL(28,6))::DOUBLE / (sum(sum(c_acctbal::DECIMAL(28,6))) OVER ())::DOUBLE * 100, 2) AS share FROM customer GROUP BY 1)""",
+    "customer",
+)(lambda df: olap.share_of_total(df, "c_acctbal", "c_mktsegment").select("value", "share", profile.share_band(F.col("share")).alias("band")))
+query(
+    "null_tones",
+    f"WITH h AS ({_HOLES}) "
+    + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CASE WHEN p < 5 THEN 'good' WHEN p < 20 THEN 'warn' ELSE 'bad' END AS tone FROM (SELECT (count(*) - count({c})) / count(*) * 100 AS p FROM h)" for c in ("event_id", "event_type", "value")),
+)(lambda spark, sf_dir: profile.null_counts(_holes(spark, sf_dir), ["event_id", "event_type", "value"]).select("column", profile.null_tone(F.col("null_pct")).alias("tone")))
+
+_ROLE_NUMBERS = {"l_orderkey": "integer", "l_partkey": "integer", "l_suppkey": "integer", "l_linenumber": "integer", "l_quantity": "number", "l_extendedprice": "number", "l_discount": "number", "l_tax": "number"}
+
+
+def _role_sql(c: str, kind: str) -> str:
+    """The rules for a numeric or a category column, on figures taken by SQL; what a name says is known beforehand."""
+    measured = str(olap._has(c, fixed.MEASURE_WORDS, "substring")).lower()
+    named = lambda r, u: f"({str(olap.is_identifier_name(c, 0.0, 0)).lower()} OR ({str(olap.is_identifier_name(c, 1.0, 20)).lower()} AND {r} >= 0.9 AND {u} >= 20))"
+    if kind in ("integer", "number"):
+        return f"""SELECT '{c}' AS "column", CASE WHEN years / n >= 0.8 AND u > 1 AND u < 200 THEN 'time' WHEN {named("u / n", "u")} THEN 'identifier' WHEN u <= 15 AND rows > 5 AND NOT {measured} AND broken = 0 THEN 'dimension' ELSE 'measure' END AS role,
+        n AS non_null, u AS unique_count, round(u / n, 4) AS unique_ratio FROM (SELECT count(*) AS rows, count({c}) AS n, count(DISTINCT {c}) AS u, count(*) FILTER (WHERE {c} BETWEEN 1900 AND 2099 AND {c} = floor({c})) AS years, count(*) FILTER (WHERE {c} <> floor({c})) AS broken FROM lineitem)"""
+    geo = str(olap._has(c, fixed.GEOGRAPHIC_WORDS, "substring")).lower()
+    return f"""SELECT '{c}' AS "column", CASE WHEN u / n >= 0.95 AND rows >= 20 AND u > 20 AND NOT {measured} THEN 'identifier' WHEN {geo} THEN 'geo' ELSE 'dimension' END AS role, n AS non_null, u AS unique_count, round(u / n, 4) AS unique_ratio
+    FROM (SELECT count(*) AS rows, count({c}) AS n, count(DISTINCT lower({c})) AS u FROM lineitem)"""
+
+
+@query("column_roles_checked", " UNION ALL ".join([*[_role_sql(c, k) for c, k in _ROLE_NUMBERS.items()], *[_role_sql(c, "category") for c in ("l_returnflag", "l_linestatus")]]))
+def _roles_checked(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select(*_ROLE_NUMBERS, "l_returnflag", "l_linestatus")
+    roles = olap.classify(df, profile.infer_types(df))
+    return spark.createDataFrame([(r.column, r.role, r.non_null, r.unique, float(r.unique_ratio)) for r in roles], "column string, role string, non_null long, unique_count long, unique_ratio double")
+
+
+# ---- cleaning as a whole ---------------------------------------------------------------------------------------------
+
+_CLEAN_NUMBER = "CASE f WHEN 0 THEN (k || '250.50')::DOUBLE WHEN 1 THEN -k::DOUBLE WHEN 2 THEN k::DOUBLE / 100 WHEN 3 THEN (k || '.50')::DOUBLE WHEN 4 THEN ('1' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') || '.25')::DOUBLE WHEN 6 THEN k::DOUBLE WHEN 8 THEN ('-' || k || '.5')::DOUBLE END"
+
+
+@query(
+    "clean_numbers",
+    f"""WITH d AS (SELECT o_orderkey, o_orderkey % 9 AS f, o_orderkey::VARCHAR AS k, o_orderstatus FROM orders WHERE o_orderkey % 9 <> 7), n AS (SELECT o_orderkey, o_orderstatus, {_CLEAN_NUMBER} AS v FROM d),
+    m AS (SELECT *, coalesce(v, (SELECT round(avg(v), 4) FROM n)) AS amount FROM n)
+    SELECT round(amount, 4) AS amount, o_orderstatus AS status, min(o_orderkey) AS first_row FROM m GROUP BY amount, lower(trim(o_orderstatus)), o_orderstatus""",
+    "orders",
+)
+def _clean_numbers(df):
+    raw = df.where("o_orderkey % 9 <> 7").select(_dirty_number().alias("amount"), F.concat(F.lit("  "), "o_orderstatus", F.lit(" ")).alias("status"), F.col("o_orderkey").alias(clean.ROW_ID))
+    return clean.clean(raw).df.select(F.round("amount", 4).alias("amount"), F.trim("status").alias("status"), F.col(clean.ROW_ID).alias("first_row"))
+
+
+query(
+    "spoken_numbers",
+    "SELECT o_orderkey, CASE WHEN o_totalprice = floor(o_totalprice) THEN printf('%.0f', o_totalprice) ELSE printf('%.2f', o_totalprice) END AS price, CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE o_orderkey::VARCHAR END AS key FROM orders",
+    "orders",
+)(lambda df: df.select("o_orderkey", C.spoken(F.col("o_totalprice")).alias("price"), C.spoken(F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey"))).alias("key")))
+
+# ---- more of the texts -----------------------------------------------------------------------------------------------
+
+_PARAGRAPHS = r"list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n\s*\n|--- Page \d+ ---'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: length(p) > 30)"
+query("document_samples", f"SELECT doc_id, array_to_string(({_PARAGRAPHS})[1:3], chr(10)) AS sample FROM documents", "documents")(
+    lambda df: documents.leading_paragraphs(df).select("doc_id", F.array_join("sample", "\n").alias("sample"))
+)
+query(
+    "paragraph_stats",
+    f"SELECT doc_id, len({_PARAGRAPHS}) AS paragraphs, round(coalesce({_WORDS} / nullif(len({_PARAGRAPHS}), 0), 0), 1) AS words_per_paragraph FROM documents",
+    "documents",
+)(lambda df: documents.overview(df).select("doc_id", "paragraphs", "words_per_paragraph"))
+query(
+    "key_passages_checked",
+    f"""WITH p AS (SELECT doc_id, generate_subscripts({_PARAGRAPHS}, 1) - 1 AS par, unnest({_PARAGRAPHS}) AS text FROM documents),
+    k AS (SELECT doc_id, par, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) > 1 AND x NOT IN ({_STOP})) AS t FROM p),
+    c AS (SELECT term, count(*) AS tf, count(DISTINCT (doc_id, par)) AS df FROM (SELECT doc_id, par, unnest(t) AS term FROM k) GROUP BY 1),
+    s AS (SELECT term FROM c ORDER BY round(tf * (ln(((SELECT count(*) FROM p) + 1) / (df + 1)) + 1), 4) DESC, term LIMIT 30), l AS (SELECT list(term) AS terms FROM s)
+    SELECT doc_id, par::INTEGER AS par, round(len(list_filter(t, lambda x: list_contains(terms, x))) / len(t), 4) AS density FROM k, l WHERE len(t) > 10 ORDER BY density DESC, doc_id, par LIMIT 5""",
+    "documents",
+)(lambda df: documents.key_passages(documents.passages(df).withColumn("place", F.struct("doc_id", "par")), order="place").select("doc_id", "par", "density"))
+_RE2_MORE = {
+    "date": r"\b(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s*\d{4})\b",
+    "currency": fixed.ENTITY_PATTERNS["currency"],
+}
+query(
+    "entities_dates_and_money",
+    " UNION ALL ".join(f"SELECT '{k}' AS kind, sum(n)::BIGINT AS n, count(*) AS docs FROM (SELECT len(regexp_extract_all(text, '{p}')) AS n FROM documents) WHERE n > 0 HAVING count(*) > 0" for k, p in _RE2_MORE.items()),
+    "documents",
+)(lambda df: documents.entity_counts(df, kinds=tuple(_RE2_MORE)).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("docs")))
+query(
+    "retrieval_index",
+    f"""WITH t AS (SELECT doc_id, unnest(list_transform(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9_\\s.]', ' ', 'g'), '\\s+'), lambda x: regexp_replace(x, '^[.]+|[.]+$', '', 'g'))) AS term FROM documents),
+    k AS (SELECT * FROM t WHERE length(term) > 1 AND term NOT IN ({", ".join(f"'{w}'" for w in dict.fromkeys(fixed.QUESTION_STOP_WORDS))})), c AS (SELECT term, count(DISTINCT doc_id) AS df FROM k GROUP BY 1)
+    SELECT term, df, round(ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) + 1, 6) AS idf FROM c ORDER BY df DESC, term LIMIT 4096""",
+    "documents",
+)(lambda df: retrieval.fit_index(df.select(F.col("doc_id").alias("id"), "text")).select("term", "df", F.round("idf", 6).alias("idf")))
+
+# ---- more of the comparison ------------------------------------------------------------------------------------------
+
+
+def _outlier_sql(tab: str) -> str:
+    return f"SELECT count(*) AS n FROM {tab}, (SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3 FROM {tab}) WHERE o_totalprice < q1 - 1.5 * (q3 - q1) OR o_totalprice > q3 + 1.5 * (q3 - q1)"
+
+
+query("compare_outliers", f"SELECT 'o_totalprice' AS \"column\", a.n AS outliers_a, b.n AS outliers_b, b.n - a.n AS outliers_delta FROM ({_outlier_sql(_A)}) a, ({_outlier_sql(_B)}) b")(
+    lambda spark, sf_dir: compare.numeric_drift(*_halves(spark, sf_dir), ["o_totalprice"], outlying=True).select("column", "outliers_a", "outliers_b", "outliers_delta")
+)
+
+
+def _quality_sql(tab: str, s: str) -> str:
+    """Typed columns without gaps: only the volume differs (and the key's uniqueness, which is whole)."""
+    filled = " + ".join(f"count({c})" for c in ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"))
+    return f"""SELECT unnest(['Completeness', 'Uniqueness', 'Consistency', 'Type Richness', 'Volume']) AS dimension, unnest([({filled}) / (6 * count(*)) * 100, count(DISTINCT orders) / count(*) * 100, 100, 100, least(100, log10(count(*) + 1) / 5 * 100)]) AS raw_{s} FROM {tab} AS orders"""
+
+
+query(
+    "compare_quality",
+    f"SELECT dimension, round(raw_a, 1) AS value_a, round(raw_b, 1) AS value_b, round(round(raw_b, 1) - round(raw_a, 1), 1) AS delta FROM ({_quality_sql(_A, 'a')}) JOIN ({_quality_sql(_B, 'b')}) USING (dimension)",
+)(lambda spark, sf_dir: compare.quality_drift(*_halves(spark, sf_dir)).select("dimension", "value_a", "value_b", "delta"))
+
+
+@query("type_drift")
+def _type_drift(spark, sf_dir):
+    """Types of orders against orders whose amounts and days are text of many forms."""
+    o = table(spark, sf_dir, "orders")
+    b = o.select(F.col("o_orderkey").cast("string").alias("o_orderkey"), _dirty_number().alias("o_totalprice"), _dirty_date().alias("o_orderdate"), "o_orderpriority")
+    drift = compare.type_drift(profile.infer_types(o.select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority")), profile.infer_types(b))
+    return spark.createDataFrame(drift, "column string, type_a string, type_b string")
+
+
+_sql["type_drift"] = "SELECT 'o_totalprice' AS \"column\", 'number' AS type_a, 'text' AS type_b FROM orders HAVING count(*) FILTER (WHERE o_orderkey % 9 NOT IN (5, 7)) / count(*) FILTER (WHERE o_orderkey % 9 <> 5) < 0.85"

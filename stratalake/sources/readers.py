@@ -49,13 +49,19 @@ def looks_headless(names: list[str], n_rows: int) -> bool:
     return all(re.fullmatch(r"_\d+", n or "") for n in names) or all(not (n or "").strip() for n in names) or (len(names) > 1 and all(numeric(n) for n in names))
 
 
-def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, header: bool | None = None) -> DataFrame:
-    """All columns as text.  The first line decides on delimiter and header unless they are given."""
+def read_delimited(spark: SparkSession, path: str, delimiter: str | None = None, header: bool | None = None, multi_line: bool | None = None) -> DataFrame:
+    """All columns as text.  The first line decides on delimiter and header unless they are given.
+
+    A file is split among tasks unless a quoted value spans lines; `multi_line` tells, else the quotes of all lines are counted.
+    """
     lines = [r[0] for r in spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(2).collect()]
     if not lines:
         raise ValueError(f"nothing to read in {path}")
     sep = delimiter or sniff_delimiter(lines[0].lstrip("﻿"))
-    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False, "mode": "PERMISSIVE"}
+    if multi_line is None:
+        odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
+        multi_line = spark.read.text(path).where(odd).limit(1).count() > 0
+    options = {"sep": sep, "quote": '"', "escape": '"', "multiLine": multi_line, "ignoreLeadingWhiteSpace": False, "mode": "PERMISSIVE"}
     first = spark.read.options(**options).csv(path, header=False, inferSchema=False)
     names = [v for v in (first.limit(1).collect() or [[]])[0]]
     names = [(n or "").lstrip("﻿").strip() for n in names]

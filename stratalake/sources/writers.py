@@ -19,9 +19,17 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
     df.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(path)
 
 
+def _small(df: DataFrame, most: int = 200_000) -> list:
+    """The rows of a frame of a report's size; more is an error, as it belongs into files that Spark writes."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report takes {most} rows of a frame at most: write it with write_parquet")
+    return rows
+
+
 def json_bundle(frames: dict[str, DataFrame], meta: dict) -> str:
     """Small frames and facts as one JSON text; rows of the data itself go to `write_parquet`."""
-    return json.dumps(meta | {k: [r.asDict(recursive=True) for r in df.collect()] for k, df in frames.items()}, default=str, ensure_ascii=False)
+    return json.dumps(meta | {k: [r.asDict(recursive=True) for r in _small(df)] for k, df in frames.items()}, default=str, ensure_ascii=False)
 
 
 def markdown_report(title: str, summary: str, sections: dict[str, DataFrame | list[str]]) -> str:
@@ -30,7 +38,7 @@ def markdown_report(title: str, summary: str, sections: dict[str, DataFrame | li
         out += [f"## {name}", ""]
         if isinstance(body, DataFrame):
             out += ["| " + " | ".join(body.columns) + " |", "|" + " --- |" * len(body.columns)]
-            out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in body.collect()]
+            out += ["| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in _small(body)]
         else:
             out += [f"- {line}" for line in body]
         out.append("")
@@ -51,7 +59,7 @@ def excel_bytes(sheets: dict[str, DataFrame]) -> bytes:
         z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{rels}</Relationships>')
         for i, n in enumerate(names):
             df = sheets[n]
-            rows = [df.columns, *[list(r) for r in df.collect()]]
+            rows = [df.columns, *[list(r) for r in _small(df)]]
             cell = lambda v: f"<c><v>{v}</v></c>" if isinstance(v, int | float) and not isinstance(v, bool) else f'<c t="inlineStr"><is><t>{escape("" if v is None else str(v))}</t></is></c>'
             body = "".join(f"<row>{''.join(cell(v) for v in r)}</row>" for r in rows)
             z.writestr(f"xl/worksheets/sheet{i + 1}.xml", f'<?xml version="1.0"?><worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
@@ -82,6 +90,16 @@ def without_entry(history: DataFrame, entry_id: str) -> DataFrame:
     return history.where(F.col("id") != entry_id)
 
 
+def clear_history(spark, path: str) -> None:
+    """The log with no entries."""
+    spark.createDataFrame([], HISTORY).write.mode("overwrite").parquet(path)
+
+
+def top_categories(history: DataFrame) -> DataFrame:
+    """How many runs each leading value led."""
+    return history.where("top_category is not null").groupBy("top_category").agg(F.count("*").alias("runs")).orderBy(F.desc("runs"), "top_category")
+
+
 def trend(history: DataFrame, file: str | None = None) -> DataFrame:
     picked = history if file is None else history.where(F.col("file") == file)
     return picked.orderBy("ts").select("ts", "file", "rows", "quality", "metric", "metric_mean", "top_category")

@@ -5,17 +5,23 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from stratalake.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
-CHECKED = ["period_over_period_month", "olap_sweep", "pareto_summary", "describe_numeric", "histogram", "coerce_number", "coerce_date", "deduplicate", "time_hierarchy", "keywords_tfidf", "category_overlap"]
+CHECKED = sorted(catalogue.oracle_sql())
 
 
-@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-@pytest.mark.parametrize("name", CHECKED)
-def test_query_matches_sql(spark, name):
+@pytest.fixture(scope="module")
+def con():
     con = duckdb.connect()
     for p in glob.glob(f"{DATA}/*.parquet"):
         con.execute(f"create view {os.path.basename(p)[:-8]} as select * from read_parquet('{p}')")
+    return con
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name", CHECKED)
+def test_query_matches_sql(spark, con, name):
     want = con.execute(entry.oracle_sql()[name]).fetchall()
     columns = [c[0] for c in con.description]
     got = entry.queries()[name](spark, DATA).select(*[f"`{c}`" for c in columns]).collect()
