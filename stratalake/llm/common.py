@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -36,7 +38,33 @@ def stash(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _written.append((spark, path))
+    back = spark.read.schema(df.schema).parquet(path)
+    back._stash = path
+    return back
+
+
+def forget(*stashes: DataFrame) -> None:
+    """Delete tables that `stash` gave, once no frame reads them any more."""
+    for df in stashes:
+        _delete(df.sparkSession, df._stash)
+        _written.remove((df.sparkSession, df._stash))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: What `stash` wrote and nobody forgot: deleted when the driver ends.
+_written: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clear() -> None:
+    for spark, path in _written:
+        with contextlib.suppress(Exception):  # the session may be gone
+            _delete(spark, path)
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:
@@ -61,7 +89,7 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
     Alternating star contraction: every round is a few joins and groupings on node ids, so a star of
     any size is one pre-aggregated group; rounds grow with the logarithm of the graph.
     """
-    pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b")
+    pairs, last = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b"), []
     for _ in range(most_rounds):
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -71,6 +99,8 @@ def components(spark: SparkSession, edges: DataFrame, most_rounds: int = 60) ->
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         pairs = stash(small)
+        forget(*last)
+        last = [pairs]
         # settled once all are stars: a node hangs on one node, and nothing hangs on it
         ends = pairs.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))))
         ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
