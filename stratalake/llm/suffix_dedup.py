@@ -6,21 +6,24 @@ Shipping every suffix would cost many times the input, so suffixes are sorted wh
    depends on the window's bytes only, so equal windows have equal anchors at equal places.  About one position in
    (length - gram) / 2 is an anchor.
 2. Fingerprints.  Gram hashes, one for each block of documents, meet in buckets; a gram seen in one document only can
-   bring no match and leaves.  Nothing else is filtered.
+   bring no match and leaves.  Nothing else is filtered.  Grams that stand over `hot` times are told apart.
 3. Contexts.  A shared anchor travels with the bytes around it: up to length - gram before it and length after its
    start.  Equal contexts collapse in each block and again in the bucket, keeping the least document.  So an exact
    copy, a hot passage or thousands of near copies cost one context for each block and each wording.
 4. Suffix sorting.  In each bucket the contexts of one gram are sorted as suffixes (bytes from the anchor on) and as
-   reversed prefixes (bytes before it) by the deep-shallow method: multikey quicksort down to a shallow depth, eight
-   bytes to a key; groups that still agree are ordered by a blind trie, which inserts by the bytes at branching depths
-   alone and then compares once.  Both orders bring their longest common prefixes.
+   reversed prefixes (bytes before it) by the deep-shallow method: multikey quicksort (three parts about a pivot, the
+   middle one going on to the next seven bytes) down to a shallow depth; groups that still agree are ordered by a
+   blind trie, which inserts by the bytes at branching depths alone and then compares once.  Both orders bring their
+   longest common prefixes.
 5. Windows.  The window that starts i bytes before an anchor is the same in two contexts exactly if their reversed
    prefixes share i bytes and their suffixes length - i: a run of each order.  The least document of a run pair is the
    window's first document.
+   A hot gram's windows are parted into ranges of i.  All windows of a range share most of their bytes (those from the
+   least i before the anchor on), so its contexts are dealt to tasks by these bytes and cut to what the range needs.
 6. Answers go back to the blocks: in a document later than the first one of a context, all its windows are removed;
    in the first one, those windows whose first document is earlier still.
 
-A null text is empty.  Rows that agree in doc_id hold one document's strings: a string in two rows of one doc_id is not
+Long documents are worked on in pieces of `PIECE` bytes.  A null text is empty.  Rows that agree in doc_id hold one document's strings: a string in two rows of one doc_id is not
 in a smaller one.  A null doc_id comes after all others.  Other columns are not read.
 """
 
@@ -40,7 +43,13 @@ from .common import pieces, row_hash
 
 LENGTH, GRAM = 50, 16
 LAST = np.int64((1 << 63) - 1)  # the place of a null doc_id
-SHALLOW = 16
+SHALLOW = 28
+#: Bytes that a step of multikey quicksort compares; with the number of them that the string still has they fill a key.
+STEP = 7
+#: Bytes of a document whose anchors are looked for at a time, and anchors whose contexts are cut out at a time.
+PIECE, ANCHORS = 4 << 20, 1 << 17
+#: Ranges of windows of a hot gram.
+RANGES = 5
 #: A value for each byte, by rule.
 _BYTE_VALUE = (K.mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
@@ -114,30 +123,58 @@ class BlindTrie:
         return out
 
 
-def deep_shallow(matrix: np.ndarray, lengths: np.ndarray, group: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
-    """(order, lcp) of the rows of a zero-padded byte matrix within groups (sorted, first); lcp[i] is shared with the row before in the same group, else -1.
+def _keys(matrix: np.ndarray, rows: np.ndarray, depth: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """STEP bytes of each row from its depth on, and how many of them are its own: a string that ends comes before one that goes on with zeros."""
+    key = np.zeros((len(rows), 8), np.uint8)
+    key[:, :STEP] = matrix[rows[:, None], depth[:, None] + np.arange(STEP)]
+    key[:, STEP] = np.clip(lengths[rows] - depth, 0, STEP)
+    return key.view(">u8").ravel().astype(np.uint64)
+
 
-    Multikey quicksort: eight bytes make a key, and a partition of equal keys goes on to the next eight.
+def multikey_quicksort(matrix: np.ndarray, lengths: np.ndarray, group: np.ndarray, shallow: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """(order, deep): the rows ordered within groups as far as `shallow` bytes tell, and the places [a, b) of rows that agree so far.
+
+    All open parts take a step at once: each is parted into the rows below, at and above its pivot's key; those at it go
+    deeper.
     """
     n = len(matrix)
-    order = np.argsort(group, kind="stable")
-    same = group[order].astype(np.int64)  # number of the partition of each place
-    depth = 0
-    while depth < shallow and n:
-        key = np.zeros((n, 8), np.uint8)
-        part = matrix[order, depth : depth + 8]
-        key[:, : part.shape[1]] = part
-        key = key.view(">u8").ravel().astype(np.uint64)
-        ends = np.minimum(lengths[order], depth + 8)  # a string that ends comes before one that goes on with zeros
-        by = np.lexsort((ends, key, same))
-        order, key, ends, same = order[by], key[by], ends[by], same[by]
-        new = np.ones(n, dtype=bool)
-        new[1:] = (same[1:] != same[:-1]) | (key[1:] != key[:-1]) | (ends[1:] != ends[:-1])
-        same = np.cumsum(new)
-        depth += 8
-    heads = np.flatnonzero(np.concatenate(([True], same[1:] != same[:-1]))) if n else np.zeros(0, np.int64)
-    ends = np.append(heads[1:], n)
-    for a, b in zip(heads[ends - heads > 1].tolist(), ends[ends - heads > 1].tolist(), strict=True):
+    order, deep = np.argsort(group, kind="stable"), []
+    padded = np.zeros((n, max(matrix.shape[1], shallow) + STEP), np.uint8)
+    padded[:, : matrix.shape[1]] = matrix
+    part, depth = group[order].astype(np.int64), np.zeros(n, np.int64)
+    slots = np.arange(n)
+    while len(slots):
+        heads = np.flatnonzero(np.concatenate(([True], part[slots][1:] != part[slots][:-1])))
+        sizes = np.diff(np.append(heads, len(slots)))
+        many = np.repeat(sizes > 1, sizes)
+        slots = slots[many]
+        if not len(slots):
+            break
+        sizes = sizes[sizes > 1]
+        heads = np.cumsum(sizes) - sizes
+        own = np.repeat(np.arange(len(sizes)), sizes)
+        rows, d = order[slots], depth[slots]
+        key = _keys(padded, rows, d, lengths)
+        pivot = key[heads + sizes // 2][own]
+        side = np.where(key < pivot, 0, np.where(key == pivot, 1, 2))
+        by = np.argsort(own * 3 + side, kind="stable")
+        side, d = side[by], d[by] + STEP * (side[by] == 1)
+        order[slots], depth[slots], part[slots] = rows[by], d, own[by] * 3 + side
+        ended = (side == 1) & ((key[by] & np.uint64(0xFF)) < STEP)  # equal strings
+        over = (side == 1) & ~ended & (d >= shallow)
+        if over.any():
+            at = slots[over]
+            edges = np.flatnonzero(np.concatenate(([True], part[at][1:] != part[at][:-1], [True])))
+            deep += [(int(at[a]), int(at[b - 1]) + 1) for a, b in zip(edges[:-1], edges[1:], strict=True) if b - a > 1]
+        slots = slots[~(ended | over)]
+    return order, deep
+
+
+def deep_shallow(matrix: np.ndarray, lengths: np.ndarray, group: np.ndarray, shallow: int = SHALLOW) -> tuple[np.ndarray, np.ndarray]:
+    """(order, lcp) of the rows of a zero-padded byte matrix within groups (sorted, first); lcp[i] is shared with the row before in the same group, else -1."""
+    n = len(matrix)
+    order, deep = multikey_quicksort(matrix, lengths, group, shallow)
+    for a, b in deep:
         rows = order[a:b]
         trie = BlindTrie([matrix[r, : lengths[r]].tobytes() for r in rows])
         for i in range(b - a):
@@ -221,11 +258,26 @@ def _blocked(docs: DataFrame, blocks: int) -> DataFrame:
     return docs.select("doc_id", doc.alias("doc"), F.coalesce("text", F.lit("")).alias("text"), F.pmod(row_hash(31, F.col("doc_id"), F.col("text")), F.lit(blocks)).cast("int").alias("block"))
 
 
-def _each(table: pa.Table, length: int, gram: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _slices(table: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = K.utf8(table.column("text"))
     for a, b in K.slices(offsets):
-        part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-        yield a, b, part, off, *anchors(part, off, length, gram)
+        yield a, b, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+
+
+def _pieces(part: np.ndarray, off: np.ndarray, length: int, gram: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Place, row and hash of the anchors of a slice; one long document goes piece by piece, and pieces share no anchor."""
+    if len(off) > 2 or len(part) <= PIECE:
+        yield anchors(part, off, length, gram)
+        return
+    last = -1
+    for at in range(0, len(part), PIECE):
+        own = part[at : at + PIECE + length - 1]
+        place, row, h = anchors(own, np.array([0, len(own)]), length, gram)
+        place = place + at
+        new = place > last
+        if new.any():
+            last = int(place[-1])
+            yield place[new], row[new], h[new]
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -239,41 +291,46 @@ def _split(where: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
 
 
 def gram_marks(block: int, table: pa.Table, length: int, gram: int, buckets: int) -> pa.Table:
-    """A block's gram hashes by bucket; the lowest bit tells whether two documents of the block have the gram.
+    """A block's gram hashes by bucket, and how often they stand; the lowest bit tells whether two documents of the block have the gram.
 
     Inside a bucket 31 bits are kept: two grams that agree in them merely stay together as if shared.
     """
     hs, ds = [], []
     doc = table.column("doc").to_numpy()
-    for a, _, _, _, _, row, h in _each(table, length, gram):
-        hs.append(h)
-        ds.append(doc[a + row])
+    for a, _, part, off in _slices(table):
+        for _, row, h in _pieces(part, off, length, gram):
+            hs.append(h)
+            ds.append(doc[a + row])
     h = np.concatenate(hs) if hs else np.zeros(0, np.uint64)
     d = np.concatenate(ds) if ds else np.zeros(0, np.int64)
     order = np.lexsort((d, h | np.uint64(1)))
     h, d = h[order] | np.uint64(1), d[order]
     head = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
     many = np.minimum.reduceat(d, head) != np.maximum.reduceat(d, head) if len(h) else np.zeros(0, bool)
+    often = np.minimum(np.diff(np.append(head, len(h))), 255).astype(np.uint8)
     h = np.where(many, h[head], h[head] ^ np.uint64(1)) if len(h) else h
     parts = _split(_bucket(h, buckets), buckets)
-    return pa.table({"bucket": pa.array([i for i, _ in parts], pa.int32()), "block": pa.array([block] * len(parts), pa.int32()), "grams": pa.array([h[i].astype(np.uint32).tobytes() for _, i in parts], pa.binary())})
+    return pa.table({"bucket": pa.array([i for i, _ in parts], pa.int32()), "block": pa.array([block] * len(parts), pa.int32()), "grams": pa.array([h[i].astype(np.uint32).tobytes() for _, i in parts], pa.binary()), "often": pa.array([often[i].tobytes() for _, i in parts], pa.binary())})
 
 
-def shared_grams(table: pa.Table) -> pa.Table:
-    """Per block, the grams of one bucket that two documents have."""
+def shared_grams(table: pa.Table, hot: int) -> pa.Table:
+    """Per block, the grams of one bucket that two documents have, and those of them that stand over `hot` times (counted to 255 in a block)."""
     blocks, bucket = table.column("block").to_pylist(), table.column("bucket")[0].as_py()
     lists = [np.frombuffer(x, np.uint32) for x in table.column("grams").to_pylist()]
     every = np.concatenate(lists)
-    bare = np.sort(every | np.uint32(1))
-    twice = np.unique(np.concatenate((bare[1:][bare[1:] == bare[:-1]], every[(every & np.uint32(1)) == 1])))
+    often = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("often").to_pylist()]).astype(np.int64)
+    bare, at = np.unique(every | np.uint32(1), return_inverse=True)
+    total = np.bincount(at, weights=often, minlength=len(bare))
+    twice = bare[(np.bincount(at, minlength=len(bare)) > 1) | (np.bincount(at, weights=every & 1, minlength=len(bare)) > 0)]
+    many = bare[total > hot]
     kept = [k[np.isin(k, twice)] for k in (np.unique(g | np.uint32(1)) for g in lists)]
     some = [i for i, k in enumerate(kept) if len(k)]
-    return pa.table({"block": pa.array([blocks[i] for i in some], pa.int32()), "bucket": pa.array([bucket] * len(some), pa.int32()), "grams": pa.array([kept[i].tobytes() for i in some], pa.binary())})
+    return pa.table({"block": pa.array([blocks[i] for i in some], pa.int32()), "bucket": pa.array([bucket] * len(some), pa.int32()), "grams": pa.array([kept[i].tobytes() for i in some], pa.binary()), "hot": pa.array([kept[i][np.isin(kept[i], many)].tobytes() for i in some], pa.binary())})
 
 
-def _marked(table: pa.Table) -> np.ndarray:
-    """All shared grams sent to a block: bucket and 31 bits in one sorted number each."""
-    rows = [(b, g) for b, g in zip(table.column("bucket").to_pylist(), table.column("grams").to_pylist(), strict=True) if g is not None]
+def _marked(table: pa.Table, column: str = "grams") -> np.ndarray:
+    """All shared (or hot) grams sent to a block: bucket and 31 bits in one sorted number each."""
+    rows = [(b, g) for b, g in zip(table.column("bucket").to_pylist(), table.column(column).to_pylist(), strict=True) if g is not None]
     return np.sort(np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(g, np.uint32).astype(np.uint64) | np.uint64(b << 32) for b, g in rows]]))
 
 
@@ -283,17 +340,29 @@ def _among(sorted_values: np.ndarray, values: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(np.searchsorted(sorted_values, values), len(sorted_values) - 1)] == values
 
 
-def _shared_anchors(table: pa.Table, length: int, gram: int, grams: np.ndarray, buckets: int) -> Iterator[tuple]:
-    """Per slice: the first row, bytes, offsets and the place, row, gram and extents of anchors whose gram is shared."""
-    for a, b, part, off, place, row, h in _each(table, length, gram):
-        low = (h | np.uint64(1)) & np.uint64(0xFFFFFFFF)
-        at = _among(grams, low | (_bucket(h | np.uint64(1), buckets).astype(np.uint64) << np.uint64(32)))
-        place, row, h = place[at], row[at], h[at] | np.uint64(1)
-        reach = length - gram
-        n_before = np.minimum(place - off[row], reach)
-        n_after = np.minimum(off[row + 1] - place, length)
-        ok = n_before + n_after >= length
-        yield a, b, part, off, place[ok], row[ok], h[ok], n_before[ok], n_after[ok]
+def _shared_anchors(part: np.ndarray, off: np.ndarray, length: int, gram: int, grams: np.ndarray, hot: np.ndarray, buckets: int) -> Iterator[tuple]:
+    """Place, row, group and extents of the anchors of a slice whose gram is shared, some ANCHORS at a time.
+
+    A group is the gram, or for a hot one the bytes that the windows of a range share; the extents are those of the range.
+    """
+    reach = length - gram
+    for place, row, h in _pieces(part, off, length, gram):
+        mark = (h | np.uint64(1)) & np.uint64(0xFFFFFFFF) | (_bucket(h | np.uint64(1), buckets).astype(np.uint64) << np.uint64(32))
+        at = np.flatnonzero(_among(grams, mark))
+        for i in range(0, len(at), ANCHORS):
+            some = at[i : i + ANCHORS]
+            p, r, g = place[some], row[some], h[some] | np.uint64(1)
+            nb, na = np.minimum(p - off[r], reach), np.minimum(off[r + 1] - p, length)
+            is_hot = _among(hot, mark[some])
+            plain = ~is_hot & (nb + na >= length)
+            yield p[plain], r[plain], g[plain], nb[plain], na[plain]
+            if is_hot.any():
+                edges = np.linspace(0, reach + 1, RANGES + 1).astype(int)
+                for lo, hi in zip(edges[:-1].tolist(), (edges[1:] - 1).tolist(), strict=True):
+                    b, a = np.minimum(nb, hi), np.minimum(na, length - lo)
+                    ok = is_hot & (np.maximum(lo, length - a) <= b)
+                    shared = _context_key(part[(p[ok] - lo)[:, None] + np.arange(length - hi + lo)])
+                    yield p[ok], r[ok], K.mix(shared + np.uint64(lo + 1)) | np.uint64(1), b[ok], a[ok]
 
 
 def _contexts(part: np.ndarray, place: np.ndarray, n_before: np.ndarray, n_after: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -332,17 +401,18 @@ def _collapse(key: np.ndarray, doc: np.ndarray, many: np.ndarray) -> tuple[np.nd
 MANY = np.uint8(0x80)
 
 
-def block_contexts(block: int, table: pa.Table, grams: np.ndarray, length: int, gram: int, buckets: int) -> pa.Table:
+def block_contexts(block: int, table: pa.Table, grams: np.ndarray, hot: np.ndarray, length: int, gram: int, buckets: int) -> pa.Table:
     """The block's distinct contexts by bucket, each with its least document."""
     doc = table.column("doc").to_numpy()
     keys, rows, docs, hashes, many = [np.zeros(0, np.uint64)], [np.zeros((0, 2 + 2 * length - gram), np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
-    for a, _, part, _, place, row, h, nb, na in _shared_anchors(table, length, gram, grams, buckets):
-        before, after = _contexts(part, place, nb, na, length, gram)
-        full = np.concatenate((nb.astype(np.uint8)[:, None], na.astype(np.uint8)[:, None], after, before), axis=1)
-        key, d = _context_key(full), doc[a + row]
-        head, several = _collapse(key, d, np.zeros(len(d), bool))
-        for x, y in ((keys, key[head]), (rows, full[head]), (docs, d[head]), (hashes, h[head]), (many, several)):
-            x.append(y)
+    for a, _, part, off in _slices(table):
+        for place, row, h, nb, na in _shared_anchors(part, off, length, gram, grams, hot, buckets):
+            before, after = _contexts(part, place, nb, na, length, gram)
+            full = np.concatenate((nb.astype(np.uint8)[:, None], na.astype(np.uint8)[:, None], after, before), axis=1)
+            key, d = _context_key(full), doc[a + row]
+            head, several = _collapse(key, d, np.zeros(len(d), bool))
+            for x, y in ((keys, key[head]), (rows, full[head]), (docs, d[head]), (hashes, h[head]), (many, several)):
+                x.append(y)
     key, full, d, h = np.concatenate(keys), np.concatenate(rows), np.concatenate(docs), np.concatenate(hashes)
     head, several = _collapse(key, d, np.concatenate(many))
     full, d, h = full[head], d[head], h[head]
@@ -413,16 +483,16 @@ def _as_ranks(full: np.ndarray) -> np.ndarray:
     return out
 
 
-def cut_block(table: pa.Table, keys: np.ndarray, firsts: np.ndarray, bits: np.ndarray, grams: np.ndarray, length: int, gram: int, buckets: int, with_text: bool) -> pa.Table:
+def cut_block(table: pa.Table, keys: np.ndarray, firsts: np.ndarray, bits: np.ndarray, grams: np.ndarray, hot: np.ndarray, length: int, gram: int, buckets: int, with_text: bool) -> pa.Table:
     """Removal counts of the block's documents, and their kept bytes."""
     order = np.argsort(keys, kind="stable")
     keys, firsts, bits = keys[order], firsts[order], bits[order]
     doc, ids = table.column("doc").to_numpy(), table.column("doc_id").combine_chunks()
     sizes, removed, spans, digests, texts = [], [], [], [], []
     shift = np.arange(length - gram + 1)
-    for a, b, part, off, place, row, h, nb, na in _shared_anchors(table, length, gram, grams, buckets):
-        edge = np.zeros(len(part) + 1, np.int64)
-        if len(place) and len(keys):
+    for a, b, part, off in _slices(table):
+        edge = np.zeros(len(part) + 1, np.int32)
+        for place, row, _, nb, na in _shared_anchors(part, off, length, gram, grams, hot, buckets) if len(keys) else ():
             before, after = _contexts(part, place, nb, na, length, gram)
             key = _context_key(np.concatenate((nb.astype(np.uint8)[:, None], na.astype(np.uint8)[:, None], after, before), axis=1))
             at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
@@ -453,7 +523,7 @@ def _numbers(table: pa.Table, column: str, kind) -> np.ndarray:
     return np.concatenate(lists) if lists else np.zeros(0, kind)
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = 12 << 20, with_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block_bytes: int = 12 << 20, hot: int = 50_000, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and with `with_text` the kept bytes) of every row."""
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = pieces(total, block_bytes)
@@ -462,22 +532,25 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bl
     def marks(key: tuple, table: pa.Table) -> pa.Table:
         return gram_marks(key[0].as_py(), table, length, gram, blocks)
 
+    def shared_of(table: pa.Table) -> pa.Table:
+        return shared_grams(table, hot)
+
     def contexts(key: tuple, table: pa.Table, shared: pa.Table) -> pa.Table:
-        return block_contexts(key[0].as_py(), table, _marked(shared), length, gram, blocks)
+        return block_contexts(key[0].as_py(), table, _marked(shared), _marked(shared, "hot"), length, gram, blocks)
 
     def answer(table: pa.Table) -> pa.Table:
         return sorted_answers(table, length, gram)
 
     def cut(key: tuple, table: pa.Table, answers: pa.Table) -> pa.Table:
         columns = [_numbers(answers, c, k) for c, k in (("keys", np.uint64), ("firsts", np.int64), ("bits", np.int64))]
-        return cut_block(table, *columns, _marked(answers), length, gram, blocks, with_text)
+        return cut_block(table, *columns, _marked(answers), _marked(answers, "hot"), length, gram, blocks, with_text)
 
     by = lambda df: df.groupBy("block")
-    shared = by(own).applyInArrow(marks, "bucket int, block int, grams binary").groupBy("bucket").applyInArrow(shared_grams, "block int, bucket int, grams binary")
+    shared = by(own).applyInArrow(marks, "bucket int, block int, grams binary, often binary").groupBy("bucket").applyInArrow(shared_of, "block int, bucket int, grams binary, hot binary")
     found = by(own).cogroup(by(shared)).applyInArrow(contexts, "bucket int, block int, grams binary, rows binary, docs binary")
     answers = found.groupBy("bucket").applyInArrow(answer, "block int, keys binary, firsts binary, bits binary")
     none = F.lit(None).cast("binary")
-    back = answers.withColumns({"grams": none, "bucket": F.lit(0)}).unionByName(shared.withColumns({"keys": none, "firsts": none, "bits": none}))
+    back = answers.withColumns({"grams": none, "hot": none, "bucket": F.lit(0)}).unionByName(shared.withColumns({"keys": none, "firsts": none, "bits": none}))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     return by(own).cogroup(by(back)).applyInArrow(cut, schema)
 
