@@ -2,13 +2,15 @@
 
 A payload is a text's UTF-8 bytes with bytes 255 after them up to a positive multiple of 576.  A rolling gear hash
 over the last 32 bytes cuts it where its low bits are zero (at least `least` and at most `most` bytes after the last
-cut; chunks are some 200 bytes on average, as half of the texts have less than 1.5 kB).  Two things come of it: a recipe, the ordered list of chunk digests, and the chunk store, in which each digest
-is kept once as a Zstandard frame; both are written as tables.  Reading back joins the distinct recipes to the store on the digest, puts the
-chunks in order, checks their digests against the recipe's name and computes the features from the bytes so rebuilt.
+cut; chunks are some 200 bytes on average, as half of the texts have less than 1.5 kB).  Two things come of it: a
+recipe, the ordered list of chunk digests, and the chunk store, in which each digest is kept once with its bytes; both
+are written as tables (Zstandard pages).  Reading back joins the distinct recipes to the store as written on the
+digest, puts the chunks in order, checks their digests against the recipe's name and computes the features from the
+bytes so rebuilt.
 
-The stored form of a payload is its recipe (digest and length of each chunk) followed by the chunks' frames; its
-unit is the byte.  Frames share one dictionary, trained on a bounded sample (the `sample` texts with the smallest
-hashes); a corpus of few texts goes without.  Equal payloads have one recipe and are rebuilt once.
+The stored form of a payload is its recipe (digest and length of each chunk) followed by the chunks' bytes; its unit is
+the 8-bit sample.  It depends on the payload alone, so a text has the same form in any table.  Equal payloads have one
+recipe and are rebuilt once.
 
 A null text is empty (576 bytes 255).  Repeated rows give repeated results; other columns are not read.
 """
@@ -21,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,6 @@ UNIT = 576
 LEAST, MEAN_BITS, MOST = 64, 7, 4096
 #: Gear values of the 256 bytes, by rule.
 GEAR = (K.mix(np.arange(1, 257, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
-DICTIONARY_BYTES = 256 << 10
 #: Bytes of SHA-256 that name a chunk or a recipe.
 NAME = 16
 FEATURES = "recipe binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -91,23 +91,6 @@ def chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, memoryview, list[bytes]
             yield a + i, view[off[i] : off[i + 1]], digests, [e - int(off[i]) for e in ends], offsets
 
 
-def train_dictionary(docs: DataFrame, sample: int = 4000, reach: int = 4096) -> bytes:
-    """A dictionary from the first bytes of at most `sample` texts; empty if they are too few to train on."""
-    hashed = docs.where("text is not null").select(F.xxhash64("text").alias("h"), F.substring("text", 1, reach).alias("t"))
-    top = hashed.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]  # hashes alone are ordered
-    if top is None:
-        return b""
-    texts = [r["t"] for r in hashed.where(F.col("h") <= top).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()]
-    blobs = [t.encode()[:reach] for t in texts]
-    if len(blobs) < 64 or sum(map(len, blobs)) < 8 * DICTIONARY_BYTES:
-        return b""
-    return zstandard.train_dictionary(DICTIONARY_BYTES, blobs).as_bytes()
-
-
-def _dictionary(blob: bytes):
-    return zstandard.ZstdCompressionDict(blob) if blob else None
-
-
 def recipes(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, recipe (hash of the list) and digests of each row."""
 
@@ -126,42 +109,37 @@ def recipes(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(build, "doc_id long, n_bytes long, recipe binary, digests array<binary>")
 
 
-def chunk_store(docs: DataFrame, dictionary: bytes = b"", level: int = 9) -> DataFrame:
-    """digest, size and frame, once for each digest."""
+def chunk_store(docs: DataFrame) -> DataFrame:
+    """digest and bytes, once for each digest."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary), write_checksum=False, write_dict_id=False)
         for batch in batches:
-            seen: dict[bytes, tuple[int, bytes]] = {}
+            seen: dict[bytes, bytes] = {}
             for _, payload, digests, ends, _ in chunks(batch):
                 at = 0
                 for digest, end in zip(digests, ends, strict=True):
                     if digest not in seen:
-                        seen[digest] = (end - at, pack.compress(payload[at:end]))
+                        seen[digest] = bytes(payload[at:end])
                     at = end
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(seen), pa.binary()), pa.array([s for s, _ in seen.values()], pa.int32()), pa.array([f for _, f in seen.values()], pa.binary())],
-                names=["digest", "size", "frame"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.binary())], names=["digest", "bytes"])
 
-    rows = docs.select("text").mapInArrow(build, "digest binary, size int, frame binary")
-    return rows.groupBy("digest").agg(F.first("size").alias("size"), F.first("frame").alias("frame"))
+    return docs.select("text").mapInArrow(build, "digest binary, bytes binary").groupBy("digest").agg(F.first("bytes").alias("bytes"))
 
 
-def rebuilt(recipe_rows: DataFrame, store: DataFrame, dictionary: bytes = b"", payload: bool = False) -> DataFrame:
+def rebuilt(recipe_rows: DataFrame, store: DataFrame, payload: bool = False) -> DataFrame:
     """The features of each recipe (and with `payload` its bytes), from its chunks as stored."""
     schema = FEATURES + (", payload binary" if payload else "")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor(dict_data=_dictionary(dictionary))
         done: list[dict] = []
         name, expect, parts = None, 0, []
 
         def close() -> dict:
-            raw = b"".join(p for _, p, _ in parts)
-            form = b"".join(d + len(p).to_bytes(4, "big") for d, p, _ in parts) + b"".join(f for _, _, f in parts)
-            if len(parts) != expect or hashlib.sha256(b"".join(d for d, _, _ in parts)).digest()[:NAME] != name:
+            names = [hashlib.sha256(p).digest()[:NAME] for p in parts]
+            if len(parts) != expect or hashlib.sha256(b"".join(names)).digest()[:NAME] != name:
                 raise ValueError("the chunks as stored are not those of the recipe")
+            raw = b"".join(parts)
+            form = b"".join(d + len(p).to_bytes(4, "big") for d, p in zip(names, parts, strict=True)) + raw
             counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
             share = counts[counts > 0] / len(raw)
             row = {
@@ -176,14 +154,12 @@ def rebuilt(recipe_rows: DataFrame, store: DataFrame, dictionary: bytes = b"", p
             return pa.RecordBatch.from_pylist(done, pa.schema(fields + ([("payload", pa.binary())] if payload else [])))
 
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("recipe", "n_chunks", "size", "frame")]
-            for recipe, n, size, frame in zip(*cols, strict=True):
+            for recipe, n, part in zip(*[batch.column(c).to_pylist() for c in ("recipe", "n_chunks", "bytes")], strict=True):
                 if recipe != name:
                     if name is not None:
                         done.append(close())
                     name, expect, parts = recipe, n, []
-                raw = unpack.decompress(frame, max_output_size=size)
-                parts.append((hashlib.sha256(raw).digest()[:NAME], raw, frame))
+                parts.append(part)
             if done:
                 yield out()
                 done.clear()
@@ -194,12 +170,10 @@ def rebuilt(recipe_rows: DataFrame, store: DataFrame, dictionary: bytes = b"", p
     once = recipe_rows.groupBy("recipe").agg(F.first("digests").alias("digests"))
     wanted = once.select("recipe", F.size("digests").alias("n_chunks"), F.posexplode("digests").alias("seq", "digest"))
     parts = wanted.join(store, "digest").drop("digest").repartition("recipe").sortWithinPartitions("recipe", "seq")
-    return parts.select("recipe", "n_chunks", "size", "frame").mapInArrow(build, schema)
+    return parts.select("recipe", "n_chunks", "bytes").mapInArrow(build, schema)
 
 
 def op6_media_chunks(docs: DataFrame) -> DataFrame:
-    dictionary = train_dictionary(docs)
     listed = stash(recipes(docs))
-    store = stash(chunk_store(docs, dictionary))
-    features = rebuilt(listed, store, dictionary)
+    features = rebuilt(listed, stash(chunk_store(docs)))
     return listed.drop("digests").join(features, "recipe").drop("recipe")
