@@ -3,15 +3,18 @@
 A test item's set is its distinct runs of five words (ASCII lower case); an item of fewer words is one run of all
 its words.  A document contains an item when at least `threshold` of the item's runs are among its own.
 
-Items are partitioned by the size of their sets.  A partition of sizes up to u keeps, for each item, the
-m = floor((1 - threshold) * u) + 1 smallest values of one seeded hash (the bottom-m MinHash sketch).  A document
-that holds threshold of the item misses at most m - 1 of its runs, so at least one sketch value is among the
-document's values: the search loses nothing, however long the document is.  Each hit is then counted exactly, first
-on hashes of all of the item's runs and at last on the words themselves.
-
-Sketches go to every task while their number is below `most_broadcast`; beyond it documents' runs and sketches meet
-in a Spark join.  A null or empty text has no runs and matches nothing; repeated rows give one pair each (the pair
-is reported once for a doc_id); other columns are not read.
+One seeded hash orders all runs, and both sides are sketched by their smallest values, partition by partition of set
+size (powers of two).  In a partition of sizes up to u an item keeps its m = floor((1 - threshold) * u) + 1 smallest
+values (bottom-m MinHash), and `reach` is the largest value that any of them keeps.  A document of any length keeps for
+a partition its values up to `reach` (a MinHash sketch scaled to it), and only for partitions whose sizes it can hold:
+with fewer than threshold * n runs it contains no item of n.  A document that holds threshold of an item misses at most
+m - 1 of its runs, so its sketch shares a value with the item's: the search loses nothing.  Each hit is then counted
+exactly, first on hashes of all of the item's runs and at last on the words themselves.
+
+Items go to every task while their runs and their texts' bytes are below bounds; beyond these, sketches of both sides
+meet in a Spark join.  A document's value is sent there only if a bit table of the items' values (2 MB) has it.  A null
+or empty text has no runs and matches nothing; repeated rows give one pair each (the pair is reported once for a
+doc_id); other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ from .common import without
 
 RUN = 5
 THRESHOLD = 0.8
+#: Bytes of items' texts that are broadcast at most.
+MOST_TEXT = 64 << 20
+#: Bits of the table that tells which values are in some item's sketch.
+GATE_BITS = 24
 PAIRS = "doc_id long, item_id long, item_shingles int, matched int, containment double"
 
 
@@ -38,6 +45,11 @@ def sketch_size(n: int, threshold: float) -> int:
     return min(n, math.floor((1 - threshold) * top + 1e-9) + 1)
 
 
+def order_value(runs: np.ndarray) -> np.ndarray:
+    """The seeded hash by which sketches keep the smallest: 63 bits."""
+    return (K.mix(runs ^ K.U64(0x5851F42D4C957F2D)) >> K.U64(1)).astype(np.int64)
+
+
 def word_runs(text: str, k: int = RUN) -> set[tuple[bytes, ...]]:
     """The set itself, from the words."""
     words = text.encode().translate(bytes(K.LOWER)).translate(bytes.maketrans(b"\t\n\v\f\r", b"     ")).split(b" ")
@@ -46,30 +58,44 @@ def word_runs(text: str, k: int = RUN) -> set[tuple[bytes, ...]]:
 
 
 def item_runs(benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """item_id, text, k (words of a run), runs and sketch (little-endian 64-bit values) of each item that has words."""
+    """item_id, text, k (words of a run), part (of its size), runs (little-endian 64-bit values) and sketch of each item that has words."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.utf8(batch.column("text"))
             start, end, row = K.words(data, offsets)
-            hashes = K.word_hashes(data, start, end)
-            h, r = K.shingles(hashes, row, batch.num_rows, RUN)
-            count = np.bincount(row, minlength=batch.num_rows)
-            keep, ks, runs, sketches = [], [], [], []
+            h, r = K.shingles(K.word_hashes(data, start, end), row, batch.num_rows, RUN)
+            count, cut = np.bincount(row, minlength=batch.num_rows), np.searchsorted(r, np.arange(batch.num_rows + 1))
+            keep, ks, parts, runs, sketches = [], [], [], [], []
             for i in np.flatnonzero(count):
-                own = np.unique(h[r == i])
-                order = np.argsort(K.mix(own ^ K.U64(0x5851F42D4C957F2D)), kind="stable")
+                own = np.unique(h[cut[i] : cut[i + 1]])
                 keep.append(i)
                 ks.append(min(RUN, int(count[i])))
+                parts.append(len(own).bit_length())
                 runs.append(own.tobytes())
-                sketches.append(own[order[: sketch_size(len(own), threshold)]].tobytes())
+                sketches.append(np.sort(order_value(own))[: sketch_size(len(own), threshold)])
             picked = batch.take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [picked.column("item_id"), picked.column("text"), pa.array(ks, pa.int32()), pa.array(runs, pa.binary()), pa.array(sketches, pa.binary())],
-                names=["item_id", "text", "k", "runs", "sketch"],
+                [picked.column("item_id"), picked.column("text"), pa.array(ks, pa.int32()), pa.array(parts, pa.int32()), pa.array(runs, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["item_id", "text", "k", "part", "runs", "sketch"],
             )
 
-    return benchmark.select("item_id", "text").mapInArrow(build, "item_id long, text string, k int, runs binary, sketch binary")
+    return benchmark.select("item_id", "text").mapInArrow(build, "item_id long, text string, k int, part int, runs binary, sketch array<long>")
+
+
+def document_sketches(data: np.ndarray, offsets: np.ndarray, reach: dict[tuple[int, int], int], threshold: float) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each (k, part): the values and rows of the documents' sketches, and all runs and their rows."""
+    start, end, row = K.words(data, offsets)
+    if not len(start):
+        return
+    hashes = K.word_hashes(data, start, end)
+    for k in sorted({k for k, _ in reach}):
+        h, r = K.shingles(hashes, row, len(offsets) - 1, k)
+        value, size = order_value(h), np.bincount(r, minlength=len(offsets) - 1)
+        for part in sorted(p for q, p in reach if q == k):
+            least = threshold * (1 << (part - 1)) - 1e-9  # runs that an item of this partition asks for
+            at = np.flatnonzero((value <= reach[k, part]) & (size[r] >= least))
+            yield k, part, value[at], r[at], h, r
 
 
 class Items:
@@ -78,30 +104,26 @@ class Items:
     def __init__(self, rows: list):
         self.ids = [r["item_id"] for r in rows]
         self.texts = [r["text"] for r in rows]
-        self.k = [r["k"] for r in rows]
         self.runs = [np.frombuffer(r["runs"], K.U64) for r in rows]
-        self.index = {}
-        for k in sorted(set(self.k)):
-            own = [(np.frombuffer(r["sketch"], K.U64), i) for i, r in enumerate(rows) if r["k"] == k]
+        self.index, self.reach = {}, {}
+        for key in sorted({(r["k"], r["part"]) for r in rows}):
+            own = [(np.array(r["sketch"], np.int64), i) for i, r in enumerate(rows) if (r["k"], r["part"]) == key]
             values = np.concatenate([v for v, _ in own])
             items = np.concatenate([np.full(len(v), i) for v, i in own])
             order = np.argsort(values, kind="stable")
             gate = np.zeros(1 << 16, dtype=bool)
-            gate[values & K.U64(0xFFFF)] = True
-            self.index[k] = (values[order], items[order], gate)
+            gate[values & 0xFFFF] = True
+            self.index[key] = (values[order], items[order], gate)
+            self.reach[key] = int(values.max())
 
     def search(self, data: np.ndarray, offsets: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int]]:
         """(row, item, matched) of each text of the buffer that contains an item."""
-        start, end, row = K.words(data, offsets)
-        if not len(start):
-            return
-        hashes = K.word_hashes(data, start, end)
-        for k, (values, items, gate) in self.index.items():
-            h, r = K.shingles(hashes, row, len(offsets) - 1, k)
-            at = np.flatnonzero(gate[h & K.U64(0xFFFF)])
-            at = at[np.isin(h[at], values)]
-            lo, hi = np.searchsorted(values, h[at]), np.searchsorted(values, h[at], side="right")
-            pairs = {(int(r[a]), int(items[j])) for a, x, y in zip(at, lo, hi, strict=True) for j in range(x, y)}
+        for k, part, value, row, h, r in document_sketches(data, offsets, self.reach, threshold):
+            values, items, gate = self.index[k, part]
+            at = np.flatnonzero(gate[value & 0xFFFF])
+            at = at[np.isin(value[at], values)]
+            lo, hi = np.searchsorted(values, value[at]), np.searchsorted(values, value[at], side="right")
+            pairs = {(int(row[a]), int(items[j])) for a, x, y in zip(at, lo, hi, strict=True) for j in range(x, y)}
             own: dict[int, np.ndarray] = {}
             for i, j in sorted(pairs):
                 if i not in own:
@@ -116,9 +138,10 @@ class Items:
 
 
 def _items(spark, items: DataFrame, most_broadcast: int):
-    """The broadcast items, or None when they are too many."""
-    n = items.agg(F.coalesce(F.sum(F.octet_length("runs")), F.lit(0))).first()[0] // 8
-    return spark.sparkContext.broadcast(items.orderBy("item_id").collect()) if n <= most_broadcast else None
+    """The broadcast items, or None when they are too many or too long."""
+    n = items.agg(F.coalesce(F.sum(F.octet_length("runs")), F.lit(0)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    small = n[0] // 8 <= most_broadcast and n[1] <= MOST_TEXT
+    return spark.sparkContext.broadcast(items.orderBy("item_id").collect()) if small else None
 
 
 def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, most_broadcast: int = 1_000_000) -> DataFrame:
@@ -152,25 +175,22 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
 
 def contained_items_joined(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The same search when the items are too many to send: runs and sketches meet by value, texts only in the pairs found."""
-    lengths = [r[0] for r in items.select("k").distinct().collect()]  # 1 to 5
+    sketches = items.select("item_id", "k", "part", F.explode("sketch").alias("value"))
+    reach = {(r["k"], r["part"]): r["top"] for r in sketches.groupBy("k", "part").agg(F.max("value").alias("top")).collect()}  # a row for each partition
+    gate = _gate(sketches)
+    sent = docs.sparkSession.sparkContext.broadcast(gate)  # 2**GATE_BITS bits
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.utf8(batch.column("text"))
             for a, b in K.slices(offsets):
                 part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                start, end, row = K.words(part, off)
-                hashes = K.word_hashes(part, start, end)
-                for k in lengths:
-                    h, r = K.shingles(hashes, row, b - a, k)
-                    key = batch.column("own").take(pa.array(r + a))
-                    yield pa.RecordBatch.from_arrays([key, pa.array(h.view(np.int64)), pa.array(np.full(len(h), k), pa.int32())], names=["own", "h", "k"])
-
-    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                v = np.frombuffer(batch.column("sketch")[i].as_py(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column("item_id")[i].as_py()] * len(v), pa.int64()), batch.column("k").take(pa.array([i] * len(v), pa.int64())), pa.array(v)], names=["item_id", "k", "h"])
+                for k, p, value, row, _, _ in document_sketches(part, off, reach, threshold):
+                    low = value & ((1 << GATE_BITS) - 1)
+                    at = np.flatnonzero((np.frombuffer(sent.value, np.uint8)[low >> 3] >> (low & 7)) & 1)
+                    key = batch.column("own").take(pa.array(row[at] + a))
+                    own = [pa.array(value[at]), pa.array(np.full(len(at), k), pa.int32()), pa.array(np.full(len(at), p), pa.int32())]
+                    yield pa.RecordBatch.from_arrays([key, *own], names=["own", "value", "k", "part"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,13 +203,20 @@ def contained_items_joined(docs: DataFrame, items: DataFrame, threshold: float =
             yield pa.RecordBatch.from_pylist(out, pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("item_shingles", pa.int32()), ("matched", pa.int32()), ("containment", pa.float64())]))
 
     docs = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("own"))
-    seen = docs.select("own", "text").mapInArrow(runs, "own long, h long, k int")
-    sketches = items.select("item_id", "k", "sketch").mapInArrow(values, "item_id long, k int, h long")
-    pairs = seen.join(sketches, ["h", "k"]).select("own", "item_id").distinct()
+    seen = docs.select("own", "text").mapInArrow(values, "own long, value long, k int, part int").distinct()
+    pairs = seen.join(sketches, ["value", "k", "part"]).select("own", "item_id").distinct()
     found = pairs.join(docs, "own").join(items.select("item_id", "k", F.col("text").alias("item_text")), "item_id")
     return found.select("doc_id", "item_id", "k", "text", "item_text").mapInArrow(verify, PAIRS).distinct()
 
 
+def _gate(sketches: DataFrame) -> bytes:
+    """Bits of the values that some sketch has, collected as distinct places (at most 2**GATE_BITS)."""
+    low = F.col("value").bitwiseAND(F.lit((1 << GATE_BITS) - 1)).cast("int")
+    table = np.zeros(1 << GATE_BITS, dtype=bool)
+    table[[r["low"] for r in sketches.select(low.alias("low")).distinct().toLocalIterator()]] = True
+    return np.packbits(table, bitorder="little").tobytes()
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, most_broadcast: int = 1_000_000) -> DataFrame:
     """The rows of `docs` that contain no item; all columns stay."""
     items = item_runs(benchmark, threshold)
