@@ -275,6 +275,9 @@ def test_media(docs, empty):
         full = raw + b"\xff" * (media.padded(len(raw)) - len(raw))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-32:]))
     assert media.op6_media_chunks(empty).count() == 0
+    # a text's form is the same in any table
+    some = {r["doc_id"]: r for r in media.op6_media_chunks(docs.where("doc_id in (3, 9)")).collect()}
+    assert all(r == some[r["doc_id"]] for r in got if r["doc_id"] in (3, 9))
     data = np.frombuffer(random.Random(4).randbytes(5000), np.uint8)
     slow = [sum(int(media.GEAR[data[i - k]]) << k for k in range(min(32, i + 1))) % 2**32 for i in range(0, 5000, 97)]
     assert media.gear_hash(data)[::97].tolist() == slow
@@ -292,7 +295,7 @@ def test_media_chunks_are_shared_and_stored(spark, monkeypatch):
     written = []
     monkeypatch.setattr(media, "stash", lambda x, whole=media.stash: written.append(whole(x)) or written[-1])
     assert media.op6_media_chunks(df).count() == 2
-    store = next(t for t in written if "frame" in t.columns)
+    store = next(t for t in written if "bytes" in t.columns)
     assert {bytes(r["digest"]) for r in store.collect()} == a | b and store.count() == len(a | b)
 
 
@@ -307,22 +310,36 @@ def removed(rows, length):
         for p in range(len(t) - length + 1):
             if first[t[p : p + length]] < d:
                 gone[p : p + length] = b"\1" * length
-        out.append((d, len(t), sum(gone), hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest()))
+        out.append((d, len(t), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(bytes(c for c, g in zip(t, gone, strict=True) if not g)).hexdigest()))
     return sorted(out)
 
 
 def test_suffix_dedup(spark, docs, empty):
     rnd = random.Random(6)
     rows = [(d if d is not None else suffix_dedup.LAST - 1, (t or "").encode()) for d, t, *_ in corpus()]
-    got = sorted((r["doc_id"] if r["doc_id"] is not None else suffix_dedup.LAST - 1, r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.dedup_substrings(docs, block_bytes=4000).collect())
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else suffix_dedup.LAST - 1, r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup_substrings(docs, block_bytes=4000).collect())
     assert got == removed(rows, 50)
     texts = ["".join(rnd.choice("ab") for _ in range(rnd.randint(0, 400))) for _ in range(30)] + ["ab" * 150, "a" * 90, "a" * 90]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.dedup_substrings(df, length=12, gram=4, block_bytes=700).collect())
-    assert got == removed([(i, t.encode()) for i, t in enumerate(texts)], 12)
+    want = removed([(i, t.encode()) for i, t in enumerate(texts)], 12)
+    for hot in (50_000, 3):
+        got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup_substrings(df, length=12, gram=4, block_bytes=700, hot=hot).collect())
+        assert got == want
     assert suffix_dedup.op7_suffix_dedup(empty).count() == 0
 
 
+def test_anchors_of_pieces(monkeypatch):
+    """A long document's anchors are the same piece by piece."""
+    data = np.frombuffer(random.Random(3).randbytes(40_000) + b"ab" * 2000, np.uint8)
+    off = np.array([0, len(data)])
+    whole = list(suffix_dedup._pieces(data, off, 50, 16))
+    monkeypatch.setattr(suffix_dedup, "PIECE", 1000)
+    parts = list(suffix_dedup._pieces(data, off, 50, 16))
+    assert len(parts) > 40
+    for i in range(3):
+        assert np.array_equal(np.concatenate([p[i] for p in parts]), whole[0][i])
+
+
 def test_deep_shallow_sorts():
     rnd = random.Random(7)
     strings = ["".join(rnd.choice("ab") for _ in range(rnd.randint(0, 30))).encode() for _ in range(300)] + [b"a\0", b"a"]
@@ -364,6 +381,42 @@ def test_line_dedup(spark, docs, empty):
     assert line_dedup.op9_line_dedup(docs).count() == 16 and line_dedup.op9_line_dedup(empty).count() == 0
 
 
+def test_maximal_repeated_runs(spark):
+    """Runs of any length against the longest earlier match at each line; ranks keep the order of the suffix array."""
+    rnd = random.Random(14)
+    alphabet = list("abcdef")
+    long_run = [f"row {i}" for i in range(37)]
+    seqs = [[rnd.choice(alphabet) for _ in range(rnd.randint(1, 30))] for _ in range(25)] + [long_run, ["x", *long_run, "y"], long_run[5:20], ["a"] * 40, ["a"] * 9]
+    df = spark.createDataFrame([(i, "\n".join(s)) for i, s in enumerate(seqs)], "doc_id long, text string").repartition(3)
+    for least in (2, 3):
+        want = {}
+        for d, own in enumerate(seqs):
+            gone = set()
+            for p in range(len(own)):
+                best = 0
+                for e in range(d + 1):
+                    for q in range(len(seqs[e]) if e < d else p):
+                        n = 0
+                        while p + n < len(own) and q + n < len(seqs[e]) and own[p + n] == seqs[e][q + n]:
+                            n += 1
+                        best = max(best, n)
+                if best >= least:
+                    gone |= set(range(p, p + best))
+            if gone:
+                heads = sorted(p for p in gone if p - 1 not in gone)
+                want[d] = [(a, next(b for b in range(a, len(own) + 1) if b not in gone)) for a in heads]
+        got = {r["id"]: [tuple(x) for x in r["runs"]] for r in line_dedup.repeated_runs(df, least).collect()}
+        assert got == want
+    hashes = dict(df.selectExpr("explode(split(text, '\n')) as line").distinct().selectExpr("line", "xxhash64(line)").collect())
+    lengths = []
+    for length, level in line_dedup.intervals(df, 2):
+        lengths.append(length)
+        rows = sorted(level.collect(), key=lambda r: r["rank"])
+        runs = [tuple(hashes[x] for x in seqs[r["id"]][r["pos"] : r["pos"] + length]) for r in rows]
+        assert runs == sorted(runs) and all((a == b) == (r["rank"] == s["rank"]) for a, b, r, s in zip(runs, runs[1:], rows, rows[1:], strict=False))
+    assert lengths == [1, 2, 4, 8, 16, 32]
+
+
 def test_passages_on_one_line(spark, docs, empty):
     rnd = random.Random(9)
     passage, other = (" ".join(rnd.choice(WORDS) for _ in range(n)) for n in (60, 49))
