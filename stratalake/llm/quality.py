@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructType
 
 from . import kernels as K
-from .common import row_hash, stash, without
+from .common import forget, row_hash, stash, without
 
 WORD_BITS = 16
 SOURCE_SLOTS, LANG_SLOTS = 64, 16
@@ -265,23 +265,27 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 12_000, rounds:
     )
     seen = stash(features(docs, seed))
     order = row_hash(seed, F.col("doc_id"))
-    known = seen.join(labels, "doc_id").withColumn("order", order).dropDuplicates(["key"]).orderBy("order", "doc_id", "key").limit(most_labelled)
+    # the rows to train on are chosen by ids and sizes alone
+    ids = seen.select("key", "doc_id", F.octet_length("slots").alias("bytes")).join(labels, "doc_id").dropDuplicates(["key"])
+    ids = ids.withColumn("order", order).orderBy("order", "doc_id", "key").limit(most_labelled)
     # most_labelled rows at most: their running total fits a task
-    known = known.withColumn("filled", F.sum(F.octet_length("slots")).over(Window.orderBy("order", "doc_id", "key").rowsBetween(Window.unboundedPreceding, 0)))
+    known = ids.withColumn("filled", F.sum("bytes").over(Window.orderBy("order", "doc_id", "key").rowsBetween(Window.unboundedPreceding, 0)))
     draw = F.pmod(row_hash(seed + 1, F.col("doc_id")), F.lit(10))
     fold = F.when(draw == 0, CALIBRATE).when(draw == 1, COMBINE).when(draw == 2, REPORT).otherwise(TRAIN)
-    known = stash(known.where(F.col("filled") <= most_bytes).select("key", "slots", "layout", "meta", "quality", "clean", fold.alias("fold")))
+    known = F.broadcast(stash(known.where(F.col("filled") <= most_bytes).select("key", "quality", "clean", fold.alias("fold"))))
+    known = stash(seen.join(known, "key").dropDuplicates(["key"]).select("key", "slots", "layout", "meta", "quality", "clean", "fold"))
     tally = {(r["fold"], q, k): r[f"{q}{k}"] for r in known.groupBy("fold").agg(*[F.count(F.when(F.col(q) == k, 1)).alias(f"{q}{k}") for q in QUESTIONS for k in (0, 1)]).collect() for q in QUESTIONS for k in (0, 1)}
     questions = [q for q in QUESTIONS if tally.get((TRAIN, q, 0)) and tally.get((TRAIN, q, 1))]
     if not questions:
+        forget(seen)
         return {}
-    free = seen.join(labels.select("doc_id"), "doc_id", "left_anti")
     base = [_training_rows(known.where(F.col("fold") == TRAIN), q, v, F.col(q), 0) for q in questions for v in VIEWS]
     rows = reduce(DataFrame.unionByName, base)
     models = _trained(rows)
     edge = math.log(sure / (1 - sure))
     for turn in range(1, rounds + 1):
-        logits = stash(_logits(free, models, ["key"]).distinct())
+        logits = _logits(seen, models, ["key", "doc_id"]).join(labels.select("doc_id"), "doc_id", "left_anti")
+        logits = stash(logits.drop("doc_id").distinct())
         picks = []
         for q in questions:
             for giver, taker in (("text", "meta"), ("meta", "text")):
@@ -298,7 +302,9 @@ def fit(docs: DataFrame, labels: DataFrame, most_labelled: int = 12_000, rounds:
         more = [_training_rows(given.where((F.col("q") == q) & (F.col("v") == v)), q, v, F.col("y"), turn) for q in questions for v in VIEWS]
         rows = reduce(DataFrame.unionByName, [rows, *more])
         models = _trained(rows)
+        forget(logits)
     held = _logits(known.where(F.col("fold") != TRAIN), models, ["key", "fold", *QUESTIONS]).toPandas().sort_values("key")  # some numbers for each of most_labelled rows
+    forget(seen)
     return {q: _calibrated(models[q], held, q) for q in questions}
 
 
