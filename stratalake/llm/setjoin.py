@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import components, pieces, stash
+from .common import components, forget, pieces, stash
 
 SLOT_BITS = 20
 #: Counters travel in this many parts.
@@ -273,7 +273,7 @@ def _near(pairs: DataFrame, info: DataFrame, rule: Rule) -> DataFrame:
 
 
 def _whole_sets(sids: DataFrame, docs: DataFrame, info: DataFrame, rule: Rule, rank_sent, most_sent: int) -> DataFrame:
-    """sid and tokens of the given sets, from the texts of their documents."""
+    """sid and tokens of the given sets, from the texts of their documents; dealt by sid, once for all joins on it."""
     wanted = stash(info.join(sids.distinct(), "sid", "left_semi").select("sid", "rep"))
     sent = F.broadcast if wanted.count() <= most_sent else lambda df: df  # else the texts meet the ids in a shuffled join
     ids = sent(wanted.select(F.col("rep").alias("doc_id")))
@@ -284,7 +284,7 @@ def _whole_sets(sids: DataFrame, docs: DataFrame, info: DataFrame, rule: Rule, r
             yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.binary())], names=["sid", "tokens"])
 
     held = docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").select("text").mapInArrow(sets, "sid long, tokens binary")
-    return stash(held.join(sent(wanted.select("sid")), "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens")))
+    return held.join(sent(wanted.select("sid")), "sid", "left_semi").groupBy("sid").agg(F.first("tokens").alias("tokens"))
 
 
 def _in_common(x: np.ndarray, y: np.ndarray) -> int:
@@ -329,7 +329,9 @@ def _open_members(lists: DataFrame, roots: DataFrame, rule: Rule, short: int) ->
     second = mixed.where("root <> root1").groupBy("run").agg(F.min("place").alias("place2"))
     mixed = mixed.join(second, "run").withColumn("other", F.when(F.col("root") == F.col("root1"), F.col("place2")).otherwise(F.col("place1")))
     # y of a link has at most n * den / num runs, so x and y differ in at most n * (den - num) / num
-    return stash(mixed.where((F.col("place") + F.col("other")) * rule.num <= F.col("n").cast("long") * (rule.den - rule.num)).select("run", "sid", "root", "place", "n"))
+    found = stash(mixed.where((F.col("place") + F.col("other")) * rule.num <= F.col("n").cast("long") * (rule.den - rule.num)).select("run", "sid", "root", "place", "n"))
+    forget(members, first)
+    return found
 
 
 class _List:
@@ -462,18 +464,24 @@ def links(docs: DataFrame, rule: Rule = Rule(), short: int = 12, block: int = 40
     rank_sent = spark.sparkContext.broadcast(rank)  # 2**SLOT_BITS bytes
     buckets = pieces(int(counts.sum()) * (rule.den - rule.num) // rule.den, 400_000)
     both = stash(_rows_and_prefixes(docs, rule, rank_sent, buckets, hot))
-    rows = both.where("bucket is null").select("doc_id", "sid", "n", "bits")
-    named = rows.where("doc_id is not null and n > 0")
+    named = both.where("bucket is null and doc_id is not null and n > 0").select("doc_id", "sid", "n", "bits")
     info = stash(named.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits")))
     lists = stash(_lists(both.where("bucket is not null").select("bucket", "tokens", "owners", "lengths", "places"), hot))
+    rows = stash(both.where("bucket is null").select("doc_id", "sid", "n"))
+    forget(both)
     sets = lambda sids: _whole_sets(sids, docs, info, rule, rank_sent, most_sent)
 
     near = stash(_near(_first_pairs(lists, rule, short), info, rule))
-    roots = _roots(spark, stash(_verified(near, sets(near.select(F.explode(F.array("a", "b")).alias("sid"))), rule)))
-    left = _members_in_touch(_open_members(lists, roots, rule, short), info, rule, block)
+    held = stash(_verified(near, sets(near.select(F.explode(F.array("a", "b")).alias("sid"))), rule))
+    roots = _roots(spark, held)
+    members = _open_members(lists, roots, rule, short)
+    left = _members_in_touch(members, info, rule, block)
     joining = stash(_across(left, sets(left.select("sid")), rule, block))
     # the stars so far stand for all links before
-    return rows.select("doc_id", "sid", "n"), _roots(spark, stash(roots.select(F.col("sid").alias("a"), F.col("root").alias("b")).unionByName(joining)))
+    links_ = stash(roots.select(F.col("sid").alias("a"), F.col("root").alias("b")).unionByName(joining))
+    found = _roots(spark, links_)
+    forget(info, lists, near, held, members, left, joining, links_)
+    return rows, found
 
 
 def _roots(spark, held: DataFrame) -> DataFrame:
