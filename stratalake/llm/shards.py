@@ -75,7 +75,7 @@ def shuffle_shards(df: DataFrame, shards: int = 40, seed: int = 20240229, bucket
         counts.withColumn("span", F.expr(f"__bucket div {SPAN}"))
         .withColumn("at", F.sum("__n").over(inside) - F.col("__n"))
         .join(before, "span")
-        .repartition(pieces(buckets, 64), "__bucket")  # the decks weigh far more than the counts that AQE would coalesce
+        .repartition(pieces(buckets, 4), "__bucket")  # the decks weigh far more than the counts that AQE would coalesce
         .select("__bucket", (F.col("at") + F.col("base")).alias("__first"), fisher_yates(F.col("__n"), F.col("__bucket"), seed).alias("__deck"))
     )
     nth = Window.partitionBy("__bucket").orderBy(F.col("doc_id"), row_hash(seed + 1, F.col("text")))
