@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, pieces, row_hash, stash
+from .common import WORD, forget, pieces, row_hash, stash
 
 FAN_IN = 64
 #: Documents of a source that are rounded against all smaller ones.
@@ -143,29 +143,30 @@ def round_head(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, block_rows: int = 4096, seed: int = SEED) -> DataFrame:
     """doc_id, tie, size, source_size, target and copies of every row."""
-    rows = stash(sized_rows(docs, seed))
-    sources = source_targets(rows, weights, most)
+    sized = stash(sized_rows(docs, seed))
+    sources = source_targets(sized, weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     whole = F.floor(F.col("ratio") + 1e-9).cast("int")
     base = ["rank", "doc_id", "tie", "draw", "size", "source_size", "target", "whole", "p"]
-    rows = numbered(rows, seed + 2).join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+    rows = numbered(sized, seed + 2).join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
     rows = stash(rows.withColumn("ratio", ratio).withColumn("whole", whole).withColumn("p", F.greatest(F.lit(0.0), F.col("ratio") - F.col("whole"))).select(*base))
 
+    forget(sized)
     # the bound of each source's head; Spark keeps the first HEAD rows of a source in each partition before they are dealt
     largest = Window.partitionBy("rank").orderBy(F.desc("size"), "draw")
     first = rows.select("rank", "size", "draw").withColumn("nth", F.row_number().over(largest)).where(f"nth <= {HEAD}")
     bound = first.groupBy("rank").agg(F.max_by(F.struct("size", "draw"), "nth").alias("last"))
     in_head = (F.col("size") > F.col("last.size")) | ((F.col("size") == F.col("last.size")) & (F.col("draw") <= F.col("last.draw")))
-    rows = stash(rows.join(F.broadcast(bound), "rank").withColumn("head", in_head).drop("last"))  # two numbers a source
+    rows = stash(rows.join(bound, "rank").withColumn("head", in_head).drop("last"))
     kinds = "rank int, doc_id long, tie long, draw long, size long, source_size long, target double, whole int, p double"
     head = stash(rows.where("head").select(*base).groupBy("rank").applyInPandas(round_head, kinds + ", after double"))
     after = head.groupBy("rank").agg(F.min("after").alias("after"))
-    rows = rows.where("not head").drop("p", "head").join(F.broadcast(after), "rank").withColumnRenamed("after", "p").withColumn("class", F.floor(F.log2(F.col("size") + 1)).cast("int"))
+    rows = rows.where("not head").drop("p", "head").join(after, "rank").withColumnRenamed("after", "p").withColumn("class", F.floor(F.log2(F.col("size") + 1)).cast("int"))
 
     counts = stash(rows.groupBy("rank", "class").agg(F.count("*").alias("n")))
     blocks = counts.select("rank", "class", F.ceil(F.col("n") / block_rows).cast("long").alias("blocks"))
     wide = pieces(counts.agg(F.max("n")).first()[0] or 1, block_rows)
-    rows = rows.join(F.broadcast(blocks), ["rank", "class"]).withColumn("block", F.pmod("draw", F.col("blocks")))
+    rows = rows.join(blocks, ["rank", "class"]).withColumn("block", F.pmod("draw", F.col("blocks")))
     order = [*base, "class", "block"]
     # by block, as a source or a class may hold most of the rows
     left = rows.select(*order).repartition("rank", "class", "block")
