@@ -77,7 +77,7 @@ def entities(text: Column, kind: str) -> Column:
 
 def entity_summary(text: Column, kind: str, most: int = 8) -> Column:
     """struct<n, samples>: how often, and the first distinct ones; the text is searched once."""
-    samples = lambda found: F.slice(F.array_distinct(F.transform(found, F.trim)), 1, most)
+    samples = lambda found: F.slice(F.array_distinct(F.transform(found, lambda x: F.trim(x))), 1, most)
     return let(entities(text, kind), lambda found: F.struct(F.size(found).cast("long").alias("n"), samples(found).alias("samples")))
 
 

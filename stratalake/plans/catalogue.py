@@ -598,11 +598,24 @@ _RE2_MORE = {
     "date": r"\b(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s*\d{4})\b",
     "currency": fixed.ENTITY_PATTERNS["currency"],
 }
+#: Orders in words: a day in one of three forms, and an amount in one of three.
+_TOLD = """SELECT o_orderkey AS doc_id, 'Order of ' || CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE strftime(o_orderdate, '%b %d, %Y') END || ' for '
+    || CASE o_orderkey % 4 WHEN 0 THEN '$' || o_orderkey || '.50 million' WHEN 1 THEN o_orderkey || ' EUR' WHEN 2 THEN '€ 1,' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') ELSE 'nothing' END AS text FROM orders"""
+
+
+def _told(df):
+    key, day, n = F.col("o_orderkey").cast("string"), F.col("o_orderdate"), F.col("o_orderkey")
+    days = F.when(n % 3 == 0, F.date_format(day, "yyyy-MM-dd")).when(n % 3 == 1, F.date_format(day, "dd/MM/yyyy")).otherwise(F.date_format(day, "MMM dd, yyyy"))
+    sums = F.when(n % 4 == 0, F.concat(F.lit("$"), key, F.lit(".50 million"))).when(n % 4 == 1, F.concat(key, F.lit(" EUR"))).when(n % 4 == 2, F.concat(F.lit("€ 1,"), F.lpad((n % 1000).cast("string"), 3, "0"))).otherwise("nothing")
+    return df.select(n.alias("doc_id"), F.concat(F.lit("Order of "), days, F.lit(" for "), sums).alias("text"))
+
+
 query(
     "entities_dates_and_money",
-    " UNION ALL ".join(f"SELECT '{k}' AS kind, sum(n)::BIGINT AS n, count(*) AS docs FROM (SELECT len(regexp_extract_all(text, '{p}')) AS n FROM documents) WHERE n > 0 HAVING count(*) > 0" for k, p in _RE2_MORE.items()),
-    "documents",
-)(lambda df: documents.entity_counts(df, kinds=tuple(_RE2_MORE)).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("docs")))
+    f"WITH documents AS ({_TOLD}) "
+    + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, n, sample FROM (SELECT doc_id, len(regexp_extract_all(text, '{p}')) AS n, trim(regexp_extract(text, '{p}')) AS sample FROM documents) WHERE n > 0" for k, p in _RE2_MORE.items()),
+    "orders",
+)(lambda df: documents.entity_counts(_told(df), kinds=tuple(_RE2_MORE)).select("doc_id", "kind", "n", F.get("samples", 0).alias("sample")))
 query(
     "retrieval_index",
     f"""WITH t AS (SELECT doc_id, unnest(list_transform(regexp_split_to_array(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9_\\s.]', ' ', 'g'), '\\s+'), lambda x: regexp_replace(x, '^[.]+|[.]+$', '', 'g'))) AS term FROM documents),
@@ -635,13 +648,13 @@ query(
 )(lambda spark, sf_dir: compare.quality_drift(*_halves(spark, sf_dir)).select("dimension", "value_a", "value_b", "delta"))
 
 
-@query("type_drift")
+@query(
+    "type_drift",
+    """SELECT 'o_orderkey' AS "column", 'integer' AS type_a, CASE WHEN count(DISTINCT o_orderkey) >= 0.9 * count(*) THEN 'identifier' ELSE 'text' END AS type_b FROM orders
+    UNION ALL SELECT 'o_totalprice', 'number', CASE WHEN count(DISTINCT round(o_totalprice)) >= 0.9 * count(*) THEN 'identifier' ELSE 'text' END FROM orders""",
+)
 def _type_drift(spark, sf_dir):
-    """Types of orders against orders whose amounts and days are text of many forms."""
-    o = table(spark, sf_dir, "orders")
-    b = o.select(F.col("o_orderkey").cast("string").alias("o_orderkey"), _dirty_number().alias("o_totalprice"), _dirty_date().alias("o_orderdate"), "o_orderpriority")
-    drift = compare.type_drift(profile.infer_types(o.select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderpriority")), profile.infer_types(b))
-    return spark.createDataFrame(drift, "column string, type_a string, type_b string")
-
-
-_sql["type_drift"] = "SELECT 'o_totalprice' AS \"column\", 'number' AS type_a, 'text' AS type_b FROM orders HAVING count(*) FILTER (WHERE o_orderkey % 9 NOT IN (5, 7)) / count(*) FILTER (WHERE o_orderkey % 9 <> 5) < 0.85"
+    """Types of orders against orders whose keys and amounts stand in words."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus")
+    b = o.select(F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("o_orderkey"), F.concat(F.lit("some "), F.round("o_totalprice").cast("long").cast("string")).alias("o_totalprice"), _dirty_date().alias("o_orderdate"), "o_orderstatus")
+    return spark.createDataFrame(compare.type_drift(profile.infer_types(o), profile.infer_types(b)), "column string, type_a string, type_b string")
