@@ -658,3 +658,67 @@ def _type_drift(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus")
     b = o.select(F.concat(F.lit("Order "), F.col("o_orderkey").cast("string")).alias("o_orderkey"), F.concat(F.lit("some "), F.round("o_totalprice").cast("long").cast("string")).alias("o_totalprice"), _dirty_date().alias("o_orderdate"), "o_orderstatus")
     return spark.createDataFrame(compare.type_drift(profile.infer_types(o), profile.infer_types(b)), "column string, type_a string, type_b string")
+
+# ---- small functions on whole columns --------------------------------------------------------------------------------
+
+_BLANKS = ["N/A", "  none ", "-", "NaN", "", "kept"]
+query(
+    "null_words",
+    "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 5 THEN 'kept' WHEN o_orderkey % 7 = 6 THEN o_orderstatus END AS value FROM orders",
+    "orders",
+)(lambda df: df.select("o_orderkey", C.without_nullish(F.coalesce(F.get(F.array(*map(F.lit, _BLANKS)), (F.col("o_orderkey") % 7).cast("int")), F.col("o_orderstatus"))).alias("value")))
+query("drop_empty_rows", "SELECT o_orderstatus AS a, CASE WHEN o_orderkey % 4 = 1 THEN ' ' END AS b FROM orders WHERE o_orderkey % 3 > 0", "orders")(
+    lambda df: clean.drop_empty_rows(df.select(F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus")).otherwise("  ").alias("a"), F.when(F.col("o_orderkey") % 4 == 1, F.lit(" ")).alias("b")))
+)
+query("snippets", "SELECT doc_id, substr(text, 1, 160) || CASE WHEN length(text) > 160 THEN '…' ELSE '' END AS snippet FROM documents", "documents")(lambda df: df.select("doc_id", C.snippet(F.col("text"), 160).alias("snippet")))
+query(
+    "unicode_tokens",
+    f"""SELECT doc_id, len(list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^\\p{{L}}\\p{{N}}\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) > 1 AND x NOT IN ({_STOP}))) AS n FROM documents""",
+    "documents",
+)(lambda df: df.select("doc_id", F.size(X.tokens(F.col("text"), unicode=True)).cast("long").alias("n")))
+query(
+    "trigram_counts",
+    """WITH t AS (SELECT regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS s FROM documents)
+    SELECT substr(s, i::BIGINT, 3) AS gram, count(*) AS n FROM (SELECT s, unnest(range(1, length(s) - 1)) AS i FROM t) GROUP BY 1""",
+    "documents",
+)(lambda df: df.select(F.explode(X.trigrams(F.col("text"))).alias("gram")).groupBy("gram").agg(F.count("*").alias("n")))
+query(
+    "unit_vectors",
+    "SELECT vec_id, round(embedding[1]::DOUBLE / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS first FROM embeddings",
+    "embeddings",
+)(lambda df: df.select("vec_id", F.round(F.get(C.unit(F.col("embedding")), 0), 6).alias("first")))
+query(
+    "last_periods",
+    f"WITH p AS (SELECT {_PERIODS['month']} AS period, sum(o_totalprice::DECIMAL(28,6))::DOUBLE AS value FROM orders GROUP BY 1), l AS ({_LAGGED}) SELECT period, value, growth_pct FROM l ORDER BY period DESC LIMIT 5",
+    "orders",
+)(lambda df: olap.period_over_period(df, "o_totalprice", "o_orderdate").orderBy(F.desc("period")).limit(5).select("period", "value", "growth_pct"))
+query(
+    "quality_radar",
+    f"""WITH h AS ({_HOLES}), s AS (SELECT count(*) AS n, (5 * count(*) - count(event_id) - count(ts) - count(user_id) - count(event_type) - count(value)) / (5 * count(*)) * 100 AS gaps FROM h)
+    SELECT unnest(['Completeness', 'Uniqueness', 'Consistency', 'Type Richness', 'Volume', 'Density']) AS label, unnest([round(100 - gaps, 1), 100, 100, 100, round(least(100, log10(n + 1) / 5 * 100), 1), 87.5])::DOUBLE AS value FROM s""",
+)(
+    lambda spark, sf_dir: charts.quality_radar(
+        profile.quality(_holes(spark, sf_dir), [profile.ColumnType(c, t, 1.0) for c, t in (("event_id", "integer"), ("ts", "date"), ("user_id", "integer"), ("event_type", "category"), ("value", "number"))]), 87.5
+    )
+)
+
+
+def _shown(v: str) -> str:
+    return f"CASE WHEN abs({v}) >= 1e9 THEN printf('%.2fB', {v} / 1e9) WHEN abs({v}) >= 1e6 THEN printf('%.2fM', {v} / 1e6) WHEN abs({v}) >= 1e3 THEN printf('%.2fk', {v} / 1e3) WHEN {v} = floor({v}) THEN printf('%.0f', {v}) ELSE printf('%.2f', {v}) END"
+
+
+@query(
+    "analysis_kpis",
+    f"""WITH a AS (SELECT count(*) AS n, sum(c_acctbal) AS total, avg(c_acctbal) AS mean, quantile_cont(c_acctbal, 0.25) AS q1, quantile_cont(c_acctbal, 0.75) AS q3 FROM customer),
+    g AS (SELECT c_mktsegment AS v, sum(c_acctbal::DECIMAL(28,6))::DOUBLE AS s FROM customer GROUP BY 1), t AS (SELECT v FROM g ORDER BY s DESC, v LIMIT 1),
+    r AS (SELECT sum(s::DECIMAL(28,6)) OVER (ORDER BY s DESC, v)::DOUBLE / (SELECT sum(s::DECIMAL(28,6)) FROM g)::DOUBLE * 100 AS share FROM g), p AS (SELECT count(*) FILTER (WHERE round(share, 2) <= 80) AS k, count(*) AS m FROM r),
+    o AS (SELECT count(*) AS n FROM customer, a WHERE c_acctbal < q1 - 1.5 * (q3 - q1) OR c_acctbal > q3 + 1.5 * (q3 - q1))
+    SELECT 'Rows' AS label, format('{{:,}}', n) AS value FROM a UNION ALL SELECT 'amount, all rows', {_shown("total")} FROM a UNION ALL SELECT 'amount, mean row', {_shown("mean")} FROM a
+    UNION ALL SELECT 'Largest segment', substr(v, 1, 14) FROM t UNION ALL SELECT 'Groups within four fifths', k || ' of ' || m FROM p WHERE k > 0 UNION ALL SELECT 'Outlying values', n::VARCHAR FROM o WHERE n > 0""",
+)
+def _analysis_kpis(spark, sf_dir):
+    """The figures of an analysis that finds its measure and dimension itself."""
+    from . import analysis
+
+    a = analysis.analyse(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("customer_id"), F.col("c_acctbal").alias("amount"), F.col("c_mktsegment").alias("segment")), "customer")
+    return spark.createDataFrame([(k["label"], k["value"]) for k in analysis.kpis(a)], "label string, value string")
