@@ -2,13 +2,14 @@
 
 `format_pairs` takes the turns of the chosen and of the rejected conversation of each pair.  Both are numbered by
 position; the first position at which they differ (in role or text, or as one has ended) bounds their longest common
-prefix, found by grouping turns on (pair, position) and so without gathering a conversation.  The prefix is rendered
-once as the prompt, the rest of each side as its completion, and the mask lists the half-open ranges of the
-completion, in code points, on which loss is taken: the texts of assistant turns and the end marks after them.
+prefix, found by grouping turns on (pair, position).  A pair's turns are then gathered into its row, as they make the
+texts of that row.  The prefix is rendered once as the prompt, the rest of each side as its completion, and the mask
+lists the half-open ranges of the completion, in code points, on which loss is taken: the texts of assistant turns and
+the end marks after them.
 
 Turns are ordered by turn number, then role, then text; null turn numbers come first.  A null role or text is
-empty.  Repeated turns stay.  A pair with one side only has an empty prompt and an empty completion on the other
-side.  Other columns are not read.
+empty.  Repeated turns stay; two turns of one side at one position count as the greater one.  A pair with one side only
+has an empty prompt and an empty completion on the other side.  Other columns are not read.
 """
 
 from __future__ import annotations

@@ -367,6 +367,34 @@ def test_preference(spark):
     assert preference.op8_preference_formatting(df.limit(0)).count() == 0
 
 
+def test_pairs_of_unlike_sides(spark):
+    """Sides that part early, end early, are equal, or are missing; extra and clashing columns are not read."""
+    rnd = random.Random(15)
+    sides = {}
+    for k in range(40):
+        base = [(rnd.choice(["user", "assistant"]), rnd.choice(["hi", "é", "", "yo"])) for _ in range(rnd.randint(0, 5))]
+        other = base[: rnd.randint(0, len(base))] + [("assistant", rnd.choice(["hi", "no"])) for _ in range(rnd.randint(0, 3))]
+        sides[k] = (base, other if k % 7 else [])
+    frame = lambda i: spark.createDataFrame([(k, p, *t, "x", "y") for k, s in sides.items() for p, t in enumerate(s[i])], "pair_id long, pos int, role string, text string, prompt string, side string")
+    spell = lambda turns: "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in turns)
+
+    def mask(turns):
+        at, out = 0, []
+        for r, t in turns:
+            head, at = at + len(r) + 5, at + len(spell([(r, t)]))
+            out += [f"{head}:{at}"] if r == "assistant" else []
+        return ",".join(out)
+
+    want = {}
+    for k, (c, r) in sides.items():
+        n = next((i for i in range(max(len(c), len(r))) if c[i : i + 1] != r[i : i + 1]), len(c))
+        if c or r:
+            want[k] = (n, len(c), len(r), spell(c[:n]), spell(c[n:]), spell(r[n:]), mask(c[n:]), mask(r[n:]))
+    got = {r["pair_id"]: tuple(r)[1:] for r in preference.format_pairs(frame(0), frame(1)).collect()}
+    assert got == want and len({w[0] for w in want.values()}) > 2
+    assert preference.format_pairs(frame(0).limit(0), frame(1).limit(0)).count() == 0
+
+
 def test_line_dedup(spark, docs, empty):
     con = duckdb.connect()
     rows = [(i, t) for i, t, *_ in corpus() if i is not None][:14] + [(50, "a\na\na\na"), (51, "q\na\na\nz")]
