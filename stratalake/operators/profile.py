@@ -245,3 +245,16 @@ def null_tone(null_pct: Column) -> Column:
 
 def duplicate_tone(duplicates: Column) -> Column:
     return F.when(duplicates == 0, "good").otherwise("warn")
+
+
+def sampled_columns(df: DataFrame, first: int = 50) -> dict[str, list[str]]:
+    """numeric and category columns by the first rows alone: over 60 % numbers; 2 to 30 values of which one is no number."""
+    sample = df.limit(first)
+    texts = {c: C.without_nullish(q(c).cast("string")) for c in df.columns}
+    some = [F.struct(F.count(t).alias("n"), F.count(C.to_number(t)).alias("numbers"), F.size(F.collect_set(t)).alias("unique")).alias(f"c{i}") for i, t in enumerate(texts.values())]  # of `first` rows
+    row = sample.agg(*some).first()
+    stats = {c: row[f"c{i}"] for i, c in enumerate(df.columns)}
+    return {
+        "numeric": [c for c, s in stats.items() if s["n"] and s["numbers"] / s["n"] > 0.6],
+        "category": [c for c, s in stats.items() if 2 <= s["unique"] <= 30 and s["numbers"] < s["n"]],
+    }

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 def row_numbers(items: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """Adds `row`: items within `tolerance` of a row's first y share it, from the top down."""
-    by = Window.partitionBy("doc", "page")
     listed = items.groupBy("doc", "page").agg(F.array_sort(F.collect_set((-F.col("y")).cast("double"))).alias("ys"))  # one page
     start = F.struct(F.lit(-1).alias("row"), F.lit(None).cast("double").alias("first"), F.array().cast("array<struct<y:double,row:int>>").alias("out"))
 
@@ -21,7 +20,7 @@ def row_numbers(items: DataFrame, tolerance: float = 3.0) -> DataFrame:
         return F.struct(row.alias("row"), F.when(new, y).otherwise(acc["first"]).alias("first"), F.concat(acc["out"], F.array(F.struct((-y).alias("y"), row.alias("row")))).alias("out"))
 
     numbered = listed.select("doc", "page", F.explode(F.aggregate("ys", start, step, lambda acc: acc["out"])).alias("o")).select("doc", "page", "o.y", "o.row")
-    return items.withColumn("y", F.col("y").cast("double")).join(numbered, ["doc", "page", "y"]).withColumn("__n", F.count("*").over(by)).drop("__n")
+    return items.withColumn("y", F.col("y").cast("double")).join(numbered, ["doc", "page", "y"])
 
 
 def cells(rows: DataFrame, gap: float = 18.0) -> DataFrame:

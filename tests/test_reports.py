@@ -130,6 +130,10 @@ def test_topics_part_unlike_passages(spark):
     assert documents.topics(units.limit(5), k=2).count() == 0
 
 
+def test_columns_by_their_first_rows(spark):
+    assert profile.sampled_columns(orders(spark)) == {"numeric": ["revenue", "cost"], "category": ["region", "channel"]}
+
+
 def test_bands(spark):
     row = spark.range(1).select(*[profile.quality_band(F.lit(s)).alias(f"q{s}") for s in (80, 60, 59)], profile.duplicate_tone(F.lit(0)).alias("d"), profile.null_tone(F.lit(20)).alias("n")).first()
     assert tuple(row) == ("Excellent", "Good", "Needs Work", "good", "bad")
