@@ -1,7 +1,8 @@
 """Quality classifier by co-training.
 
-Two views describe a document and share nothing: its text (presence of hashed words, punctuation taken off, and what
-is counted from the text: lines, repeated lines, cases, digits, symbols) and its page metadata (source, language and
+Two views describe a document and share nothing: its text (presence of hashed words, punctuation taken off, and of the
+beginnings of longer ones, each weighed by how much more often it stands in one kind of documents; and what is
+counted from the text: lines, repeated lines, cases, digits, symbols) and its page metadata (source, language and
 stated length).  A logistic model of each view starts from labelled documents.  In each round both views score all
 unlabelled documents, and each gives the `exchange` documents it is surest of, of either kind, to the other view's
 training set.  Three folds of the labelled documents are held out: one calibrates the two views' logits, one fits
@@ -37,7 +38,9 @@ from pyspark.sql.types import BooleanType, DoubleType, StructType
 from . import kernels as K
 from .common import forget, row_hash, stash, without
 
-WORD_BITS = 16
+WORD_BITS = 18
+#: Bytes of a longer word's beginning, which is a feature beside the word.
+STEM = 5
 SOURCE_SLOTS, LANG_SLOTS = 64, 16
 SYMBOLS = b"|#$%&*!<>{}[]@_=~^\\"
 N_LAYOUT = 11 + len(SYMBOLS)
@@ -68,8 +71,9 @@ def views(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         sizes = np.diff(off)
         plain = _PLAIN[part]
         start, end, row = K.words(plain, off)
-        hashes = K.window_hash(K.prefix(plain), start, end)
-        pairs = np.unique((row.astype(np.uint64) << np.uint64(WORD_BITS)) | (hashes >> np.uint64(64 - WORD_BITS)))
+        sums, long = K.prefix(plain), end - start > STEM
+        hashes = np.concatenate((K.window_hash(sums, start, end), K.mix(K.window_hash(sums, start[long], start[long] + STEM))))
+        pairs = np.unique((np.concatenate((row, row[long])).astype(np.uint64) << np.uint64(WORD_BITS)) | (hashes >> np.uint64(64 - WORD_BITS)))
         rows, slots = (pairs >> np.uint64(WORD_BITS)).astype(np.int64), (pairs & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
 
         owner = np.repeat(np.arange(n), sizes)
@@ -89,7 +93,7 @@ def views(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, np.ndar
         else:
             distinct = np.ones(n)
         n_words = np.bincount(row, minlength=n)
-        vocabulary = np.bincount(rows, minlength=n)
+        vocabulary = np.bincount(np.unique((row.astype(np.uint64) << np.uint64(40)) | (hashes[: len(row)] >> np.uint64(24))).astype(np.uint64) >> np.uint64(40), minlength=n)
         chars = np.array([s - c if v is None else v for v, s, c in zip(stated[a:b], sizes, per(part & 0xC0 == 0x80) if len(part) else np.zeros(n), strict=True)], float)
         layout = np.column_stack([
             np.log1p(lines), np.log1p(size / lines), distinct / lines, kinds[:, 1] / letters, kinds[:, 3] / size, kinds[:, 4] / size,
@@ -108,21 +112,30 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class View:
-    """Documents of one view: sets of word slots (none for metadata) and a dense matrix."""
+    """Documents of one view: sets of word slots (none for metadata), a value for each slot, and a dense matrix."""
 
-    def __init__(self, sets: list[np.ndarray], dense: np.ndarray):
+    def __init__(self, sets: list[np.ndarray], dense: np.ndarray, value: np.ndarray | None = None):
         self.n, self.dense = len(dense), dense
+        self.value = np.ones(1 << WORD_BITS if sets else 0) if value is None else value
         self.size = (1 << WORD_BITS if sets else 0) + dense.shape[1]
         self.slot = np.concatenate(sets) if sets else np.zeros(0, np.int64)
         self.row = np.repeat(np.arange(len(sets)), [len(x) for x in sets]) if sets else np.zeros(0, np.int64)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         wide = self.dense.shape[1]
-        return self.dense @ w[:wide] + np.bincount(self.row, weights=w[wide:][self.slot], minlength=self.n)
+        return self.dense @ w[:wide] + np.bincount(self.row, weights=(w[wide:] * self.value)[self.slot], minlength=self.n)
 
     def back(self, g: np.ndarray) -> np.ndarray:
         words = np.bincount(self.slot, weights=g[self.row], minlength=self.size - self.dense.shape[1])
-        return np.concatenate((self.dense.T @ g, words))
+        return np.concatenate((self.dense.T @ g, words * self.value))
+
+
+def slot_ratios(sets: list[np.ndarray], y: np.ndarray, smooth: float = 5.0) -> np.ndarray:
+    """The logarithm of how much more often a slot stands in good documents than in bad ones."""
+    n = [max(1, int((y == k).sum())) for k in (0, 1)]
+    bad, good = (np.bincount(np.concatenate([np.zeros(0, np.int64), *[x for x, v in zip(sets, y, strict=True) if v == k]]), minlength=1 << WORD_BITS) for k in (0, 1))
+    less = smooth * n[0] / n[1]
+    return np.log((good + smooth) / (n[1] + 2 * smooth)) - np.log((bad + less) / (n[0] + 2 * less))
 
 
 def fit_logistic(x: View, y: np.ndarray, weight: np.ndarray, decay: float, steps: int = 150, rate: float = 0.1) -> tuple[np.ndarray, float]:
@@ -175,6 +188,15 @@ class Model:
         return _sigmoid(t), _sigmoid(m), _sigmoid(wt * t + wm * m + b)
 
 
+def _plain(models: dict[str, Model]) -> dict[str, dict]:
+    """Models as plain values, which tasks can load without this module at hand."""
+    return {k: vars(m) | {"text": vars(m.text), "meta": vars(m.meta)} for k, m in models.items()}
+
+
+def _models(plain: dict[str, dict]) -> dict[str, Model]:
+    return {k: Model(**v | {"text": Linear(**v["text"]), "meta": Linear(**v["meta"])}) for k, v in plain.items()}
+
+
 QUESTIONS, VIEWS = ("quality", "clean"), ("text", "meta")
 #: Folds of the labelled documents.
 TRAIN, CALIBRATE, COMBINE, REPORT = range(4)
@@ -195,7 +217,7 @@ def features(docs: DataFrame, seed: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("key").slice(a, b - a), batch.column("doc_id").slice(a, b - a).cast(pa.int64()),
-                        pa.array([slot[cut[i] : cut[i + 1]].astype(np.uint16).tobytes() for i in range(b - a)], pa.binary()),
+                        pa.array([slot[cut[i] : cut[i + 1]].astype(np.uint32).tobytes() for i in range(b - a)], pa.binary()),
                         *[pa.array([x.astype(np.float32).tobytes() for x in m], pa.binary()) for m in (layout, meta)],
                     ],
                     names=["key", "doc_id", "slots", "layout", "meta"],
@@ -207,7 +229,7 @@ def features(docs: DataFrame, seed: int) -> DataFrame:
 
 def _unpacked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """rows, slots, layout and meta of stored features."""
-    sets = [np.frombuffer(x, np.uint16) for x in batch.column("slots").to_pylist()]
+    sets = [np.frombuffer(x, np.uint32) for x in batch.column("slots").to_pylist()]
     slots = np.concatenate(sets).astype(np.int64) if sets else np.zeros(0, np.int64)
     dense = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float32).astype(float).reshape(len(sets), n) for c, n in (("layout", N_LAYOUT), ("meta", N_META))]
     return np.repeat(np.arange(len(sets)), [len(x) for x in sets]), slots, *dense
@@ -223,9 +245,12 @@ def _trained(rows: DataFrame) -> dict[str, Model]:
         wide = N_LAYOUT if view == "text" else N_META
         dense = np.array([np.frombuffer(x, np.float32) for x in pdf["dense"]], dtype=float).reshape(len(pdf), wide)
         mean, scale = dense.mean(axis=0), dense.std(axis=0) + 1e-3
-        sets = [np.frombuffer(x, np.uint16).astype(np.int64) for x in pdf["slots"]] if view == "text" else []
+        sets = [np.frombuffer(x, np.uint32).astype(np.int64) for x in pdf["slots"]] if view == "text" else []
         weight = np.where(y == 0, 0.5 / max(1, (y == 0).sum()), 0.5 / max(1, (y == 1).sum()))
-        w, b = fit_logistic(View(sets, (dense - mean) / scale), y, weight, 2e-3 if view == "text" else 1e-3)
+        ratios = slot_ratios(sets, y) if view == "text" else None
+        w, b = fit_logistic(View(sets, (dense - mean) / scale, ratios), y, weight, 2e-3 if view == "text" else 1e-3)
+        if view == "text":
+            w[wide:] *= ratios
         return pd.DataFrame({"question": [question], "view": [view], "weights": [w.astype(np.float32).tobytes()], "bias": [b], "mean": [mean.tobytes()], "scale": [scale.tobytes()]})
 
     fitted = rows.groupBy("question", "view").applyInPandas(train, "question string, view string, weights binary, bias double, mean binary, scale binary")
@@ -241,13 +266,14 @@ def _training_rows(rows: DataFrame, question: str, view: str, y: Column, given:
 
 def _logits(rows: DataFrame, models: dict[str, Model], kept: list[str]) -> DataFrame:
     """`kept` columns and the logit of each question and view (text_quality and so on)."""
-    sent = rows.sparkSession.sparkContext.broadcast(models)  # 2**WORD_BITS and a few numbers each
+    sent = rows.sparkSession.sparkContext.broadcast(_plain(models))  # 2**WORD_BITS and a few numbers each
     names = [f"{v}_{q}" for q in models for v in VIEWS]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = _models(sent.value).values()
         for batch in batches:
             own = _unpacked(batch)
-            got = [z for m in sent.value.values() for z in m.logits(*own)]
+            got = [z for m in held for z in m.logits(*own)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *map(pa.array, got)], names=[*kept, *names])
 
     schema = StructType([rows.schema[c] for c in kept])
@@ -338,10 +364,10 @@ OUT = ("p_text_quality", "p_meta_quality", "p_quality", "p_text_clean", "p_meta_
 def score(docs: DataFrame, models: dict[str, Model], threshold: float = 0.6) -> DataFrame:
     """All columns of `docs` with each view's and the combined probability of each question, score and keep."""
     docs = without(docs, *OUT, "score", "keep")
-    sent = docs.sparkSession.sparkContext.broadcast(models)  # 2**WORD_BITS and a few numbers each
+    sent = docs.sparkSession.sparkContext.broadcast(_plain(models))  # 2**WORD_BITS and a few numbers each
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        own = _models(sent.value)
         for batch in batches:
             got = np.ones((6, batch.num_rows))
             for a, b, *seen in views(batch):
