@@ -502,8 +502,8 @@ def cut_block(table: pa.Table, keys: np.ndarray, firsts: np.ndarray, bits: np.nd
             windows &= known[:, None] & (shift <= nb[:, None]) & (length - shift <= na[:, None])
             i, s = np.nonzero(windows)
             begin = place[i] - s
-            np.add.at(edge, begin, 1)
-            np.add.at(edge, begin + length, -1)
+            np.add.at(edge, begin, np.int32(1))  # of the array's own type: another one is cast element by element
+            np.add.at(edge, begin + length, np.int32(-1))
         gone = np.cumsum(edge)[:-1] > 0
         for r in range(b - a):
             g = gone[off[r] : off[r + 1]]
