@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, line_dedup, media, mixing, preference, quality, secret_scan, setjoin, shards, suffix_dedup
+from . import decontam, html_text, line_dedup, media, mixing, preference, quality, secret_scan, setjoin, shards, suffix_dedup
 from .common import table
 
 
@@ -25,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_line_dedup": on_docs(line_dedup.op9_line_dedup),
         "op9_passage_dedup": on_docs(line_dedup.op9_passage_dedup),
         "op10_jaccard_join": on_docs(setjoin.op10_jaccard_join),
+        "op11_html_extraction": lambda spark, sf_dir: html_text.op11_html_extraction(table(spark, sf_dir, "pages")),
     }
 
 
