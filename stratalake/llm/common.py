@@ -77,6 +77,21 @@ def row_hash(seed: int, *columns: Column) -> Column:
     return F.xxhash64(F.lit(seed), *columns)
 
 
+def dense_ids(df: DataFrame, name: str) -> DataFrame:
+    """Rows with a number from 0 without gaps, in no particular order.
+
+    Places inside partitions are written first; only a count for each partition comes to the driver.
+    """
+    at = F.monotonically_increasing_id()
+    placed = stash(df.select("*", F.shiftright(at, 33).alias("_p"), at.bitwiseAND(F.lit((1 << 33) - 1)).alias("_i")))
+    starts, total = [], 0
+    for p, n in sorted(placed.groupBy("_p").count().collect()):
+        starts.append((p, total))
+        total += n
+    offsets = df.sparkSession.createDataFrame(starts, "_p long, _o long")
+    return placed.join(offsets, "_p").select(*[f"`{c}`" for c in df.columns], (F.col("_o") + F.col("_i")).alias(name))
+
+
 def pieces(total: int, each: int) -> int:
     return max(1, -(-int(total) // int(each)))
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, html_text, lexical, line_dedup, media, mixing, preference, quality, secret_scan, setjoin, shards, suffix_dedup
+from . import collocations, decontam, html_text, lexical, line_dedup, media, mixing, preference, quality, secret_scan, setjoin, shards, suffix_dedup
 from .common import table
 
 
@@ -26,9 +26,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_passage_dedup": on_docs(line_dedup.op9_passage_dedup),
         "op10_jaccard_join": on_docs(setjoin.op10_jaccard_join),
         "op11_html_extraction": lambda spark, sf_dir: html_text.op11_html_extraction(table(spark, sf_dir, "pages")),
+        "op13_collocations": on_docs(collocations.op13_collocations),
         "op12_ranked_search": with_other(lexical.op12_ranked_search, "benchmark"),
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_preference_formatting": preference.op8_sql(), "op12_ranked_search": lexical.op12_sql(), "op9_line_dedup": line_dedup.op9_sql(), "op9_passage_dedup": line_dedup.op9_passage_sql()}
+    return {"op8_preference_formatting": preference.op8_sql(), "op12_ranked_search": lexical.op12_sql(), "op13_collocations": collocations.op13_sql(), "op9_line_dedup": line_dedup.op9_sql(), "op9_passage_dedup": line_dedup.op9_passage_sql()}
