@@ -41,6 +41,8 @@ MOST_ITEMS, MOST_TERMS = 512, 1 << 14
 PACK, FAN, CHUNK, SEEDS = 128, 8, 512, 2
 #: Stands for a null doc_id: the largest long.
 NO_ID = (1 << 63) - 1
+#: Documents that a task packs and searches.
+DEALT = 1 << 14
 _PACK = "pack long, docs array<long>, ends array<int>, terms array<int>, parts array<long>, top_terms array<int>, top_parts array<long>"
 
 
@@ -159,7 +161,7 @@ def pack(counted: DataFrame, weights: np.ndarray, documents: int, length: int) -
 
     some = counted.where(F.size("terms") > 0)
     placed = some.mapInArrow(place, "doc_id long, key array<long>, terms array<int>, parts array<long>")
-    tasks = max(placed.sparkSession.sparkContext.defaultParallelism, pieces(documents, CHUNK * PACK))
+    tasks = max(placed.sparkSession.sparkContext.defaultParallelism, pieces(documents, DEALT))
     placed = placed.repartitionByRange(tasks, "key", "doc_id").sortWithinPartitions("key", "doc_id")
     return placed.select("doc_id", "terms", "parts").mapInArrow(fill, _PACK).withColumn("pack", F.monotonically_increasing_id())
 
