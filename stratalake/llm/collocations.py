@@ -4,9 +4,10 @@ Words that occur LEAST times in a language get numbers; no phrase with another w
 occurrence of such a word goes the run of up to MOST numbered words that starts there, and a task counts equal runs in a
 HAT-trie: a shallow trie over word numbers whose leaves are hash containers of the rest of the run.  A container bursts
 into a trie node when it holds more than BURST rests.  When a task holds over HELD runs, its largest subtrees are spilled
-whole, each as a sorted run.  Runs are written; Spark then deals their rows by ranges of keys (prefix partitions), so a
-frequent prefix is cut where it is large, merges them in order, and one pass over a partition counts every prefix of 2 to
-MOST words.  What a partition's first and last rows count may go on in its neighbours and is added up after that.
+whole, each as a sorted run, in blocks of up to BLOCK keys.  Blocks are written; their first keys give the bounds of
+prefix partitions of about RANGE keys each, blocks are cut there, and a task merges the blocks of a partition and counts
+every prefix of 2 to MOST words.  A frequent prefix is cut where it is large: what the first and the last prefix of a
+partition count may go on in its neighbours and is added up after that.
 
 The numbers go to tasks while there are at most MOST_WORDS of them in MOST_BYTES, and are joined to the words of documents
 (cut into parts of PART words) beyond; counts are the same.  The score is exact in 38 digits.
@@ -18,6 +19,7 @@ are not read.  An empty table gives no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import pairwise
@@ -27,15 +29,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import kernels as K
 from .common import dense_ids, forget, pieces, stash
 
 MOST, LEAST, TOP = 5, 100, 2000
 BURST, HELD = 4096, 500_000
 MOST_WORDS, MOST_BYTES = 1 << 20, 32 << 20
 PART = 1 << 15
-#: Rows of runs that a prefix partition gets.
-RANGE = 1_000_000
+#: Keys of a written block, and about those of a prefix partition; blocks whose first keys give the bounds of partitions.
+BLOCK, RANGE, SEEN = 8192, 1_000_000, 100_000
+_BLOCK = "first binary, n long, data binary"
 _ENDS = bytes.maketrans(b".,;:!?\v\f\r", b"\n" * 9)
 _GAP = re.compile(rb"[ \t.,;:!?\n-\r]")
 
@@ -51,76 +53,65 @@ def chunks(text: str | None, size: int = 1 << 20) -> Iterator[bytes]:
 
 
 class HatTrie:
-    """Counts of keys: `width` bytes a word.  Nodes are dicts by word, containers dicts by the rest of the key."""
-
-    def __init__(self, width: int = 4, burst: int = BURST) -> None:
-        self.width, self.burst, self.root, self.size = width, burst, {}, 0
-
-    def add(self, first: bytes, rests: list[bytes], counts: list[int]) -> None:
-        """Keys that share their first word."""
-        container = self.root.get(first)
-        if container is None:
-            container = self.root[first] = Container()
-        if isinstance(container, Container):
-            before = len(container)
-            for rest, n in zip(rests, counts, strict=True):
-                container[rest] = container.get(rest, 0) + n
-            self.size += len(container) - before
-            if len(container) > self.burst:
-                self.root[first] = self._burst(container)
-        else:
-            for rest, n in zip(rests, counts, strict=True):
-                self._walk(container, rest, n)
-
-    def _walk(self, node: dict, key: bytes, n: int) -> None:
-        while True:
-            word, key = key[: self.width], key[self.width :]
-            child = node.get(word)
-            if child is None:
-                child = node[word] = Container()
-            if isinstance(child, Container):
-                self.size += key not in child
-                child[key] = child.get(key, 0) + n
-                if key and len(child) > self.burst:
-                    node[word] = self._burst(child)
-                return
-            node = child
-
-    def _burst(self, container: Container) -> dict:
+    """Counts of keys of `words` words of `width` bytes.  Nodes are dicts by word, containers Counters of the rest of the key."""
+
+    def __init__(self, words: int = MOST, width: int = 4, burst: int = BURST) -> None:
+        self.words, self.width, self.burst, self.root, self.size = words, width, burst, {}, 0
+
+    def add(self, first: bytes, rests: list[bytes]) -> None:
+        """Keys that share their first word, their rests in order of the second."""
+        self.size += self._put(self.root, first, rests, self.words - 1)
+
+    def _put(self, node: dict, word: bytes, rests: list[bytes], left: int) -> int:
+        child = node.get(word)
+        if child is None:
+            child = node[word] = Counter()
+        if isinstance(child, Counter):
+            before = len(child)
+            child.update(rests)
+            if left > 1 and len(child) > self.burst:
+                node[word] = self._burst(child)
+            return len(child) - before
+        more, at, w = 0, 0, self.width
+        while at < len(rests):
+            next_, end = rests[at][:w], at + 1
+            while end < len(rests) and rests[end][:w] == next_:
+                end += 1
+            more += self._put(child, next_, [r[w:] for r in rests[at:end]], left - 1)
+            at = end
+        return more
+
+    def _burst(self, container: Counter) -> dict:
         node: dict = {}
         for rest, n in container.items():
-            child = node.setdefault(rest[: self.width], Container())
+            child = node.get(word := rest[: self.width])
+            if child is None:
+                child = node[word] = Counter()
             child[rest[self.width :]] = n
-        for word, child in node.items():
-            if len(child) > self.burst and len(child) > 1:
-                node[word] = self._burst(child)
         return node
 
     def spill(self, keep: int) -> Iterator[tuple[list[bytes], list[int]]]:
-        """Takes out the largest subtrees below the root, each in key order, until `keep` keys are left."""
-        sizes = sorted(((_size(child), word) for word, child in self.root.items()), reverse=True)
-        for size, word in sizes:
+        """Takes out the largest subtrees below the root whole, until `keep` keys are left."""
+        for size, word in sorted(((_size(child), word) for word, child in self.root.items()), reverse=True):
             if self.size <= keep:
                 return
-            found = sorted(_items(self.root.pop(word), word))
             self.size -= size
-            yield [k for k, _ in found], [n for _, n in found]
-
-
-class Container(dict):
-    """A leaf of the trie."""
+            keys, counts = [], []
+            _gather(self.root.pop(word), word, keys, counts)
+            yield keys, counts
 
 
 def _size(node: dict) -> int:
-    return len(node) if isinstance(node, Container) else sum(map(_size, node.values()))
+    return len(node) if isinstance(node, Counter) else sum(map(_size, node.values()))
 
 
-def _items(node: dict, prefix: bytes) -> Iterator[tuple[bytes, int]]:
-    for key, value in node.items():
-        if isinstance(node, Container):
-            yield prefix + key, value
-        else:
-            yield from _items(value, prefix + key)
+def _gather(node: dict, prefix: bytes, keys: list[bytes], counts: list[int]) -> None:
+    if isinstance(node, Counter):
+        keys += [prefix + rest for rest in node]
+        counts += node.values()
+    else:
+        for word, child in node.items():
+            _gather(child, prefix + word, keys, counts)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -157,16 +148,33 @@ def _runs(ids: np.ndarray, starts: int) -> np.ndarray:
     return runs
 
 
-def _counted(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct rows in order, and how often each stands."""
+def _merged(runs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows in order, and the sums of their counts."""
     order = np.lexsort(runs.T[::-1])
-    runs = runs[order]
+    runs, counts = runs[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], (runs[1:] != runs[:-1]).any(axis=1)))) if len(runs) else np.zeros(0, np.int64)
-    return runs[first], np.diff(np.concatenate((first, [len(runs)])))
+    return runs[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers as their lowest bytes, then their next ones, and so on: what is alike stands together."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _blocks(runs: np.ndarray, counts: np.ndarray) -> Iterator[tuple[bytes, int, bytes]]:
+    """Rows of a written table from keys in order: the first key, the number of keys, the keys column by column with their counts."""
+    for at in range(0, len(runs), BLOCK):
+        some = runs[at : at + BLOCK]
+        yield some[0].astype(">u4").tobytes(), len(some), b"".join([*(_planes(some[:, j]) for j in range(MOST)), _planes(counts[at : at + BLOCK])])
+
+
+def _read_block(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    columns = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(MOST + 1, 4, n).transpose(0, 2, 1)).view("<u4").reshape(MOST + 1, n)
+    return columns[:MOST].T, columns[MOST].astype(np.int64)
 
 
 class Counting:
-    """A task's trie, fed with numbers of words; what comes out are spilled runs."""
+    """A task's trie, fed with numbers of words; what comes out are blocks of spilled runs."""
 
     def __init__(self) -> None:
         self.trie, self.ids = HatTrie(), []
@@ -175,40 +183,43 @@ class Counting:
         self.ids += numbers
         if len(self.ids) > HELD:
             tail = self.ids[1 - MOST :]
-            yield from self._insert(np.array(self.ids, np.uint32), len(self.ids) - len(tail))
+            yield from self.insert(np.array(self.ids, np.uint32), len(self.ids) - len(tail))
             self.ids = tail
 
-    def _insert(self, ids: np.ndarray, starts: int) -> Iterator[pa.RecordBatch]:
+    def insert(self, ids: np.ndarray, starts: int) -> Iterator[pa.RecordBatch]:
         """Runs that start before `starts`; the others come again."""
-        runs, counts = _counted(_runs(ids, starts))
-        lengths = (runs > 0).sum(axis=1) * 4
-        raw, counts = runs.astype(">u4").tobytes(), counts.tolist()
+        runs = _runs(ids, starts)
+        runs = runs[np.argsort(runs[:, 0].astype(np.uint64) << np.uint64(32) | runs[:, 1], kind="stable")]
+        raw, width = runs.astype(">u4").tobytes(), 4 * MOST
+        rests = [raw[i + 4 : i + width] for i in range(0, len(raw), width)]
         cuts = [*np.flatnonzero(np.diff(runs[:, 0].astype(np.int64), prepend=0)).tolist(), len(runs)]
-        width = 4 * MOST
-        rests = [raw[width * i + 4 : width * i + n] for i, n in enumerate(lengths.tolist())]
         for a, b in pairwise(cuts):
-            self.trie.add(raw[width * a : width * a + 4], rests[a:b], counts[a:b])
+            self.trie.add(raw[width * a : width * a + 4], rests[a:b])
         if self.trie.size > HELD:
             yield from self._spilled(HELD // 4)
 
     def _spilled(self, keep: int) -> Iterator[pa.RecordBatch]:
-        keys, counts = [], []
+        keys: list[bytes] = []
+        counts: list[int] = []
         for k, n in self.trie.spill(keep):
             keys += k
             counts += n
-            if len(keys) > 50_000:
+            if len(keys) > 32 * BLOCK:
                 yield _batch(keys, counts)
                 keys, counts = [], []
         if keys:
             yield _batch(keys, counts)
 
     def rest(self) -> Iterator[pa.RecordBatch]:
-        yield from self._insert(np.array(self.ids, np.uint32), len(self.ids))
+        yield from self.insert(np.array(self.ids, np.uint32), len(self.ids))
         yield from self._spilled(0)
 
 
 def _batch(keys: list[bytes], counts: list[int]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], ["key", "c"])
+    """Whole subtrees as blocks of one sorted run."""
+    runs = np.frombuffer(b"".join(keys), ">u4").astype(np.uint32).reshape(-1, MOST)
+    first, n, data = zip(*_blocks(*_merged(runs, np.array(counts, np.int64))), strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(first, pa.binary()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], ["first", "n", "data"])
 
 
 def count_by_broadcast(docs: DataFrame, numbers: dict[str, dict[bytes, int]]) -> DataFrame:
@@ -229,7 +240,7 @@ def count_by_broadcast(docs: DataFrame, numbers: dict[str, dict[bytes, int]]) ->
                 yield from counting.feed([0])
         yield from counting.rest()
 
-    return docs.mapInArrow(run, "key binary, c long")
+    return docs.mapInArrow(run, _BLOCK)
 
 
 def count_by_join(docs: DataFrame, words: DataFrame, part: int = PART) -> DataFrame:
@@ -260,66 +271,80 @@ def count_by_join(docs: DataFrame, words: DataFrame, part: int = PART) -> DataFr
         counting = Counting()
         for batch in batches:
             for ids, starts in zip(batch["ids"], batch["starts"].to_pylist(), strict=True):
-                yield from counting._insert(ids.values.to_numpy().astype(np.uint32), starts)
+                yield from counting.insert(ids.values.to_numpy().astype(np.uint32), starts)
         yield from counting.rest()
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "lang", "text")
     rows = rows.mapInArrow(split, "row long, part long, starts int, lang string, at int, word string")
     named = rows.join(words.select("lang", "word", "id"), ["lang", "word"], "left")
     one = F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce(F.col("id").cast("int"), F.lit(0)).alias("id")))), lambda x: x["id"])
-    return named.groupBy("row", "part", "starts").agg(one.alias("ids")).select("ids", "starts").mapInArrow(run, "key binary, c long")
+    return named.groupBy("row", "part", "starts").agg(one.alias("ids")).select("ids", "starts").mapInArrow(run, _BLOCK)
 
 
-def prefix_counts(runs: DataFrame, rows: int, least: int) -> DataFrame:
-    """(key, f) of every prefix of two words or more that occurs `least` times."""
+def bounds(blocks: DataFrame) -> tuple[list[bytes], int]:
+    """Keys at which prefix partitions begin, and the number of all keys.  SEEN first keys at most come to the driver."""
+    size = blocks.agg(F.count("*").alias("blocks"), F.sum("n").alias("keys")).first()
+    parts = max(blocks.sparkSession.sparkContext.defaultParallelism, pieces(size.keys or 0, RANGE))
+    seen = blocks.select("first", "n") if size.blocks <= SEEN else blocks.select("first", "n").sample(SEEN / size.blocks / 1.5, seed=1)
+    firsts = sorted((bytes(r.first), r.n) for r in seen.limit(SEEN).collect())
+    total, at, out = sum(n for _, n in firsts), 0, []
+    for key, n in firsts:
+        if at * parts >= (len(out) + 1) * total and key != (out[-1] if out else None):
+            out.append(key)
+        at += n
+    return out, size.keys or 0
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = np.zeros(MOST, np.uint32)
-        held, opened = [0] * MOST, [True] * MOST  # of each depth: count of the open prefix; whether it is the partition's first
-        keys: list[bytes] = []
-        counts: list[int] = []
 
-        def close(prefix: np.ndarray, depth: int, n: int, edge: bool) -> None:
-            if prefix[depth] and (n >= least or edge) and n:
-                keys.append(prefix[: depth + 1].astype(">u4").tobytes())
-                counts.append(n)
+def prefix_counts(blocks: DataFrame, least: int) -> DataFrame:
+    """(key, f) of every prefix of two words or more that occurs `least` times."""
+    starts, _ = bounds(blocks)
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            raw, offsets = K.utf8(batch["key"])
-            wide = np.zeros((batch.num_rows, 4 * MOST), np.uint8)
-            wide[np.arange(4 * MOST) < np.diff(offsets)[:, None]] = raw
-            ids = wide.view(">u4").astype(np.uint32)
-            n = batch["c"].to_numpy()
-            changed = np.cumsum(np.concatenate((last[None], ids))[1:] != np.concatenate((last[None], ids))[:-1], axis=1) > 0
-            for depth in range(1, MOST):
-                starts = np.flatnonzero(changed[:, depth])
-                total = np.concatenate(([0], np.cumsum(n)))
-                if not len(starts):
-                    held[depth] += int(total[-1])
+            out: list[tuple[int, bytes, int, bytes]] = []
+            for first, n, data in zip(*[batch[c].to_pylist() for c in ("first", "n", "data")], strict=True):
+                runs, counts = _read_block(n, data)
+                low, high = bisect_right(starts, first), bisect_right(starts, runs[-1].astype(">u4").tobytes())
+                if low == high:
+                    out.append((low, first, n, data))
                     continue
-                close(last, depth, held[depth] + int(total[starts[0]]), opened[depth])
-                opened[depth] = opened[depth] and not last[0]
-                sums = total[starts[1:]] - total[starts[:-1]]
-                # the first group of the partition is an edge, too, if it starts with the batch
-                edge = np.zeros(len(sums), bool)
-                if opened[depth] and len(sums):
-                    edge[0], opened[depth] = True, False
-                for i in np.flatnonzero((sums >= least) | edge):
-                    close(ids[starts[i]], depth, int(sums[i]), bool(edge[i]))
-                held[depth] = int(total[-1] - total[starts[-1]])
-            last = ids[-1]
-            if keys:
-                yield _batch(keys, counts)
-                keys, counts = [], []
+                keys = np.frombuffer(runs.astype(">u4").tobytes(), f"S{4 * MOST}")
+                at = [0, *np.searchsorted(keys, np.array(starts[low:high], keys.dtype)).tolist(), n]
+                for p, (a, b) in enumerate(pairwise(at), low):
+                    out += [(p, *row) for row in _blocks(runs[a:b], counts[a:b])]
+            columns = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["p", "first", "n", "data"])
+
+    def count(held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        read = [_read_block(n, data) for n, data in held]
+        runs, counts = _merged(np.concatenate([r for r, _ in read]), np.concatenate([c for _, c in read]))
+        new = np.ones(runs.shape, bool)
+        new[1:] = np.cumsum(runs[1:] != runs[:-1], axis=1) > 0
+        keys, sums = [], []
         for depth in range(1, MOST):
-            close(last, depth, held[depth], True)
-        yield _batch(keys, counts)
+            at = np.flatnonzero(new[:, depth])
+            total = np.add.reduceat(counts, at)
+            good = total >= least
+            good[[0, -1]] = True  # these may go on in the partitions beside
+            good &= runs[at, depth] > 0
+            keys += [k.tobytes() for k in runs[at[good], : depth + 1].astype(">u4")]
+            sums += total[good].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(sums, pa.int64())], ["key", "c"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            for p, n, data in zip(*[batch[c].to_pylist() for c in ("p", "n", "data")], strict=True):
+                if p != at and held:
+                    yield from count(held)
+                    held = []
+                at = p
+                held.append((n, data))
+        if held:
+            yield from count(held)
 
-    tasks = max(runs.sparkSession.sparkContext.defaultParallelism, pieces(rows, RANGE))
-    merged = runs.repartitionByRange(tasks, "key").sortWithinPartitions("key").mapInArrow(merge, "key binary, c long")
-    return merged.groupBy("key").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
+    dealt = blocks.mapInArrow(cut, f"p int, {_BLOCK}").select("p", "n", "data").repartition(len(starts) + 1, "p").sortWithinPartitions("p")
+    return dealt.mapInArrow(merge, "key binary, c long").groupBy("key").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
 
 
 def _words_of(column: str) -> Column:
@@ -344,7 +369,7 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, inside: int = 100,
     else:
         runs = count_by_join(docs, words)
     runs = stash(runs)
-    grams = stash(prefix_counts(runs, runs.count(), least))
+    grams = stash(prefix_counts(runs, least))
     forget(runs)
     names = words.select(F.unhex(F.lpad(F.hex("id"), 8, "0")).alias("key"), "lang", "word", "f", "n")
     both = grams.unionByName(names.select("key", "f"))

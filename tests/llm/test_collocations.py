@@ -4,7 +4,6 @@ import random
 import re
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 
 from stratalake.llm import collocations
@@ -52,6 +51,10 @@ def corpus():
 def test_phrases_against_counting(spark, monkeypatch, joined, spread):
     rows = corpus()
     monkeypatch.setattr(collocations, "RANGE", spread)
+    if joined:  # many small prefix partitions
+        bounds = collocations.bounds
+        monkeypatch.setattr(collocations, "bounds", lambda blocks: bounds(blocks) if len(bounds(blocks)[0]) > 30 else pytest.fail("few partitions"))
+        monkeypatch.setattr(collocations, "BLOCK", 16)
     docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
     if joined:
         monkeypatch.setattr(collocations, "PART", 50)
@@ -69,37 +72,44 @@ def test_query_columns_and_empty_table(spark):
 
 
 def test_trie_bursts_and_spills_whole_subtrees():
-    rnd, trie, want, spilled = random.Random(2), collocations.HatTrie(width=1, burst=5), Counter(), Counter()
-    for _ in range(3000):
+    rnd, trie, want, spilled = random.Random(2), collocations.HatTrie(words=4, width=1, burst=5), Counter(), Counter()
+
+    def take(keep):
+        before, runs = trie.size, list(trie.spill(keep))
+        assert trie.size <= keep and before - trie.size == sum(len(k) for k, _ in runs)
+        for keys, counts in runs:
+            assert len(set(keys)) == len(keys) and len({k[:1] for k in keys}) == 1
+            for k, n in zip(keys, counts, strict=True):
+                spilled[k] += n
+
+    for i in range(3000):
         first = bytes([rnd.randint(1, 6)])
-        rests = [bytes(rnd.randint(1, 4) for _ in range(rnd.randint(0, 4))) for _ in range(3)]
-        trie.add(first, rests, [1, 2, 3])
-        want.update({})
-        for r, n in zip(rests, (1, 2, 3), strict=True):
-            want[first + r] += n
+        rests = sorted(bytes(rnd.randint(0, 6) for _ in range(3)) for _ in range(3))
+        trie.add(first, rests)
+        want.update(first + r for r in rests)
+        if i == 200:
+            assert any(not isinstance(c, Counter) for c in trie.root.values())
         if trie.size > 900:
-            before, runs = trie.size, list(trie.spill(300))
-            assert trie.size <= 300 and before - trie.size == sum(len(k) for k, _ in runs)
-            for keys, counts in runs:
-                assert keys == sorted(keys) and len({k[:1] for k in keys}) == 1
-                for k, n in zip(keys, counts, strict=True):
-                    spilled[k] += n
-    assert any(isinstance(c, dict) and not isinstance(c, collocations.Container) for c in trie.root.values())
-    for keys, counts in trie.spill(0):
-        for k, n in zip(keys, counts, strict=True):
-            spilled[k] += n
+            take(300)
+    take(0)
     assert trie.size == 0 and spilled == want
 
 
 def test_runs_go_on_over_feeds(monkeypatch):
     monkeypatch.setattr(collocations, "HELD", 50)
+    monkeypatch.setattr(collocations, "BLOCK", 3)
     rnd = random.Random(8)
     ids = [rnd.choice([0, 1, 2, 3, 300, 70_000]) for _ in range(1000)]
     counting, got = collocations.Counting(), Counter()
-    batches = [b for i in range(0, 1000, 7) for b in counting.feed(ids[i : i + 7])] + list(counting.rest())
-    for b in batches:
-        for k, n in zip(b["key"].to_pylist(), b["c"].to_pylist(), strict=True):
-            got[tuple(np.frombuffer(k, ">u4").tolist())] += n
+    for batch in [b for i in range(0, 1000, 7) for b in counting.feed(ids[i : i + 7])] + list(counting.rest()):
+        last = b""
+        for first, n, data in zip(*[batch[c].to_pylist() for c in ("first", "n", "data")], strict=True):
+            runs, counts = collocations._read_block(n, data)
+            keys = [r.astype(">u4").tobytes() for r in runs]
+            assert n <= 3 and first == keys[0] and [last, *keys] == sorted({last, *keys})
+            last = keys[-1]
+            for k, c in zip(runs.tolist(), counts.tolist(), strict=True):
+                got[tuple(x for x in k if x)] += c
     want = Counter()
     for i in range(1000):
         run = tuple(ids[i : i + 5])
