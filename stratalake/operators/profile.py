@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions import fixed
-from .quantiles import exact_quantiles
+from .quantiles import exact_quantiles, quantiles_and
 
 
 @dataclass(frozen=True)
@@ -98,19 +98,19 @@ def _each(df: DataFrame, names: list[str], values) -> DataFrame:
 def describe_numeric(df: DataFrame, names: list[str], places: int = 4, accuracy: int | None = None) -> DataFrame:
     """count, mean, median, stddev, min, max, q1, q3, sum, range; exact quantiles unless an accuracy is given."""
 
-    at_ = (0.25, 0.5, 0.75)
-    exact = exact_quantiles(df, {n: C.finite(q(n)) for n in names}, at_) if accuracy is None else None
-
-    def values(c: Column, name: str) -> list[Column]:
-        v = C.finite(c)
-        r = lambda x, name: F.round(F.coalesce(x, F.lit(0.0)), places).alias(name)
-        at = [F.lit(x).cast("double") for x in exact[name]] if exact else F.percentile_approx(v, list(at_), accuracy)
-        return [
-            F.count(v).alias("count"), r(F.avg(v), "mean"), r(at[1], "median"), r(F.stddev_samp(v), "stddev"), r(F.min(v), "min"), r(F.max(v), "max"),
-            r(at[0], "q1"), r(at[2], "q3"), r(F.sum(v.cast("decimal(28,6)")).cast("double"), "sum"), r(F.max(v) - F.min(v), "range"),
-        ]
-
-    return _each(df, names, values)
+    v = {n: C.finite(q(n)) for n in names}
+    stats = [F.struct(F.lit(n).alias("column"), F.count(c).alias("count"), F.avg(c).alias("mean"), F.stddev_samp(c).alias("stddev"), F.min(c).alias("min"), F.max(c).alias("max"), F.sum(c.cast("decimal(28,6)")).cast("double").alias("sum")).alias(f"d{i}") for i, (n, c) in enumerate(v.items())]
+    if not names:
+        raise ValueError("no columns to describe")
+    if accuracy is None:
+        at, row = quantiles_and(df, v, (0.25, 0.5, 0.75), stats)
+    else:
+        row = df.agg(*stats, *[F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy).alias(f"p{i}") for i, c in enumerate(v.values())]).first()
+        at = {n: row[f"p{i}"] or [None] * 3 for i, n in enumerate(v)}
+    kind = "column string, count long, mean double, stddev double, min double, max double, sum double, q1 double, median double, q3 double"
+    told = df.sparkSession.createDataFrame([(*row[f"d{i}"], *at[n]) for i, n in enumerate(names)], kind)
+    r = lambda x: F.round(F.coalesce(x, F.lit(0.0)), places)
+    return told.select("column", "count", *[r(F.col(c)).alias(c) for c in ("mean", "median", "stddev", "min", "max", "q1", "q3", "sum")], r(F.col("max") - F.col("min")).alias("range"))
 
 
 def describe_dates(df: DataFrame, names: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ import random
 import statistics
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -174,3 +175,16 @@ def test_streams(spark, tmp_path):
     run = increments.each_batch(stream, lambda b: b.agg(F.sum("v").alias("v")), each).option("checkpointLocation", f"{each}-c").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert [r["v"] for r in spark.read.parquet(each).collect()] == [15.5]
+
+
+def test_quantiles_narrow_until_a_task_can_sort(spark):
+    """Brackets of at most eight values are sorted: every rank needs rounds, over heavy ties as over distinct values."""
+    rnd = random.Random(6)
+    columns = {"ties": [float(rnd.choice([1, 1, 1, 2])) for _ in range(4000)], "skewed": [math.exp(rnd.gauss(0, 5)) for _ in range(4000)], "mixed": [rnd.choice([0.0, -0.0, rnd.random(), 5.0]) for _ in range(4000)]}
+    df = spark.createDataFrame(list(zip(*columns.values(), strict=True)), "ties double, skewed double, mixed double").repartition(3)
+    at = (0.0, 0.25, 0.5, 0.77, 1.0)
+    got = exact_quantiles(df, {n: F.col(n) for n in columns}, at, sorted_=8, accuracy=64)
+    for name, values in columns.items():
+        assert got[name] == [pytest.approx(float(np.quantile(values, p)), abs=1e-12) for p in at], name
+    two = spark.createDataFrame([(1.0,)] * 50 + [(2.0,)] * 50, "v double")
+    assert exact_quantiles(two, {"v": F.col("v")}, (0.5,), sorted_=1) == {"v": [1.5]}
