@@ -32,11 +32,11 @@ from pyspark.sql import functions as F
 from .common import dense_ids, forget, pieces, stash
 
 MOST, LEAST, TOP = 5, 100, 2000
-BURST, HELD = 4096, 500_000
+BURST, HELD = 4096, 250_000
 MOST_WORDS, MOST_BYTES = 1 << 20, 32 << 20
 PART = 1 << 15
 #: Keys of a written block, and about those of a prefix partition; blocks whose first keys give the bounds of partitions.
-BLOCK, RANGE, SEEN = 8192, 1_000_000, 100_000
+BLOCK, RANGE, SEEN = 8192, 500_000, 100_000
 _BLOCK = "first binary, n long, data binary"
 _ENDS = bytes.maketrans(b".,;:!?\v\f\r", b"\n" * 9)
 _GAP = re.compile(rb"[ \t.,;:!?\n-\r]")
@@ -204,7 +204,7 @@ class Counting:
         for k, n in self.trie.spill(keep):
             keys += k
             counts += n
-            if len(keys) > 32 * BLOCK:
+            if len(keys) > 8 * BLOCK:
                 yield _batch(keys, counts)
                 keys, counts = [], []
         if keys:
@@ -301,19 +301,20 @@ def prefix_counts(blocks: DataFrame, least: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[int, bytes, int, bytes]] = []
-            for first, n, data in zip(*[batch[c].to_pylist() for c in ("first", "n", "data")], strict=True):
-                runs, counts = _read_block(n, data)
-                low, high = bisect_right(starts, first), bisect_right(starts, runs[-1].astype(">u4").tobytes())
-                if low == high:
-                    out.append((low, first, n, data))
-                    continue
-                keys = np.frombuffer(runs.astype(">u4").tobytes(), f"S{4 * MOST}")
-                at = [0, *np.searchsorted(keys, np.array(starts[low:high], keys.dtype)).tolist(), n]
-                for p, (a, b) in enumerate(pairwise(at), low):
-                    out += [(p, *row) for row in _blocks(runs[a:b], counts[a:b])]
-            columns = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["p", "first", "n", "data"])
+            for i in range(0, batch.num_rows, 32):
+                out: list[tuple[int, bytes, int, bytes]] = []
+                for first, n, data in zip(*[batch.slice(i, 32)[c].to_pylist() for c in ("first", "n", "data")], strict=True):
+                    runs, counts = _read_block(n, data)
+                    low, high = bisect_right(starts, first), bisect_right(starts, runs[-1].astype(">u4").tobytes())
+                    if low == high:
+                        out.append((low, first, n, data))
+                        continue
+                    keys = np.frombuffer(runs.astype(">u4").tobytes(), f"S{4 * MOST}")
+                    at = [0, *np.searchsorted(keys, np.array(starts[low:high], keys.dtype)).tolist(), n]
+                    for p, (a, b) in enumerate(pairwise(at), low):
+                        out += [(p, *row) for row in _blocks(runs[a:b], counts[a:b])]
+                columns = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["p", "first", "n", "data"])
 
     def count(held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         read = [_read_block(n, data) for n, data in held]
@@ -334,12 +335,12 @@ def prefix_counts(blocks: DataFrame, least: int) -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
-            for p, n, data in zip(*[batch[c].to_pylist() for c in ("p", "n", "data")], strict=True):
+            for p, n, data in zip(batch["p"].to_pylist(), batch["n"].to_pylist(), batch["data"], strict=True):
                 if p != at and held:
                     yield from count(held)
                     held = []
                 at = p
-                held.append((n, data))
+                held.append((n, data.as_py()))
         if held:
             yield from count(held)
 
