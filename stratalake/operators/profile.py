@@ -11,8 +11,12 @@ from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions import fixed
+from . import gram
 from .quantiles import exact_quantiles, quantiles_and
 
+#: Columns whose pairs are so few that one aggregation takes them all.
+FEW = 12
+
 
 @dataclass(frozen=True)
 class ColumnType:
@@ -143,8 +147,13 @@ def is_blank(c: Column) -> Column:
 
 
 def correlations(df: DataFrame, names: list[str], places: int = 3) -> DataFrame:
-    """a, b and r for each ordered pair of columns; rows complete in the pair count; 0 for a constant or short column."""
+    """a, b and r for each ordered pair of columns; rows complete in the pair count; 0 for a constant or short column.
+
+    Up to FEW columns are one aggregation of all pairs; more go by blocked matrix products, with equal results.
+    """
     v = {n: C.finite(q(n)) for n in names}
+    if len(names) > FEW:
+        return gram.correlations(df, v, places)
     aggs = []
     for i, a in enumerate(names):
         for b in names[i + 1 :]:
