@@ -134,6 +134,9 @@ def search(df: DataFrame, needle: str) -> DataFrame:
 
 
 def page(df: DataFrame, order: list[str], number: int, size: int = 50) -> DataFrame:
-    """Page `number` from 0; a number beyond the last page gives the last one."""
+    """Page `number` from 0; a number beyond the last page gives the last one.
+
+    For page after page of one table, `ordered.stored(df, order)` sorts once and its `page` reads a partition or two.
+    """
     last = max(0, -(-df.count() // size) - 1)
     return df.orderBy(*order).offset(min(max(number, 0), last) * size).limit(size)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import fixed
+from .ordered import stored
 from .profile import ColumnType, q
 
 EXACT = "decimal(28,6)"
@@ -60,8 +61,10 @@ def share_of_total(df: DataFrame, measure: str, dimension: str, top: int = 50) -
     return aggregate_by(df, measure, dimension, "sum", top).select("value", "sum", "share")
 
 
-def pareto(df: DataFrame, measure: str, dimension: str, top: int = 1000) -> DataFrame:
-    """value, sum, rank, cumulative and cumulative_share over the `top` groups (a report's size) by sum."""
+def pareto(df: DataFrame, measure: str, dimension: str, top: int | None = 1000) -> DataFrame:
+    """value, sum, rank, cumulative and cumulative_share over the `top` groups (a report's size) by sum; over all with None."""
+    if top is None:
+        return _whole_pareto(grouped(df, measure, dimension).select("value", "sum"))
     best = grouped(df, measure, dimension).select("value", "sum").orderBy(F.desc("sum"), "value").limit(top)
     by = Window.orderBy(F.desc("sum"), "value").rowsBetween(Window.unboundedPreceding, 0)
     money = F.col("sum").cast(EXACT)
@@ -70,6 +73,14 @@ def pareto(df: DataFrame, measure: str, dimension: str, top: int = 1000) -> Data
     return best.select("value", "sum", F.row_number().over(Window.orderBy(F.desc("sum"), "value")).alias("rank"), running.alias("cumulative"), C.share_of(running, whole).alias("cumulative_share"))
 
 
+def _whole_pareto(groups: DataFrame) -> DataFrame:
+    """The same from prefix sums: no task holds more than a range of the groups."""
+    held = stored(groups, [F.desc("sum"), "value"])
+    whole = held.table.agg(F.sum(F.col("sum").cast(EXACT)).cast("double")).first()[0]
+    ranks = held.running({"cumulative": F.col("sum").cast(EXACT), "rank": F.lit(1).cast("long")})
+    return ranks.select("value", "sum", "rank", F.col("cumulative").cast("double").alias("cumulative"), C.share_of(F.col("cumulative").cast("double"), F.lit(whole)).alias("cumulative_share"))
+
+
 def pareto_summary(curve: DataFrame, threshold: float = 80) -> DataFrame:
     """One row: contributors, those within the threshold (the crossing one not counted), those to cross it, share there, concentration."""
     inside = F.count(F.when(F.col("cumulative_share") <= threshold, 1))

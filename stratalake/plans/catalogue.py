@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import fixed
 from ..functions import text as X
-from ..operators import charts, clean, compare, documents, olap, profile, retrieval
+from ..operators import charts, clean, compare, documents, olap, ordered, profile, retrieval
 from ..sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -126,6 +126,16 @@ p AS (SELECT value, sum, row_number() OVER (ORDER BY sum DESC, value) AS rank,
 c AS (SELECT value, sum, rank, cumulative, round(cumulative / total * 100, 2) AS cumulative_share FROM p)"""
 query("pareto", f"{_PARETO} SELECT * FROM c", "lineitem")(lambda df: olap.pareto(df, "l_extendedprice", "l_suppkey"))
 
+query(
+    "pareto_whole",
+    f"{_PARETO.replace('LIMIT 1000', '').replace('l_suppkey', 'l_orderkey')} SELECT * FROM c",
+    "lineitem",
+)(lambda df: olap.pareto(df, "l_extendedprice", "l_orderkey", top=None))
+query("stored_page", "SELECT * FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 50 OFFSET 350", "orders")(lambda df: ordered.stored(df, [F.desc("o_totalprice"), "o_orderkey"]).page(7))
+query("ranks_whole", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders", "orders")(
+    lambda df: ordered.stored(df.select("o_orderkey", "o_totalprice"), [F.desc("o_totalprice"), "o_orderkey"]).ranked().select("o_orderkey", "rank")
+)
+
 
 @query(
     "pareto_summary",
@@ -203,6 +213,17 @@ def _corr_sql(tab: str, names: list[str]) -> str:
 
 
 query("correlation_matrix", _corr_sql("lineitem", _NUMBERS), "lineitem")(lambda df: profile.correlations(df, _NUMBERS))
+_SHAPES = {"": "{c}", "_squared": "{c} * {c}", "_root": "sqrt({c})", "_log": "ln(1 + {c})", "_by_line": "{c} / l_linenumber", "_some": "CASE WHEN l_orderkey % 7 <> 3 THEN {c} END"}
+_WIDE = {f"{c}{n}": e.format(c=c) for c in _NUMBERS for n, e in _SHAPES.items()}
+_WIDE_TABLE = f"SELECT {', '.join(f'{e} AS {n}' for n, e in _WIDE.items())} FROM lineitem"
+_WIDE_PAIRS = [(a, b) for a in _WIDE for b in _WIDE if a < b]
+query(
+    "correlation_wide",
+    f"""WITH t AS ({_WIDE_TABLE}), p AS (SELECT {', '.join(f"corr({a}, {b}) AS p{i}" for i, (a, b) in enumerate(_WIDE_PAIRS))} FROM t),
+    u AS (SELECT unnest([{', '.join(f"'{a}'" for a, _ in _WIDE_PAIRS)}]) AS a, unnest([{', '.join(f"'{b}'" for _, b in _WIDE_PAIRS)}]) AS b, unnest([{', '.join(f'p{i}' for i in range(len(_WIDE_PAIRS)))}]) AS r FROM p)
+    SELECT a, b, round(r, 3) + 0.0 AS r FROM u""",
+    "lineitem",
+)(lambda df: profile.correlations(df.selectExpr(*[f"{e} AS {n}" for n, e in _WIDE.items()]), list(_WIDE)).where("a < b"))
 query(
     "strong_pairs",
     f"SELECT a, b, r, CASE WHEN abs(r) >= 0.7 THEN 'strong' ELSE 'moderate' END AS strength FROM ({_corr_sql('lineitem', _NUMBERS)}) WHERE a < b AND abs(r) >= 0.4 ORDER BY abs(r) DESC, a, b LIMIT 8",

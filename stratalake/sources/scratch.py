@@ -21,11 +21,11 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def written(df: DataFrame) -> DataFrame:
-    """`df` as a table that was written and is read back; it is deleted when the driver ends."""
+def written(df: DataFrame, by: str | None = None) -> DataFrame:
+    """`df` as a table that was written (a folder for each value of `by`) and is read back; it is deleted when the driver ends."""
     spark = df.sparkSession
     path = f"{folder(spark)}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     _tables.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 

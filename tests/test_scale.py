@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalake.functions import columns as C
-from stratalake.operators import gram, profile
+from stratalake.operators import gram, olap, ordered, profile
 
 
 def test_wide_correlations_equal_numpy_and_the_small_form(spark, monkeypatch):
@@ -32,3 +32,29 @@ def test_wide_correlations_equal_numpy_and_the_small_form(spark, monkeypatch):
     assert {(r.a, r.b): r.r for r in profile.correlations(df, few).collect()} == {(r.a, r.b): r.r for r in gram.correlations(df, {n: C.finite(F.col(n)) for n in few}).collect()}
     empty = df.limit(0)
     assert {r.r for r in profile.correlations(empty, names[:20]).where("a <> b").collect()} <= {0.0}
+
+
+def test_stored_order(spark):
+    rnd = random.Random(2)
+    rows = [(rnd.choice([None, *range(40)]), i, None if i % 9 == 0 else rnd.randint(-5, 50)) for i in range(1000)]
+    held = ordered.stored(spark.createDataFrame(rows, "k int, i int, v int").repartition(5), [F.desc("k"), "i"], parts=7)
+    want = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    assert held.rows == 1000 and len(held.ends) > 3
+    assert [tuple(r)[:3] for r in held.page(7, 30).collect()] == want[210:240]
+    assert [tuple(r) for r in held.page(99, 300).collect()] == want[900:] and [tuple(r) for r in held.page(-1, 4).collect()] == want[:4]
+    assert {r.i: r["rank"] for r in held.ranked().collect()} == {r[1]: n for n, r in enumerate(want, 1)}
+    total, sums = 0, {}
+    for r in want:
+        total += r[2] or 0
+        sums[r[1]] = total
+    assert {r.i: r.s for r in held.running({"s": F.col("v")}).collect()} == sums
+    none = ordered.stored(spark.createDataFrame([], "k int, i int"), ["k"])
+    assert none.page(3).count() == none.ranked().count() == none.rows == 0
+    read = held.page(7, 30)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in read and len(held.table.where(F.col("_part") == held.ends[0][0]).inputFiles()) <= len(held.table.inputFiles())
+
+
+def test_pareto_over_all_groups(spark):
+    df = spark.createDataFrame([(f"g{i % 300}", float(i % 17)) for i in range(3000)], "d string, m double")
+    whole, cut = (sorted(map(tuple, olap.pareto(df, "m", "d", top=t).collect())) for t in (None, 1000))
+    assert len(whole) == 300 and whole == [tuple(float(v) if isinstance(v, float) else v for v in r) for r in cut]
