@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import fixed
 from ..functions import text as X
+from ..sources.scratch import written
 
 BUCKETS, WORD_DIMENSIONS = 512, 4096
 
@@ -106,6 +107,27 @@ def ask(chunks: DataFrame, question: str, k: int = 6) -> dict:
     }
 
 
+#: Bytes of all queries' vectors up to which every task gets them; rows and queries of a cell meet in a join beyond.
+MOST_QUERIES = 32 << 20
+
+
+def vectors_of(column: pa.Array) -> np.ndarray:
+    """A column of lists as rows of a matrix: shorter lists are filled with 0, a null list is NaN, a null number is 0."""
+    column = column.cast(pa.list_(pa.float64()))
+    sizes = np.diff(column.offsets.to_numpy())
+    flat = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False)) if column.flatten().null_count else column.flatten().to_numpy()
+    if not column.null_count and len(sizes) and (sizes == sizes[0]).all():
+        return flat.reshape(len(sizes), sizes[0])
+    out, at = np.zeros((len(column), int(sizes.max(initial=0)))), 0
+    for i, there in enumerate(column.is_valid().to_pylist()):
+        if there:
+            out[i, : sizes[i]] = flat[at : at + sizes[i]]
+            at += sizes[i]
+        else:
+            out[i] = np.nan
+    return out
+
+
 def _packs(df: DataFrame, key: str, vector: str, rows: int, ids: str, data: str) -> DataFrame:
     """Blocks of `rows` rows: their keys and their vectors as one matrix of doubles (a null vector is NaN)."""
     kind = df.schema[key].dataType.simpleString()
@@ -114,18 +136,29 @@ def _packs(df: DataFrame, key: str, vector: str, rows: int, ids: str, data: str)
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                lists = part.column(1).to_pylist()
-                m = np.zeros((len(lists), max([len(x) for x in lists if x is not None], default=0)))
-                for i, x in enumerate(lists):
-                    if x is None:
-                        m[i] = np.nan
-                    else:
-                        m[i, : len(x)] = [0.0 if v is None else v for v in x]
-                yield pa.RecordBatch.from_pydict({ids: [part.column(0).to_pylist()], data: [m.tobytes()]}, pa.schema([(ids, pa.list_(part.column(0).type)), (data, pa.binary())]))
+                yield pa.RecordBatch.from_pydict({ids: [part.column(0).to_pylist()], data: [vectors_of(part.column(1)).tobytes()]}, pa.schema([(ids, pa.list_(part.column(0).type)), (data, pa.binary())]))
 
     return df.select(F.col(key), F.col(vector)).mapInArrow(pack, f"{ids} array<{kind}>, {data} binary")
 
 
+def _cells(packs: DataFrame, queries: DataFrame, most: int) -> DataFrame:
+    """Every block of rows beside every block of queries.
+
+    Queries below `most` bytes (counted on the written table) go to all tasks.  More are dealt, with the rows, over a grid
+    whose cells have one part of either side: each side is copied along the other's parts only.
+    """
+    size = queries.agg(F.coalesce(F.sum(F.octet_length("qdata")), F.lit(0)), F.count("*")).first()
+    if size[0] <= most:
+        return packs.withColumn("_c", F.lit(0)).join(F.broadcast(queries.withColumn("_c", F.lit(0))), "_c").drop("_c")
+    across = -(-size[0] // most)
+    down = max(1, int(packs.sparkSession.conf.get("spark.sql.shuffle.partitions")) // across)
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    rows = packs.withColumn("_x", part("ids", down)).withColumn("_y", every(across))
+    asked = queries.withColumn("_y", part("qids", across)).withColumn("_x", every(down))
+    return rows.join(asked, ["_x", "_y"]).drop("_x", "_y")
+
+
 def _matrix(data: bytes, rows: int, width: int) -> np.ndarray:
     m = np.frombuffer(data).reshape(rows, -1)
     return np.pad(m, ((0, 0), (0, width - m.shape[1])))
@@ -139,16 +172,16 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.n
     return np.take_along_axis(scores, top, 1), np.take_along_axis(ids, top, 1)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", rows: int = 256) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id", vector: str = "embedding", rows: int = 256, most: int = MOST_QUERIES) -> DataFrame:
     """query_id, key and score: for each query row the k rows with the greatest cosine (ties: by key).
 
-    Keys are not null, and those of queries are distinct.  Blocks of rows meet the broadcast blocks of queries, and a
-    partition passes on only the k best of its rows for each query.  The cosine with a null or zero vector is null and
-    comes last.
+    Keys are not null, and those of queries are distinct.  Blocks of rows meet blocks of queries (`_cells`), and a task
+    passes on only the k best of its rows for each query, of which again each task keeps k before they are dealt by query.
+    The cosine with a null or zero vector is null and comes last.
     """
     kind = vectors.schema[key].dataType.simpleString()
     asked = queries.schema[key].dataType.simpleString()
-    q = _packs(queries.select(key, vector).coalesce(1), key, vector, rows, "qids", "qdata")
+    q = written(_packs(queries.select(key, vector), key, vector, rows, "qids", "qdata"))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple, tuple[np.ndarray, np.ndarray]] = {}
@@ -172,7 +205,6 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_
             each = [pa.array(np.repeat(np.array(qids), scores.shape[1]), types[0]), pa.array(names.ravel(), types[1]), pa.array(scores.ravel(), from_pandas=True)]
             yield pa.RecordBatch.from_arrays(each, names=["query_id", key, "score"])
 
-    pairs = _packs(vectors, key, vector, rows, "ids", "data").crossJoin(F.broadcast(q))
-    found = pairs.mapInArrow(search, f"query_id {asked}, `{key}` {kind}, score double")
+    found = _cells(_packs(vectors, key, vector, rows, "ids", "data"), q, most).mapInArrow(search, f"query_id {asked}, `{key}` {kind}, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), key)
     return found.withColumn("__r", F.row_number().over(best)).where(F.col("__r") <= k).select("query_id", key, F.round("score", 6).alias("score"))

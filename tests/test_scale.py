@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalake.functions import columns as C
-from stratalake.operators import gram, olap, ordered, profile
+from stratalake.operators import gram, neighbours, olap, ordered, profile, retrieval
 
 
 def test_wide_correlations_equal_numpy_and_the_small_form(spark, monkeypatch):
@@ -58,3 +58,28 @@ def test_pareto_over_all_groups(spark):
     df = spark.createDataFrame([(f"g{i % 300}", float(i % 17)) for i in range(3000)], "d string, m double")
     whole, cut = (sorted(map(tuple, olap.pareto(df, "m", "d", top=t).collect())) for t in (None, 1000))
     assert len(whole) == 300 and whole == [tuple(float(v) if isinstance(v, float) else v for v in r) for r in cut]
+
+
+def test_many_queries_over_a_grid(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(v) for v in rng.normal(size=5)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    a, b = (sorted(map(tuple, retrieval.nearest(df, df, k=3, rows=16, most=m).collect())) for m in (1 << 20, 1000))
+    assert a == b and len(a) == 450
+
+
+def test_inverted_file_finds_most_neighbours(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 16))
+    x = np.concatenate([c + 0.3 * rng.normal(size=(90, 16)) for c in centres] + [rng.normal(size=(200, 16)), np.tile(centres[0], (300, 1))])
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(5000, None), (5001, [0.0] * 16)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(5)
+    asked = df.where("vec_id % 10 = 0 and vec_id < 1200")
+    index = neighbours.build(df, cells=32)
+    assert index.probes < 16 and index.table.count() == len(x)
+    exact = retrieval.nearest(df, asked, k=5)
+    got = neighbours.recall_of(index.search(asked), exact).first()
+    assert got.queries == 120 and got.recall >= 0.9
+    whole = index.search(asked, probes=32)
+    assert neighbours.recall_of(whole, exact).first().recall == 1.0 and whole.count() == 600
+    assert neighbours.build(df.limit(0)).search(asked).count() == 0
