@@ -156,21 +156,29 @@ def _merged(runs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return runs[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Whole numbers as their lowest bytes, then their next ones, and so on: what is alike stands together."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
 def _blocks(runs: np.ndarray, counts: np.ndarray) -> Iterator[tuple[bytes, int, bytes]]:
-    """Rows of a written table from keys in order: the first key, the number of keys, the keys column by column with their counts."""
+    """Rows of a written table from keys in order: the first key, the number of keys, the keys column by column with their counts.
+
+    The first word is told by its step from the row before, the second too while the first stays; of all numbers the lowest
+    bytes come first, then the next ones, so that what is alike stands together and packs well.
+    """
     for at in range(0, len(runs), BLOCK):
-        some = runs[at : at + BLOCK]
-        yield some[0].astype(">u4").tobytes(), len(some), b"".join([*(_planes(some[:, j]) for j in range(MOST)), _planes(counts[at : at + BLOCK])])
+        some = runs[at : at + BLOCK].astype(np.int64)
+        columns = [*some.T, counts[at : at + BLOCK]]
+        step = np.diff(some[:, 0], prepend=0)
+        columns[0], columns[1] = step, np.where(step == 0, np.diff(some[:, 1], prepend=0), some[:, 1])
+        planes = np.stack(columns).astype("<u4").view(np.uint8).reshape(MOST + 1, -1, 4).transpose(0, 2, 1)
+        yield runs[at].astype(">u4").tobytes(), len(some), pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def _read_block(n: int, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    columns = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(MOST + 1, 4, n).transpose(0, 2, 1)).view("<u4").reshape(MOST + 1, n)
-    return columns[:MOST].T, columns[MOST].astype(np.int64)
+    planes = np.frombuffer(pa.decompress(data, 4 * n * (MOST + 1), "zstd", asbytes=True), np.uint8).reshape(MOST + 1, 4, n)
+    columns = np.ascontiguousarray(planes.transpose(0, 2, 1)).view("<u4").reshape(MOST + 1, n)
+    step, second = columns[0], np.cumsum(columns[1], dtype=np.int64)
+    starts = np.flatnonzero(np.concatenate(([True], step[1:] != 0)))
+    second -= np.repeat(second[starts] - columns[1][starts], np.diff(np.concatenate((starts, [n]))))
+    runs = np.stack([np.cumsum(step, dtype=np.int64), second, *columns[2:MOST]], axis=1).astype(np.uint32)
+    return runs, columns[MOST].astype(np.int64)
 
 
 class Counting:
@@ -344,7 +352,7 @@ def prefix_counts(blocks: DataFrame, least: int) -> DataFrame:
         if held:
             yield from count(held)
 
-    dealt = blocks.mapInArrow(cut, f"p int, {_BLOCK}").select("p", "n", "data").repartition(len(starts) + 1, "p").sortWithinPartitions("p")
+    dealt = blocks.mapInArrow(cut, f"p int, {_BLOCK}").select("p", "n", "data").repartitionById(len(starts) + 1, F.col("p"))
     return dealt.mapInArrow(merge, "key binary, c long").groupBy("key").agg(F.sum("c").alias("f")).where(F.col("f") >= least)
 
 
@@ -360,7 +368,9 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP, inside: int = 100,
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     counted = stash(count_words(docs).where((F.col("f") >= least) | F.col("word").isNull()))
     totals = counted.where("word is null").select("lang", F.col("f").alias("n"))
-    words = stash(dense_ids(counted.where("word is not null"), "id").join(totals, "lang").select("lang", "word", "f", "n", (F.col("id") + 1).alias("id")))
+    # frequent words have small numbers, which pack well
+    frequent = counted.where("word is not null").repartitionByRange(F.desc("f"), "lang", "word").sortWithinPartitions(F.desc("f"), "lang", "word")
+    words = stash(dense_ids(frequent, "id").join(totals, "lang").select("lang", "word", "f", "n", (F.col("id") + 1).alias("id")))
     size = words.agg(F.count("*").alias("n"), F.sum(F.octet_length("word")).alias("bytes")).first()
     if size.n <= most_words and (size.bytes or 0) <= most_bytes:
         numbers: dict[str, dict[bytes, int]] = defaultdict(dict)
