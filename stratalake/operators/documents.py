@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import HashingTF, Normalizer
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import columns as C
 from ..functions import fixed
 from ..functions import text as X
+from .ordered import PART, stored
+from .retrieval import vectors_of
 
 
 def overview(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
@@ -55,14 +60,81 @@ def entity_counts(docs: DataFrame, doc: str = "doc_id", text: str = "text", kind
     return docs.select(doc, F.explode(F.array(*found)).alias("k")).select(doc, "k.kind", "k.x.n", "k.x.samples").where("n > 0")
 
 
-def topics(units: DataFrame, k: int = 4, seed: int = 7, dimensions: int = 64, rounds: int = 12) -> DataFrame:
-    """The units with `cluster`: spherical k-means over hashed words; fewer than eight units have none."""
-    vectors = HashingTF(inputCol="__tokens", outputCol="__tf", numFeatures=dimensions).transform(units.withColumn("__tokens", X.tokens(F.col("text"))).where(F.size("__tokens") > 0))
-    vectors = Normalizer(inputCol="__tf", outputCol="__v").transform(vectors)
-    if vectors.limit(8).count() < 8:
+def word_bucket(word: Column, dimensions: int = 64) -> Column:
+    """One of up to 256 numbers for a word, by the first two digits of its digest."""
+    digit = lambda i: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(word), i, 1)) - 1
+    return (16 * digit(1) + digit(2)) % dimensions
+
+
+def hashed_words(units: DataFrame, dimensions: int = 64) -> DataFrame:
+    """The units that have words, with `__v`: counts of their hashed words as a vector of length 1."""
+    counted = units.withColumn("__v", F.transform(X.tokens(F.col("text")), lambda w: word_bucket(w, dimensions)))
+    names = units.columns
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch["__v"]
+            n, sizes = batch.num_rows, np.diff(found.offsets.to_numpy())
+            at = np.repeat(np.arange(n), sizes) * dimensions + found.flatten().to_numpy()
+            x = np.bincount(at, minlength=n * dimensions).reshape(n, dimensions).astype(np.float64)
+            x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dimensions, pa.int32()), pa.array(x.ravel()))
+            out = pa.RecordBatch.from_arrays([*[batch[c] for c in names], lists], [*names, "__v"])
+            yield out.filter(pa.array(sizes > 0))
+
+    return counted.mapInArrow(vectors, T.StructType([*units.schema.fields, T.StructField("__v", T.ArrayType(T.DoubleType()))]))
+
+
+def _assign(centroids: np.ndarray):
+    """The step of a task: `cluster` of each row, the most similar centroid (to nine places; ties: the first)."""
+
+    def best(v: pa.Array) -> np.ndarray:
+        return np.round(vectors_of(v) @ centroids.T, 9).argmax(1)
+
+    return best
+
+
+def spherical_kmeans(vectors: DataFrame, starts: np.ndarray, rounds: int, seed: int) -> np.ndarray:
+    """Unit centroids after up to `rounds` Lloyd steps over `__v`; a centroid that no row is near to becomes a seeded unit vector."""
+    c, (k, width) = np.round(starts, 9), starts.shape
+    for r in range(rounds):
+        best = _assign(c)
+
+        def step(batches: Iterator[pa.RecordBatch], best=best) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((k, width))
+            for batch in batches:
+                np.add.at(sums, best(batch["__v"]), vectors_of(batch["__v"]))
+            cluster, dim = np.divmod(np.arange(k * width), width)
+            yield pa.RecordBatch.from_arrays([pa.array(cluster, pa.int32()), pa.array(dim, pa.int32()), pa.array(sums.ravel())], ["cluster", "dim", "x"])
+
+        found = np.zeros((k, width))
+        for cluster, dim, x in vectors.select("__v").mapInArrow(step, "cluster int, dim int, x double").groupBy("cluster", "dim").agg(F.sum("x")).collect():  # k * width rows
+            found[cluster, dim] = x
+        for i in range(k):
+            size = np.linalg.norm(found[i])
+            found[i] = found[i] / size if size > 1e-9 else np.eye(width)[(seed + i + r) % width]
+        found = np.round(found, 9)
+        if (found == c).all():
+            break
+        c = found
+    return c
+
+
+def topics(units: DataFrame, k: int = 4, seed: int = 7, dimensions: int = 64, rounds: int = 12, order: tuple[str, ...] = ("doc_id", "par")) -> DataFrame:
+    """The units with `cluster`: spherical k-means over hashed words, from evenly spaced units; fewer than eight units have none."""
+    held = stored(hashed_words(units, dimensions), list(order))
+    if held.rows < 8:
         return units.withColumn("cluster", F.lit(None).cast("int")).limit(0)
-    model = KMeans(k=k, maxIter=rounds, seed=seed, distanceMeasure="cosine", featuresCol="__v", predictionCol="cluster").fit(vectors)
-    return model.transform(vectors).drop("__tokens", "__tf", "__v")
+    starts = np.array([held.page(i * held.rows // k, 1).first()["__v"] for i in range(k)])
+    best = _assign(spherical_kmeans(held.table, starts, rounds, seed))
+    schema = held.table.drop(PART, "__v").schema
+    names = schema.names
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], pa.array(best(batch["__v"]), pa.int32())], [*names, "cluster"])
+
+    return held.table.drop(PART).mapInArrow(label, T.StructType([*schema.fields, T.StructField("cluster", T.IntegerType())]))
 
 
 def topic_summary(clustered: DataFrame, order: list[str], top: int = 8) -> DataFrame:

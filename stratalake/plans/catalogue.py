@@ -401,7 +401,32 @@ query(
     " UNION ALL ".join(f"SELECT '{k}' AS kind, sum(n)::BIGINT AS n, count(*) AS docs FROM (SELECT len(regexp_extract_all(text, '{p}')) AS n FROM documents) WHERE n > 0 HAVING count(*) > 0" for k, p in _RE2.items()),
     "documents",
 )(lambda df: documents.entity_counts(df, kinds=tuple(_RE2)).groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("docs")))
-query("topics")(lambda spark, sf_dir: documents.topic_summary(documents.topics(documents.passages(table(spark, sf_dir, "documents"))), ["doc_id", "par"]))
+_PASSAGES = r"list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n\s*\n|--- Page \d+ ---'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: length(p) > 30)"
+
+
+def _topics_sql(k: int = 4, seed: int = 7, width: int = 64, rounds: int = 12) -> str:
+    """Lloyd steps as a chain of tables."""
+    digit = lambda i: f"(instr('0123456789abcdef', substr(md5(term), {i}, 1)) - 1)"
+    steps = [f"c0 AS (SELECT i::INTEGER AS cluster, dim, round(w, 9) AS x FROM v JOIN (SELECT unnest(range({k})) AS i) ON v.u = (i * (SELECT count(*) FROM names)) // {k})"]
+    for r in range(rounds):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT u, arg_max(cluster, (s, -cluster)) AS cluster FROM (SELECT u, cluster, round(sum(w * x), 9) AS s FROM v JOIN c{r} USING (dim) GROUP BY ALL UNION ALL SELECT u, i::INTEGER, 0.0 FROM names, range({k}) t(i)) GROUP BY u),
+        s{r} AS (SELECT cluster, dim, sum(w) AS x FROM v JOIN a{r} USING (u) GROUP BY ALL),
+        c{r + 1} AS MATERIALIZED (SELECT cluster, dim, round(x / sqrt(sum(x * x) OVER (PARTITION BY cluster)), 9) AS x FROM s{r}
+            UNION ALL SELECT i::INTEGER, (({seed} + i + {r}) % {width})::INTEGER, 1.0 FROM range({k}) t(i) WHERE i NOT IN (SELECT cluster FROM s{r}))""")
+    steps.append(f"final AS (SELECT u, arg_max(cluster, (s, -cluster)) AS cluster FROM (SELECT u, cluster, round(sum(w * x), 9) AS s FROM v JOIN c{rounds} USING (dim) GROUP BY ALL UNION ALL SELECT u, i::INTEGER, 0.0 FROM names, range({k}) t(i)) GROUP BY u)")
+    return f"""WITH passages AS (SELECT doc_id, generate_subscripts({_PASSAGES}, 1) - 1 AS par, unnest({_PASSAGES}) AS text FROM documents),
+    words AS (SELECT doc_id, par, text, list_filter(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) > 1 AND x NOT IN ({_STOP})) AS t FROM passages),
+    names AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id, par) - 1 AS u, * FROM words WHERE len(t) > 0),
+    term AS MATERIALIZED (SELECT u, unnest(t) AS term FROM names),
+    tf AS (SELECT u, ((16 * {digit(1)} + {digit(2)}) % {width})::INTEGER AS dim, count(*)::DOUBLE AS n FROM term GROUP BY ALL),
+    v AS MATERIALIZED (SELECT u, dim, n / sqrt(sum(n * n) OVER (PARTITION BY u)) AS w FROM tf), {", ".join(steps)},
+    size AS (SELECT cluster, count(*) AS size, arg_min(text, u) AS first FROM names JOIN final USING (u) GROUP BY 1),
+    k AS (SELECT cluster, term, count(*) AS tf, count(DISTINCT u) AS df FROM term JOIN final USING (u) GROUP BY ALL),
+    lead AS (SELECT cluster, term, row_number() OVER (PARTITION BY cluster ORDER BY round(tf * (ln((size + 1) / (df + 1)) + 1), 4) DESC, term) AS r FROM k JOIN size USING (cluster))
+    SELECT cluster, size, substr(first, 1, 160) || CASE WHEN length(first) > 160 THEN '…' ELSE '' END AS representative, (SELECT string_agg(term, ' ' ORDER BY r) FROM lead WHERE lead.cluster = size.cluster AND r <= 8) AS keywords FROM size"""
+
+
+query("topics", _topics_sql())(lambda spark, sf_dir: documents.topic_summary(documents.topics(documents.passages(table(spark, sf_dir, "documents"))), ["doc_id", "par"]).withColumn("keywords", F.array_join("keywords", " ")))
 
 # ---- retrieval -------------------------------------------------------------------------------------------------------
 

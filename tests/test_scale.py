@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalake.functions import columns as C
-from stratalake.operators import gram, neighbours, olap, ordered, profile, retrieval
+from stratalake.operators import documents, gram, neighbours, olap, ordered, profile, retrieval
 
 
 def test_wide_correlations_equal_numpy_and_the_small_form(spark, monkeypatch):
@@ -83,3 +83,30 @@ def test_inverted_file_finds_most_neighbours(spark):
     whole = index.search(asked, probes=32)
     assert neighbours.recall_of(whole, exact).first().recall == 1.0 and whole.count() == 600
     assert neighbours.build(df.limit(0)).search(asked).count() == 0
+
+
+def lloyd(x, k, rounds, seed):
+    c = np.round(x[[i * len(x) // k for i in range(k)]], 9)
+    for r in range(rounds):
+        at = np.round(x @ c.T, 9).argmax(1)
+        new = []
+        for i in range(k):
+            s = x[at == i].sum(0)
+            new.append(s / np.linalg.norm(s) if (at == i).any() else np.eye(x.shape[1])[(seed + i + r) % x.shape[1]])
+        c = np.round(np.array(new), 9)
+    return np.round(x @ c.T, 9).argmax(1)
+
+
+def test_topics_against_plain_lloyd(spark):
+    rnd = random.Random(3)
+    words = [f"word{i}" for i in range(60)]
+    rows = [(i // 5, i % 5, " ".join(rnd.choice(words[i % 4 * 12 : i % 4 * 12 + 24]) for _ in range(12))) for i in range(200)] + [(90, 0, "the of and"), (91, 0, None), (92, 0, "same word1 word1"), (93, 0, "same word1 word1")]
+    units = spark.createDataFrame(rows, "doc_id int, par int, text string").repartition(3)
+    vectors = {(r.doc_id, r.par): r["__v"] for r in documents.hashed_words(units).collect()}
+    keys = sorted(vectors)
+    assert len(keys) == 202
+    want = lloyd(np.array([vectors[k] for k in keys]), 6, 12, 7)
+    got = {(r.doc_id, r.par): r.cluster for r in documents.topics(units, k=6).collect()}
+    assert [got[k] for k in keys] == want.tolist()
+    lone = spark.createDataFrame([(i, 0, "word1") for i in range(10)], "doc_id int, par int, text string")
+    assert {r.cluster for r in documents.topics(lone).collect()} == {0}
