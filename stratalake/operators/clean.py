@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..sources.scratch import written
 from .profile import ColumnType, infer_types, q
 
 ROW_ID = "_row_id"
@@ -79,17 +80,22 @@ class Cleaned:
 
 
 def clean(df: DataFrame, impute: bool = True, drop_duplicates: bool = True) -> Cleaned:
-    """Types, coercion, gaps, fills, then duplicates; a value that does not fit its column's type becomes null."""
+    """Types, coercion, gaps, fills, then duplicates; a value that does not fit its column's type becomes null.
+
+    The coerced rows are written once, and what follows reads them.
+    """
     df = df if ROW_ID in df.columns else with_row_id(df)
     names = [c for c in df.columns if c != ROW_ID]
     df = df.toDF(*[ROW_ID if c == ROW_ID else h for c, h in zip([*names, ROW_ID], [*clean_headers(names), ROW_ID], strict=True)]) if df.columns[-1] == ROW_ID else df
     names = [c for c in df.columns if c != ROW_ID]
     types = infer_types(df.select(*[q(n) for n in names]))
     log = [{"step": "type_inference", "column": t.column, "detail": t.type, "count": None} for t in types]
-    typed = df.select(*[coerced(t.column, t.type).alias(t.column) for t in types], ROW_ID)
-    counted = df.agg(*[F.count(F.when(~C.is_nullish(q(n)), 1)).alias(f"r{i}") for i, n in enumerate(names)])
-    gaps = typed.agg(F.count("*").alias("rows"), *[F.count(F.when(q(n).isNull(), 1)).alias(f"g{i}") for i, n in enumerate(names)])
-    row = counted.join(gaps).first()
+    # one pass coerces, writes and counts; the counts are of a job without a shuffle, whose tasks count once each
+    seen = Observation()
+    typed = df.select(*[coerced(t.column, t.type).alias(f"v{i}") for i, t in enumerate(types)], *[C.is_nullish(q(n)).alias(f"b{i}") for i, n in enumerate(names)], ROW_ID)
+    counts = [F.count("*").alias("rows"), *[F.count_if(~F.col(f"b{i}")).alias(f"r{i}") for i in range(len(names))], *[F.count_if(F.col(f"v{i}").isNull()).alias(f"g{i}") for i in range(len(names))]]
+    typed = written(typed.observe(seen, *counts).select(*[F.col(f"v{i}").alias(n) for i, n in enumerate(names)], ROW_ID))
+    row = seen.get
     nulls = {n: row[f"g{i}"] for i, n in enumerate(names)}
     for i, n in enumerate(names):
         bad = row[f"r{i}"] - (row["rows"] - row[f"g{i}"])

@@ -254,9 +254,12 @@ query(
     SELECT CASE WHEN o_totalprice < split THEN 'Below median' ELSE 'Above median' END AS label, count(*) AS value FROM orders, m GROUP BY 1""",
     "orders",
 )(lambda df: charts.median_split(df, "o_totalprice"))
-query("line_by_day", "SELECT strftime(o_orderdate, '%Y-%m-%d') AS label, floor(round(sum(o_totalprice::DECIMAL(28,6))::DOUBLE / count(*), 4) * 100 + 1e-6) / 100 AS value FROM orders GROUP BY 1", "orders")(
-    lambda df: charts.line(df, "o_orderdate", "o_totalprice", "o_orderkey").withColumn("value", F.floor(F.col("value") * 100 + 1e-6) / 100)  # clear of ties in the fourth place
-)
+query(
+    "line_by_day",
+    """WITH s AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS label, sum((o_totalprice::DECIMAL(28,6) * 1000000)::HUGEINT) AS micro, count(*) AS n FROM orders GROUP BY 1)
+    SELECT label, (sign(micro)::INTEGER * ((2 * abs(micro) + 100 * n) // (200 * n)))::DOUBLE / 10000 AS value FROM s""",
+    "orders",
+)(lambda df: charts.line(df, "o_orderdate", "o_totalprice", "o_orderkey"))
 query("scatter", "SELECT l_quantity AS x, l_extendedprice AS y FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice LIMIT 400", "lineitem")(
     lambda df: charts.scatter(df.withColumn("at", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")), "l_quantity", "l_extendedprice", "at")
 )
@@ -484,24 +487,19 @@ query(
 )(lambda spark, sf_dir: compare.volume(*_halves(spark, sf_dir)))
 
 
-@query("schema_drift")
-def _schema_drift(spark, sf_dir):
-    a = table(spark, sf_dir, "orders")
-    b = a.drop("o_orderstatus").withColumn("o_year", F.year("o_orderdate"))
-    d = compare.schema_drift(a, b)
-    n = b.agg(F.count("*").alias("rows_b"))
-    return n.select("rows_b", *[F.lit(",".join(d[k])).alias(k) for k in ("added", "removed", "common")])
-
-
-_sql["schema_drift"] = "SELECT count(*) AS rows_b, 'o_year' AS added, 'o_orderstatus' AS removed, 'o_orderkey,o_custkey,o_totalprice,o_orderdate,o_orderpriority' AS common FROM orders"
+_ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+query(
+    "schema_drift",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", {"'removed'" if c == 'o_orderstatus' else "'common'"} AS change, (SELECT count({c}) FROM orders) AS filled_a, {"max(NULL::BIGINT)" if c == 'o_orderstatus' else f"count({c})"} AS filled_b FROM orders WHERE o_custkey % 3 > 0"""
+        for c in _ORDER_COLUMNS
+    )
+    + " UNION ALL SELECT 'o_year', 'added', NULL, count(*) FILTER (WHERE o_orderkey % 2 = 0) FROM orders WHERE o_custkey % 3 > 0",
+    "orders",
+)(lambda df: compare.schema_table(df, df.drop("o_orderstatus").withColumn("o_year", F.when(F.col("o_orderkey") % 2 == 0, F.year("o_orderdate"))).where("o_custkey % 3 > 0")))
 
 # ---- display ---------------------------------------------------------------------------------------------------------
 
-query(
-    "business_kpis",
-    """SELECT l_returnflag, count(*) AS records, sum(l_extendedprice::DECIMAL(28,6))::DOUBLE AS total, round(avg(l_extendedprice), 4) AS mean, min(l_extendedprice) AS least, max(l_extendedprice) AS most FROM lineitem GROUP BY 1""",
-    "lineitem",
-)(lambda df: df.groupBy("l_returnflag").agg(F.count("*").alias("records"), olap.exact_sum(F.col("l_extendedprice")).alias("total"), F.round(F.avg("l_extendedprice"), 4).alias("mean"), F.min("l_extendedprice").alias("least"), F.max("l_extendedprice").alias("most")))
 query(
     "display_numbers",
     """SELECT o_orderkey, CASE WHEN abs(v) >= 1e9 THEN printf('%.2fB', v / 1e9) WHEN abs(v) >= 1e6 THEN printf('%.2fM', v / 1e6) WHEN abs(v) >= 1e3 THEN printf('%.2fk', v / 1e3) WHEN v = floor(v) THEN printf('%.0f', v) ELSE printf('%.2f', v) END AS shown
@@ -592,6 +590,21 @@ def _clean_numbers(df):
     return clean.clean(raw).df.select(F.round("amount", 4).alias("amount"), F.trim("status").alias("status"), F.col(clean.ROW_ID).alias("first_row"))
 
 
+@query(
+    "cleaning_log",
+    """WITH s AS (SELECT count(*) AS n, count(*) FILTER (WHERE o_orderkey % 9 = 7) AS apples, count(*) FILTER (WHERE o_orderkey % 9 IN (5, 7)) AS gaps, count(*) FILTER (WHERE o_orderkey % 6 > 4) AS no_day FROM orders)
+    SELECT 'type_inference' AS step, unnest(['amount', 'day', 'status']) AS "column", unnest(['number', 'date', 'category']) AS detail, NULL::BIGINT AS count
+    UNION ALL SELECT 'value_coercion', 'amount', 'unparseable', apples FROM s UNION ALL SELECT 'value_coercion', 'day', 'unparseable', no_day FROM s UNION ALL SELECT 'imputation', 'amount', 'mean', gaps FROM s""",
+    "orders",
+)
+def _cleaning_log(df):
+    """Dirty amounts and days of all orders; the filled mean itself stands in `clean_numbers`."""
+    raw = df.select(_dirty_number().alias("amount"), _dirty_date().alias("day"), "o_orderstatus", F.col("o_orderkey").alias(clean.ROW_ID)).withColumnRenamed("o_orderstatus", "status")
+    log = clean.clean(raw.select("amount", "day", "status", clean.ROW_ID), drop_duplicates=False).log
+    rows = [(x["step"], x["column"], "mean" if x["step"] == "imputation" else x["detail"], x["count"]) for x in log if x["step"] != "deduplication"]
+    return df.sparkSession.createDataFrame(rows, "step string, column string, detail string, count long")
+
+
 query(
     "spoken_numbers",
     "SELECT o_orderkey, CASE WHEN o_totalprice = floor(o_totalprice) THEN printf('%.0f', o_totalprice) ELSE printf('%.2f', o_totalprice) END AS price, CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE o_orderkey::VARCHAR END AS key FROM orders",
@@ -731,6 +744,26 @@ def _shown(v: str) -> str:
     return f"CASE WHEN abs({v}) >= 1e9 THEN printf('%.2fB', {v} / 1e9) WHEN abs({v}) >= 1e6 THEN printf('%.2fM', {v} / 1e6) WHEN abs({v}) >= 1e3 THEN printf('%.2fk', {v} / 1e3) WHEN {v} = floor({v}) THEN printf('%.0f', {v}) ELSE printf('%.2f', {v}) END"
 
 
+def _kpi_sql(tab: str, m: str, d: str, measures: tuple[str, ...]) -> str:
+    """The figures of a table without dates: `m` by `d`, and values beyond the fences of all measures."""
+    odd = " + ".join(f"(SELECT count(*) FROM {tab}, (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM {tab}) WHERE {c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1))" for c in measures)
+    return f"""WITH a AS (SELECT count(*) AS n, sum({m}) AS total, avg({m}) AS mean FROM {tab}),
+    g AS (SELECT {d}::VARCHAR AS v, sum({m}::DECIMAL(28,6))::DOUBLE AS s FROM {tab} GROUP BY 1), t AS (SELECT v FROM g ORDER BY s DESC, v LIMIT 1),
+    r AS (SELECT sum(s::DECIMAL(28,6)) OVER (ORDER BY s DESC, v)::DOUBLE / (SELECT sum(s::DECIMAL(28,6)) FROM g)::DOUBLE * 100 AS share FROM g), p AS (SELECT count(*) FILTER (WHERE round(share, 2) <= 80) AS k, count(*) AS m FROM r),
+    o AS (SELECT {odd} AS n)
+    SELECT 'Rows' AS label, format('{{:,}}', n) AS value FROM a UNION ALL SELECT '{m}, all rows', {_shown("total")} FROM a UNION ALL SELECT '{m}, mean row', {_shown("mean")} FROM a
+    UNION ALL SELECT 'Largest {d}', substr(v, 1, 14) FROM t UNION ALL SELECT 'Groups within four fifths', k || ' of ' || m FROM p WHERE k > 0 UNION ALL SELECT 'Outlying values', n::VARCHAR FROM o WHERE n > 0"""
+
+
+@query("business_kpis", f"WITH orders AS (SELECT DISTINCT o_totalprice AS order_value, o_custkey % 89 + 100 AS score, o_orderpriority AS region, o_orderstatus AS status, o_custkey % 2 = 0 AS even FROM orders) {_kpi_sql('orders', 'order_value', 'region', ('order_value', 'score')).replace('WITH a AS', ', a AS', 1)}", "orders")
+def _business_kpis(df):
+    """Figures of an analysis that has two measures and three dimensions to choose from."""
+    from . import analysis
+
+    named = df.select(F.col("o_totalprice").alias("order_value"), (F.col("o_custkey") % 89 + 100).alias("score"), F.col("o_orderpriority").alias("region"), F.col("o_orderstatus").alias("status"), (F.col("o_custkey") % 2 == 0).alias("even"))
+    return df.sparkSession.createDataFrame([(k["label"], k["value"]) for k in analysis.kpis(analysis.analyse(named, "orders"))], "label string, value string")
+
+
 @query(
     "analysis_kpis",
     f"""WITH a AS (SELECT count(*) AS n, sum(c_acctbal) AS total, avg(c_acctbal) AS mean, quantile_cont(c_acctbal, 0.25) AS q1, quantile_cont(c_acctbal, 0.75) AS q3 FROM customer),
