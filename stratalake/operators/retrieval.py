@@ -46,13 +46,29 @@ def fit_index(chunks: DataFrame) -> DataFrame:
     return df.join(n).select("term", "df", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")).orderBy(F.desc("df"), "term").limit(WORD_DIMENSIONS)
 
 
+def trigram_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, bucket and count of the trigrams of texts of ASCII letters and digits."""
+    for batch in batches:
+        ids, found, counts = [], [], []
+        for i, text in enumerate(batch["s"].to_pylist()):
+            c = np.frombuffer(text.encode(), np.uint8).astype(np.int64)
+            n = np.bincount((961 * c[:-2] + 31 * c[1:-1] + c[2:]) % BUCKETS, minlength=BUCKETS) if len(c) > 2 else np.zeros(BUCKETS, np.int64)
+            some = np.flatnonzero(n)
+            ids.append(np.full(len(some), i))
+            found.append(some)
+            counts.append(n[some])
+        at, b, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, found, counts))
+        yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(at)), pa.array(b, pa.int32()), pa.array(n, pa.int64())], ["id", "b", "n"])
+
+
 def embed(chunks: DataFrame, index: DataFrame) -> DataFrame:
     """id, dim, weight: tf/length * idf of words and 1 + ln(count) of hashed trigrams, one vector of length 1."""
     words = _terms(chunks)
     length = words.groupBy("id").agg(F.sum("n").alias("len"))
     known = words.join(F.broadcast(index), "term").join(length, "id")
     by_word = known.select("id", F.concat(F.lit("w:"), "term").alias("dim"), (F.col("n") / F.col("len") * F.col("idf")).alias("weight"))
-    grams = chunks.select("id", F.explode(X.trigrams(F.col("text"))).alias("g")).groupBy("id", F.pmod(F.xxhash64("g"), F.lit(BUCKETS)).alias("b")).agg(F.count("*").alias("n"))
+    plain = chunks.select("id", F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]", "").alias("s"))
+    grams = plain.mapInArrow(trigram_buckets, f"id {chunks.schema['id'].dataType.simpleString()}, b int, n long")
     both = by_word.unionByName(grams.select("id", F.concat(F.lit("g:"), F.col("b").cast("string")).alias("dim"), (1 + F.ln("n")).alias("weight")))
     norms = both.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
     return both.join(norms, "id").select("id", "dim", (F.col("weight") / F.col("norm")).alias("weight"))
@@ -68,7 +84,7 @@ def expand(question: str) -> list[str]:
     return out
 
 
-def _tokens_of(question: str) -> list[str]:
+def words_of(question: str) -> list[str]:
     return sorted({t for t in re.split(r"[^a-z0-9_]+", question.lower()) if len(t) > 1})
 
 
@@ -78,25 +94,25 @@ def retrieve(chunks: DataFrame, vectors: DataFrame, index: DataFrame, question:
     wanted = F.broadcast(embed(asked, index).select("dim", F.col("weight").alias("w")))
     cosine = vectors.join(wanted, "dim").groupBy("id").agg(F.sum(F.col("weight") * F.col("w")).alias("cosine"))
     low = F.lower("text")
-    bonus = sum([F.when(low.contains(t), 0.03).otherwise(0.0) for t in _tokens_of(question)], F.lit(0.0))
-    scored = chunks.join(cosine, "id", "left").withColumn("score", F.coalesce("cosine", F.lit(0.0)) + bonus).drop("cosine")
+    bonus = sum([F.when(low.contains(t), 0.03).otherwise(0.0) for t in words_of(question)], F.lit(0.0))
+    scored = chunks.join(cosine, "id", "left").withColumn("score", F.round(F.coalesce("cosine", F.lit(0.0)), 9) + bonus).drop("cosine")
     return scored.orderBy(F.desc("score"), "id").limit(k)
 
 
 def rerank(found: DataFrame, question: str) -> DataFrame:
     boost = F.coalesce(F.create_map(*[x for k, v in fixed.FAMILY_BOOST.items() for x in (F.lit(k), F.lit(v))])[F.col("family")], F.lit(0.0))
     low = F.lower("text")
-    overlap = sum([F.when(low.contains(t), 0.04).otherwise(0.0) for t in _tokens_of(question)], F.lit(0.0))
+    overlap = sum([F.when(low.contains(t), 0.04).otherwise(0.0) for t in words_of(question)], F.lit(0.0))
     return found.withColumn("score", F.col("score") + boost + overlap).orderBy(F.desc("score"), "id")
 
 
 def ask(chunks: DataFrame, question: str, k: int = 6) -> dict:
     """Expand, retrieve for each variant, merge by best score, rerank; the context, the sources and the top chunk as answer."""
-    index = fit_index(chunks)
-    vectors = embed(chunks, index)
-    found = None
+    from .postings import build
+
+    index, found = build(chunks), None  # written once, asked for every variant
     for variant in expand(question):
-        one = retrieve(chunks, vectors, index, variant, k)
+        one = index.search(variant, k)
         found = one if found is None else found.unionByName(one)
     merged = found.groupBy("id", "family", "text").agg(F.max("score").alias("score"))
     top = rerank(merged, question).limit(k).select("id", "family", "text", "score", C.snippet(F.col("text"), 220).alias("snippet")).collect()  # k rows

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import fixed
 from ..functions import text as X
-from ..operators import charts, clean, compare, documents, neighbours, olap, ordered, profile, retrieval
+from ..operators import charts, clean, compare, documents, neighbours, olap, ordered, postings, profile, retrieval
 from ..sources import readers
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -450,13 +450,34 @@ def _vector_index(df):
     return neighbours.recall_of(found, retrieval.nearest(df, asked)).select("queries", (F.col("recall") >= 0.9).alias("recall_reached"))
 
 
-@query("retrieve")
-def _retrieve(spark, sf_dir):
-    chunks = retrieval.document_chunks(table(spark, sf_dir, "documents"))
-    index = retrieval.fit_index(chunks)
-    question = "how many of the best documents tell of it"
-    found = retrieval.retrieve(chunks, retrieval.embed(chunks, index), index, question)
-    return retrieval.rerank(found, question).select("id", F.round("score", 6).alias("score"), C.snippet(F.col("text"), 220).alias("snippet"))
+_QUESTION = "how many of the best documents tell of it"
+
+
+def _retrieve_sql(question: str, k: int = 6) -> str:
+    words = retrieval.words_of(question)
+    held = lambda each: " + ".join(f"CASE WHEN contains(lower(text), '{w}') THEN {each} ELSE 0 END" for w in words)
+    stop = ", ".join(f"'{w}'" for w in dict.fromkeys(fixed.QUESTION_STOP_WORDS))
+    return f"""WITH passages AS (SELECT doc_id, generate_subscripts({_PASSAGES.replace("> 30", "> 80")}, 1) - 1 AS par, unnest({_PASSAGES.replace("> 30", "> 80")}) AS part FROM documents),
+    chunks AS (SELECT 'doc_' || doc_id || '_' || (par // 3) AS id, string_agg(part, chr(10) || chr(10) ORDER BY par) AS text FROM passages GROUP BY doc_id, par // 3),
+    every AS MATERIALIZED (SELECT id, text FROM chunks UNION ALL SELECT '?', '{question}'),
+    t AS (SELECT id, unnest(list_transform(regexp_split_to_array(regexp_replace(lower(text), '[^a-z0-9_\\s.]', ' ', 'g'), '\\s+'), lambda x: regexp_replace(x, '^[.]+|[.]+$', '', 'g'))) AS term FROM every),
+    n AS MATERIALIZED (SELECT id, term, count(*) AS n FROM t WHERE length(term) > 1 AND term NOT IN ({stop}) GROUP BY ALL),
+    idf AS (SELECT term, ln(((SELECT count(*) FROM chunks) + 1) / (count(*) + 1)) + 1 AS idf FROM n WHERE id <> '?' GROUP BY term ORDER BY count(*) DESC, term LIMIT {retrieval.WORD_DIMENSIONS}),
+    long AS (SELECT id, sum(n) AS len FROM n GROUP BY id),
+    s AS (SELECT id, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS s FROM every), g AS (SELECT id, substr(s, i::BIGINT, 3) AS g FROM (SELECT id, s, unnest(range(1, length(s) - 1)) AS i FROM s)),
+    w AS (SELECT id, 'w:' || term AS dim, n / len * idf AS w FROM n JOIN idf USING (term) JOIN long USING (id)
+      UNION ALL SELECT id, 'g:' || ((961 * ascii(g) + 31 * ascii(g[2]) + ascii(g[3])) % {retrieval.BUCKETS}), 1 + ln(count(*)) FROM g GROUP BY ALL),
+    v AS MATERIALIZED (SELECT id, dim, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM w),
+    c AS (SELECT a.id, sum(a.w * q.w) AS cosine FROM v AS a JOIN v AS q ON q.id = '?' AND q.dim = a.dim WHERE a.id <> '?' GROUP BY 1),
+    f AS (SELECT id, text, round(coalesce(cosine, 0), 9) + {held(0.03)} AS score FROM chunks LEFT JOIN c USING (id) ORDER BY score DESC, id LIMIT {k})
+    SELECT id, round(score + {fixed.FAMILY_BOOST.get("document", 0.0)} + {held(0.04)}, 6) AS score, substr(text, 1, 220) || CASE WHEN length(text) > 220 THEN '…' ELSE '' END AS snippet FROM f"""
+
+
+@query("retrieve", _retrieve_sql(_QUESTION), "documents")
+def _retrieve(df):
+    """A stored index of all documents' passages, asked once."""
+    found = postings.build(retrieval.document_chunks(df)).search(_QUESTION)
+    return retrieval.rerank(found, _QUESTION).select("id", F.round("score", 6).alias("score"), C.snippet(F.col("text"), 220).alias("snippet"))
 
 
 # ---- comparison ------------------------------------------------------------------------------------------------------

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalake.functions import columns as C
-from stratalake.operators import documents, gram, neighbours, olap, ordered, profile, retrieval
+from stratalake.operators import documents, gram, neighbours, olap, ordered, postings, profile, retrieval
 
 
 def test_wide_correlations_equal_numpy_and_the_small_form(spark, monkeypatch):
@@ -110,3 +110,18 @@ def test_topics_against_plain_lloyd(spark):
     assert [got[k] for k in keys] == want.tolist()
     lone = spark.createDataFrame([(i, 0, "word1") for i in range(10)], "doc_id int, par int, text string")
     assert {r.cluster for r in documents.topics(lone).collect()} == {0}
+
+
+def test_stored_index_finds_what_scoring_all_chunks_finds(spark, monkeypatch):
+    rnd = random.Random(4)
+    words = [f"term{i}x" for i in range(50)] + ["an", "of", "Ünü"]
+    rows = [(f"c{i:03}", rnd.choice(["insights", "document", "summary"]), None if i % 31 == 0 else " ".join(rnd.choice(words[: rnd.choice([5, 53])]) for _ in range(rnd.randint(0, 25)))) for i in range(160)]
+    chunks = spark.createDataFrame(rows, "id string, family string, text string").repartition(4)
+    monkeypatch.setattr(postings, "BLOCK", 8)
+    held = postings.build(chunks)
+    assert held.chunks.select("block").distinct().count() == 20
+    vectors = retrieval.embed(chunks, held.index)
+    for question in ("term3x and term7x", "of an", "", "nothing here", "term40x term41x term42x of the"):
+        want = retrieval.retrieve(chunks, vectors, held.index, question, 6).collect()
+        got = held.search(question, 6).collect()
+        assert [(r.id, round(r.score, 9)) for r in got] == [(r.id, round(r.score, 9)) for r in want], question
