@@ -6,11 +6,13 @@ expected copies target / words: a whole part and a fraction.  The fractions are
 words: where two meet, words move at random from one to the other, so that the words taken together stay and each
 one's expected copies stay, until one is at 0 or 1; the one left fractional goes on.
 
-Large documents go first: each of the `HEAD` largest of a source meets all smaller ones at once, which give or take
-its words evenly; one that they cannot make up for goes to the side nearer to the target.  The rest is rounded in parallel in blocks of like sizes (a class for each power of two), in order
-of size; what is left of each block goes up a tree of a fixed fan-in, so no task sees more than a block or a node's
-children.  At last one document of a source is left, which goes to the nearer side: a source misses its target by at
-most half of that document, and that is one of the smaller ones unless a single document outweighs all smaller ones.
+Documents meet documents of like size (a class for each power of two), in parallel in blocks and in order of size; what is
+left of each block goes up a tree of a fixed fan-in, so no task sees more than a block or a node's children, and sources of
+any size go the same way.  Classes go in WAVES, the large ones first: those that hold the upper half of a source's words,
+then the upper half of the rest, and so on.  One document at most is left of each class of a wave.  These are rounded from
+the largest on: what a document gives or takes is spread over the smaller ones that are left and over all documents of the
+later waves, so words and expected copies stay; one that they cannot make up for goes to the side nearer to the target.
+So a source misses its target by a part of a small document, unless a few documents outweigh all others.
 
 Draws come from a hash of the row and a seed, and blocks from counts and hashes, so reruns agree.  Equal rows are
 counted, then numbered, and so fall into different blocks.  A null text has no words and adds none; a null source is
@@ -19,16 +21,17 @@ a source; repeated rows are rows of their own.  Other columns pass through `mix`
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import WORD, forget, pieces, row_hash, stash
 
-FAN_IN = 64
-#: Documents of a source that are rounded against all smaller ones.
-HEAD = 64
+FAN_IN, WAVES = 64, 4
 #: Equal rows that are numbered in one place.
 CHUNK = 1024
 SEED = 7919
@@ -94,24 +97,26 @@ def pivotal(p: np.ndarray, size: np.ndarray, draw: np.ndarray) -> tuple[np.ndarr
     return p, held
 
 
-def pivotal_head(f: float, size: np.ndarray, rest: float, draw: np.ndarray) -> tuple[np.ndarray, float]:
-    """Round documents with the same fraction f, the largest first, each against all smaller ones and the `rest` words after them.
+def pivotal_head(f: float | np.ndarray, size: np.ndarray, rest: float, draw: np.ndarray) -> tuple[np.ndarray, float]:
+    """Round documents with fractions f, the largest first, each against all smaller ones and the `rest` words after them.
 
     A document goes to 1 or to 0 at random where the smaller ones can give and take its words, else to the side for
-    which they can (or nearly can).  Gives the rounded fractions and the fraction of what is after them.
+    which they can (or nearly can).  What it gives or takes is spread over the smaller ones by what each can take or give.
+    `f` is one fraction for all, or one for each and for the rest.  Gives the rounded fractions and that of the rest.
     """
-    p = np.zeros(len(size))
-    smaller = np.append(np.cumsum(size[::-1])[::-1][1:], 0.0) + rest
-    for i in range(len(size)):
-        up, down = (1 - f) * size[i], f * size[i]  # words that go to the document or leave it
-        short_up, short_down = up - f * smaller[i], down - (1 - f) * smaller[i]  # what the smaller ones lack for that
-        if short_up <= 0 and short_down <= 0:
-            p[i] = draw[i] * (up + down) < down
-        else:
-            p[i] = short_up < short_down
-        if smaller[i]:
-            f = min(1.0, max(0.0, f + (f - p[i]) * size[i] / smaller[i]))
-    return p, f
+    n = len(size)
+    p, words = np.array(np.broadcast_to(np.asarray(f, float), n + 1)), np.append(size, rest)
+    for i in range(n):
+        can_give, can_take = p[i + 1 :] * words[i + 1 :], (1 - p[i + 1 :]) * words[i + 1 :]
+        up, down = (1 - p[i]) * size[i], p[i] * size[i]  # words that go to the document or leave it
+        short_up, short_down = up - can_give.sum(), down - can_take.sum()  # what the smaller ones lack for that
+        full = draw[i] * (up + down) < down if short_up <= 0 and short_down <= 0 else short_up < short_down
+        moved = up if full else -down
+        share = can_give if moved > 0 else can_take
+        if share.sum() > 0:
+            p[i + 1 :] -= np.divide(share, words[i + 1 :], out=np.zeros(n - i), where=words[i + 1 :] > 0) * moved / max(share.sum(), abs(moved))
+        p[i] = float(full)
+    return p[:n], float(p[n])
 
 
 def _uniform(tie: np.ndarray, level: int) -> np.ndarray:
@@ -133,11 +138,11 @@ def round_group(level: int):
     return apply
 
 
-def round_head(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The head of one source; its `after` is the fraction of the documents after it."""
+def round_rest(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What a wave left of one source, a document of each class at most; `after` is the fraction of the later waves."""
     pdf = pdf.sort_values(["size", "draw"], ascending=[False, True], kind="stable")
-    size = pdf["size"].to_numpy(float)
-    p, after = pivotal_head(float(pdf["p"].iloc[0]), np.maximum(size, 1), float(pdf["source_size"].iloc[0]) - size.sum(), _uniform(pdf["draw"].to_numpy(), 99))
+    f = np.append(pdf["p"].to_numpy(float), pdf["now"].iloc[0])
+    p, after = pivotal_head(f, np.maximum(pdf["size"].to_numpy(float), 1), float(pdf["rest"].iloc[0]), _uniform(pdf["draw"].to_numpy(), 99))
     return pdf.assign(p=p, after=after)
 
 
@@ -152,64 +157,68 @@ def mix_plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
     rows = stash(rows.withColumn("ratio", ratio).withColumn("whole", whole).withColumn("p", F.greatest(F.lit(0.0), F.col("ratio") - F.col("whole"))).select(*base))
 
     forget(sized)
-    # the bound of each source's head; Spark keeps the first HEAD rows of a source in each partition before they are dealt
-    largest = Window.partitionBy("rank").orderBy(F.desc("size"), "draw")
-    first = rows.select("rank", "size", "draw").withColumn("nth", F.row_number().over(largest)).where(f"nth <= {HEAD}")
-    bound = first.groupBy("rank").agg(F.max_by(F.struct("size", "draw"), "nth").alias("last"))
-    in_head = (F.col("size") > F.col("last.size")) | ((F.col("size") == F.col("last.size")) & (F.col("draw") <= F.col("last.draw")))
-    rows = stash(rows.join(bound, "rank").withColumn("head", in_head).drop("last"))
     kinds = "rank int, doc_id long, tie long, draw long, size long, source_size long, target double, whole int, p double"
-    head = stash(rows.where("head").select(*base).groupBy("rank").applyInPandas(round_head, kinds + ", after double"))
-    after = head.groupBy("rank").agg(F.min("after").alias("after"))
-    rows = rows.where("not head").drop("p", "head").join(after, "rank").withColumnRenamed("after", "p").withColumn("class", F.floor(F.log2(F.col("size") + 1)).cast("int"))
-
-    counts = stash(rows.groupBy("rank", "class").agg(F.count("*").alias("n")))
-    blocks = counts.select("rank", "class", F.ceil(F.col("n") / block_rows).cast("long").alias("blocks"))
-    wide = pieces(counts.agg(F.max("n")).first()[0] or 1, block_rows)
-    rows = rows.join(blocks, ["rank", "class"]).withColumn("block", F.pmod("draw", F.col("blocks")))
-    order = [*base, "class", "block"]
+    rows = rows.withColumn("class", F.floor(F.log2(F.col("size") + 1)).cast("int"))
+    # at most a row for each class of a source
+    up = Window.partitionBy("rank").orderBy("class")
+    counts = rows.groupBy("rank", "class").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+    counts = counts.withColumn("upto", F.sum("words").over(up)).withColumn("all", F.sum("words").over(Window.partitionBy("rank")))
+    wave = sum([F.when(F.col("upto") * (2 << w) <= F.col("all"), 1).otherwise(0) for w in range(WAVES - 1)], F.lit(0))
+    counts = stash(counts.select("rank", "class", "n", "words", wave.alias("wave"), F.ceil(F.col("n") / block_rows).cast("long").alias("blocks")))
+    rows = rows.join(counts.select("rank", "class", "wave", "blocks"), ["rank", "class"]).withColumn("block", F.pmod("draw", F.col("blocks"))).drop("blocks")
     # by block, as a source or a class may hold most of the rows
-    left = rows.select(*order).repartition("rank", "class", "block")
-    done, level, keys = [], 0, ["rank", "class", "block"]
-    while True:
-        turn = stash(left.select(*order).groupBy(*keys).applyInPandas(round_group(level), kinds + ", class int, block long, done boolean"))
-        done.append(turn.where("done"))
-        left = turn.where("not done").drop("done")
-        level += 1
-        if keys == ["rank"]:
-            break
-        if wide > 1:
-            wide = pieces(wide, FAN_IN)
+    rows = stash(rows.repartition("rank", "class", "block"))
+    now, out = rows.groupBy("rank").agg(F.first("p").alias("now")), []
+    for w in range(WAVES):
+        most = counts.where(F.col("wave") == w).agg(F.max("n")).first()[0]
+        if not most:
+            continue
+        wide, level = pieces(most, block_rows), 0
+        left = rows.where(F.col("wave") == w).drop("p", "wave").join(now, "rank").withColumnRenamed("now", "p").select(*base, "class", "block")
+        while True:
+            turn = stash(left.groupBy("rank", "class", "block").applyInPandas(round_group(level), kinds + ", class int, block long, done boolean"))
+            out.append(turn.where("done").select(*base))
+            left = turn.where("not done").drop("done")
+            if wide == 1:
+                break
+            level, wide = level + 1, pieces(wide, FAN_IN)
             left = left.withColumn("block", F.expr(f"block div {FAN_IN}"))
-        else:
-            keys = ["rank"]
-    out = left.select(*base).unionByName(head.select(*base))
-    for d in done:
-        out = out.unionByName(d.select(*base))
+        later = counts.groupBy("rank").agg(F.sum(F.when(F.col("wave") > w, F.col("words")).otherwise(0)).cast("double").alias("rest"))
+        last = stash(left.select(*base).join(later, "rank").join(now, "rank").groupBy("rank").applyInPandas(round_rest, kinds + ", rest double, now double, after double"))
+        out.append(last.select(*base))
+        now = stash(now.join(last.groupBy("rank").agg(F.min("after").alias("after")), "rank", "left").select("rank", F.coalesce("after", "now").alias("now")))
+    out = reduce(DataFrame.unionByName, out) if out else rows.select(*base)
     return out.select("doc_id", "tie", "size", "source_size", "target", (F.col("whole") + F.round("p").cast("int")).alias("copies"))
 
 
 def mix(docs: DataFrame, hot_rows: int = 1 << 16, **how) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it."""
+    """The rows of `docs`, each as often as the mix takes it.
+
+    Rows that agree in id, text and source are alike, and their copies differ by one at most: the first of them, in the
+    order of a hash of all their columns, take it.  Rows that agree in all columns are counted and taken as one, and over
+    `hot_rows` other rows of one kind are numbered range by range of that hash, so no task holds them all.
+    """
     names = docs.columns
     seed = how.get("seed", SEED)
     plain = docs.toDF(*[c if c in ("doc_id", "text", "source") and c not in names[:i] else f"__{i}" for i, c in enumerate(names)])
-    own = plain.withColumn("__tie", row_tie(seed)).withColumn("__part", F.spark_partition_id())
-    # rows that agree in id, text and source are alike, and their copies differ by one at most: the first of them take it.
     plan = stash(mix_plan(docs, **how).groupBy(F.col("tie").alias("__tie")).agg(F.count("*").alias("__rows"), F.sum("copies").alias("__copies")).where("__copies > 0"))
-    own = own.join(plan, "__tie").withColumn("__part", F.when(F.col("__rows") > hot_rows, F.col("__part")).otherwise(-1))
-    # the texts are dealt once, by __tie, for the join and the window; many equal rows are numbered part by part
-    by = Window.partitionBy("__tie").orderBy("doc_id")
-    common = own.where(f"__rows <= {hot_rows}").withColumn("__nth", F.row_number().over(by))
-    if plan.where(F.col("__rows") > hot_rows).limit(1).count():
-        hot = own.where(f"__rows > {hot_rows}")
-        parts = hot.groupBy("__tie", "__part").agg(F.count("*").alias("__n"))
-        before = parts.select("__tie", "__part", (F.sum("__n").over(Window.partitionBy("__tie").orderBy("__part")) - F.col("__n")).alias("__before"))
-        inside = Window.partitionBy("__tie", "__part").orderBy("doc_id")
-        hot = hot.withColumn("__nth", F.row_number().over(inside)).join(before, ["__tie", "__part"]).withColumn("__nth", F.col("__nth") + F.col("__before")).drop("__before")
-        common = common.unionByName(hot)
-    own = common.withColumn("__copies", F.expr("__copies div __rows + if(__nth <= __copies % __rows, 1, 0)")).where("__copies > 0")
-    return own.withColumn("__copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*plain.columns).toDF(*names)
+    own = plain.withColumn("__tie", row_tie(seed)).withColumn("__row", row_hash(seed + 4, *[F.to_json(F.struct(c)) if isinstance(plain.schema[c].dataType, T.MapType | T.VariantType) else F.col(c) for c in plain.columns]))
+    # small: how many rows have each hash, and how many of its kind come before
+    kinds = own.join(plan, "__tie").select("__tie", "__row", "__rows").groupBy("__tie", "__row", "__rows").agg(F.count("*").alias("__same"))
+    kinds = kinds.withColumn("__range", F.when(F.col("__rows") > hot_rows, F.shiftright("__row", 52)).otherwise(0))
+    ranges = kinds.where("__range <> 0 or __rows > " + str(hot_rows)).groupBy("__tie", "__range").agg(F.sum("__same").alias("__n"))
+    before = ranges.select("__tie", "__range", (F.sum("__n").over(Window.partitionBy("__tie").orderBy("__range")) - F.col("__n")).alias("__before"))
+    up = F.sum("__same").over(Window.partitionBy("__tie", "__range").orderBy("__row"))
+    kinds = kinds.withColumn("__upto", up).join(before, ["__tie", "__range"], "left").withColumn("__first", F.col("__upto") - F.col("__same") + F.coalesce("__before", F.lit(0)))
+    # of rows with one hash, which are equal in all columns, those numbered up to the rest take one copy more
+    own = own.join(plan, "__tie").join(kinds.select("__tie", "__row", "__same", "__first"), ["__tie", "__row"])
+    more = F.greatest(F.lit(0), F.least(F.col("__same"), F.expr("__copies % __rows") - F.col("__first")))
+    own = own.withColumn("__more", more)
+    some = own.where("__more in (0, __same)").withColumn("__take", F.expr("__copies div __rows + if(__more > 0, 1, 0)"))
+    # a hash at the border: its equal rows are counted out as one row
+    split = own.where("__more not in (0, __same)").dropDuplicates(["__tie", "__row"]).withColumn("__take", F.expr("(__copies div __rows) * __same + __more"))
+    taken = some.unionByName(split).where("__take > 0")
+    return taken.withColumn("__take", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__take").cast("long")))).select(*plain.columns).toDF(*names)
 
 
 def op3_source_mixing(docs: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ gapless; place p goes to shard p % shards as slot p // shards, hence shard sizes
 
 A bucket is full at `bucket_bytes` or `bucket_rows`, whatever comes first.  The deck of a permutation is kept as
 about sqrt(n) blocks of sqrt(n) places, so a swap rewrites two blocks and not the deck.  Rows that agree in doc_id
-and text and are over `hot_rows` many are scattered row by row, else their common hash would put them into one bucket.
+and text and are over `hot_rows` many are numbered, from a count, and scattered by number, else their common hash would put
+them into one bucket; whichever of them has a number, the same places are theirs, and no other row moves.
 
 Nulls: a null text has no bytes, a null doc_id hashes as any value.  Repeated rows stay as many rows.  An
 empty table gives an empty result.  Columns of the input called like a result column are replaced.
@@ -50,6 +51,17 @@ def fisher_yates(n: Column, bucket: Column, seed: int) -> Column:
     return F.get(F.transform(F.array(wide), swapped), F.lit(0))
 
 
+def _numbered(keyed: DataFrame) -> DataFrame:
+    """The rows with `__number`: hot rows of one `__own` from 0 on, without gaps; only a count of each task's is dealt."""
+    placed = stash(keyed.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id()))
+    hot = placed.where("__n is not null")
+    sizes = hot.groupBy("__own", "__p").agg(F.count("*").alias("__size"))
+    before = sizes.select("__own", "__p", (F.sum("__size").over(Window.partitionBy("__own").orderBy("__p")) - F.col("__size")).alias("__before"))
+    at = F.row_number().over(Window.partitionBy("__own", "__p").orderBy("__i")) - 1
+    hot = hot.withColumn("__at", at).join(before, ["__own", "__p"]).withColumn("__number", F.col("__at") + F.col("__before")).drop("__at", "__before")
+    return hot.unionByName(placed.where("__n is null").withColumn("__number", F.lit(None).cast("long"))).drop("__p", "__i")
+
+
 def shuffle_shards(df: DataFrame, shards: int = 40, seed: int = 20240229, bucket_bytes: int = 8 << 20, bucket_rows: int = 8192, hot_rows: int = 2048) -> DataFrame:
     """Every row of `df` with `size` (bytes of text + 16), `shard` and `slot`."""
     df = without(df, "size", "shard", "slot", "__own", "__bucket", "__nth", "__place", "__n", "__deck", "__first")
@@ -61,9 +73,9 @@ def shuffle_shards(df: DataFrame, shards: int = 40, seed: int = 20240229, bucket
     n_hot = hot.count()
     if n_hot:
         keyed = keyed.join(F.broadcast(hot) if n_hot <= 1_000_000 else hot, "__own", "left")
-        own = F.when(F.col("__n").isNull(), F.col("__own")).otherwise(row_hash(seed + 2, F.monotonically_increasing_id()))
+        own = F.when(F.col("__n").isNull(), F.col("__own")).otherwise(row_hash(seed + 2, F.col("__own"), F.col("__number")))
         # written, as the number of a row must not change between the two passes
-        scattered = stash(keyed.withColumn("__bucket", F.pmod(own, F.lit(buckets))).drop("__own", "__n"))
+        scattered = stash(_numbered(keyed).withColumn("__bucket", F.pmod(own, F.lit(buckets))).drop("__own", "__n", "__number"))
     else:
         scattered = keyed.withColumn("__bucket", F.pmod("__own", F.lit(buckets))).drop("__own")
 
