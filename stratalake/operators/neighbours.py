@@ -81,10 +81,16 @@ class Index:
     def search(self, queries: DataFrame, k: int = 5, vector: str = "embedding", probes: int | None = None) -> DataFrame:
         """query_id, key and score of the k best rows in the cells nearest to each query (ties: by key)."""
         asked = written(self._spread(queries, vector, probes or self.probes, ["cell", "query_id", "q"]))
-        parts = self.table.groupBy("cell").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("parts"))
-        rows = self.table.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64(self.key), F.col("parts")).cast("int"))
-        wanted = asked.join(parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        pack = lambda df, key, v, names: df.groupBy("cell", "part", F.pmod(F.xxhash64(key, F.lit(1)), F.ceil(F.lit(SHARE / PACK))).alias("g")).agg(F.collect_list(F.struct(key, v)).alias("x")).select("cell", "part", F.col(f"x.{key}").alias(names[0]), F.flatten(f"x.{v}").alias(names[1]))
+        parts = self.table.groupBy("cell").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("parts"), F.count("*").alias("rows"))
+        rows = self.table.join(parts, "cell").withColumn("part", F.pmod(F.xxhash64(self.key), F.col("parts")).cast("int")).withColumn("packs", F.ceil(F.col("rows") / F.col("parts") / PACK))
+        sizes = asked.groupBy("cell").agg(F.ceil(F.count("*") / PACK).alias("packs"))
+        wanted = asked.join(parts, "cell").join(sizes, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+        def pack(df: DataFrame, key: str, v: str, names: tuple[str, str]) -> DataFrame:
+            """Some PACK rows of a cell's part beside each other."""
+            some = df.groupBy("cell", "part", F.pmod(F.xxhash64(key, F.lit(1)), F.col("packs")).alias("g")).agg(F.collect_list(F.struct(key, v)).alias("x"))
+            return some.select("cell", "part", F.col(f"x.{key}").alias(names[0]), F.flatten(f"x.{v}").alias(names[1]))
+
         met = pack(rows, self.key, "v", ("ids", "data")).join(pack(wanted, "query_id", "q", ("qids", "qdata")), ["cell", "part"])
         own, width, kinds = self.key, self.cells.shape[1], [dict(asked.dtypes)["query_id"], dict(self.table.dtypes)[self.key]]
 
