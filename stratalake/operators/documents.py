@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions import columns as C
 from ..functions import fixed
 from ..functions import text as X
+from ..sources.scratch import written
 from .ordered import PART, stored
 from .retrieval import vectors_of
 
@@ -122,7 +123,7 @@ def spherical_kmeans(vectors: DataFrame, starts: np.ndarray, rounds: int, seed:
 
 def topics(units: DataFrame, k: int = 4, seed: int = 7, dimensions: int = 64, rounds: int = 12, order: tuple[str, ...] = ("doc_id", "par")) -> DataFrame:
     """The units with `cluster`: spherical k-means over hashed words, from evenly spaced units; fewer than eight units have none."""
-    held = stored(hashed_words(units, dimensions), list(order))
+    held = stored(written(hashed_words(units, dimensions)), list(order))  # written, as ranges are sampled first
     if held.rows < 8:
         return units.withColumn("cluster", F.lit(None).cast("int")).limit(0)
     starts = np.array([held.page(i * held.rows // k, 1).first()["__v"] for i in range(k)])

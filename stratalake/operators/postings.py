@@ -66,7 +66,7 @@ class Postings:
 
 def build(chunks: DataFrame) -> Postings:
     """The index of `chunks` (id, family, text; ids are distinct)."""
-    held = stored(chunks.select("id", "family", "text"), ["id"]).ranked("n")
+    held = stored(written(chunks.select("id", "family", "text")), ["id"]).ranked("n")  # written, as ranges are sampled first
     kept = written(held.select("id", "family", "text", F.expr(f"(n - 1) div {BLOCK}").alias("block")))
     index = written(retrieval.fit_index(kept))
     vectors = retrieval.embed(kept, index).join(kept.select("id", "block"), "id")

@@ -161,7 +161,7 @@ def outlook(a: Analysis) -> list[str]:
         return said
     series, p = _fact(a, "series"), _fact(a, "pareto")
     if series.get("projected") is not None:
-        said.append(f"If {m.column} goes on by {series['mean_growth']:.1f} % a period, the next one comes to {fmt(series['projected'])}; this is a direction, no forecast.")
+        said.append(f"If {m.column} goes on by {series['mean_growth']:.1f} % a period, the next one comes to {fmt(series['projected'])}.")
     if p.get("pareto_count"):
         said.append(f"With so much of {m.column} in {p['pareto_count']} {plural(a.dimension.column)}, work on these few moves the total most.")
     r = a.frames["numeric"].where(F.col("column") == m.column).first() if "numeric" in a.frames else None

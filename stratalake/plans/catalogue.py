@@ -392,13 +392,9 @@ query(
     SELECT doc_id, round(CASE WHEN n > 0 THEN greatest(0.0, least(100.0, 206.835 - 1.015 * (n / s) - 84.6 * (sy / n))) ELSE 0.0 END, 1) AS reading_ease FROM y""",
     "documents",
 )(lambda df: df.select("doc_id", F.round(X.reading_ease(F.col("text")), 1).alias("reading_ease")))
-_RE2 = {
-    "email": r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b",
-    "url": r"(?i)\bhttps?://[^\s<]+",
-    "phone": fixed.ENTITY_PATTERNS["phone"],
-    "percentage": r"\b\d+(?:\.\d+)?\s?%",
-    "id": r"\b[A-Z]{2,}-\d{3,}\b|\b\d{6,}\b",
-}
+#: The entity patterns with plain edges of words, which SQL's expressions know instead of look-around.
+_PLAIN = {k: p.replace("(?<![A-Za-z0-9_])", r"\b").replace("(?![A-Za-z0-9_])", r"\b") for k, p in fixed.ENTITY_PATTERNS.items()}
+_RE2 = {k: _PLAIN[k] for k in ("email", "url", "phone", "percentage", "id")}
 query(
     "entities",
     " UNION ALL ".join(f"SELECT '{k}' AS kind, sum(n)::BIGINT AS n, count(*) AS docs FROM (SELECT len(regexp_extract_all(text, '{p}')) AS n FROM documents) WHERE n > 0 HAVING count(*) > 0" for k, p in _RE2.items()),
@@ -652,10 +648,7 @@ query(
     SELECT doc_id, par::INTEGER AS par, round(len(list_filter(t, lambda x: list_contains(terms, x))) / len(t), 4) AS density FROM k, l WHERE len(t) > 10 ORDER BY density DESC, doc_id, par LIMIT 5""",
     "documents",
 )(lambda df: documents.key_passages(documents.passages(df).withColumn("place", F.struct("doc_id", "par")), order="place").select("doc_id", "par", "density"))
-_RE2_MORE = {
-    "date": r"\b(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}[-/]\d{1,2}[-/]\d{2,4}|(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)[a-z]*\s+\d{1,2},?\s*\d{4})\b",
-    "currency": fixed.ENTITY_PATTERNS["currency"],
-}
+_RE2_MORE = {k: _PLAIN[k] for k in ("date", "currency")}
 #: Orders in words: a day in one of three forms, and an amount in one of three.
 _TOLD = """SELECT o_orderkey AS doc_id, 'Order of ' || CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%d/%m/%Y') ELSE strftime(o_orderdate, '%b %d, %Y') END || ' for '
     || CASE o_orderkey % 4 WHEN 0 THEN '$' || o_orderkey || '.50 million' WHEN 1 THEN o_orderkey || ' EUR' WHEN 2 THEN '€ 1,' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0') ELSE 'nothing' END AS text FROM orders"""
