@@ -119,8 +119,13 @@ def period_over_period(df: DataFrame, measure: str, date: str, granularity: str
         ends = df.agg(F.date_trunc(unit, F.min(q(date))).alias("a"), F.date_trunc(unit, F.max(q(date))).alias("b"))
         every = ends.select(F.explode(F.sequence("a", "b", F.expr(f"interval {steps[granularity]}"))).alias("t")).select(period_key(F.col("t"), granularity).alias("period")).distinct()
         out = every.join(out, "period", "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    return over_previous(out)
+
+
+def over_previous(periods: DataFrame) -> DataFrame:
+    """Each period's value against that of the period before it."""
     previous = F.lag("value").over(Window.orderBy("period"))  # one row for each period
-    return out.select("period", F.round("value", 4).alias("value"), F.round(previous, 4).alias("previous"), F.round(F.col("value") - previous, 4).alias("delta"), C.percent_change(previous, F.col("value")).alias("growth_pct"))
+    return periods.select("period", F.round("value", 4).alias("value"), F.round(previous, 4).alias("previous"), F.round(F.col("value") - previous, 4).alias("delta"), C.percent_change(previous, F.col("value")).alias("growth_pct"))
 
 
 def series_summary(periods: DataFrame) -> DataFrame:

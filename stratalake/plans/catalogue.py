@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,8 @@ from ..functions import columns as C
 from ..functions import fixed
 from ..functions import text as X
 from ..operators import charts, clean, compare, documents, neighbours, olap, ordered, postings, profile, retrieval
-from ..sources import readers
+from ..sources import readers, scratch
+from ..streaming import increments
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,6 +78,20 @@ query(
 )(lambda df: olap.period_over_period(df, "o_totalprice", "o_orderdate", "day", fill_gaps=True))
 
 
+@query(
+    "stream_periods",
+    f"WITH p AS (SELECT strftime(ts, '%Y-%m-%d') AS period, sum(value::DECIMAL(28,6))::DOUBLE AS value FROM events WHERE value IS NOT NULL GROUP BY 1) {_LAGGED}",
+    "events",
+)
+def _stream_periods(df):
+    """All events replayed as a stream in the order of their time, by day."""
+    path = f"{scratch.folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    df.select("ts", "value").repartitionByRange(4, "ts").write.parquet(f"{path}/events")
+    stream = df.sparkSession.readStream.schema(df.select("ts", "value").schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/events")
+    days, _ = increments.keep_days(increments.day_totals(stream, "value", "ts", "3650 days"), path)
+    return increments.periods_of_days(days, "day")
+
+
 @query(
     "series_summary",
     f"""WITH p AS (SELECT {_PERIODS["month"]} AS period, sum(o_totalprice::DECIMAL(28,6))::DOUBLE AS value FROM orders GROUP BY 1), g AS ({_LAGGED}),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from stratalake.functions import columns as C
 from stratalake.operators import documents, gram, neighbours, olap, ordered, postings, profile, retrieval
+from stratalake.streaming import increments
 
 
 def test_wide_correlations_equal_numpy_and_the_small_form(spark, monkeypatch):
@@ -125,3 +126,14 @@ def test_stored_index_finds_what_scoring_all_chunks_finds(spark, monkeypatch):
         want = retrieval.retrieve(chunks, vectors, held.index, question, 6).collect()
         got = held.search(question, 6).collect()
         assert [(r.id, round(r.score, 9)) for r in got] == [(r.id, round(r.score, 9)) for r in want], question
+
+
+def test_stream_of_days_counts_late_rows(spark, tmp_path):
+    rows = [("2024-01-30 10:00", 1.5), ("2024-01-31 23:59", 2.25), ("2024-02-01 00:00", 4.0), ("2024-03-05 12:00", None), ("2024-03-05 12:00", 1.0)]
+    later = [("2024-03-05 13:00", 2.0)], [("2024-01-02 00:00", 99.0)]
+    for n, some in enumerate((rows, *later)):
+        spark.createDataFrame(some, "ts string, v double").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+    stream = spark.readStream.schema("ts timestamp, v double").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    days, late = increments.keep_days(increments.day_totals(stream, "v", "ts", "1 day"), f"{tmp_path}/out")
+    got = [(r.period, r.value, r.delta) for r in increments.periods_of_days(days).orderBy("period").collect()]
+    assert late == 1 and got == [("2024-01", 3.75, None), ("2024-02", 4.0, 0.25), ("2024-03", 3.0, -1.0)]
