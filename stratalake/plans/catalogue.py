@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions import fixed
 from ..functions import text as X
-from ..operators import charts, clean, compare, documents, neighbours, olap, ordered, postings, profile, retrieval
+from ..operators import charts, clean, compare, documents, neighbours, olap, ordered, postings, profile, retrieval, sketches
 from ..sources import readers, scratch
 from ..streaming import increments
 
@@ -189,6 +189,21 @@ def _describe_sql(tab: str, c: str) -> str:
 
 
 query("describe_numeric", " UNION ALL ".join(_describe_sql("lineitem", c) for c in _NUMBERS), "lineitem")(lambda df: profile.describe_numeric(df, _NUMBERS))
+@query(
+    "profile_merged",
+    """SELECT count(*) AS rows, count(*) - count(o_totalprice) AS nulls, sum(o_totalprice::DECIMAL(28,6))::DOUBLE AS sum, min(o_totalprice) AS min, max(o_totalprice) AS max, true AS unique_near, true AS median_near FROM orders""",
+)
+def _profile_merged(spark, sf_dir):
+    """Profiles of the halves of orders, merged; the estimates are held against exact figures (four standard errors, 1 % of ranks)."""
+    halves = [sketches.profile(h, ["o_totalprice"]) for h in _halves(spark, sf_dir)]
+    told = sketches.described(sketches.merged(halves[0].unionByName(halves[1])))
+    o = table(spark, sf_dir, "orders")
+    exact = o.agg(F.count_distinct(F.col("o_totalprice").cast("string")).alias("u"))
+    below = o.join(F.broadcast(told.select("median"))).agg((F.count_if(F.col("o_totalprice") < F.col("median")) / F.count("*")).alias("share"))
+    near = told.join(F.broadcast(exact)).join(F.broadcast(below))
+    return near.select("rows", "nulls", "sum", "min", "max", (F.abs(F.col("unique") - F.col("u")) <= 0.033 * F.col("u") + 1).alias("unique_near"), F.col("share").between(0.49, 0.51).alias("median_near"))
+
+
 query(
     "describe_dates",
     "SELECT 'o_orderdate' AS \"column\", count(o_orderdate) AS count, min(o_orderdate)::DATE AS min, max(o_orderdate)::DATE AS max, date_diff('day', min(o_orderdate)::DATE, max(o_orderdate)::DATE)::INTEGER AS span_days FROM orders",

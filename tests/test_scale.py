@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalake.functions import columns as C
-from stratalake.operators import documents, gram, neighbours, olap, ordered, postings, profile, retrieval
+from stratalake.operators import documents, gram, neighbours, olap, ordered, postings, profile, retrieval, sketches
 from stratalake.streaming import increments
 
 
@@ -137,3 +137,21 @@ def test_stream_of_days_counts_late_rows(spark, tmp_path):
     days, late = increments.keep_days(increments.day_totals(stream, "v", "ts", "1 day"), f"{tmp_path}/out")
     got = [(r.period, r.value, r.delta) for r in increments.periods_of_days(days).orderBy("period").collect()]
     assert late == 1 and got == [("2024-01", 3.75, None), ("2024-02", 4.0, 0.25), ("2024-03", 3.0, -1.0)]
+
+
+def test_kept_profiles_merge(spark, tmp_path):
+    rnd = random.Random(9)
+    rows = [(i % 3, None if i % 11 == 0 else rnd.gauss(0, 50), rnd.choice(["a", "b", "", None]) if i % 2 else f"w{i}") for i in range(6000)]
+    df = spark.createDataFrame(rows, "d int, v double, w string")
+    for d in range(3):
+        sketches.keep(df.where(F.col("d") == d), ["v", "w"], f"{tmp_path}/h", f"2024-01-0{d + 1}")
+        sketches.keep(df.where(F.col("d") == d), ["v", "w"], f"{tmp_path}/h", f"2024-01-0{d + 1}")
+    got = {r.column: r for r in sketches.described(sketches.kept(df, f"{tmp_path}/h")).collect()}
+    v = sorted(x for _, x, _ in rows if x is not None)
+    assert (got["v"].rows, got["v"].nulls, got["v"].min, got["v"].max) == (6000, 6000 - len(v), v[0], v[-1])
+    assert got["v"].mean == pytest.approx(sum(v) / len(v), abs=1e-3)
+    assert abs(sum(x < got["v"].median for x in v) / len(v) - 0.5) < 0.01 and abs(got["v"].unique - len(v)) < 0.04 * len(v)
+    distinct = {w for *_, w in rows if w}
+    assert abs(got["w"].unique - len(distinct)) < 0.04 * len(distinct) and got["w"].nulls == sum(not w for *_, w in rows) and got["w"].median is None
+    part = sketches.described(sketches.kept(df, f"{tmp_path}/h", "2024-01-02", "2024-01-02")).where("column = 'v'").first()
+    assert part.rows == 2000
