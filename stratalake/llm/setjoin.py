@@ -32,6 +32,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import blake2b
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -181,9 +182,9 @@ def _rows_and_prefixes(docs: DataFrame, rule: Rule, rank_sent, buckets: int, hot
             t, o, m, j = (np.concatenate(x) for x in (tokens, owners, lengths, places))
             where = ((t + _part(t, o, hot) * K.U64(0x9E3779B97F4A7C15)) % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(where, kind="stable")
-            cut = np.searchsorted(where[order], np.arange(buckets + 1))
-            some = [i for i in range(buckets) if cut[i] < cut[i + 1]]
-            at = [order[cut[i] : cut[i + 1]] for i in some]
+            cut = np.flatnonzero(np.diff(where[order], prepend=-1, append=-1)).tolist()  # of the buckets that are there
+            at = [order[a:b] for a, b in pairwise(cut)]
+            some = [int(where[x[0]]) for x in at]
             none = pa.nulls(len(some), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [none, none, none, pa.nulls(len(some), pa.binary()), pa.array(some, pa.int32()), *[pa.array([x[i].tobytes() for i in at], pa.binary()) for x in (t, o, m, j)]],

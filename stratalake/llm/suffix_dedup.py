@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -285,9 +286,11 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _split(where: np.ndarray, buckets: int) -> list[tuple[int, np.ndarray]]:
+    """The buckets that are there, in order, each with the places of its entries."""
     order = np.argsort(where, kind="stable")
-    cut = np.searchsorted(where[order], np.arange(buckets + 1))
-    return [(i, order[cut[i] : cut[i + 1]]) for i in range(buckets) if cut[i] < cut[i + 1]]
+    order = order[np.searchsorted(where[order], 0) : np.searchsorted(where[order], buckets)]
+    cut = np.flatnonzero(np.diff(where[order], prepend=-1, append=-1))
+    return [(int(where[order[a]]), order[a:b]) for a, b in pairwise(cut.tolist())]
 
 
 def gram_marks(block: int, table: pa.Table, length: int, gram: int, buckets: int) -> pa.Table:
