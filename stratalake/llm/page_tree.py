@@ -56,8 +56,13 @@ NAMED = _words(
     "ad ads adbox adslot adunit advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion popup modal overlay "
     "cookie cookies consent gdpr notice disclaimer alert toolbar sidebar aside rail widget widgets menu navbar nav navigation breadcrumb breadcrumbs "
     "pagination pager footer masthead topbar share sharing social related recommended recommendations teaser newsletter subscribe subscription signup "
-    "login search comment comments commentlist respond reply replies discussion disqus talkback skip copyright outbrain taboola"
+    "login search comment comments commentlist respond reply replies discussion disqus talkback skip copyright outbrain taboola "
+    "kommentar kommentare commentaires comentarios werbung anzeige publicite publicidad"
 )
+#: Words that tell the same inside longer ones (cookiebar, leftsidebar).
+WITHIN = ("cookie", "advert", "sidebar", "comments", "newsletter", "breadcrumb", "popup", "sponsor", "consent", "navigation")
+#: Names of a page's head, unless they speak of an article's.
+HEADS, OF_ARTICLE = _words("header head topbar masthead"), _words("article post entry content story")
 HOLDS = _words("article main")
 #: Containers that are told apart by their place among their parent's children of the kind, if they have no name.
 PLACED = _words("div section table tbody tr td center dl ul ol")
@@ -74,16 +79,18 @@ def _path(above: int, name: str, named: str) -> int:
 
 
 @lru_cache(1 << 12)
-def _attributes(rest: str, top: bool) -> tuple[int, str, str]:
-    """noise, holds and the names of a start tag by its attributes."""
+def _attributes(rest: str, top: bool) -> tuple[int, str, str, bool]:
+    """noise, holds, the names of a start tag by its attributes, and whether they name the head of a page."""
     found = {k.lower(): html.unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(rest)}
     role, named, noise = found.get("role", "").strip().lower(), f"{found.get('class', '')} {found.get('id', '')}", 0
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or _UNSEEN.search(found.get("style", "")):
         noise = 2
-    elif role in ROLES or (not top and any(w.lower() in NAMED for w in _NAME.findall(named))):
+    words = [w.lower() for w in _NAME.findall(named)]
+    if not noise and (role in ROLES or (not top and any(w in NAMED or any(x in w for x in WITHIN) for w in words))):
         noise = 1
     holds = "main" if role == "main" or found.get("itemprop", "").lower() == "articlebody" else ""
-    return noise, holds, " ".join(sorted({_DIGITS.sub("0", w).lower() for w in named.split()}))
+    heads = not top and not HEADS.isdisjoint(words) and OF_ARTICLE.isdisjoint(words)
+    return noise, holds, " ".join(sorted({_DIGITS.sub("0", w).lower() for w in named.split()})), heads
 
 
 class Page:
@@ -166,8 +173,8 @@ class Page:
         if name == "header" and not self._inside(parent):
             noise = 1
         if _TELLS.search(rest):
-            marked, holder, named = _attributes(rest, name in ("html", "body"))
-            noise, holds = max(noise, marked), holds or holder
+            marked, holder, named, heads = _attributes(rest, name in ("html", "body"))
+            noise, holds = max(noise, marked, int(heads and not self._inside(parent))), holds or holder
         return (2 if self.noise[parent] == 2 else noise), holds, named
 
     def _inside(self, node: int) -> bool:

@@ -56,6 +56,8 @@ ODD = [
     ("<div>" * 3000 + "deep" + "</div>" * 3000, "deep"),
     ("<article><p>" + "long " * 200_000 + "</p></article>", ("long " * 200_000).strip()),
     ("<article><p>cut <b", "cut"),
+    ("<div id=siteHeader>site</div><div class='post-header'><h1>T</h1></div><p>x</p><div class=cookiebar>c</div><div class=LeftSidebar2>s</div>", "T x"),
+    ("<main><div class=header><h1>T</h1></div><p>x</p></main><section id='comments-area'>mine</section>", "T x"),
 ]
 
 
