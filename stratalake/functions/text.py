@@ -26,9 +26,8 @@ def question_tokens(text: Column) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    none = F.array().cast("array<string>")
-    cut = lambda s: F.when(F.length(s) >= 3, F.transform(F.sequence(F.lit(1), F.length(s) - 2), lambda i: s.substr(i, F.lit(3)))).otherwise(none)
-    return let(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]", ""), cut)
+    """Every three letters or digits in a row, overlaps included; one pass, as a place in a string is found by counting from its start."""
+    return F.regexp_extract_all(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]", ""), F.lit("(?=([a-z0-9]{3}))"), F.lit(1))
 
 
 def words(text: Column) -> Column:

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from hypothesis import given
@@ -46,3 +47,10 @@ def test_compact_text_is_short(v):
 @pytest.mark.parametrize(("word", "many"), [("category", "categories"), ("box", "boxes"), ("day", "days"), ("class", "classes")])
 def test_plural(word, many):
     assert C.plural(word) == many
+
+
+def test_trigrams_of_a_long_text_take_one_pass(spark):
+    df = spark.range(1).select(F.repeat(F.lit("aB-9é"), 100_000).alias("t"))
+    start = time.time()
+    got = {tuple(r) for r in df.select(F.explode(X.trigrams(F.col("t"))).alias("gram")).groupBy("gram").count().collect()}
+    assert got == {("ab9", 100_000), ("b9a", 99_999), ("9ab", 99_999)} and time.time() - start < 20
