@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,39 +40,65 @@ def _terms(chunks: DataFrame) -> DataFrame:
     return chunks.select("id", F.explode(X.question_tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("n"))
 
 
-def fit_index(chunks: DataFrame) -> DataFrame:
-    """term and idf of the WORD_DIMENSIONS most frequent terms (ties: by term)."""
-    df = _terms(chunks).groupBy("term").agg(F.count("*").alias("df"))
+def fit_index(chunks: DataFrame, distinct: bool = False) -> DataFrame:
+    """term and idf of the WORD_DIMENSIONS most frequent terms (ties: by term); with `distinct` ids, terms are counted row by row."""
+    if distinct:
+        df = chunks.select(F.explode(F.array_distinct(X.question_tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    else:
+        df = _terms(chunks).groupBy("term").agg(F.count("*").alias("df"))
     n = F.broadcast(chunks.agg(F.count("*").alias("n")))
     return df.join(n).select("term", "df", (F.ln((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf")).orderBy(F.desc("df"), "term").limit(WORD_DIMENSIONS)
 
 
-def trigram_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, bucket and count of the trigrams of texts of ASCII letters and digits."""
-    for batch in batches:
-        ids, found, counts = [], [], []
-        for i, text in enumerate(batch["s"].to_pylist()):
+def read_for_vectors(chunks: DataFrame, *more: str) -> DataFrame:
+    """id, `more`, `t` (words) and `s` (letters and digits): what `Weigher` takes."""
+    return chunks.select("id", *more, X.question_tokens(F.col("text")).alias("t"), F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]", "").alias("s"))
+
+
+class Weigher:
+    """Weights of chunks in a task: tf/length * idf of words and 1 + ln(count) of hashed trigrams, one vector of length 1.
+
+    It holds the index (WORD_DIMENSIONS rows at most); dimensions are numbered words first, then buckets.
+    """
+
+    def __init__(self, index: DataFrame):
+        known = index.select("term", "idf").collect()
+        self.terms, self.idf = [r["term"] for r in known], np.array([r["idf"] for r in known], dtype=np.float64)
+        self.dims = [f"w:{t}" for t in self.terms] + [f"g:{b}" for b in range(BUCKETS)]
+
+    def weights(self, t: pa.ListArray, s: pa.StringArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """row, dimension and weight, by dimension and then by row."""
+        words, sizes = len(self.terms), np.diff(t.offsets.to_numpy())
+        found = pc.index_in(t.flatten(), value_set=pa.array(self.terms, pa.string())).to_numpy(zero_copy_only=False)
+        row, here = np.repeat(np.arange(len(t)), sizes), ~np.isnan(found)
+        keys, n = np.unique(found[here].astype(np.int64) * len(t) + row[here], return_counts=True)
+        dim, at = np.divmod(keys, max(1, len(t)))
+        weight = n / sizes[at] * self.idf[dim]
+        grams = np.zeros((len(t), BUCKETS), np.int64)
+        for i, text in enumerate(s.to_pylist()):
             c = np.frombuffer(text.encode(), np.uint8).astype(np.int64)
-            n = np.bincount((961 * c[:-2] + 31 * c[1:-1] + c[2:]) % BUCKETS, minlength=BUCKETS) if len(c) > 2 else np.zeros(BUCKETS, np.int64)
-            some = np.flatnonzero(n)
-            ids.append(np.full(len(some), i))
-            found.append(some)
-            counts.append(n[some])
-        at, b, n = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (ids, found, counts))
-        yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(at)), pa.array(b, pa.int32()), pa.array(n, pa.int64())], ["id", "b", "n"])
+            if len(c) > 2:
+                grams[i] = np.bincount((961 * c[:-2] + 31 * c[1:-1] + c[2:]) % BUCKETS, minlength=BUCKETS)
+        bucket, place = np.nonzero(grams.T)
+        dim, at = np.concatenate((dim, words + bucket)), np.concatenate((at, place))
+        weight = np.concatenate((weight, 1 + np.log(grams[place, bucket])))
+        norm = np.sqrt(np.bincount(at, weight * weight, len(t)))
+        return at, dim, weight / norm[at]
 
 
 def embed(chunks: DataFrame, index: DataFrame) -> DataFrame:
-    """id, dim, weight: tf/length * idf of words and 1 + ln(count) of hashed trigrams, one vector of length 1."""
-    words = _terms(chunks)
-    length = words.groupBy("id").agg(F.sum("n").alias("len"))
-    known = words.join(F.broadcast(index), "term").join(length, "id")
-    by_word = known.select("id", F.concat(F.lit("w:"), "term").alias("dim"), (F.col("n") / F.col("len") * F.col("idf")).alias("weight"))
-    plain = chunks.select("id", F.regexp_replace(F.lower(F.coalesce("text", F.lit(""))), "[^a-z0-9]", "").alias("s"))
-    grams = plain.mapInArrow(trigram_buckets, f"id {chunks.schema['id'].dataType.simpleString()}, b int, n long")
-    both = by_word.unionByName(grams.select("id", F.concat(F.lit("g:"), F.col("b").cast("string")).alias("dim"), (1 + F.ln("n")).alias("weight")))
-    norms = both.groupBy("id").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    return both.join(norms, "id").select("id", "dim", (F.col("weight") / F.col("norm")).alias("weight"))
+    """id, dim, weight of each chunk (`Weigher`); ids are distinct."""
+    by = Weigher(index)
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dims = pa.array(by.dims, pa.string())
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                at, dim, weight = by.weights(part["t"], part["s"])
+                yield pa.RecordBatch.from_arrays([part["id"].take(pa.array(at)), dims.take(pa.array(dim)), pa.array(weight)], ["id", "dim", "weight"])
+
+    return read_for_vectors(chunks).mapInArrow(build, f"id {chunks.schema['id'].dataType.simpleString()}, dim string, weight double")
 
 
 def expand(question: str) -> list[str]:

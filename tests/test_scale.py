@@ -128,6 +128,16 @@ def test_stored_index_finds_what_scoring_all_chunks_finds(spark, monkeypatch):
         assert [(r.id, round(r.score, 9)) for r in got] == [(r.id, round(r.score, 9)) for r in want], question
 
 
+def test_index_is_made_where_the_chunks_lie(spark, monkeypatch):
+    plans, keep = [], postings.written
+    monkeypatch.setattr(postings, "written", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    chunks = spark.createDataFrame([(f"c{i}", "document", f"word{i % 9} and word{i % 7} abc") for i in range(300)], "id string, family string, text string")
+    held = postings.build(chunks)
+    dealt = [[line for line in p.splitlines() if "Exchange" in line] for p in plans]
+    assert not dealt[0] and not dealt[2] and not any("id#" in line for line in dealt[1])  # but for counts of terms
+    assert held.table.agg(F.sum(F.size("at"))).first()[0] == retrieval.embed(chunks, held.index).count()
+
+
 def test_stream_of_days_counts_late_rows(spark, tmp_path):
     rows = [("2024-01-30 10:00", 1.5), ("2024-01-31 23:59", 2.25), ("2024-02-01 00:00", 4.0), ("2024-03-05 12:00", None), ("2024-03-05 12:00", 1.0)]
     later = [("2024-03-05 13:00", 2.0)], [("2024-01-02 00:00", 99.0)]
