@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +16,7 @@ from ..functions import columns as C
 from ..functions import fixed
 from ..functions import text as X
 from ..sources.scratch import written
-from .ordered import PART, stored
+from .ordered import stored
 from .retrieval import vectors_of
 
 
@@ -39,49 +41,94 @@ def leading_paragraphs(docs: DataFrame, doc: str = "doc_id", text: str = "text",
 def keywords(units: DataFrame, top: int = 15, by: list[str] | None = None, text: str = "text", unicode: bool = False) -> DataFrame:
     """term, tf, df and score = tf * (ln((N + 1) / (df + 1)) + 1) of the top terms, of all units or within each `by`.
 
-    Term counts are pre-aggregated; the frames joined hold a row for each term or group.
+    Tasks count batch by batch, so what is dealt and written is a row for each term or group, not for a unit's terms.
     """
     by = by or []
-    numbered = units.select(*by, text, F.monotonically_increasing_id().alias("__u"))
-    terms = numbered.select(*by, "__u", F.explode(X.tokens(F.col(text), unicode)).alias("term"))
-    counts = terms.groupBy(*by, "term", "__u").agg(F.count("*").alias("n")).groupBy(*by, "term").agg(F.sum("n").alias("tf"), F.count("*").alias("df"))
-    if by:
-        sized = counts.join(units.groupBy(*by).agg(F.count("*").alias("__n")), by)
-    else:
-        sized = counts.join(F.broadcast(units.agg(F.count("*").alias("__n"))))
+    counts = written(_term_counts(units.select(*by, _read(F.col(text), unicode).alias("__t")), by).groupBy(*by, "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df")))
+    size = counts.where("term is null").select(*by, F.col("df").alias("__n"))
+    terms = counts.where("term is not null")
+    sized = terms.join(size, by) if by else terms.join(F.broadcast(size))
     scored = sized.select(*by, "term", "tf", "df", F.round(F.col("tf") * (F.ln((F.col("__n") + 1) / (F.col("df") + 1)) + 1), 4).alias("score"))
     if not by:
         return scored.orderBy(F.desc("score"), "term").limit(top)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("score"), "term"))).where(F.col("rank") <= top)
 
 
+#: Bytes of ASCII letters and digits as they are, all others as a space.
+_PLAIN = np.array([b if chr(b).isascii() and chr(b).isalnum() else 32 for b in range(256)], np.uint8)
+
+
+def _read(text: Column, unicode: bool = False) -> Column:
+    """What `_coded` takes: texts in lower case, or their tokens."""
+    return X.tokens(text, True) if unicode else F.lower(F.coalesce(text, F.lit("")))
+
+
+def _coded(read: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """The row and the code of each token of a batch, and the words of the codes: the tokens of `functions.text.tokens`."""
+    if pa.types.is_string(read.type):
+        _, offsets, data = read.buffers()
+        plain = _PLAIN[np.frombuffer(data, np.uint8)] if data else np.zeros(0, np.uint8)
+        read = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(read), [None, offsets, pa.py_buffer(plain)], offset=read.offset))
+    found = read.flatten().dictionary_encode()
+    row, code, words = np.repeat(np.arange(len(read)), np.diff(read.offsets.to_numpy())), found.indices.to_numpy().astype(np.int64), found.dictionary
+    kept = pc.and_(pc.greater(pc.utf8_length(words), 1), pc.invert(pc.is_in(words, value_set=pa.array(fixed.STOP_WORDS)))).to_numpy(zero_copy_only=False)
+    number, here = np.cumsum(kept) - 1, kept[code]
+    return row[here], number[code[here]], words.filter(pa.array(kept))
+
+
+def _term_counts(read: DataFrame, by: list[str]) -> DataFrame:
+    """`by`, term, tf and df of each batch of `__t`; a row without a term has the number of units as df."""
+    names = [*by, "term", "tf", "df"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            group = np.zeros(n, np.int64)
+            for c in by:
+                codes = batch[c].dictionary_encode(null_encoding="encode").indices.to_numpy()
+                group = np.unique(group * (int(codes.max()) + 1) + codes, return_inverse=True)[1]
+            first = np.unique(group, return_index=True)[1]
+            row, code, words = _coded(batch["__t"])
+            keys, tf = np.unique(group[row] * len(words) + code, return_counts=True)
+            df = np.unique(np.unique((group[row] * len(words) + code) * n + row) // n, return_counts=True)[1]
+            of, term = np.divmod(keys, max(1, len(words)))
+            every = np.arange(len(first))  # the groups as a whole
+            terms = pa.concat_arrays([words.take(pa.array(term)), pa.nulls(len(first), words.type)])
+            at = pa.array(first[np.concatenate((of, every))])
+            cut = [batch[c].take(at) for c in by]
+            yield pa.RecordBatch.from_arrays([*cut, terms, pa.array(np.concatenate((tf, 0 * every))), pa.array(np.concatenate((df, np.bincount(group))))], names)
+
+    kinds = [f for f in read.schema.fields if f.name in by]
+    return read.mapInArrow(count, T.StructType([*sorted(kinds, key=lambda f: by.index(f.name)), T.StructField("term", T.StringType()), T.StructField("tf", T.LongType()), T.StructField("df", T.LongType())]))
+
+
 def entity_counts(docs: DataFrame, doc: str = "doc_id", text: str = "text", kinds: tuple[str, ...] | None = None) -> DataFrame:
     """A row for each document and kind that occurs: n and the first distinct samples."""
     found = [F.struct(F.lit(k).alias("kind"), X.entity_summary(F.col(text), k).alias("x")) for k in kinds or fixed.ENTITY_PATTERNS]
     return docs.select(doc, F.explode(F.array(*found)).alias("k")).select(doc, "k.kind", "k.x.n", "k.x.samples").where("n > 0")
 
 
-def word_bucket(word: Column, dimensions: int = 64) -> Column:
+def word_bucket(word: str, dimensions: int = 64) -> int:
     """One of up to 256 numbers for a word, by the first two digits of its digest."""
-    digit = lambda i: F.instr(F.lit("0123456789abcdef"), F.substring(F.md5(word), i, 1)) - 1
-    return (16 * digit(1) + digit(2)) % dimensions
+    return hashlib.md5(word.encode(), usedforsecurity=False).digest()[0] % dimensions
 
 
 def hashed_words(units: DataFrame, dimensions: int = 64) -> DataFrame:
     """The units that have words, with `__v`: counts of their hashed words as a vector of length 1."""
-    counted = units.withColumn("__v", F.transform(X.tokens(F.col("text")), lambda w: word_bucket(w, dimensions)))
+    counted = units.withColumn("__t", _read(F.col("text")))
     names = units.columns
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = batch["__v"]
-            n, sizes = batch.num_rows, np.diff(found.offsets.to_numpy())
-            at = np.repeat(np.arange(n), sizes) * dimensions + found.flatten().to_numpy()
-            x = np.bincount(at, minlength=n * dimensions).reshape(n, dimensions).astype(np.float64)
+            n, (row, code, words) = batch.num_rows, _coded(batch["__t"])
+            buckets = np.array([word_bucket(w, dimensions) for w in words.to_pylist()], np.int64)  # of each word once
+            x = np.bincount(row * dimensions + buckets[code], minlength=n * dimensions).reshape(n, dimensions).astype(np.float64)
             x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-300)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * dimensions, pa.int32()), pa.array(x.ravel()))
             out = pa.RecordBatch.from_arrays([*[batch[c] for c in names], lists], [*names, "__v"])
-            yield out.filter(pa.array(sizes > 0))
+            yield out.filter(pa.array(np.bincount(row, minlength=n) > 0))
 
     return counted.mapInArrow(vectors, T.StructType([*units.schema.fields, T.StructField("__v", T.ArrayType(T.DoubleType()))]))
 
@@ -104,7 +151,8 @@ def spherical_kmeans(vectors: DataFrame, starts: np.ndarray, rounds: int, seed:
         def step(batches: Iterator[pa.RecordBatch], best=best) -> Iterator[pa.RecordBatch]:
             sums = np.zeros((k, width))
             for batch in batches:
-                np.add.at(sums, best(batch["__v"]), vectors_of(batch["__v"]))
+                mine = best(batch["__v"])[:, None] == np.arange(k)
+                sums += mine.T.astype(np.float64) @ vectors_of(batch["__v"])
             cluster, dim = np.divmod(np.arange(k * width), width)
             yield pa.RecordBatch.from_arrays([pa.array(cluster, pa.int32()), pa.array(dim, pa.int32()), pa.array(sums.ravel())], ["cluster", "dim", "x"])
 
@@ -123,31 +171,45 @@ def spherical_kmeans(vectors: DataFrame, starts: np.ndarray, rounds: int, seed:
 
 def topics(units: DataFrame, k: int = 4, seed: int = 7, dimensions: int = 64, rounds: int = 12, order: tuple[str, ...] = ("doc_id", "par")) -> DataFrame:
     """The units with `cluster`: spherical k-means over hashed words, from evenly spaced units; fewer than eight units have none."""
-    held = stored(written(hashed_words(units, dimensions)), list(order))  # written, as ranges are sampled first
+    base = written(hashed_words(units, dimensions))
+    held = stored(base.select(*order, "__v"), list(order))  # the texts stay where they are
     if held.rows < 8:
         return units.withColumn("cluster", F.lit(None).cast("int")).limit(0)
     starts = np.array([held.page(i * held.rows // k, 1).first()["__v"] for i in range(k)])
-    best = _assign(spherical_kmeans(held.table, starts, rounds, seed))
-    schema = held.table.drop(PART, "__v").schema
+    best = _assign(spherical_kmeans(base, starts, rounds, seed))
+    schema = base.drop("__v").schema
     names = schema.names
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([*[batch[n] for n in names], pa.array(best(batch["__v"]), pa.int32())], [*names, "cluster"])
 
-    return held.table.drop(PART).mapInArrow(label, T.StructType([*schema.fields, T.StructField("cluster", T.IntegerType())]))
+    return base.mapInArrow(label, T.StructType([*schema.fields, T.StructField("cluster", T.IntegerType())]))
 
 
 def topic_summary(clustered: DataFrame, order: list[str], top: int = 8) -> DataFrame:
     words = keywords(clustered, top, ["cluster"]).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda x: x["term"]).alias("keywords"))
-    heads = clustered.groupBy("cluster").agg(F.count("*").alias("size"), C.snippet(F.min_by("text", F.struct(*order)), 160).alias("representative"))
+    cut = clustered.select("cluster", C.snippet(F.col("text"), 160).alias("text"), F.struct(*order).alias("at"))  # only the heads of texts are sorted
+    heads = cut.groupBy("cluster").agg(F.count("*").alias("size"), F.min_by("text", "at").alias("representative"))
     return heads.join(words, "cluster").orderBy(F.desc("size"), "cluster")
 
 
 def key_passages(units: DataFrame, top: int = 5, order: str = "par") -> DataFrame:
     """The passages of over ten tokens that are densest in the 30 leading keywords."""
-    lead = F.broadcast(keywords(units, 30).agg(F.collect_set("term").alias("__lead")))
-    t = X.tokens(F.col("text"))
-    scored = units.withColumn("__t", t).where(F.size("__t") > 10).join(lead)
-    density = F.size(F.filter("__t", lambda x: F.array_contains("__lead", x))) / F.size("__t")
-    return scored.withColumn("density", F.round(density, 4)).drop("__t", "__lead").orderBy(F.desc("density"), order).limit(top)
+    lead = pa.array([r["term"] for r in keywords(units, 30).select("term").collect()], pa.string())
+    names = units.columns
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, code, words = _coded(batch["__t"])
+            sizes = np.bincount(row, minlength=batch.num_rows)
+            hits = pc.is_in(words, value_set=lead).to_numpy(zero_copy_only=False)[code]
+            found = np.bincount(row[hits], minlength=batch.num_rows) / np.maximum(sizes, 1)
+            kept = sizes > 10
+            if kept.sum() > top:  # those that round to the last place or above it
+                kept &= found >= np.sort(found[kept])[-top] - 1e-4
+            yield pa.RecordBatch.from_arrays([*[batch[c] for c in names], pa.array(found)], [*names, "density"]).filter(pa.array(kept))
+
+    schema = T.StructType([*units.schema.fields, T.StructField("density", T.DoubleType())])
+    scored = units.withColumn("__t", _read(F.col("text"))).mapInArrow(dense, schema)
+    return scored.withColumn("density", F.round("density", 4)).orderBy(F.desc("density"), order).limit(top)

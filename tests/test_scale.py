@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratalake.functions import columns as C
+from stratalake.functions import text as X
 from stratalake.operators import documents, gram, neighbours, olap, ordered, postings, profile, retrieval, sketches
 from stratalake.streaming import increments
 
@@ -165,3 +166,17 @@ def test_kept_profiles_merge(spark, tmp_path):
     assert abs(got["w"].unique - len(distinct)) < 0.04 * len(distinct) and got["w"].nulls == sum(not w for *_, w in rows) and got["w"].median is None
     part = sketches.described(sketches.kept(df, f"{tmp_path}/h", "2024-01-02", "2024-01-02")).where("column = 'v'").first()
     assert part.rows == 2000
+
+
+def test_terms_are_counted_in_tasks_as_tokens_are(spark, monkeypatch):
+    dealt, keep = [], documents.written
+    monkeypatch.setattr(documents, "written", lambda df: dealt.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    texts = ["Of the_K.İx wörd\x0b42\x1cab a b ab", None, "", "!!", "ab AB the\n\nof", "é1é22é333 ab"]
+    df = spark.createDataFrame([(i % 2 if i % 3 else None, t) for i, t in enumerate(texts * 3)], "g int, text string").repartition(3)
+    for by in ([], ["g"]):
+        for unicode in (False, True):
+            got = {tuple(r) for r in documents.keywords(df, 99, by, unicode=unicode).select(*by, "term", "tf", "df").collect()}
+            each = df.withColumn("u", F.monotonically_increasing_id()).select(*by, "u", F.explode(X.tokens(F.col("text"), unicode)).alias("term"))
+            want = {tuple(r) for r in each.groupBy(*by, "term").agg(F.count("*"), F.count_distinct("u")).collect() if not by or r.g is not None}
+            assert got == want and len(got) >= 4
+    assert not any("__u" in p for p in dealt) and len(dealt) == 4  # no unit of a term is dealt
