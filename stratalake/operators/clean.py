@@ -82,7 +82,7 @@ class Cleaned:
 def clean(df: DataFrame, impute: bool = True, drop_duplicates: bool = True) -> Cleaned:
     """Types, coercion, gaps, fills, then duplicates; a value that does not fit its column's type becomes null.
 
-    The coerced rows are written once, and what follows reads them.
+    The coerced rows are written once, and what follows reads them; rows without duplicates are written again.
     """
     df = df if ROW_ID in df.columns else with_row_id(df)
     names = [c for c in df.columns if c != ROW_ID]
@@ -111,8 +111,8 @@ def clean(df: DataFrame, impute: bool = True, drop_duplicates: bool = True) -> C
     groups = typed.select(key.alias("k")).groupBy("k").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).first()[0]
     if groups:
         log.append({"step": "deduplication", "column": None, "detail": "removed" if drop_duplicates else "counted", "count": groups})
-    if drop_duplicates:
-        typed = deduplicate(typed, names)
+    if drop_duplicates and groups:  # rows of distinct hashes are distinct
+        typed = written(deduplicate(typed, names))
     return Cleaned(typed, types, nulls, groups, groups if drop_duplicates else 0, log)
 
 
