@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 
 from . import fixed
 
-_EDGE = r"^[\s ﻿]+|[\s ﻿]+$"
+#: White space of expressions, no-break space, byte order mark.
+_EDGE = " \t\n\x0b\f\r\u00a0\ufeff"
+#: What a number can be made of; only such values are taken apart.
+_PARTS = rf"^[\d.,+\-eE()%\s\u00a0\ufeff{fixed.CURRENCY_SIGNS}]+$"
+#: How the patterns of days begin.
+_DAY_START = r"^(\d{1,4}[-/.\s]|[A-Za-z]{3,9}\s)"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def trimmed(c: Column) -> Column:
     """Trim all white space, no-break spaces and byte order marks."""
-    return F.regexp_replace(c.cast("string"), _EDGE, "")
+    return F.btrim(c.cast("string"), F.lit(_EDGE))
 
 
 def is_nullish(c: Column) -> Column:
@@ -54,12 +59,16 @@ def to_number(raw: Column, decimal_comma: bool = False) -> Column:
         scale = F.when(s.rlike(r"^\(.*\)$"), -1.0).otherwise(1.0) * F.when(s.contains("%"), 0.01).otherwise(1.0)
         return let(plain(trimmed(bare)), lambda n: F.when(n.rlike(_NUMBER), n.try_cast("double"))) * scale
 
-    return let(trimmed(raw), signed)
+    def read(s: Column) -> Column:
+        dirty = F.when(s.rlike(_PARTS), signed(s))
+        return dirty if decimal_comma else F.when(s.rlike(_NUMBER), s.try_cast("double")).otherwise(dirty)
+
+    return let(trimmed(raw), read)
 
 
 def to_day(raw: Column) -> Column:
     """Date, or null: the first of the patterns in order that gives a day of the calendar."""
-    return let(trimmed(raw), _day_of)
+    return let(trimmed(raw), lambda s: F.when(s.rlike(_DAY_START), _day_of(s)))
 
 
 def _day_of(s: Column) -> Column:
