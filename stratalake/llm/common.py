@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,16 +38,45 @@ def stash(df: DataFrame) -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends here, and lost executors cost nothing."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stash-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
+    if hasattr(df, "_buckets"):
+        return _save_buckets(df, f"spark_catalog.default.stash_{uuid.uuid4().hex}", path, "error")
+    df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._stash = path
     return back
 
 
+def bucketed(df: DataFrame, by: str, into: int) -> DataFrame:
+    """`df`, to be stashed in buckets of `by`: rows stay in their tasks, and grouping what is read back by `by` moves nothing."""
+    df._buckets = (into, by)
+    return df
+
+
+def _save_buckets(df: DataFrame, name: str, path: str, mode: str) -> DataFrame:
+    df.write.option("compression", "zstd").bucketBy(*df._buckets).mode(mode).saveAsTable(name, format="parquet", path=path)
+    df.sparkSession.catalog.refreshTable(name)
+    back = df.sparkSession.table(name)
+    back._stash, back._table = path, name
+    return back
+
+
+def extend(stashed: DataFrame, df: DataFrame) -> DataFrame:
+    """A table that `stash` wrote in buckets, with the rows of `df` (in such buckets, too) added to it."""
+    return _save_buckets(df, stashed._table, stashed._stash, "append")
+
+
+def unlist(*stashes: DataFrame) -> None:
+    """Take tables in buckets out of the catalogue; their files stay, and frames read on."""
+    for df in stashes:
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._table}")
+
+
 def forget(*stashes: DataFrame) -> None:
     """Delete tables that `stash` gave, once no frame reads them any more."""
     for df in stashes:
+        if hasattr(df, "_table"):
+            unlist(df)
         _delete(df.sparkSession, df._stash)
         _written.remove((df.sparkSession, df._stash))
 
@@ -67,6 +97,20 @@ def _clear() -> None:
             _delete(spark, path)
 
 
+@contextlib.contextmanager
+def same_splits(spark: SparkSession) -> Iterator[None]:
+    """Inside, files are split among tasks in the same way every time, even if executors come or go."""
+    key = "spark.sql.files.minPartitionNum"
+    before = spark.conf.get(key, None)
+    if before is None:
+        spark.conf.set(key, spark.sparkContext.defaultParallelism)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop the input's columns that carry (in any case) a name that an operator is about to give."""
     taken = {n.lower() for n in names}

@@ -299,6 +299,47 @@ def test_media_chunks_are_shared_and_stored(spark, monkeypatch):
     assert {bytes(r["digest"]) for r in store.collect()} == a | b and store.count() == len(a | b)
 
 
+def kept_on_disk(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return sum(files.apply(i).length() for i in range(files.size()))
+
+
+def test_media_chunks_stay_in_their_tasks(spark, tmp_path):
+    rnd = random.Random(11)
+    texts = [" ".join(f"{rnd.getrandbits(60):x}" for _ in range(150)) for _ in range(1500)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    before = kept_on_disk(spark)
+    assert len(media.op6_media_chunks(spark.read.parquet(f"{tmp_path}/docs")).collect()) == 1500
+    # names move and shared chunks, not the texts
+    assert kept_on_disk(spark) - before < 0.5 * sum(map(len, texts))
+
+
+def test_media_packs_and_waves(spark, tmp_path):
+    rnd = random.Random(12)
+    say = lambda n: " ".join(rnd.choice(WORDS) + str(rnd.randrange(1000)) for _ in range(n))
+    passages = [say(80) for _ in range(6)]
+    texts = [say(30) + "\n" + passages[i % 6] + "\n" + say(30) for i in range(240)]
+    texts += texts[:40] + [passages[0]] * 60 + ["", None, None, "x" * 30000]
+    data = dict(enumerate(texts))
+    spark.createDataFrame(list(data.items()), "doc_id long, text string").repartition(7).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    listed, store = media.chunk_store(docs, each=6000, one_wave=0)
+    digests = [bytes(r["digest"]) for r in store.collect()]
+    assert len(digests) == len(set(digests)) and set(digests) == {bytes(d) for r in media.recipes(docs).collect() for d in r["digests"]}
+    assert store.select("pack").distinct().count() > 20 and store.where("size(wants) > 5").count() > 0
+    made = {bytes(r["payload"]) for r in media.rebuilt(listed, store, payload=True).collect()}
+    full = {raw + b"\xff" * (media.padded(len(raw)) - len(raw)) for raw in ((t or "").encode() for t in texts)}
+    assert made == full
+    # what comes out of a shuffle has no order that a second reading keeps
+    assert not hasattr(media.steady(docs), "_stash") and hasattr(media.steady(docs.repartition("doc_id")), "_stash")
+    rows = sorted(media.op6_media_chunks(docs).collect())
+    assert rows == sorted(media.op6_media_chunks(docs.repartition("doc_id")).collect()) and [r["doc_id"] for r in rows] == sorted(data)
+    # bytes of which the store has lost some are not passed over
+    with pytest.raises(Exception, match="not in the store"):
+        media.rebuilt(listed, store.where("place > 0")).collect()
+    assert spark.conf.get("spark.sql.files.minPartitionNum", None) is None and not [t for t in spark.catalog.listTables() if t.name.startswith("stash_")]
+
+
 def removed(rows, length):
     first = {}
     for d, t in sorted(rows, key=lambda r: r[0]):
