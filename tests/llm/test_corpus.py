@@ -7,6 +7,8 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 
 import corpus_pipeline
@@ -381,6 +383,67 @@ def test_anchors_of_pieces(monkeypatch):
         assert np.array_equal(np.concatenate([p[i] for p in parts]), whole[0][i])
 
 
+def anchored(texts, first=0):
+    table = pa.table({"text": texts, "doc": pa.array(range(first, first + len(texts)), pa.int64())})
+    found = [g for _, _, part, off in suffix_dedup._slices(table) for g in suffix_dedup.gaps(part, off, 50, 16)]
+    return table.append_column("gaps", pa.array(found, pa.binary()))
+
+
+def test_suffix_marks():
+    """Grams that documents share by chance ship no context, shared halves of windows do; places of anchors come back from their gaps."""
+    rnd = random.Random(16)
+    word = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    shared = [word(16) for _ in range(40)]
+    texts = ["", "short", *[" ".join(x for g in rnd.sample(shared, 40) for x in (word(17), g)) for _ in range(30)], "", "é" * 40]
+    blocks = [anchored(texts[:15]), anchored(texts[15:], 15)]
+    for table in blocks:
+        for a, _, part, off, _, some in suffix_dedup._anchored(table, 50, 16):
+            place, row, _ = suffix_dedup.anchors(part, off, 50, 16)
+            assert a == 0 and np.array_equal(np.concatenate([p for p, _ in some]), place) and np.array_equal(np.concatenate([r for _, r in some]), row)
+    grams = [h for t in blocks for _, _, part, off in suffix_dedup._slices(t) for h in set(suffix_dedup.anchors(part, off, 50, 16)[2].tolist())]
+    assert len(grams) > len(set(grams)) + 5  # some stand in both blocks
+
+    def shipped(tables, hot=50_000):
+        n = len(tables)
+        marks = pa.concat_tables([suffix_dedup.gram_marks(i, t, 50, 16, n, hot) for i, t in enumerate(tables)])
+        found = pa.concat_tables([suffix_dedup.shared_grams(marks.filter(pa.compute.equal(marks["bucket"], b)), hot) for b in range(n)])
+        back = [found.filter(pa.compute.equal(found["block"], i)) for i in range(n)]
+        sets = [(t, *(suffix_dedup._marked(f, c) for c in ("grams", "hot"))) for t, f in zip(tables, back, strict=True)]
+        return [sum(len(r) for *_, rows in suffix_dedup._shared_anchors(t, 50, 16, m, h, n) for r, *_ in rows) for t, m, h in sets], [len(h) for _, _, h in sets]
+
+    assert shipped(blocks) == ([0, 0], [0, 0])
+    copied = texts[15][100:160]
+    both = [anchored([texts[3], copied]), anchored(texts[15:], 15)]
+    (some, others), common = shipped(both)
+    assert some and others and common == [0, 0]
+    # a gram that stands 30 times in each of two blocks is hot over 50, with a part for each range of its windows
+    many = [anchored([word(40) + copied + word(40) for _ in range(30)], 30 * i) for i in range(2)]
+    (few, _), none = shipped(many, 60)
+    (parted, _), common = shipped(many, 50)
+    assert none == [0, 0] and min(common) > 0 and parted > few
+    marks = np.unique(np.array([rnd.getrandbits(34) | 1 for _ in range(5000)], np.uint64))
+    asked = np.concatenate((marks, marks + np.uint64(2), np.array([1 << 60], np.uint64)))
+    assert np.array_equal(suffix_dedup.Among(marks)(asked), np.isin(asked, marks)) and not suffix_dedup.Among(marks[:0])(asked).any()
+
+
+def test_suffix_dedup_of_words(spark):
+    """Documents of few words, where most grams are shared by chance, and copies with words changed, at their ends as well."""
+    rnd = random.Random(17)
+    words = ["".join(rnd.choice("abc") for _ in range(rnd.randint(1, 5))) for _ in range(9)]
+    texts = [" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 90))) for _ in range(60)]
+    for t in texts[:30]:
+        own = t.split(" ")
+        for i in rnd.sample(range(len(own)), len(own) // 15):
+            own[i] = rnd.choice(words)
+        texts.append(" ".join(own)[rnd.randint(0, 30) :])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = removed([(i, t.encode()) for i, t in enumerate(texts)], 50)
+    assert sum(r[2] for r in want) > 1000
+    for hot in (50_000, 2):
+        got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup_substrings(df, block_bytes=5000, hot=hot).collect())
+        assert got == want
+
+
 def test_deep_shallow_sorts():
     rnd = random.Random(7)
     strings = ["".join(rnd.choice("ab") for _ in range(rnd.randint(0, 30))).encode() for _ in range(300)] + [b"a\0", b"a"]
