@@ -30,8 +30,12 @@ def q(name: str) -> Column:
     return F.col(f"`{name.replace('`', '``')}`")
 
 
-def infer_types(df: DataFrame, exact_distinct: bool = True) -> list[ColumnType]:
-    """Semantic type of each column, from one job over all rows.  Typed columns need no text rules."""
+def infer_types(df: DataFrame, exact_distinct: bool = True, categories: bool = True) -> list[ColumnType]:
+    """Semantic type of each column, from one job over all rows.  Typed columns need no text rules.
+
+    Without `categories` repeated texts are text: as a category may have half as many values as the table has rows, a
+    text column becomes one when the table grows by rows alone.
+    """
     aggs = []
     for i, f in enumerate(df.schema.fields):
         if not isinstance(f.dataType, T.StringType):
@@ -56,7 +60,7 @@ def infer_types(df: DataFrame, exact_distinct: bool = True) -> list[ColumnType]:
     read = read.withColumns({f"__n{i}": C.to_number(F.col(f"__s{i}")) for i, _ in texts}) if texts else read
     row = read.agg(*aggs).first()
     unique = distinct_counts(read, {i: F.col(f"__s{i}") for i, _ in texts}) if exact_distinct and texts else {}
-    return [decide_type(f, **row[f"c{i}"].asDict() | ({"unique": unique[i]} if i in unique else {})) for i, f in enumerate(df.schema.fields)]
+    return [decide_type(f, **row[f"c{i}"].asDict() | ({"unique": unique[i]} if i in unique else {}), categories=categories) for i, f in enumerate(df.schema.fields)]
 
 
 def distinct_counts(df: DataFrame, columns: dict[int, Column]) -> dict[int, int]:
@@ -66,7 +70,7 @@ def distinct_counts(df: DataFrame, columns: dict[int, Column]) -> dict[int, int]
     return dict.fromkeys(columns, 0) | {r["i"]: r["n"] for r in counts.collect()}
 
 
-def decide_type(field: T.StructField, n: int, booleans: int, dates: int, numbers: int, integers: int, unique: int) -> ColumnType:
+def decide_type(field: T.StructField, n: int, booleans: int, dates: int, numbers: int, integers: int, unique: int, categories: bool = True) -> ColumnType:
     kind = field.dataType
     if not n:
         return ColumnType(field.name, "empty", 1.0)
@@ -86,7 +90,7 @@ def decide_type(field: T.StructField, n: int, booleans: int, dates: int, numbers
         return ColumnType(field.name, "integer" if integers == n else "number", numbers / n)
     if unique >= 0.9 * n and n >= 5:
         return ColumnType(field.name, "identifier", 0.7)
-    if 1 < unique <= max(15, -(-n // 2)):
+    if categories and 1 < unique <= max(15, -(-n // 2)):
         return ColumnType(field.name, "category", 0.75)
     return ColumnType(field.name, "text", 0.5)
 

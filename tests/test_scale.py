@@ -1,7 +1,9 @@
 """Operators whose work is dealt to tasks in blocks, against plain computation."""
 
+import os
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from stratalake.functions import columns as C
 from stratalake.functions import text as X
 from stratalake.operators import clean, documents, gram, neighbours, olap, ordered, postings, profile, retrieval, sketches
+from stratalake.plans import catalogue
 from stratalake.streaming import increments
 
 
@@ -201,3 +204,14 @@ def test_values_that_cannot_be_read_are_told_by_their_characters(spark, comma):
     assert {k: v[1] for k, v in got.items() if v[1]} == {"Jan 05, 1998": "1998-01-05", "2024-01-05": "2024-01-05", "05.02.2024": "2024-02-05"}
     plan = df.select(C.to_number(F.col("r"))).limit(1)._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" in plan and "btrim" in plan.lower() or "trim(" in plan
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+def test_type_drift_of_copies(spark, tmp_path):
+    """Amounts that repeat in copies of a table, in fewer than half of its rows, are text as in the SQL; the rule for types by itself tells a category."""
+    o = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    o.withColumn("o_orderkey", F.explode(F.sequence("o_orderkey", F.col("o_orderkey") + 6 * 10**6, F.lit(10**6)))).write.parquet(f"{tmp_path}/orders.parquet")
+    want = duckdb.sql(f"WITH orders AS (SELECT * FROM '{tmp_path}/orders.parquet/*.parquet') SELECT * FROM ({catalogue.oracle_sql()['type_drift']})").fetchall()
+    assert sorted(map(tuple, catalogue.queries()["type_drift"](spark, str(tmp_path)).collect())) == sorted(want)
+    words = spark.createDataFrame([(f"word {i % 40}",) for i in range(100)], "w string")
+    assert [profile.infer_types(words)[0].type, profile.infer_types(words, categories=False)[0].type] == ["category", "text"]
